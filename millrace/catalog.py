@@ -1,0 +1,4 @@
+"""All queries over the driver's tables, with the equal SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
