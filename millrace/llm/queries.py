@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sentencepiece_bpe
 from .common import table
 from .exact_dedup import decisions
 from .simhash import near_components
@@ -19,7 +20,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op7_exact_dedup)}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), piece_model())
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op7_exact_dedup, op9_sentencepiece)}
 
 ORACLES = {
     "op7_exact_dedup": """
