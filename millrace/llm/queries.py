@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from . import sentencepiece_bpe
 from .common import table
 from .exact_dedup import decisions
+from .mixing import mixture
 from .simhash import near_components
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixture(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_components(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -30,7 +36,7 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op7_exact_dedup, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op7_exact_dedup, op9_sentencepiece)}
 
 ORACLES = {
     "op7_exact_dedup": """
