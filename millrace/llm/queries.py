@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe
+from . import quality, sentencepiece_bpe
 from .common import table
 from .exact_dedup import decisions
 from .mixing import mixture
@@ -30,13 +30,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op7_exact_dedup, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op7_exact_dedup, op9_sentencepiece, op10_quality)}
 
 ORACLES = {
     "op7_exact_dedup": """
