@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import quality, sentencepiece_bpe
 from .common import table
 from .exact_dedup import decisions
+from .fingerprint import fingerprints
 from .mixing import mixture
 from .simhash import near_components
 
@@ -22,6 +23,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op7_exact_dedup, op9_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op6_fingerprint, op7_exact_dedup, op9_sentencepiece, op10_quality)}
 
 ORACLES = {
     "op7_exact_dedup": """
