@@ -11,6 +11,7 @@ from .exact_dedup import decisions
 from .fingerprint import fingerprints
 from .mixing import mixture
 from .simhash import near_components
+from .url_filter import verdicts
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(table(spark, sf_dir, "pages"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -46,9 +51,26 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op6_fingerprint, op7_exact_dedup, op9_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op4_url_filter, op6_fingerprint, op7_exact_dedup, op9_sentencepiece, op10_quality)}
 
 ORACLES = {
+    "op4_url_filter": r"""
+        with recursive p as (
+          select page_id, url, html,
+            translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
+        rules(action, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        ruled as (select p.page_id, arg_max(struct_pack(a := action, r := h || rules.p), length(h || rules.p)) as r
+          from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, rules.p) group by p.page_id),
+        links as (select page_id, unnest(regexp_extract_all(html, '<link\b[^>]*>', 0, 'is')) as tag from p where contains(url, '://')),
+        node as (select page_id, host || coalesce(nullif(regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's'), ''), '/') as n from p where contains(url, '://')),
+        edge as (select distinct n as a, regexp_extract(regexp_extract(tag, 'href\s*=\s*["'']?([^"''>\s]*)', 1, 'i'), '://(.*)$', 1) as b
+          from links join node using (page_id) where regexp_matches(tag, '\brel\s*=\s*["'']?canonical\b', 'i')),
+        sym as (select a, b from edge union select b, a from edge),
+        reach as (select a, b from sym union select reach.a, sym.b from reach join sym on reach.b = sym.a),
+        said as (select node.page_id, max(case r.a when 'allow' then 2 else 1 end) as v from node join reach on n = reach.a join node m on m.n = reach.b join ruled on ruled.page_id = m.page_id group by node.page_id)
+        select p.page_id, host, path, r.r as rule, coalesce(r.a, case v when 1 then 'block' else 'allow' end) as verdict
+        from p left join ruled using (page_id) left join said using (page_id)""",
     "op7_exact_dedup": """
         with t as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256 from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
