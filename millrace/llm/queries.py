@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sentencepiece_bpe
+from . import license_scan, quality, sentencepiece_bpe
 from .common import table
 from .exact_dedup import decisions
 from .fingerprint import fingerprints
@@ -28,6 +28,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "pages"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op4_url_filter, op6_fingerprint, op7_exact_dedup, op9_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op4_url_filter, op5_license_scan, op6_fingerprint, op7_exact_dedup, op9_sentencepiece, op10_quality)}
 
 ORACLES = {
     "op4_url_filter": r"""
