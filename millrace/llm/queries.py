@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_scan, quality, sentencepiece_bpe
+from .chat import collapse_and_render
 from .common import table
 from .exact_dedup import decisions
 from .fingerprint import fingerprints
 from .mixing import mixture
 from .simhash import near_components
+from .token_files import token_counts
 from .url_filter import verdicts
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixture(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -40,6 +46,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -55,9 +67,15 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op4_url_filter, op5_license_scan, op6_fingerprint, op7_exact_dedup, op9_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op3_simhash, op4_url_filter, op5_license_scan, op6_fingerprint, op7_exact_dedup, op8_token_counts, op9_sentencepiece, op10_quality)}
 
 ORACLES = {
+    "op1_chat": """
+        with c as (select conv_id, list(struct_pack(r := role, t := text) order by turn) as l from (select distinct conv_id, turn, role, text from conversations where conv_id is not null) group by conv_id),
+        proper as (select distinct list_slice(l, 1, i) as p from (select l, unnest(range(1, len(l))) as i from c))
+        select min(conv_id) as conv_id, cast(0 as bigint) as segment, cast(len(l) as bigint) as n_turns, count(*) as copies,
+          list_aggregate(list_transform(l, lambda x: '<|im_start|>' || coalesce(x.r, '') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)), 'string_agg', '') as rendered
+        from c where l not in (select p from proper) group by l""",
     "op4_url_filter": r"""
         with recursive p as (
           select page_id, url, html,
