@@ -34,6 +34,13 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def small(batches, rows: int = 256):
+    """Arrow batches in slices, so that what Python makes of a batch stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def free_name(df: DataFrame, *stems: str) -> list[str]:
     """Names like the stems that clash with no column of df, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -17,15 +17,19 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small
+
 SPACE, REPLACEMENT = "▁", "�"
 #: Words remembered by a worker in one generation, and token pairs.
-WORDS, PAIRS = 120_000, 500_000
+WORDS, PAIRS = 120_000, 250_000
 #: Ways to split a text into words, with the pairs of characters that no piece may then have: Latin letters apart from
 #: ASCII signs (a word with any other character stays whole), or words by their space marks, or the whole text.
 _LATIN, _SIGN = r"[A-Za-zÀ-ÖØ-öø-ɏ]", r"[\x00-@\[-`{-\x7f]"
@@ -61,8 +65,11 @@ class Vocabulary:
 
 
 class Codec:
-    def __init__(self, v: Vocabulary):
+    """Encodes and decodes; what is remembered of a word is what finish makes of its ids."""
+
+    def __init__(self, v: Vocabulary, finish: str = "packed"):
         self.v = v
+        self.finish = getattr(self, finish)
         self.id = {p: i for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k == 1}
         self.score = {p: v.scores[i] for p, i in self.id.items()}
         self.byte = [0] * 256
@@ -74,7 +81,8 @@ class Codec:
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in self.id), p[:1]) for p in self.id if len(p) > 1}
         self.matches = ahocorasick.Automaton()
         for p in self.id:
-            self.matches.add_word(p, p)
+            if len(p) > 1:  # a single character is a match anyhow
+                self.matches.add_word(p, (len(p) - 1, p))
         self.matches.make_automaton()
         self.words = re.compile(next(w for w, across in SPLITS if not any(re.search(across, p) for p in self.id))).findall
         self.decimal = [b"%d" % i for i in range(len(v.pieces))]
@@ -103,8 +111,8 @@ class Codec:
 
     def tokens(self, word: str) -> list[str]:
         n, longest = len(word), list(word)
-        for end, p in self.matches.iter(word):  # ends ascend, so the longest match comes last
-            longest[end + 1 - len(p)] = p
+        for end, (back, p) in self.matches.iter(word):  # ends ascend, so the longest match comes last
+            longest[end - back] = p
         out: list[str] = []
         fits, failed, pos, last, token = self.fits, 0, 0, "", longest[0]
         while True:
@@ -123,29 +131,36 @@ class Codec:
                 last = out[-1] if out else ""
 
     def ids_of(self, word: str) -> list[int]:
-        out: list[int] = []
-        for t in self.tokens(word):
-            i = self.id.get(t)
-            out += [i] if i is not None else [self.byte[b] for b in t.encode()]
-        return out
-
-    def record(self, word: str) -> tuple[list[int], bytes, str]:
-        """Ids of a word, the same in decimal, and their plain decoding."""
+        tokens = self.tokens(word)
+        try:
+            return [self.id[t] for t in tokens]
+        except KeyError:  # characters without a piece
+            return [i for t in tokens for i in ([self.id[t]] if t in self.id else [self.byte[b] for b in t.encode()])]
+
+    def packed(self, ids: list[int]) -> bytes:
+        """32 bits an id."""
+        return array("i", ids).tobytes()
+
+    def told(self, ids: list[int]) -> tuple[int, bytes, str]:
+        """How many ids, the ids in decimal, and their plain decoding."""
+        try:
+            plain = "".join([self.plain[i] for i in ids])
+        except TypeError:  # not only normal pieces
+            plain = self._plain(ids)
+        return len(ids), b",".join([self.decimal[i] for i in ids]), plain
+
+    def record(self, word: str):
         r = self.old.get(word)
         if r is None:
-            ids = self.ids_of(word)
-            try:
-                plain = "".join([self.plain[i] for i in ids])
-            except TypeError:  # not only normal pieces
-                plain = self._plain(ids)
-            r = ids, b",".join([self.decimal[i] for i in ids]), plain
+            r = self.finish(self.ids_of(word))
         if len(self.young) >= WORDS:
             self.old, self.young = self.young, {}
         if len(word) < 100:
             self.young[word] = r
         return r
 
-    def records(self, text: str) -> list[tuple[list[int], bytes, str]]:
+    def records(self, text: str) -> list:
+        """What finish makes of each word of a text."""
         if not text:
             return []
         get, record = self.young.get, self.record
@@ -159,7 +174,7 @@ class Codec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for r in self.records(text) for i in r[0]]
+        return [i for w in self.words((SPACE if self.v.dummy_prefix else "") + text.replace(" ", SPACE)) for i in self.ids_of(w)] if text else []
 
     def _plain(self, ids: list[int]) -> str:
         """Pieces put together; runs of bytes as UTF-8, each byte that fits none as U+FFFD."""
@@ -179,7 +194,7 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return self.joined([self._plain(ids)])
 
-    def joined(self, parts: list[str]) -> str:
+    def joined(self, parts) -> str:
         """The decoding of whole words put together: without the space that the encoder put first."""
         t = "".join(parts)
         return t[1:] if self.v.dummy_prefix and t.startswith(" ") else t
@@ -202,9 +217,9 @@ def _utf8(raw: bytes) -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def codec(v: Vocabulary) -> Codec:
-    """One for each worker process and vocabulary."""
-    return Codec(v)
+def codec(v: Vocabulary, finish: str) -> Codec:
+    """One for each worker process."""
+    return Codec(v, finish)
 
 
 def _texts(col) -> list[str]:
@@ -221,9 +236,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{ids}` array<int>"
 
     def run(batches):
-        c = codec(v)
-        for b in batches:
-            own = pa.array([c.encode(t) for t in _texts(b.column(text))], pa.list_(pa.int32()))
+        c = codec(v, "packed")
+        for b in small(batches):
+            told = [b"".join(c.records(t)) for t in _texts(b.column(text))]
+            ends = np.cumsum([0, *map(len, told)], dtype=np.int64) // 4
+            own = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(told), np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, own], names=[*b.schema.names, ids])
 
     return docs.select(*keep).mapInArrow(run, schema)
@@ -234,14 +251,14 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     v = Vocabulary.load(model)
 
     def run(batches):
-        c = codec(v)
-        for b in batches:
+        c = codec(v, "told")
+        for b in small(batches):
             n, ids, texts = [], [], []
             for t in _texts(b.column(1)):
-                own = c.records(t)
-                n.append(sum(len(r[0]) for r in own))
-                ids.append(hashlib.sha256(b",".join([r[1] for r in own])).hexdigest())
-                texts.append(hashlib.sha256(c.joined([r[2] for r in own]).encode()).hexdigest())
+                counts, decimal, plain = zip(*own, strict=True) if (own := c.records(t)) else ((),) * 3
+                n.append(sum(counts))
+                ids.append(hashlib.sha256(b",".join(decimal)).hexdigest())
+                texts.append(hashlib.sha256(c.joined(plain).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
