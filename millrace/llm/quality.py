@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, small
 
 #: Documents that models are fitted on: labelled ones (of which HELD are for calibration), and unlabelled ones.
 LABELLED, POOL, HELD = 6000, 4000, 0.3
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     chosen = ids.select("doc_id", "y").unionByName(free.select("doc_id", F.lit(-1).alias("y")))  # LABELLED + POOL rows at most
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             dense, words, meta = _rows(b)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(map(list, dense), pa.list_(pa.float64())), pa.array(words, pa.list_(pa.uint32())).cast(pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32()))], names=["doc_id", "y", "dense", "words", "meta"])
 
@@ -208,7 +208,7 @@ def scores(docs: DataFrame, model: Classifier | None, keep: list[str] | None = N
     given = docs.select(*keep, *[F.col(c).alias(a) for c, a in zip(("text", "lang", "source", "n_chars"), own, strict=True)])
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             at = b.num_columns - 4
             seen = pa.RecordBatch.from_arrays(b.columns[at:], names=["text", "lang", "source", "n_chars"])
             dense, words, meta = _rows(seen)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import keep_winners, settle
+from .common import keep_winners, settle, small
 from .components import connected_components
 
 BITS, TAU, SEED, SHINGLE, BUCKET, CHUNK = 64, 2, 42, 3, 64, 1 << 16
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, tk, fp): fp is the fingerprint as a signed long, tk a hash of the text. A null text has no words."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             fp = np.fromiter((simhash(t or b"", k) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=["doc_id", "tk", "fp"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle, shared_dir
+from .common import settle, shared_dir, small
 
 BLOCK_BYTES = 8 << 20
 
@@ -56,7 +56,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str, eod: int, dtype:
         fs, at = _open(f"{folder}/{name}")
         tried = f"{at}.{task.taskAttemptId()}.{uuid.uuid4().hex}.tmp"
         with fs.open_output_stream(tried) as f:
-            for b in batches:
+            for b in small(batches):
                 for t in b.column(1).to_pylist():
                     f.write(np.array([*code.encode_ordinary(t or ""), eod], dtype).tobytes())
                 k = b.num_rows
