@@ -86,7 +86,8 @@ def map_values(df: DataFrame, col: str, pairs: list[tuple[str, str]]) -> DataFra
 
 
 def iqr_fences(col: str, k: float = 1.5) -> dict[str, Column]:
-    q1, q3 = F.percentile(col, F.lit(0.25)), F.percentile(col, F.lit(0.75))
+    q = F.percentile(col, F.lit([0.25, 0.75]))
+    q1, q3 = q[0], q[1]
     return {"__lo": q1 - k * (q3 - q1), "__hi": q3 + k * (q3 - q1)}
 
 

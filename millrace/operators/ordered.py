@@ -35,23 +35,23 @@ def _carried(df: DataFrame, what: dict[str, Column], row: str, forward: bool) ->
     """For each bucket the last (or first) non-null of each expression in the buckets before (or after) it."""
     pick = F.max_by if forward else F.min_by
     each = df.groupBy(_bucket(row).alias("__b")).agg(*[pick(c, F.when(c.isNotNull(), F.col(row))).alias(n) for n, c in what.items()])
-    w = Window.orderBy("__b")
-    w = w.rowsBetween(Window.unboundedPreceding, -1) if forward else w.rowsBetween(1, Window.unboundedFollowing)
-    take = F.last if forward else F.first
-    return each.select("__b", *[take(n, ignorenulls=True).over(w).alias(n) for n in what])
+    w = Window.orderBy("__b" if forward else F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    return each.select("__b", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in what])
+
+
+def _running(forward: bool, row: str, *by: str):
+    """From the first row (or back from the last one) to this one; a frame that only grows costs one step a row."""
+    return Window.partitionBy(*by).orderBy(row if forward else F.desc(row)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def fill(df: DataFrame, col: str, direction: str = "forward", row: str = ROW, by: list[str] | None = None) -> DataFrame:
     """Each null of col takes the last value before it (or the first after it) by row; leading (trailing) ones stay."""
     forward = direction == "forward"
-    bounds = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
-    take = F.last if forward else F.first
     if by:
-        return df.withColumn(col, take(col, ignorenulls=True).over(Window.partitionBy(*by).orderBy(row).rowsBetween(*bounds)))
+        return df.withColumn(col, F.last(col, ignorenulls=True).over(_running(forward, row, *by)))
     carry = _carried(df, {"__c": F.col(col)}, row, forward)
-    w = Window.partitionBy("__b").orderBy(row).rowsBetween(*bounds)
     out = df.withColumn("__b", _bucket(row)).join(carry, "__b")
-    return out.withColumn(col, F.coalesce(take(col, ignorenulls=True).over(w), "__c")).drop("__b", "__c")
+    return out.withColumn(col, F.coalesce(F.last(col, ignorenulls=True).over(_running(forward, row, "__b")), "__c")).drop("__b", "__c")
 
 
 def interpolate(df: DataFrame, col: str, row: str = ROW) -> DataFrame:
@@ -60,10 +60,9 @@ def interpolate(df: DataFrame, col: str, row: str = ROW) -> DataFrame:
     df = df.withColumn("__at", at)
     back = _carried(df, {"__cb": F.col("__at")}, row, True)
     ahead = _carried(df, {"__ca": F.col("__at")}, row, False)
-    w = Window.partitionBy("__b").orderBy(row)
     out = df.withColumn("__b", _bucket(row)).join(back, "__b").join(ahead, "__b")
-    out = out.withColumn("__p", F.coalesce(F.last("__at", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__cb"))
-    out = out.withColumn("__q", F.coalesce(F.first("__at", True).over(w.rowsBetween(0, Window.unboundedFollowing)), "__ca"))
+    out = out.withColumn("__p", F.coalesce(F.last("__at", True).over(_running(True, row, "__b")), "__cb"))
+    out = out.withColumn("__q", F.coalesce(F.last("__at", True).over(_running(False, row, "__b")), "__ca"))
     p, q = F.col("__p"), F.col("__q")
     step = (q["v"] - p["v"]) * (F.col(row) - p["p"]) / (q["p"] - p["p"])
     value = F.when(F.col(col).isNotNull(), F.col(col).cast("double")).when(q.isNull(), p["v"]).when(p.isNotNull(), p["v"] + step)
@@ -92,19 +91,42 @@ def ecdf(df: DataFrame, col: str) -> DataFrame:
     return at.join(F.broadcast(n)).select("value", ((F.col(ROW) + 1) / F.col("n")).alias("ecdf"))
 
 
-def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
-    """df with the average rank of col among its non-null values: distinct values are counted before they are ordered."""
+def _counted(df: DataFrame, col: str) -> DataFrame:
+    """__v, __n, __upto: distinct non-null values, how often they are, and how many values there are up to and with them.
+
+    Values are counted before they are ordered, so a frequent value is one row.
+    """
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
-    at = with_row_id(counts, "__v", name="__r")
-    b = F.floor(F.col("__r") / BUCKET).cast("long")
-    upto = at.groupBy(b.alias("__b")).agg(F.sum("__n").alias("__s"))
+    at = with_row_id(counts, "__v", name="__r").withColumn("__b", _bucket("__r"))
+    upto = at.groupBy("__b").agg(F.sum("__n").alias("__s"))
     skip = upto.select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__skip"))
     run = F.sum("__n").over(Window.partitionBy("__b").orderBy("__r"))
-    ranks = at.withColumn("__b", b).withColumn("__run", run).join(skip, "__b")
-    ranks = ranks.select("__v", (F.col("__skip") + F.col("__run") - (F.col("__n") - 1) / 2).alias(out))
+    return at.withColumn("__run", run).join(skip, "__b").select("__v", "__n", (F.col("__skip") + F.col("__run")).alias("__upto"))
+
+
+def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
+    """df with the average rank of col among its non-null values."""
+    ranks = _counted(df, col).select("__v", (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
     return df.join(ranks, F.col(col) == F.col("__v"), "left").drop("__v")
 
 
+def quantiles(df: DataFrame, col: str, ps: list[float]) -> DataFrame:
+    """One row q (array of double): exact linear quantiles of col, as percentile() gives, at any number of distinct values.
+
+    percentile() keeps all distinct values of a group in one task's memory; this sorts counted values by ranges instead.
+    """
+    at = _counted(df, col)
+    at = at.crossJoin(F.broadcast(at.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__all"))))
+    pick = []
+    for p in ps:
+        pos = F.lit(float(p)) * (F.col("__all") - 1)
+        first = lambda i: F.min(F.when(F.col("__upto") > i, F.col("__v").cast("double")))
+        pick += [first(F.floor(pos)), first(F.ceil(pos)), F.max(pos - F.floor(pos))]
+    one = at.agg(*[c.alias(f"c{i}") for i, c in enumerate(pick)])
+    c = F.col
+    return one.select(F.array(*[c(f"c{3 * i}") + (c(f"c{3 * i + 1}") - c(f"c{3 * i}")) * c(f"c{3 * i + 2}") for i in range(len(ps))]).alias("q"))
+
+
 def rows_at(df: DataFrame, spec: str, keep: bool = True, row: str = ROW) -> DataFrame:
     """Rows at the positions of a text like "0, 3, 7-10", or all others; positions that don't exist are ignored."""
     test = F.lit(False)

@@ -71,7 +71,8 @@ def values_then_iqr(df: DataFrame, col: str | None, values: list, num: str | Non
     if col:
         df = df.filter(F.col(col).isin(values))
     if num:
-        q = df.agg(F.percentile(num, F.lit(0.25)).alias("__q1"), F.percentile(num, F.lit(0.75)).alias("__q3"))
+        both = F.percentile(num, F.lit([0.25, 0.75]))
+        q = df.agg(both[0].alias("__q1"), both[1].alias("__q3"))
         iqr = F.col("__q3") - F.col("__q1")
         df = df.join(F.broadcast(q)).filter(F.col(num).between(F.col("__q1") - k * iqr, F.col("__q3") + k * iqr)).drop("__q1", "__q3")
     return df

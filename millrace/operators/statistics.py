@@ -31,10 +31,13 @@ def kurtosis(c: Column) -> Column:
     return F.when((F.count(c) > 3) & (F.stddev_pop(c) > 0), (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
-def numeric_measures(c: Column) -> dict[str, Column]:
-    q = lambda p: F.percentile(c, F.lit(p))
+def numeric_measures(c: Column, approximate: bool = False) -> dict[str, Column]:
+    """Quartiles are exact unless approximate: percentile() holds a column's distinct values, which wide ranges of huge
+    tables don't allow (ordered.quantiles is exact there, too)."""
+    three = F.lit([0.25, 0.5, 0.75])
+    q = (F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000) if approximate else F.percentile(c, three)).getItem
     return {
-        "n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "q1": q(0.25), "median": q(0.5), "q3": q(0.75), "max": F.max(c),
+        "n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "q1": q(0), "median": q(1), "q3": q(2), "max": F.max(c),
         "missing_pct": F.avg(c.isNull().cast("double")) * 100, "zeros_pct": F.avg(F.coalesce((c == 0).cast("double"), F.lit(0.0))) * 100, "skewness": skewness(c), "kurtosis": kurtosis(c),
     }
 
@@ -45,10 +48,10 @@ def _long(df: DataFrame, cols: list[str], measures) -> DataFrame:
     return one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("s")).select("s.*")
 
 
-def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def profile_numeric(df: DataFrame, cols: list[str] | None = None, approximate: bool = False) -> DataFrame:
     cols = cols or columns_of(df, "numeric")
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return _long(doubles, cols, numeric_measures)
+    return _long(doubles, cols, lambda c: numeric_measures(c, approximate))
 
 
 def numeric_card(df: DataFrame, col: str) -> DataFrame:
@@ -329,7 +332,8 @@ def summary(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
 
 
 def quartiles_by(df: DataFrame, col: str, by: str) -> DataFrame:
-    q = [F.percentile(col, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    three = F.percentile(col, F.lit([0.25, 0.5, 0.75]))
+    q = [three[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
     return df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min(col).alias("min"), *q, F.max(col).alias("max"))
 
 

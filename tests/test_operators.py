@@ -53,6 +53,14 @@ def test_ordered_operators_equal_pandas(spark, monkeypatch, bucket):
     assert same(col(ordered.average_rank(e, "v", "r"), "r"), full.rank())
 
 
+def test_quantiles(spark):
+    rnd = random.Random(2)
+    v = [float(rnd.randrange(30)) for _ in range(101)]
+    ps = [0.0, 0.13, 0.5, 0.77, 1.0]
+    assert ordered.quantiles(nums(spark, [*v, None]), "v", ps).first().q == pytest.approx(pd.Series(v).quantile(ps).tolist())
+    assert ordered.quantiles(nums(spark, []), "v", [0.5]).first().q == [None]
+
+
 def test_positions(spark):
     d = ordered.with_row_id(nums(spark, [float(x) for x in range(12)]), "i")
     assert col(ordered.rows_at(d, "0, 3, 7-9, 400")) == [0, 3, 7, 8, 9]
@@ -155,7 +163,7 @@ def test_bins_equal_pandas(spark):
     v = [float(rnd.randrange(0, 40)) for _ in range(300)]
     got = col(conditional.equal_width(nums(spark, [*v, None]), "v", 7, "b"), "b")
     assert got[:-1] == pd.cut(pd.Series(v), 7, labels=False).tolist() and got[-1] is None
-    skewed = [1.0] * 100 + [x + rnd.random() for x in v]  # edges lie between values, so their last bits don't matter
+    skewed = [1.0] * 102 + [x + rnd.random() for x in v]  # edges lie between values, so their last bits don't matter
     assert col(conditional.equal_frequency(nums(spark, skewed), "v", 6, "b"), "b") == pd.qcut(pd.Series(skewed), 6, labels=False, duplicates="drop").tolist()
     assert col(nums(spark, [0.0, 1.0, 2.0, 3.0, None]).withColumn("b", conditional.custom_bins("v", [0, 1, 2])), "b") == [0, 0, 1, None, None]
 
