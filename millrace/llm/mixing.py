@@ -30,7 +30,7 @@ MOST = 2
 #: Newton steps at most (each is one aggregation), and the relative error of a source's tokens that ends them.
 STEPS, ERROR = 60, 1e-7
 #: Documents of more than these shares of their target are rounded first.
-TIERS = (1 / 16, 1 / 32, 1 / 64, 1 / 256)
+TIERS = (1 / 4, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 256)
 #: Keys have 33 bits, narrowed 11 at a time.
 KEY_BITS, BUCKET_BITS = 33, 11
 #: Up to so many sources (of 40 bytes) their parameters are broadcast; beyond, they are joined by a shuffle.
