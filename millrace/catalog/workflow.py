@@ -143,3 +143,83 @@ def stm_windowed_stream(t):
     run_once(stream, lambda d, i: d.write.mode("overwrite").parquet(out), at, "complete")
     d = spark.read.parquet(out)
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 4).alias("total"))
+
+
+@query("select 'value' as column_name, 'log' as again, 1 as conflicts union all select 'value', 'sqrt', 0 union all select 'price', 'Log transform', 0")
+def grd_1_double_transform(t):
+    from ..plans.workflow import TransformRegistry
+
+    g = TransformRegistry()
+    g.register("value", "Log (shifted)")
+    asked = [("value", "log"), ("value", "sqrt"), ("price", "Log transform")]
+    return t("region").sparkSession.createDataFrame([(c, n, len(g.register(c, n))) for c, n in asked], "column_name string, again string, conflicts int")
+
+
+@query("select 'nation' as file, 'PASS' as status union all select 'ragged', 'WARN' union all select 'nothing', 'BLOCK'")
+def src_7_validation(t):
+    from ..sources.readers import validate
+
+    spark = t("nation").sparkSession
+    texts = {"nation": ["a,b", "1,2", "3,4"], "ragged": ["a,b", "1,2,3,4,5,6"], "nothing": []}
+    out = []
+    for name, lines in texts.items():
+        path = scratch(spark, name)
+        spark.createDataFrame([("\n".join(lines),)] if lines else [], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
+        out.append((name, validate(spark, path, "csv").status))
+    return spark.createDataFrame(out, "file string, status string")
+
+
+@query("select o_orderkey, o_orderstatus from orders where o_orderkey % 2 = 0")
+def snk_8_project(t):
+    from ..sources.sinks import load_project, save_project
+
+    spark, root = t("orders").sparkSession, scratch(t("orders").sparkSession, "projects")
+    save_project(t("orders").filter("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"), root, "even orders")
+    return load_project(spark, root, "even orders")[0]
+
+
+@query("select * from (values ('event_id', 'numeric'), ('ts', 'datetime'), ('user_id', 'numeric'), ('event_type', 'categorical'), ('value', 'numeric'), ('props', 'categorical')) as v(column_name, kind)")
+def typ_6_classes(t):
+    from ..session import column_classes
+
+    return t("events").sparkSession.createDataFrame(list(column_classes(t("events")).items()), "column_name string, kind string")
+
+
+@query("select 'variable_var' as var, 'value_val' as val")
+def rsh_3_free_names(t):
+    from ..operators.columns import free_names
+
+    d = t("region").withColumns({"variable": F.lit(1), "value": F.lit(1)})
+    return t("region").sparkSession.createDataFrame([free_names(d)], "var string, val string")
+
+
+@query("select * from (values ('a', 'drop column'), ('b', 'grouped fill or drop rows'), ('c', 'median'), ('d', 'mean'), ('e', 'mode')) as v(column_name, how)")
+def mis_4_suggest_fill(t):
+    from ..operators.cleaning import suggest_fill
+
+    cases = {"a": (60, 0, True), "b": (30, 0, True), "c": (2, 1.5, True), "d": (2, 0.2, True), "e": (10, None, False)}
+    return t("region").sparkSession.createDataFrame([(c, suggest_fill(*v)) for c, v in cases.items()], "column_name string, how string")
+
+
+@query("select p_type as x, p_brand as y, count(*) as n from part group by all")
+def cht_stacked(t):
+    return charts.bivariate(t("part"), "stacked", "p_type", "p_brand").filter("n > 0")
+
+
+@query("select 'p_size' as a, 'p_retailprice' as b, round(corr(p_size, p_retailprice), 6) as r from part")
+def cht_correlation_heatmap(t):
+    return charts.multivariate(t("part"), "heatmap", ["p_size", "p_retailprice"]).select("a", "b", r("r").alias("r"))
+
+
+@query("select o_orderdate, o_totalprice from orders")
+def cht_time_area(t):
+    return charts.time_series(t("orders"), "area", "o_orderdate", ["o_totalprice"])
+
+
+@query("select 'records' as orient, count(*) as n from nation union all select 'values', count(*) from nation union all select 'index', count(*) from nation union all select 'columns', 2 * count(*) from nation")
+def snk_3_json_orientations(t):
+    from ..sources.sinks import json_lines
+
+    d = t("nation")
+    one = lambda o: json_lines(d, o, row="n_nationkey").agg(F.count("*").alias("n")).select(F.lit(o).alias("orient"), "n")
+    return one("records").unionByName(one("values")).unionByName(one("index")).unionByName(one("columns"))

@@ -26,6 +26,24 @@ def quarantine_rows(bad: DataFrame, stage: str, reason: str, column: str | None
     return bad.select(F.lit(stage).alias("stage"), F.lit(reason).alias("reason"), F.lit(column).alias("failed_column"), F.to_json(F.struct(*bad.columns)).alias("row_data"), F.lit("pending").alias("resolution"))
 
 
+# Families of transformations, by words of their names.
+FAMILIES = {"log": ["log"], "sqrt": ["square root", "sqrt"], "normalize": ["normalize", "0-1"], "standardize": ["standardize", "z-score"], "reciprocal": ["reciprocal"], "cube_root": ["cube root", "cube_root"], "dtype→numeric": ["dtype→numeric"], "dtype→category": ["dtype→category"]}
+
+
+@dataclass
+class TransformRegistry:
+    """Which transformations columns have had, so that the same kind isn't stacked on itself unnoticed."""
+
+    done: dict[str, list[str]] = field(default_factory=dict)
+
+    def register(self, col: str, name: str) -> list[str]:
+        """Earlier transformations of col of the same family; the new one is noted in any case."""
+        family = lambda n: next((k for k, words in FAMILIES.items() if any(w in n.lower() for w in words)), n)
+        before = [n for n in self.done.get(col, []) if family(n) == family(name)]
+        self.done.setdefault(col, []).append(name)
+        return before
+
+
 @dataclass
 class Snapshot:
     """What a table looked like: counts, share of nulls, an order-free hash, and its schema."""
@@ -60,6 +78,7 @@ class Workflow:
     log: list[dict] = field(default_factory=list)
     pending: DataFrame | None = None
     checkpoint: Snapshot | None = None
+    transforms: TransformRegistry = field(default_factory=TransformRegistry)
 
     def __post_init__(self) -> None:
         self.raw = self.df
