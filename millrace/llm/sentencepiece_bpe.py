@@ -114,10 +114,10 @@ class Codec:
         for end, (back, p) in self.matches.iter(word):  # ends ascend, so the longest match comes last
             longest[end - back] = p
         out: list[str] = []
-        fits, failed, pos, last, token = self.fits, 0, 0, "", longest[0]
+        fits, failed, pos, last, token = self.fits, bytearray(n // 8 + 1), 0, "", longest[0]  # a bit for each position
         while True:
             end = pos + len(token)
-            if not failed >> end & 1 and (fits[last, token] if (last, token) in fits else self.compatible(last, token)):
+            if not failed[end >> 3] >> (end & 7) & 1 and (fits[last, token] if (last, token) in fits else self.compatible(last, token)):
                 out.append(token)
                 if end == n:
                     return out
@@ -125,7 +125,7 @@ class Codec:
             elif len(token) > 1:
                 token = self.shorter[token]
             else:  # no token fits here: step back, and never come here again
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 token = out.pop()
                 pos -= len(token)
                 last = out[-1] if out else ""

@@ -37,6 +37,13 @@ def test_random_text(own, library):
         assert own.encode(t) == library.encode(t), t
 
 
+def test_long_words(own, library):
+    rnd = random.Random(8)
+    for alphabet in ("abc", "世界日本語あいう", "the"):
+        t = "".join(rnd.choice(alphabet) for _ in range(60_000))
+        assert own.encode(t) == library.encode(t)
+
+
 def test_documents(own, library):
     for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
         ids = library.encode(t)
