@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import columns as col
@@ -9,6 +11,7 @@ from ..operators import ordered as o
 from ..operators import rows as rw
 from ..operators.cleaning import tokens_to_null
 from ..plans.sql import query as sql_query
+from ..session import shared_dir
 from .registry import query, r
 
 MIXED = "case when event_id % 5 = 0 then 'N/A' when event_id % 5 = 1 then '-' else cast(cast(floor(value) as int) as varchar(20)) end"
@@ -330,10 +333,4 @@ def src_6_robust_load(t):
 
 def scratch(spark, kind: str) -> str:
     """A new folder where driver and executors meet."""
-    import uuid
-
-    from ..session import settle
-
-    if not spark.sparkContext.getCheckpointDir():
-        settle(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -37,7 +37,7 @@ def numeric_health(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """
     cols = cols or columns_of(df, "numeric")
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    stats = st._long(d, cols, lambda c: st.numeric_measures(c))
+    stats = st.profile_numeric(d, cols)
     fences = d.agg(*[F.struct(*[v.alias(k) for k, v in iqr_fences(c).items()], F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"f{i}") for i, c in enumerate(cols)])
     at = d.crossJoin(F.broadcast(fences))
     out = at.agg(*[

@@ -48,10 +48,16 @@ def _long(df: DataFrame, cols: list[str], measures) -> DataFrame:
     return one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("s")).select("s.*")
 
 
+def _by_column(df: DataFrame, cols: list[str], measures) -> DataFrame:
+    """The same from columns that are unpivoted and grouped by name: heavy measures of several columns end in several tasks."""
+    long = df.select(F.lit(1).alias("__one"), *cols).unpivot("__one", cols, "column_name", "__value")
+    return long.groupBy("column_name").agg(*[v.alias(k) for k, v in measures(F.col("__value")).items()])
+
+
 def profile_numeric(df: DataFrame, cols: list[str] | None = None, approximate: bool = False) -> DataFrame:
     cols = cols or columns_of(df, "numeric")
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return _long(doubles, cols, lambda c: numeric_measures(c, approximate))
+    return _by_column(doubles, cols, lambda c: numeric_measures(c, approximate))
 
 
 def numeric_card(df: DataFrame, col: str) -> DataFrame:
