@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.similarity import kind_of, similarity
 from ..session import settle
+from .components import connected_components
 
 # Cells that say nothing.
 SKIPPED = ["unknown", "n/a", "na", "null", "none", "test", "", "nan"]
@@ -66,23 +67,14 @@ def similar_values(df: DataFrame, field: str, key: str, threshold: float = 0.85)
     return met.filter(far).repartition("a").withColumn("score", similarity(F.col("a"), F.col("b"), numbers=False)).filter(F.col("score") >= threshold)
 
 
-def groups(df: DataFrame, field: str, key: str, threshold: float = 0.85, rounds: int = 30) -> DataFrame:
+def groups(df: DataFrame, field: str, key: str, threshold: float = 0.85) -> DataFrame:
     """id, group_id for rows that are in a group of two or more; group_id is the least id of the group."""
     rows = settle(_values(df, field, key))
     values = rows.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    pairs = similar_values(df, field, key, threshold).select("a", "b")
-    edges = settle(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = settle(values.select("v", F.col("least").alias("g")))
-    for _ in range(rounds):  # each value takes the least label around it; and the label of its label's row
-        around = edges.join(label, edges.b == label.v).groupBy("a").agg(F.min("g").alias("m"))
-        new = settle(label.join(around, label.v == around.a, "left").select("v", F.least("g", F.coalesce("m", "g")).alias("g")))
-        changed = new.join(label.withColumnRenamed("g", "old"), "v").filter("g <> old").limit(1).count()
-        label = new
-        if not changed:
-            break
-    out = rows.join(label, "v").select("id", F.col("g").alias("group_id"))
-    several = out.groupBy("group_id").agg(F.count("*").alias("n")).filter("n > 1").select("group_id")
-    return out.join(several, "group_id", "left_semi").select("id", "group_id")
+    nodes = connected_components(similar_values(df, field, key, threshold), "a", "b")
+    at = settle(values.join(nodes, values.v == nodes.node, "left").select("v", "least", "n", F.coalesce("root", "v").alias("root")))
+    several = at.groupBy("root").agg(F.min("least").alias("group_id"), F.sum("n").alias("size")).filter("size > 1")
+    return rows.join(at.join(several, "root").select("v", "group_id"), "v").select("id", "group_id")
 
 
 def score_pairs(df: DataFrame, key: str, primary: str, supporting: list[str], fuzzy: float = 0.85, confidence: float = 0.7) -> DataFrame:
