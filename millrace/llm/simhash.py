@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import keep_winners, settle, small
-from .components import connected_components
+from ..operators.components import connected_components
 
 BITS, TAU, SEED, SHINGLE, BUCKET, CHUNK = 64, 2, 42, 3, 64, 1 << 16
 

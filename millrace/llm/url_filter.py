@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, settle
-from .components import connected_components
+from ..operators.components import connected_components
 
 #: action, host, path; written together a rule is its host and path.
 RULES = (

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from helpers import SCHEMA, docs
 from millrace.llm import simhash as x
-from millrace.llm.components import connected_components
+from millrace.operators.components import connected_components
 from pyspark.sql import functions as F
 
 
