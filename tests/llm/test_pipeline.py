@@ -3,6 +3,8 @@ from collections import Counter
 import corpus_pipeline as p
 import public_tokenizers
 import sentencepiece
+from helpers import SCHEMA, docs
+from pyspark.sql import functions as F
 from test_simhash import brute_components, brute_fp
 from test_exact_dedup import fold
 
@@ -40,3 +42,27 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run(spark):
     assert p.run(spark, SF).count() > 50
+
+
+ODD = [(None, None), (None, None), (1, None), (2, ""), (2, ""), (3, " \n\t"), (4, "w " * 120_000), (5, "W " * 120_000), (6, "some text here"), (6, "some text here"), (7, "some text here!"), (None, "no id but a text")]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns, empty tables."""
+    odd = docs(spark, ODD).withColumn("source", F.when(F.col("doc_id") > 3, "s")).withColumn("lang", F.lit(None).cast("string")).withColumn("n_chars", F.lit(None).cast("long"))
+    for c in ("ids", "KEPT", "size", "k__", "same__", "fp", "tk", "sha", "box__", "label"):
+        odd = odd.withColumn(c, F.lit(c))
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in p.STAGES:
+        out = stage(spark, odd, SF)
+        kept = Counter((r.doc_id, r.text) if "text" in out.columns else r.doc_id for r in out.collect())
+        if name != "sentencepiece":
+            assert out.columns == odd.columns and set(kept) <= {(i, t) for i, t in ODD}, name
+            assert stage(spark, empty, SF).columns == empty.columns
+        assert stage(spark, empty, SF).count() == 0, name
+        if name == "exact dedup":
+            assert Counter(t for _, t in kept) == Counter(["", " \n\t", "W " * 120_000, "some text here", "some text here!", "no id but a text"])
+        if name == "simhash near-dedup":
+            assert len(kept) == sum(kept.values()) and (1, None) in kept and (2, "") not in kept
+        if name == "sentencepiece":
+            assert kept == Counter(i for i, _ in ODD)
