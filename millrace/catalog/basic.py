@@ -278,11 +278,12 @@ def src_2_null_tokens(t):
 def src_2_csv_round_trip(t):
     """Text written as CSV and read again with null tokens, a skipped line and an index column."""
     from ..sources.readers import read
+    from ..sources.sinks import write_csv
 
     spark = t("nation").sparkSession
     n = t("nation").orderBy("n_nationkey").select("n_nationkey", F.when(F.col("n_name") == "CHINA", "N/A").otherwise(F.col("n_name")).alias("n_name"))
     path = scratch(spark, "csv")
-    n.coalesce(1).write.csv(path, header=True)
+    write_csv(n, path)
     d = read(spark, path, "csv", index="n_nationkey")
     return d.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
 

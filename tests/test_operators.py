@@ -303,6 +303,7 @@ def test_files(spark, tmp_path):
     assert "<h1>R&amp;D</h1>" in sinks.html_report(t, "R&D")
     for orient in ("records", "values", "index", "columns"):
         assert sinks.json_lines(t, orient, row="a").count() > 0
+    assert sinks.size_estimate(t, "json") > sinks.size_estimate(t, "parquet") > 0
     with pytest.raises(NotImplementedError):
         readers.read(spark, "x.xlsx", "xlsx")
 
