@@ -52,8 +52,14 @@ def fp_frame(spark, values):
     return spark.createDataFrame([(int(np.array([v], np.uint64).view(np.int64)[0]),) for v in values], "fp long")
 
 
+PLANS = {"own": None, "1,0": [(range(32), 1), (range(32, 64), 0)], "0,1": [(range(20), 0), (range(20, 64), 1)], "2": [(range(64), 2)], "0,0,0": [(range(i, 64, 3), 0) for i in range(3)]}
+
+
+@pytest.mark.parametrize("plan", PLANS)
 @pytest.mark.parametrize("kind", ["random", "crowded", "skewed"])
-def test_links_lose_nothing(spark, kind):
+def test_links_lose_nothing(spark, monkeypatch, kind, plan):
+    if plan != "own":
+        monkeypatch.setattr(x, "plan", lambda *_: [(list(bits), e) for bits, e in PLANS[plan]])
     rnd = random.Random(7)
     vs = {rnd.getrandbits(64) for _ in range(120)}
     if kind == "crowded":  # hundreds within a few bits of each other
