@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import free_name, small
 
 #: Documents that models are fitted on: labelled ones (of which HELD are for calibration), and unlabelled ones.
-LABELLED, POOL, HELD = 6000, 4000, 0.3
+LABELLED, POOL, HELD = 4000, 2000, 0.3
 ROUNDS, CONFIDENT = 3, 0.98
 #: A document is rejected below this score, or below a lower one under which no more than CLEAN of the good ones fall.
 CUT, CLEAN = 0.5, 0.002
@@ -66,12 +66,13 @@ class View:
     @classmethod
     def of(cls, dense, sparse):
         lens = np.array([len(s) for s in sparse], np.int64)
-        row = np.repeat(np.arange(len(sparse)), lens)
-        return cls(np.asarray(dense, float).reshape(len(sparse), -1), np.concatenate([*sparse, np.zeros(0, np.int64)]).astype(np.int64), row, 1 / np.sqrt(np.maximum(lens, 1))[row])
+        row = np.repeat(np.arange(len(sparse), dtype=np.int32), lens)
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(s, np.int32) for s in sparse)])
+        return cls(np.asarray(dense, float).reshape(len(sparse), -1), flat, row, (1 / np.sqrt(np.maximum(lens, 1))).astype(np.float32)[row])
 
     def take(self, rows: np.ndarray) -> View:
-        place = np.full(len(self.dense), -1)
-        place[rows] = np.arange(len(rows))
+        place = np.full(len(self.dense), -1, np.int32)
+        place[rows] = np.arange(len(rows), dtype=np.int32)
         on = place[self.row] >= 0
         return View(self.dense[rows], self.flat[on], place[self.row[on]], self.weight[on])
 
@@ -189,8 +190,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     if got.empty:
         return None
     rnd = (got.doc_id.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(float) / (1 << 24)
-    text, meta = View.of(got.dense.tolist(), got.words.tolist()), View.of(np.zeros((len(got), 0)), got.meta.tolist())
-    return cotrain(text, meta, got.y.to_numpy(), rnd < HELD)
+    text, meta, y = View.of(got.dense.tolist(), got.words.tolist()), View.of(np.zeros((len(got), 0)), got.meta.tolist()), got.y.to_numpy()
+    del got
+    return cotrain(text, meta, y, rnd < HELD)
 
 
 def scores(docs: DataFrame, model: Classifier | None, keep: list[str] | None = None) -> DataFrame:
