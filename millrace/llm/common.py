@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import settle, shared_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -15,20 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder, so that a lost executor costs no recomputation and several readers see the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. A pure ASCII text takes the fast path, where lower() does exactly that."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -55,14 +41,16 @@ def free_name(df: DataFrame, *stems: str) -> list[str]:
 def keep_winners(docs: DataFrame, key: Column, winners: DataFrame) -> DataFrame:
     """Rows of docs whose (doc_id, key) is in winners(w_id, w_key, w_same); one row of those that agree in both.
 
-    w_same is the number of rows of docs with that (doc_id, key): only where it is over 1 are rows numbered, so that the
-    common case costs one join. Null doc_ids match null-safely.
+    w_same is the number of rows of docs with that (doc_id, key): only where it is over 1 are rows numbered, and in the
+    usual case that there are none, the texts go through one join. Null doc_ids match null-safely.
     """
     k, same, rn, wi = free_name(docs, "k__", "same__", "rn__", "wi__")
-    w = winners.select(F.col("w_id").alias(wi), F.col("w_key").alias(k), F.col("w_same").alias(same))
+    w = settle(winners.select(F.col("w_id").alias(wi), F.col("w_key").alias(k), F.col("w_same").alias(same)))
     left = docs.withColumn(k, key).alias("l")
     met = left.join(w.alias("r"), F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) & F.col("l.doc_id").eqNullSafe(F.col(f"r.{wi}")))
     met = met.select("l.*", f"r.{same}")
+    if not w.filter(F.col(same) > 1).limit(1).count():
+        return met.select(*docs.columns)
     again = met.filter(F.col(same) > 1)
     one = again.withColumn(rn, F.row_number().over(Window.partitionBy("doc_id", k).orderBy("text"))).filter(F.col(rn) == 1)
     return met.filter(F.col(same) == 1).select(*docs.columns).unionByName(one.select(*docs.columns))
