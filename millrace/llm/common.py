@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +33,20 @@ def small(batches, rows: int = 256):
             yield b.slice(i, rows)
 
 
+def tidy(run):
+    """A function on Arrow batches that gives freed memory back at its end: idle workers wait for other stages' tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # of glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def free_name(df: DataFrame, *stems: str) -> list[str]:
     """Names like the stems that clash with no column of df, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []

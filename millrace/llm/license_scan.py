@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small
+from .common import small, tidy
 
 # Phrases that always give a label.
 BASE = (
@@ -228,6 +228,7 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     word, word after the last, label, cover). An empty table gives no rows.
     """
 
+    @tidy
     def run(batches):
         s = scanner(base, templates)
         for b in small(batches):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small
+from .common import free_name, small, tidy
 
 #: Documents that models are fitted on: labelled ones (of which HELD are for calibration), and unlabelled ones.
 LABELLED, POOL, HELD = 4000, 2000, 0.3
@@ -180,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     free = docs.select("doc_id").filter("doc_id is not null").join(known, "doc_id", "left_anti").withColumn("h", h).orderBy("h").limit(POOL)
     chosen = ids.select("doc_id", "y").unionByName(free.select("doc_id", F.lit(-1).alias("y")))  # LABELLED + POOL rows at most
 
+    @tidy
     def run(batches):
         for b in small(batches):
             dense, words, meta = _rows(b)
@@ -209,6 +210,7 @@ def scores(docs: DataFrame, model: Classifier | None, keep: list[str] | None = N
     own = free_name(docs, "f_text", "f_lang", "f_source", "f_chars")
     given = docs.select(*keep, *[F.col(c).alias(a) for c, a in zip(("text", "lang", "source", "n_chars"), own, strict=True)])
 
+    @tidy
     def run(batches):
         for b in small(batches):
             at = b.num_columns - 4

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small
+from .common import small, tidy
 
 SPACE, REPLACEMENT = "▁", "�"
 #: Words remembered by a worker in one generation, and token pairs.
@@ -235,6 +235,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
     keep = [c for c in docs.columns if c.lower() != ids.lower()]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{ids}` array<int>"
 
+    @tidy
     def run(batches):
         c = codec(v, "packed")
         for b in small(batches):
@@ -250,6 +251,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of docs; a null text counts as empty."""
     v = Vocabulary.load(model)
 
+    @tidy
     def run(batches):
         c = codec(v, "told")
         for b in small(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import keep_winners, settle, small
+from .common import keep_winners, settle, small, tidy
 from ..operators.components import connected_components
 
 BITS, TAU, SEED, SHINGLE, BUCKET, CHUNK = 64, 2, 42, 3, 64, 1 << 16
@@ -48,6 +48,7 @@ def simhash(text: bytes, k: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, tk, fp): fp is the fingerprint as a signed long, tk a hash of the text. A null text has no words."""
 
+    @tidy
     def run(batches):
         for b in small(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
@@ -60,6 +61,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def bit_correlations(fps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """|correlation| of every two bits, and each bit's share of ones, over all fingerprints; 65 x 65 sums are all that reaches the driver."""
 
+    @tidy
     def run(batches):
         total = np.zeros((BITS + 1, BITS + 1), np.int64)
         for b in batches:

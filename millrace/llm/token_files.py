@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle, shared_dir, small
+from .common import settle, shared_dir, small, tidy
 
 BLOCK_BYTES = 8 << 20
 
@@ -50,6 +50,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str, eod: int, dtype:
     repeated and speculative attempts do no harm.
     """
 
+    @tidy
     def run(batches):
         code, task = _tiktoken(ranks), TaskContext.get()
         name, n = f"tokens-{task.partitionId():07d}.bin", 0
@@ -79,6 +80,7 @@ def scan_blocks(spark: SparkSession, folder: str, eod: int, dtype: str, block_by
     cut = files.filter("length > 0").select("path", size.alias("length")).select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("at"))
     cut = cut.select("path", "at", F.least(F.lit(step), F.col("length") - F.col("at")).cast("long").alias("bytes"))
 
+    @tidy
     def run(batches):
         for b in batches:
             for path, at, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
