@@ -1,15 +1,15 @@
 """Fuzzy duplicates of records: blocking, pair scores, groups.
 
-Values are blocked by length and by trigrams. Equal values are compared once. Two texts can only reach the threshold if
-their lengths are within a factor, and then have trigrams in common; a value is compared with those that share one of
-its rarest trigrams (prefix filtering), so that frequent trigrams meet nobody. Pairs are scored in Arrow batches.
+Equal values are compared once. Two texts can only reach the threshold if their lengths are within a factor, and then
+pieces of the longer one are in the shorter one, near the same place (pigeonhole): a value is compared with those that
+have as many of its pieces as the threshold asks for, so that no similar pair is missed. Pairs are scored in Arrow batches.
 A group is what similar pairs connect, named by its least row; where similarity isn't transitive this differs from
 taking records one after the other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +19,10 @@ from .components import connected_components
 
 # Cells that say nothing.
 SKIPPED = ["unknown", "n/a", "na", "null", "none", "test", "", "nan"]
+#: Characters of a piece at most.
+LONGEST = 8
+# What str.strip takes away.
+BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def _values(df: DataFrame, field: str, key: str) -> DataFrame:
@@ -26,45 +30,60 @@ def _values(df: DataFrame, field: str, key: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), v.alias("v")).filter((F.length("v") > 2) & ~F.col("v").isin(SKIPPED))
 
 
-def _rare_grams(values: DataFrame, q: int, threshold: float) -> DataFrame:
-    """v, g: for each value those of its q-grams, the rarest first, of which one must be in every text that is similar.
+def _longest_run(n: Column, threshold: float) -> Column:
+    """Length of the pieces that a text of n characters is cut into; 0 if the threshold leaves no piece whole."""
+    return F.least(F.floor(n / (F.floor(2 * (1 - threshold) * n + 1e-9) + 1)), F.lit(LONGEST)).cast("int")
 
-    Two texts of n characters and ratio t have t n of them in common, in at most (1 - t) n + 1 blocks, and a block of m
-    characters is m - q + 1 common q-grams. The ends of short texts are padded, so that they have some.
+
+def _all_met(values: DataFrame, threshold: float) -> DataFrame:
+    """i, j: ids of all pairs of values(id, m) that can reach the threshold, and of others; the longer text first.
+
+    Texts of l and k characters (k <= l) and ratio t have at least M = t (l + k) / 2 characters in common, in the same
+    order. Of pieces of the longer one, each of its l - M other characters breaks one at most, and so does each of the
+    k - M of the shorter one. The pieces that are left are in the shorter one, moved by k - M to the right or l - M to
+    the left at most. So of any p pieces, a pair must meet in p - (l - M) - (k - M); the rarest are taken.
     """
-    ends = q - 1 if q < 5 else 0
-    pad = F.concat(F.lit("\x01" * ends), F.col("v"), F.lit("\x02" * ends))
-    size = F.length("v") + 2 * ends - q + 1
-    grams = F.transform(F.sequence(F.lit(1), size), lambda i: F.col("pad").substr(i, F.lit(q)))
-    each = values.withColumn("pad", pad).select("v", F.explode(F.array_distinct(grams)).alias("g"))
-    often = each.groupBy("g").agg(F.count("*").alias("n"))
-    common = F.floor(F.length("v") * (threshold - (q - 1) * (1 - threshold)) - (q - 1))
-    prefix = size - F.greatest(common, F.lit(1)) + 1
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("n", "g"))
-    ranked = each.join(often, "g").withColumn("r", rank)
-    return ranked.filter((F.col("r") <= prefix) & (F.col("n") > 1)).select("v", "g")
+    t, n = threshold, F.length("m")
+    whole = values.select("id", "m", n.alias("n"), _longest_run(n, t).alias("q"))
+    i, q = F.col("i"), F.col("q")
+    piece = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / q).cast("int") - 1), lambda i: F.struct(i.alias("at"), F.col("m").substr(i * q + 1, q).alias("g")))
+    cut = whole.filter("q > 0").select("id", "n", "q", F.explode(piece).alias("x")).select(F.col("id").alias("i"), F.col("n").alias("l"), "q", "x.at", "x.g")
+    longer = F.sequence(F.col("n"), F.ceil(F.col("n") * ((2 - t) / t)).cast("int"))
+    sizes = F.array_distinct(F.transform(longer, lambda x: _longest_run(x, t)))
+    grams = whole.select("id", "n", "m", F.explode(sizes).alias("q")).filter("q between 1 and n")
+    grams = grams.select("id", "n", "m", "q", F.explode(F.sequence(F.lit(1), F.col("n") - q + 1)).alias("p"))
+    grams = grams.select(F.col("id").alias("j"), F.col("n").alias("k"), "p", F.col("m").substr(F.col("p"), q).alias("h"))
+    often = grams.groupBy("h").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("often", "at")) - 1
+    rare = cut.join(often, F.col("g") == F.col("h")).select("i", "l", "q", "at", "g", "often", rank.alias("r"))
+    # Pieces beyond the most that can break, the most frequent ones, needn't be looked at; nor those of one text only.
+    most = F.floor(2 * (1 - t) * F.col("l") + 1e-9)
+    rare = rare.filter((F.col("r") <= most) & (F.col("often") > 1))
+    l, k = F.col("l"), F.col("k")
+    common = F.ceil(t * (l + k) / 2 - 1e-9)
+    near = (common <= k) & (k * 2 >= l) & ((l > k) | ((l == k) & (i < F.col("j"))))
+    moved = F.col("p") - 1 - F.col("at") * q
+    met = rare.join(grams, (F.col("g") == F.col("h")) & near & (moved <= k - common) & (moved >= common - l))
+    # Pieces are marked in 64 bits; where there are more, several share a bit.
+    bit = F.expr("shiftleft(1L, cast(r % 64 as int))")
+    seen = met.groupBy("i", "j", "l", "k").agg(F.bit_or(bit).alias("bits"))
+    out = seen.filter(F.bit_count("bits") >= (most + 1 - (l + k - 2 * common)) / F.ceil((most + 1) / 64)).select("i", "j")
+    if t > 0.5:  # then every text has a piece that is left
+        return out
+    rest = whole.filter("q = 0").select(F.col("id").alias("i"), F.col("n").alias("l"))
+    return out.unionByName(rest.join(whole.select(F.col("id").alias("j"), F.col("n").alias("k")), near).select("i", "j"))
 
 
 def similar_values(df: DataFrame, field: str, key: str, threshold: float = 0.85) -> DataFrame:
-    """a, b, score: distinct values of field with a ratio from the threshold on (a < b).
-
-    Long texts are met by 5-grams, where the threshold leaves them some in common, short ones by 3-grams; texts of
-    lengths about the limit are in both, because the threshold bounds the lengths' ratio.
-    """
-    values = settle(_values(df, field, key).select("v").distinct())
-    n, share = F.length("v"), threshold - 4 * (1 - threshold)
-    limit = int(6 / share) + 1 if share > 0.05 else 1 << 30
-    rare = _rare_grams(values.filter(n < limit * (2 - threshold) / threshold + 1), 3, threshold)
-    if limit < 1 << 30:
-        rare = rare.unionByName(_rare_grams(values.filter(n >= limit), 5, threshold))
-    rare = settle(rare)
-    p, q = rare.alias("p"), rare.alias("q")
-    lp, lq = F.length("p.v"), F.length("q.v")
-    near = (2 * F.least(lp, lq) >= threshold * (lp + lq)) & (F.least(lp, lq) * 2 >= F.greatest(lp, lq))
-    met = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.v") < F.col("q.v")) & near).select(F.col("p.v").alias("a"), F.col("q.v").alias("b")).distinct()
+    """a, b, score: distinct values of field with a ratio from the threshold on (a < b). No such pair is left out."""
+    values = _values(df, field, key).select("v").distinct().withColumn("m", F.btrim("v", F.lit(BLANKS)))
+    values = settle(values.filter("m <> ''").withColumn("id", F.monotonically_increasing_id()))
+    p, q = (values.select(F.col("id").alias(x), F.col("v").alias(f"v_{x}"), F.col("m").alias(f"m_{x}")) for x in "ij")
+    met = _all_met(values, threshold).join(p, "i").join(q, "j")
     # What the ratio leaves out is at least the edit distance; that is told without leaving the JVM.
-    far = F.expr(f"levenshtein(a, b, cast(ceil({1 - threshold!r} * (length(a) + length(b))) as int))") >= 0
-    return met.filter(far).repartition("a").withColumn("score", similarity(F.col("a"), F.col("b"), numbers=False)).filter(F.col("score") >= threshold)
+    far = F.expr(f"levenshtein(m_i, m_j, cast(ceil({1 - threshold!r} * (length(m_i) + length(m_j))) as int))") >= 0
+    met = met.filter(far).select(F.least("v_i", "v_j").alias("a"), F.greatest("v_i", "v_j").alias("b"))
+    return met.repartition("a").withColumn("score", similarity(F.col("a"), F.col("b"), numbers=False)).filter(F.col("score") >= threshold)
 
 
 def groups(df: DataFrame, field: str, key: str, threshold: float = 0.85) -> DataFrame:

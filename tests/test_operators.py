@@ -241,6 +241,30 @@ def test_fuzzy_finds_all_pairs(spark):
     assert want and len(got & want) >= 0.98 * len(want) and got <= want
 
 
+@pytest.mark.parametrize("threshold", [0.45, 0.7, 0.85, 0.95, 1.0])
+def test_fuzzy_misses_no_pair(spark, threshold):
+    """Scattered insertions and deletions, of texts of 3 to 90 characters, and blanks at the ends."""
+    rnd = random.Random(4)
+    make = lambda n: "".join(rnd.choice("abcdefghij0123456789") for _ in range(n))
+    words = ["ieqhh524ynhg5by1ah2rogubobb8ayna1b7o25r9", "tab", "tab\t", "\u00a0tab tab tab"]
+    for n in [*range(3, 41), 60, 90]:
+        w = make(n)
+        words.append(w)
+        for share in (0.05, 0.1, 0.14):
+            x = list(w)
+            for _ in range(round(share * n)):
+                del x[rnd.randrange(len(x))]
+            for _ in range(round(share * n)):
+                x.insert(rnd.randrange(len(x) + 1), make(1))
+            words.append("".join(x))
+    words.append("ieqh52l4yng5bvy1a2roygubbb8jayn1b7o2s5r9")
+    d = spark.createDataFrame(list(enumerate(words)), "id long, name string")
+    got = [(r.a, r.b) for r in fuzzy.similar_values(d, "name", "id", threshold).collect()]
+    vals = sorted({w.strip(" ") for w in words if len(w.strip(" ")) > 2})
+    want = {(a, b) for i, a in enumerate(vals) for b in vals[i + 1 :] if similarity.ratio(a, b) >= threshold and min(len(a.strip()), len(b.strip())) * 2 >= max(len(a.strip()), len(b.strip()))}
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
 def test_fuzzy_groups_and_scores(spark):
     d = spark.createDataFrame([(1, "John Smithson", "j@x.com", None), (2, "Jon Smithson", "j@x.com", "5"), (3, "JOHN SMITHSON ", None, None), (4, "Mary Major", "m@x.com", "5")], "id long, name string, email string, age string")
     assert {(r.id, r.group_id) for r in fuzzy.groups(d, "name", "id").collect()} == {(1, 1), (2, 1), (3, 1)}
