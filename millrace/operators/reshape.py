@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..plans.result import HardStop
 
 MOST_CELLS = 2_000_000
+#: Headers of a pivot that are fetched, at most; beyond, it is refused.
+MOST_HEADERS = MOST_CELLS // 100
 # Endings of the names of period columns.
 MONTH_YEAR = r"(?i)(.*?)[_\s]*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[_\s]*(\d{2,4})$"
 QUARTER = r"(?i)(.*?)[_\s]*(q[1-4])[_\s]*(\d{2,4})$"
@@ -20,10 +22,13 @@ AGGREGATES = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg,
 
 
 def pivot_headers(df: DataFrame, columns: list[str]) -> list[str]:
-    """The sorted distinct headers. They become columns, so there are few, or the pivot is refused."""
+    """The sorted distinct headers. They become columns, so there are few: over MOST_HEADERS are refused, never cut."""
     head = F.concat_ws("_", *[F.col(c).cast("string") for c in columns])
     keyed = df.filter(" and ".join(f"`{c}` is not null" for c in columns))
-    return sorted(r[0] for r in keyed.select(head).distinct().limit(MOST_CELLS // 100).collect())
+    found = keyed.select(head).distinct().limit(MOST_HEADERS + 1).collect()
+    if len(found) > MOST_HEADERS:
+        raise HardStop(f"over {MOST_HEADERS} headers")
+    return sorted(r[0] for r in found)
 
 
 def pivot(df: DataFrame, index: list[str], columns: list[str], values: list[str], how: str = "sum", fill=None) -> DataFrame:

@@ -227,6 +227,15 @@ def test_similarity():
     assert similarity.kind_of("HomePhone") == "phone" and similarity.kind_of("e_mail") == "email"
 
 
+def test_pivot_refuses_too_many_headers(spark):
+    d = spark.range(reshape.MOST_HEADERS + 1).select((F.col("id") % 50).alias("i"), F.col("id").alias("k"), F.lit(1.0).alias("v"))
+    with pytest.raises(HardStop):
+        reshape.pivot_headers(d, ["k"])
+    with pytest.raises(HardStop):
+        reshape.pivot(d, ["i"], ["k"], ["v"])
+    assert len(reshape.pivot_headers(d.filter("k > 0"), ["k"])) == reshape.MOST_HEADERS
+
+
 def test_fuzzy_finds_all_pairs(spark):
     rnd = random.Random(9)
     words = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(5, 50))) for _ in range(60)]
