@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small, tidy
+from .common import free_name, settle, small, tidy
 
 #: Documents that models are fitted on: labelled ones (of which HELD are for calibration), and unlabelled ones.
 LABELLED, POOL, HELD = 4000, 2000, 0.3
+#: Labelled documents of each class that there must be to calibrate on, and as many to learn from.
+LEAST = 3
 ROUNDS, CONFIDENT = 3, 0.98
 #: A document is rejected below this score, or below a lower one under which no more than CLEAN of the good ones fall.
 CUT, CLEAN = 0.5, 0.002
@@ -107,14 +109,14 @@ class Model:
         return cls(mean, scale, w[size:-1].copy(), w[:size].copy(), float(w[-1]))
 
 
-def _platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> np.ndarray:
     """Newton's method for y ~ sigmoid(z @ a + b), a little shrunk; z: one column a view."""
     x = np.column_stack([z, np.ones(len(y))])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = _sigmoid(x @ w)
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
+        h = (x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -136,11 +138,24 @@ class Classifier:
         return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(np.column_stack([*z, np.ones(len(z[0]))]) @ self.both)
 
 
-def cotrain(text: View, meta: View, y: np.ndarray, held: np.ndarray) -> Classifier | None:
-    """y: 1 good, 0 bad, -1 unlabelled. None where there are too few labels of either kind to learn from."""
+def held_out(y: np.ndarray, rnd: np.ndarray) -> np.ndarray:
+    """The rows of each class with the smallest rnd: a share HELD, LEAST different ones at least. Equal rnd go together."""
+    held = np.zeros(len(y), bool)
+    for k in (0, 1):
+        order = np.unique(rnd[y == k])
+        if len(order):
+            held |= (y == k) & (rnd <= order[min(max(LEAST, round(HELD * len(order))), len(order)) - 1])
+    return held
+
+
+def cotrain(text: View, meta: View, y: np.ndarray, held: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> Classifier | None:
+    """y: 1 good, 0 bad, -1 unlabelled. None where there are too few labels of either kind to learn from.
+
+    weight: how many documents a bad and a good label stand for; the last calibration is corrected by it.
+    """
     known, pool = np.flatnonzero((y >= 0) & ~held), np.flatnonzero(y < 0)
     test = np.flatnonzero((y >= 0) & held)
-    if min(np.bincount(y[known], minlength=2).min(), np.bincount(y[test], minlength=2).min()) < 3:
+    if min(np.bincount(y[known], minlength=2).min(), np.bincount(y[test], minlength=2).min()) < LEAST:
         return None
     views, sizes = (text, meta), (1 << WORD_BITS, 1 << META_BITS)
     learnt = [(known, y[known].astype(float)) for _ in views]
@@ -158,9 +173,11 @@ def cotrain(text: View, meta: View, y: np.ndarray, held: np.ndarray) -> Classifi
             learnt[i] = (np.concatenate([known, [r for r, _ in new]]).astype(np.int64), np.concatenate([y[known], [v for _, v in new]]).astype(float))
         models = [fit(0) if given[1] else models[0], fit(1) if given[0] else models[1]]
     z = [m.margin(v.take(test)) for m, v in zip(models, views, strict=True)]
-    platt = tuple(_platt(a[:, None], y[test]) for a in z)
+    stands = np.asarray(weight, float)[y[test]]
+    stands = stands / stands.mean()
+    platt = tuple(_platt(a[:, None], y[test], stands) for a in z)
     logits = np.column_stack([a * p[0] + p[1] for a, p in zip(z, platt, strict=True)])
-    both = _platt(logits, y[test])
+    both = _platt(logits, y[test], stands)
     good = _sigmoid(np.column_stack([logits, np.ones(len(test))]) @ both)[y[test] == 1]
     return Classifier(models[0], models[1], platt, both, min(CUT, float(np.quantile(good, CLEAN))), tuple(exchanged))
 
@@ -176,7 +193,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     """docs(doc_id, text, lang, source, n_chars), labels(doc_id, quality 0/1; others and nulls are ignored; the least of several)."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     h = F.xxhash64(F.lit("sample"), "doc_id")
-    ids = known.withColumn("h", h).orderBy("h").limit(LABELLED)
+    there = settle(known.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    n = {0: 0, 1: 0} | {r["y"]: r["n"] for r in there.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if min(n.values()) < 2 * LEAST:
+        return None
+    take = {k: min(n[k], max(LABELLED // 2, LABELLED - n[1 - k])) for k in n}  # what one class leaves is the other's
+    ids, other = (there.filter(F.col("y") == k).withColumn("h", h).orderBy("h").limit(take[k]) for k in (0, 1))
+    ids = ids.unionByName(other)
     free = docs.select("doc_id").filter("doc_id is not null").join(known, "doc_id", "left_anti").withColumn("h", h).orderBy("h").limit(POOL)
     chosen = ids.select("doc_id", "y").unionByName(free.select("doc_id", F.lit(-1).alias("y")))  # LABELLED + POOL rows at most
 
@@ -193,14 +216,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     rnd = (got.doc_id.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(float) / (1 << 24)
     text, meta, y = View.of(got.dense.tolist(), got.words.tolist()), View.of(np.zeros((len(got), 0)), got.meta.tolist()), got.y.to_numpy()
     del got
-    return cotrain(text, meta, y, rnd < HELD)
+    return cotrain(text, meta, y, held_out(y, rnd), (n[0] / take[0], n[1] / take[1]))
 
 
 def scores(docs: DataFrame, model: Classifier | None, keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (doc_id) with text_score, meta_score, score (of being good) and kept, for every row.
 
     A null or empty text is scored by its shape, like any other; a null source, language or length is a value of its
-    own. Without a model (too few labels) scores are null and every row is kept. Columns of docs that have one of these
+    own. Without a model (under 6 labelled documents of a class in docs) scores are null and every row is kept. Columns of docs that have one of these
     names, whatever the case, give way.
     """
     names = ["text_score", "meta_score", "score", "kept"]

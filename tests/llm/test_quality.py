@@ -54,3 +54,20 @@ def test_edges(spark):
     none = labels.limit(0)
     assert x.train(every, none) is None and x.keep_good(every, none).count() == every.count()
     assert x.train(spark.createDataFrame([], SCHEMA), labels) is None
+
+
+def test_few_bad_labels_are_used(spark, monkeypatch):
+    """Rare bad labels, and labels of documents that aren't there: the sample is by class, and of documents there are."""
+    monkeypatch.setattr(x, "LABELLED", 60)
+    bad = "!!! $$$ ||| " * 30
+    d = docs(spark, [(i, bad if i % 100 == 0 else f"a plain text of some words about {i} things") for i in range(1200)])
+    labels = spark.range(-50_000, 1000).selectExpr("id as doc_id", "cast(id % 100 <> 0 as int) as quality", "0 as toxic")
+    m = x.train(d, labels)
+    got = {r.doc_id: r.kept for r in x.scores(d, m).collect()}
+    assert m is not None and not got[1000] and not got[1100] and all(got[i] for i in range(1001, 1100))
+
+
+def test_held_out_has_both_classes():
+    y, rnd = np.array([0] * 6 + [1] * 100), np.linspace(1, 0, 106)
+    held = x.held_out(y, rnd)
+    assert held[y == 0].sum() == 3 and held[y == 1].sum() == 30
