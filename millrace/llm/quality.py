@@ -5,8 +5,10 @@ length. Each view has a logistic model. Over some rounds each labels the unlabel
 the other one learns from these. Both are then calibrated on labelled documents that neither has seen, a logistic
 combination of the calibrated views scores every document, and documents under the cut are rejected.
 
-Fitting takes place on the driver, on bounded samples (LABELLED and POOL below: the documents whose hashed ids are the
-smallest). Scoring is one pass over all documents and whole texts.
+The first models are fitted on the driver, on a bounded sample of labelled documents (LABELLED below: of each class the
+documents whose hashed ids are the smallest). In each round pseudo-labels come from all unlabelled documents: their
+features are written once, and sums of gradients are made where they are, STEPS times a round. Scoring is one pass over
+all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import free_name, settle, small, tidy
 
-#: Documents that models are fitted on: labelled ones (of which HELD are for calibration), and unlabelled ones.
-LABELLED, POOL, HELD = 4000, 2000, 0.3
+#: Labelled documents that models are fitted on at most, and the share of them that is for calibration.
+LABELLED, HELD = 6000, 0.3
+#: Passes over the unlabelled documents in each round, and parts that sums are brought to before the driver adds them.
+STEPS, PARTS = 8, 8
 #: Labelled documents of each class that there must be to calibrate on, and as many to learn from.
 LEAST = 3
 ROUNDS, CONFIDENT = 3, 0.98
@@ -91,6 +95,18 @@ class Model:
         z = (v.dense - self.mean) / self.scale @ self.dense + self.bias
         return z + np.bincount(v.row, self.sparse[v.flat] * v.weight, minlength=len(v.dense))
 
+    def gradient(self, v: View, y: np.ndarray) -> np.ndarray:
+        """Of the summed loss: by sparse and dense weights, and the bias."""
+        x = np.clip((v.dense - self.mean) / self.scale, -8, 8)
+        g = _sigmoid(x @ self.dense + self.bias + np.bincount(v.row, self.sparse[v.flat] * v.weight, minlength=len(x))) - y
+        return np.concatenate([np.bincount(v.flat, g[v.row] * v.weight, minlength=len(self.sparse)), x.T @ g, [g.sum()]])
+
+    def moved(self, w: np.ndarray) -> Model:
+        return Model(self.mean, self.scale, w[len(self.sparse) : -1].copy(), w[: len(self.sparse)].copy(), float(w[-1]))
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.sparse, self.dense, [self.bias]])
+
     @classmethod
     def fit(cls, v: View, y: np.ndarray, size: int, l2: float = 1e-3, steps: int = 120) -> Model:
         """Logistic regression by Adam over all rows at once; deterministic."""
@@ -148,10 +164,11 @@ def held_out(y: np.ndarray, rnd: np.ndarray) -> np.ndarray:
     return held
 
 
-def cotrain(text: View, meta: View, y: np.ndarray, held: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> Classifier | None:
+def cotrain(text: View, meta: View, y: np.ndarray, held: np.ndarray, weight: tuple[float, float] = (1.0, 1.0), sums=None) -> Classifier | None:
     """y: 1 good, 0 bad, -1 unlabelled. None where there are too few labels of either kind to learn from.
 
     weight: how many documents a bad and a good label stand for; the last calibration is corrected by it.
+    sums: as of unlabelled_sums(), for unlabelled documents that aren't in the views.
     """
     known, pool = np.flatnonzero((y >= 0) & ~held), np.flatnonzero(y < 0)
     test = np.flatnonzero((y >= 0) & held)
@@ -172,6 +189,11 @@ def cotrain(text: View, meta: View, y: np.ndarray, held: np.ndarray, weight: tup
             exchanged[1 - i] = len(new)
             learnt[i] = (np.concatenate([known, [r for r, _ in new]]).astype(np.int64), np.concatenate([y[known], [v for _, v in new]]).astype(float))
         models = [fit(0) if given[1] else models[0], fit(1) if given[0] else models[1]]
+    for _ in range(ROUNDS if sums else 0):
+        platt = [_platt(m.margin(v.take(test))[:, None], y[test]) for m, v in zip(models, views, strict=True)]
+        models, exchanged = _taught(models, platt, [v.take(known) for v in views], y[known], sums)
+        if not any(exchanged):
+            break
     z = [m.margin(v.take(test)) for m, v in zip(models, views, strict=True)]
     stands = np.asarray(weight, float)[y[test]]
     stands = stands / stands.mean()
@@ -182,6 +204,80 @@ def cotrain(text: View, meta: View, y: np.ndarray, held: np.ndarray, weight: tup
     return Classifier(models[0], models[1], platt, both, min(CUT, float(np.quantile(good, CLEAN))), tuple(exchanged))
 
 
+def _taught(models: list[Model], platt: list[np.ndarray], views: list[View], y: np.ndarray, sums) -> tuple[list[Model], list[int]]:
+    """The models after a round, and how many pseudo-labels each view gave.
+
+    Adam from the last models on, on labelled documents and all that the other view is sure of; these have no more
+    weight in sum than the labelled ones.
+    """
+    teachers, models = list(models), list(models)
+    w = [m.weights() for m in models]
+    m1, m2, l2 = [0 * x for x in w], [0 * x for x in w], 1e-3
+    for t in range(1, STEPS + 1):
+        grads, counts = sums(teachers, platt, models)
+        if not any(counts):
+            break
+        for i in (0, 1):
+            if not counts[1 - i]:
+                continue
+            share = min(1.0, len(y) / counts[1 - i])
+            g = (models[i].gradient(views[i], y) + share * grads[i]) / (len(y) + share * counts[1 - i])
+            g[:-1] += l2 * w[i][:-1] / 10
+            m1[i], m2[i] = 0.9 * m1[i] + 0.1 * g, 0.99 * m2[i] + 0.01 * g**2
+            w[i] = w[i] - 0.05 * (m1[i] / (1 - 0.9**t)) / (np.sqrt(m2[i] / (1 - 0.99**t)) + 1e-6)
+            models[i] = models[i].moved(w[i])
+    return models, counts
+
+
+def unlabelled_sums(docs: DataFrame, known: DataFrame):
+    """sums(teachers, platt, models) for cotrain(): over every row of docs whose doc_id isn't in known, the summed gradient of each model by the
+    labels of the other teacher where it is sure, and how many rows each teacher is sure of."""
+
+    @tidy
+    def features(batches):
+        for b in small(batches):
+            dense, words, meta = _rows(b)
+            out = [np.asarray(dense, np.float32), words, np.asarray(meta, np.uint16)]
+            made = [pa.array([np.asarray(r, k).tobytes() for r in c], pa.binary()) for c, k in zip(out, (np.float32, np.uint16, np.uint16), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], names=["doc_id", "dense", "words", "meta"])
+
+    # Features go through the join, which are a fraction of the texts; by a shuffle at every size.
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(features, "doc_id long, dense binary, words binary, meta binary")
+    rows = settle(rows.join(known.select("doc_id").hint("merge"), "doc_id", "left_anti").drop("doc_id"))
+    sizes = ((1 << WORD_BITS) + DENSE + 1, (1 << META_BITS) + 1)
+
+    def add(batches):
+        total, n = [np.zeros(k) for k in sizes], np.zeros(2, np.int64)
+        for b in batches:
+            for i, c in enumerate(("text", "meta")):
+                for v in b.column(c).to_pylist():
+                    total[i] += np.frombuffer(v)
+            n += [sum(b.column(c).to_pylist()) for c in ("by_text", "by_meta")]
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in total] + [pa.array([int(v)], pa.int64()) for v in n], names=["text", "meta", "by_text", "by_meta"])
+
+    def sums(teachers, platt, models):
+        @tidy
+        def step(batches):
+            total, n = [np.zeros(k) for k in sizes], np.zeros(2, np.int64)
+            for b in small(batches, 1024):
+                cells = {c: b.column(c).to_pylist() for c in ("dense", "words", "meta")}
+                ints = lambda c: [np.frombuffer(v, np.uint16) for v in cells[c]]
+                views = View.of(np.frombuffer(b"".join(cells["dense"]), np.float32).reshape(-1, DENSE), ints("words")), View.of(np.zeros((b.num_rows, 0)), ints("meta"))
+                p = [_sigmoid(m.margin(v) * a[0] + a[1]) for m, v, a in zip(teachers, views, platt, strict=True)]
+                for i in (0, 1):
+                    sure = np.flatnonzero(np.maximum(p[1 - i], 1 - p[1 - i]) >= CONFIDENT)
+                    n[1 - i] += len(sure)
+                    if len(sure):
+                        total[i] += models[i].gradient(views[i].take(sure), (p[1 - i][sure] >= 0.5).astype(float))
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in total] + [pa.array([int(v)], pa.int64()) for v in n], names=["text", "meta", "by_text", "by_meta"])
+
+        schema = "text binary, meta binary, by_text long, by_meta long"
+        got = rows.mapInArrow(step, schema).repartition(PARTS).mapInArrow(add, schema).collect()
+        return [sum((np.frombuffer(r[c]) for r in got), np.zeros(k)) for c, k in zip(("text", "meta"), sizes, strict=True)], [sum(r[c] for r in got) for c in ("by_text", "by_meta")]
+
+    return sums
+
+
 def _rows(b: pa.RecordBatch):
     texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
     dense, words = zip(*map(text_features, texts), strict=True) if texts else ((), ())
@@ -199,9 +295,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
         return None
     take = {k: min(n[k], max(LABELLED // 2, LABELLED - n[1 - k])) for k in n}  # what one class leaves is the other's
     ids, other = (there.filter(F.col("y") == k).withColumn("h", h).orderBy("h").limit(take[k]) for k in (0, 1))
-    ids = ids.unionByName(other)
-    free = docs.select("doc_id").filter("doc_id is not null").join(known, "doc_id", "left_anti").withColumn("h", h).orderBy("h").limit(POOL)
-    chosen = ids.select("doc_id", "y").unionByName(free.select("doc_id", F.lit(-1).alias("y")))  # LABELLED + POOL rows at most
+    ids = ids.unionByName(other).select("doc_id", "y")  # LABELLED rows at most
 
     @tidy
     def run(batches):
@@ -209,14 +303,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
             dense, words, meta = _rows(b)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(map(list, dense), pa.list_(pa.float64())), pa.array(words, pa.list_(pa.uint32())).cast(pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32()))], names=["doc_id", "y", "dense", "words", "meta"])
 
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(ids), "doc_id")
     got = rows.mapInArrow(run, "doc_id long, y int, dense array<double>, words array<int>, meta array<int>").toPandas().sort_values("doc_id", ignore_index=True)
     if got.empty:
         return None
     rnd = (got.doc_id.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(float) / (1 << 24)
     text, meta, y = View.of(got.dense.tolist(), got.words.tolist()), View.of(np.zeros((len(got), 0)), got.meta.tolist()), got.y.to_numpy()
     del got
-    return cotrain(text, meta, y, held_out(y, rnd), (n[0] / take[0], n[1] / take[1]))
+    return cotrain(text, meta, y, held_out(y, rnd), (n[0] / take[0], n[1] / take[1]), unlabelled_sums(docs, known))
 
 
 def scores(docs: DataFrame, model: Classifier | None, keep: list[str] | None = None) -> DataFrame:

@@ -71,3 +71,20 @@ def test_held_out_has_both_classes():
     y, rnd = np.array([0] * 6 + [1] * 100), np.linspace(1, 0, 106)
     held = x.held_out(y, rnd)
     assert held[y == 0].sum() == 3 and held[y == 1].sum() == 30
+
+
+def test_every_unlabelled_document_teaches(spark):
+    """The sums of a round are over all unlabelled documents, however many; those of one partition or of several are the same."""
+    d = docs(spark, [(i, f"some words about {i} things", f"s{i % 7}") for i in range(9000)])
+    sure = lambda size, dense: x.Model(np.zeros(dense), np.ones(dense), np.zeros(dense), np.zeros(size), 9.0)
+    models = [sure(1 << x.WORD_BITS, x.DENSE), sure(1 << x.META_BITS, 0)]
+    platt = [np.array([1.0, 0.0])] * 2
+    known = spark.range(9000, 9010).withColumnRenamed("id", "doc_id")
+    every = d.unionByName(docs(spark, [(9005, "labelled")]))
+    grads, counts = x.unlabelled_sums(every, known)(models, platt, models)
+    again, _ = x.unlabelled_sums(every.repartition(7), known)(models, platt, models)
+    assert counts == [9000, 9000] and all(np.allclose(a, b) for a, b in zip(grads, again, strict=True))
+    loss = 9000 * (1 / (1 + np.exp(-9.0)) - 1)
+    assert np.isclose(grads[0][-1], loss) and np.isclose(grads[1][-1], loss)
+    source = x.meta_features("s3", "en", 28)[0]
+    assert grads[1][source] < 0
