@@ -13,6 +13,7 @@ streamed.
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -198,18 +199,30 @@ class Scanner:
         for i in np.flatnonzero(stops - starts >= self.shortest):
             self.stream(number[starts[i] : stops[i]].tolist(), int(starts[i]), places, matches)
         base = {self.labels[k] for _, k in places}
-        spans, taken = [], []
-        for cover, n, first, stop, k in sorted(self.chains(matches), key=lambda c: (-c[0] * c[1], -c[1], c[2], c[4])):
-            # Of chains over the same words of a text, the one that covers most decides.
-            if all(min(stop, b) - max(first, a) <= (stop - first) / 2 for a, b in taken):
-                taken.append((first, stop))
-                spans.append((first, stop, self.labels[k], cover))
+        spans = [(first, stop, self.labels[k], cover) for cover, _, first, stop, k in decided(self.chains(matches))]
         at = [i for i, _ in places]
         labels = sorted(base | {s[2] for s in spans})
         score = max([1.0] * bool(places) + [s[3] for s in spans], default=0.0)
         return {"n_words": len(told), "n_base": len(places), "first_word": min(at, default=None), "last_word": max(at, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(labels), "score": score, "spans": sorted(spans)}
 
 
+def decided(chains: list[tuple[float, int, int, int, int]]) -> list[tuple[float, int, int, int, int]]:
+    """Of chains over the same words of a text, the one that covers most; another one may share half of its words with it at most.
+
+    Spans that are taken are kept in order, and no longer one reaches further than the longest of them, so a chain is
+    held against its neighbours only.
+    """
+    out, at, longest = [], [], 0
+    for c in sorted(chains, key=lambda c: (-c[0] * c[1], -c[1], c[2], c[4])):
+        first, stop = c[2], c[3]
+        near = at[bisect_left(at, (first - longest,)) : bisect_right(at, (stop,))]
+        if all(min(stop, b) - max(first, a) <= (stop - first) / 2 for a, b in near):
+            at.insert(bisect_left(at, (first, stop)), (first, stop))
+            longest = max(longest, stop - first)
+            out.append(c)
+    return out
+
+
 @functools.lru_cache(maxsize=4)
 def scanner(base=BASE, templates=TEMPLATES) -> Scanner:
     """One for each worker process."""
@@ -225,7 +238,10 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
 
     A null text counts as empty: no words, no labels, score 0. Whole texts are scanned; every place of a base phrase
     counts, overlapping ones too. score is 1 with a base phrase, else the largest cover of a span. spans are (first
-    word, word after the last, label, cover). An empty table gives no rows.
+    word, word after the last, label, cover); of two over the same words the one that covers more words of more of its
+    template stays, of ties the one that begins first, then the template that is named first. Repeated rows (and
+    doc_ids, null ones included) each get their own result. Other columns of docs, whatever their names, play no part.
+    Work grows in proportion to a text's length. An empty table gives no rows.
     """
 
     @tidy

@@ -76,3 +76,75 @@ def test_spans():
     assert s.scan(" ".join(w[:12]).encode())["labels"] == ""
     assert s.scan(b"under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License")["labels"] == "gpl-2"
     assert s.scan(b"This work is licensed under the GNU Lesser General Public License, version 3")["labels"] == "lgpl-3"
+
+
+def brute_spans(text, base, templates):
+    """Spans by their definition: naive matches, every chain by recursion, and every pair of spans held against each other."""
+    told = brute_words(text)
+    all_of = [(label, brute_words(t)) for label, t in (*base, *templates)]
+    runs = {tuple(t[i:j]) for _, t in all_of for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    stats = [max((n for n in range(e + 1) if not n or tuple(told[e - n : e]) in runs), default=0) for e in range(len(told) + 1)]
+    ends = [(e, n) for e, n in enumerate(stats) if n >= x.MATCH and (e == len(told) or stats[e + 1] <= n)]
+    found = []
+    for k, (label, t) in enumerate(all_of):
+        if k < len(base):
+            continue
+        own = sorted((e, at, n) for e, n in ends for at in range(n, len(t) + 1) if told[e - n : e] == t[at - n : at])
+
+        def best(i):
+            e, at, n = own[i]
+            top = (n, e - n)
+            for j in range(i):
+                f, u, _ = own[j]
+                new = min(n, e - f, at - u)
+                if new > 0 and e - new - f <= x.GAP and at - new - u <= x.GAP and memo[j][0] + new > top[0]:
+                    top = (memo[j][0] + new, memo[j][1])
+            return top
+
+        memo = []
+        for i in range(len(own)):
+            memo.append(best(i))
+            if memo[i][0] >= x.COVER * len(t):
+                found.append((memo[i][0] / len(t), memo[i][0], memo[i][1], own[i][0], k))
+    taken = []
+    for c in sorted(found, key=lambda c: (-c[0] * c[1], -c[1], c[2], c[4])):
+        if all(min(c[3], d[3]) - max(c[2], d[2]) <= (c[3] - c[2]) / 2 for d in taken):
+            taken.append(c)
+    return sorted((a, b, all_of[k][0], cover) for cover, _, a, b, k in taken)
+
+
+def test_spans_labels_and_score_equal_brute_force():
+    rnd = random.Random(7)
+    letters = "abcdefgh"
+    base = (("p", "a b c"), ("q", "c d"))
+    for _ in range(60):
+        templates = tuple((f"t{i % 5}", " ".join(rnd.choices(letters, k=rnd.randrange(4, 12)))) for i in range(6))
+        pieces = []
+        for _ in range(8):
+            t = rnd.choice(templates)[1].split()
+            for _ in range(rnd.randrange(3)):
+                t[rnd.randrange(len(t)) : rnd.randrange(len(t))] = rnd.choices("abxyz", k=rnd.randrange(3))
+            pieces += t + rnd.choices("xyz", k=rnd.randrange(4))
+        text = " ".join(pieces)
+        got = x.Scanner(base, templates).scan(text.encode())
+        want = brute_spans(text, base, templates)
+        assert got["spans"] == want
+        w = text.split()
+        there = {label for label, p in base if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
+        assert got["labels"] == ",".join(sorted(there | {s[2] for s in want}))
+        assert got["score"] == (1.0 if there else max((s[3] for s in want), default=0.0))
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        got = x.scanner().scan(b"This work is licensed under CC BY 4.0. " * n)
+        took.append(time.perf_counter() - began)
+        assert len(got["spans"]) == n and got["labels"] == "cc-by"
+    assert took[1] < 10 * took[0] + 0.5
+    d = docs(spark, [(1, "under the mit license " * 60_000), (1, "under the mit license " * 60_000), (None, "cc by nc")])
+    got = sorted((r.doc_id or 0, r.n_words, r.n_base) for r in x.scan(d).collect())
+    assert got == [(0, 3, 1), (1, 240_000, 60_000), (1, 240_000, 60_000)]
