@@ -12,7 +12,8 @@ SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def canon(t):
-    return re.sub(SPACES, " ", unicodedata.normalize("NFC", t or "").upper()).strip(" ")
+    folded = unicodedata.normalize("NFC", unicodedata.normalize("NFD", t or "").casefold())
+    return re.sub(SPACES, " ", folded).strip(" ")
 
 
 def fp(t):
@@ -21,7 +22,8 @@ def fp(t):
 
 
 def brute(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0], r[1]))
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
     out = []
     for k, (i, t) in enumerate(rows):
         nxt, h = rows[(k + 1) % len(rows)][1], len(t) // 2
@@ -49,6 +51,30 @@ def test_edges(spark):
     assert by[8] == by[9] and by[12] == by[13] and by[5] == by[6] != by[7]
 
 
+CASES = ["\u0390", "\u03aa\u0301", "\u03b0", "\u03ab\u0301", "\u0131", "I", "i", "\u0130", "i\u0307", "stra\u00dfe", "STRASSE", "\ufb01", "FI", "a\u0345b", "A\u0399B", "\u212b", "\u00e5", "\u03a3\u03c2", "\u03c3\u03c3", "\u1e9e", "ss", "\ud55c", "\u1112\u1161\u11ab", "a\u0323\u0307", "a\u0307\u0323"]
+
+
+def test_equal_up_to_case_and_normal_form(spark):
+    """Equal fingerprints exactly where canonical caseless matching, by another library, says so."""
+    by = {r.doc_id: r.fingerprint for r in x.fingerprints(docs(spark, list(enumerate(CASES)))).collect()}
+    for i, a in enumerate(CASES):
+        for j, b in enumerate(CASES):
+            assert (by[i] == by[j]) == (canon(a) == canon(b)), (a, b)
+    assert by[0] == by[1] and by[2] == by[3] and by[4] != by[5] == by[6]
+
+
+def test_blocks(spark, monkeypatch):
+    """Many small blocks, ids that a double can't hold, ties, nulls, and rows that are repeated often."""
+    monkeypatch.setattr(x, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(x, "MANY", 5)
+    monkeypatch.setattr(x, "SPREAD", 7)
+    rows = [(2**62 + i, f"text {i} " * (i % 9)) for i in range(90)] + [(7, f"tie {i}") for i in range(40)] + [(None, f"none {i}") for i in range(30)]
+    rows += [(None, None)] * 40 + [(8, "again")] * 61 + [(9, "again")] * 3 + [(-(2**63), "least")]
+    d = docs(spark, rows).repartition(6)
+    assert len(x._starts(d.select("doc_id", F.xxhash64("text").alias("h")).distinct().withColumn("bytes", F.lit(70)), 300)) > 20
+    assert got(x.fingerprints(d)) == brute(rows)
+
+
 def test_lone_and_empty(spark):
     assert got(x.fingerprints(docs(spark, [(3, "one two")]))) == brute([(3, "one two")])
     assert x.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
