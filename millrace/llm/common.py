@@ -47,6 +47,11 @@ def tidy(run):
     return wrapped
 
 
+def columns(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """The columns of df (or those of these names), whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)]
+
+
 def free_name(df: DataFrame, *stems: str) -> list[str]:
     """Names like the stems that clash with no column of df, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -70,7 +75,7 @@ def keep_winners(docs: DataFrame, key: Column, winners: DataFrame) -> DataFrame:
     met = left.join(w.alias("r"), F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) & F.col("l.doc_id").eqNullSafe(F.col(f"r.{wi}")))
     met = met.select("l.*", f"r.{same}")
     if not w.filter(F.col(same) > 1).limit(1).count():
-        return met.select(*docs.columns)
+        return met.select(*columns(docs))
     again = met.filter(F.col(same) > 1)
     one = again.withColumn(rn, F.row_number().over(Window.partitionBy("doc_id", k).orderBy("text"))).filter(F.col(rn) == 1)
-    return met.filter(F.col(same) == 1).select(*docs.columns).unionByName(one.select(*docs.columns))
+    return met.filter(F.col(same) == 1).select(*columns(docs)).unionByName(one.select(*columns(docs)))

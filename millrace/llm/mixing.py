@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, settle
+from .common import columns, free_name, settle
 
 MOST = 2
 #: Newton steps at most (each is one aggregation), and the relative error of a source's tokens that ends them.
@@ -214,6 +214,6 @@ def mix(docs: DataFrame, **kw) -> DataFrame:
     """The mixed corpus: every row of docs as often as mixture() says, with its columns. Texts aren't shuffled."""
     _, par = plan(docs, **kw)
     box, = free_name(docs, "box__")
-    at = docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"), F.struct(*[F.col(c) for c in docs.columns]).alias(box))
+    at = docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"), F.struct(*columns(docs)).alias(box))
     full = _rated(_named(at, par, PARAMETERS))
     return full.select(box, F.explode(F.array_repeat(F.lit(0), _copies()))).select(f"{box}.*")

@@ -24,8 +24,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import small, tidy
+from .common import columns, small, tidy
 
 SPACE, REPLACEMENT = "▁", "�"
 #: Words remembered by a worker in one generation, and token pairs.
@@ -229,11 +230,14 @@ def _texts(col) -> list[str]:
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs and the column ids (array of int): the whole text's tokens, none for an empty or null text.
 
-    A column of docs that has the name of ids, whatever the case, is replaced. Texts without spaces are one word.
+    A column of docs that has the name of ids, whatever the case, is replaced; others keep their names, whatever these
+    are. Repeated rows are encoded alike; an empty table gives no rows. Texts without spaces are one word, and work grows
+    in proportion to its length.
     """
     v = Vocabulary.load(model)
     keep = [c for c in docs.columns if c.lower() != ids.lower()]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{ids}` array<int>"
+    given = docs.select(*columns(docs, keep))
+    schema = T.StructType([*given.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     @tidy
     def run(batches):
@@ -244,11 +248,15 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
             own = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(told), np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, own], names=[*b.schema.names, ids])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of docs; a null text counts as empty."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of docs.
+
+    A null text counts as empty (no tokens, the digests of nothing); repeated rows and null doc_ids each get a row; an
+    empty table gives none. Other columns of docs play no part.
+    """
     v = Vocabulary.load(model)
 
     @tidy
