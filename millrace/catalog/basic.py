@@ -61,11 +61,10 @@ def prj_6_clean_names(t):
     return d.toDF(*col.clean_names(["", "Unnamed: 1", "a\nb", "a_b"]))
 
 
-@query("""select p_partkey, split_part(p_name, ' ', 1) as w1, case when instr(p_name, ' ') > 0 then substr(p_name, instr(p_name, ' ') + 1) end as w2,
-    cast(null as varchar) as w3 from (select p_partkey, split_part(p_name, ' ', 1) || case when instr(p_name, ' ') > 0 then ' ' || split_part(p_name, ' ', 2) else '' end as p_name from part)""")
+@query("select p_partkey, l[1] as w1, l[2] as w2, case when len(l) > 2 then array_to_string(l[3:], ' ') end as w3 from (select p_partkey, string_split(p_name || ' of ' || p_type, ' ') as l from part)")
 def prj_7_split_column(t):
-    two = F.concat_ws(" ", F.slice(F.split("p_name", " "), 1, 2))
-    return col.split_column(t("part").select("p_partkey", two.alias("p_name")), "p_name", " ", ["w1", "w2", "w3"]).drop("p_name")
+    d = t("part").select("p_partkey", F.concat_ws(" of ", "p_name", "p_type").alias("p_name"))
+    return col.split_column(d, "p_name", " ", ["w1", "w2", "w3"]).drop("p_name")
 
 
 @query("select p_partkey, p_brand || ' / ' || p_type as both from part")
@@ -153,10 +152,9 @@ def flt_7_values_then_iqr(t):
     return rw.values_then_iqr(t("events"), "event_type", ["click", "view"], "value").select("event_id", "value")
 
 
-@query("select l_orderkey, l_linenumber, l_quantity, l_discount from (select *, count(*) over (partition by l_quantity, l_discount) as n from lineitem where l_orderkey % 50 = 1) where n > 1")
+@query("select l_orderkey, l_linenumber, l_quantity, l_extendedprice from (select *, count(*) over (partition by l_quantity, l_extendedprice) as n from lineitem) where n > 1")
 def flt_9_duplicate_rows(t):
-    d = li_dups(t).filter("l_orderkey % 50 = 1")
-    return rw.duplicate_rows(d, ["l_quantity", "l_discount"]).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return rw.duplicate_rows(t("lineitem"), ["l_quantity", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
 
 
 @query("select a.n_name as n_name, b.n_name as other from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")
@@ -258,10 +256,10 @@ def topk_categories(t):
     return value_counts(t("events"), "event_type", 3).select(F.col("value").alias("event_type"), "n")
 
 
-@query("select n_nationkey, n_name, cast(null as integer) as extra from nation where n_nationkey < 5 union all select n_nationkey, n_name, n_regionkey from nation where n_nationkey >= 20")
+@query("select n_nationkey, n_name, cast(null as integer) as extra from nation where n_nationkey < 5 union all select n_nationkey, n_name, n_regionkey from nation where n_nationkey >= 5")
 def set_1_union_by_name(t):
     n = t("nation")
-    return rw.union_by_name(n.filter("n_nationkey < 5").select("n_nationkey", "n_name"), n.filter("n_nationkey >= 20").select(F.col("n_regionkey").alias("extra"), "n_name", "n_nationkey"))
+    return rw.union_by_name(n.filter("n_nationkey < 5").select("n_nationkey", "n_name"), n.filter("n_nationkey >= 5").select(F.col("n_regionkey").alias("extra"), "n_name", "n_nationkey"))
 
 
 @query("select n_regionkey from nation where n_nationkey < 12 intersect select n_regionkey from nation where n_nationkey >= 12")

@@ -83,14 +83,31 @@ def agg_11_pearson(t):
 
 @query("with k as (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as x, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0 as y from lineitem) select 'l_quantity' as a, 'l_extendedprice' as b, round(corr(x, y), 6) as r from k")
 def agg_12_spearman(t):
-    return st.spearman(t("lineitem"), "l_quantity", "l_extendedprice").select("a", "b", r("r").alias("r"))
+    return st.spearman(t("lineitem"), ["l_quantity", "l_extendedprice"]).select("a", "b", r("r").alias("r"))
 
 
 @query("""with g as (select l_quantity as x, l_discount as y, count(*)::double as n from lineitem group by 1, 2), n as (select sum(n) * (sum(n) - 1) / 2 as n0 from g),
     tx as (select sum(m * (m - 1)) / 2 as t from (select sum(n) as m from g group by x)), ty as (select sum(m * (m - 1)) / 2 as t from (select sum(n) as m from g group by y))
     select 'l_quantity' as a, 'l_discount' as b, round((select sum(sign(p.x - q.x) * sign(p.y - q.y) * p.n * q.n) / 2 from g p, g q) / sqrt((n0 - tx.t) * (n0 - ty.t)), 6) as r from n, tx, ty""")
 def agg_13_kendall(t):
-    return st.kendall(t("lineitem"), "l_quantity", "l_discount").select("a", "b", r("r").alias("r"))
+    return st.kendall(t("lineitem"), ["l_quantity", "l_discount"]).select("a", "b", r("r").alias("r"))
+
+
+MATRIX = [("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax")]
+_RANKS = "select '{a}' as a, '{b}' as b, round(corr(x, y), 6) as r from (select rank() over (order by {a}) + (count(*) over (partition by {a}) - 1) / 2.0 as x, rank() over (order by {b}) + (count(*) over (partition by {b}) - 1) / 2.0 as y from (select * from lineitem where {a} is not null and {b} is not null))"
+_TAU = """select '{a}' as a, '{b}' as b, round((select sum(sign(p.x - q.x) * sign(p.y - q.y) * p.n * q.n) / 2 from g p, g q where p.k = '{a}{b}' and q.k = p.k)
+    / sqrt(((select sum(n) * (sum(n) - 1) / 2 from g where k = '{a}{b}') - (select sum(m * (m - 1)) / 2 from (select sum(n) as m from g where k = '{a}{b}' group by x))) * ((select sum(n) * (sum(n) - 1) / 2 from g where k = '{a}{b}') - (select sum(m * (m - 1)) / 2 from (select sum(n) as m from g where k = '{a}{b}' group by y)))), 6) as r"""
+_CELLS = "with g as (" + " union all ".join(f"select '{a}{b}' as k, {a} as x, {b} as y, count(*)::double as n from lineitem group by all" for a, b in MATRIX) + ") "
+
+
+@query(" union all ".join(_RANKS.format(a=a, b=b) for a, b in MATRIX))
+def agg_12_spearman_matrix(t):
+    return st.correlations(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], "spearman").select("a", "b", r("r").alias("r"))
+
+
+@query(_CELLS + " union all ".join(_TAU.format(a=a, b=b) for a, b in MATRIX))
+def agg_13_kendall_matrix(t):
+    return st.correlations(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], "kendall").select("a", "b", r("r").alias("r"))
 
 
 @query("""with l as (select l_quantity as q, 2 * l_quantity + l_extendedprice / 10000 as twice, 0 - l_quantity + 10 * l_tax as minus, l_discount as d from lineitem), p as (select 'q' as a, 'twice' as b, corr(q, twice) as r from l union all select 'q', 'minus', corr(q, minus) from l

@@ -169,13 +169,13 @@ def src_7_validation(t):
     return spark.createDataFrame(out, "file string, status string")
 
 
-@query("select o_orderkey, o_orderstatus from orders where o_orderkey % 2 = 0")
+@query("select o_orderkey, o_orderstatus from orders")
 def snk_8_project(t):
     from ..sources.sinks import load_project, save_project
 
     spark, root = t("orders").sparkSession, scratch(t("orders").sparkSession, "projects")
-    save_project(t("orders").filter("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"), root, "even orders")
-    return load_project(spark, root, "even orders")[0]
+    save_project(t("orders").select("o_orderkey", "o_orderstatus"), root, "all orders")
+    return load_project(spark, root, "all orders")[0]
 
 
 @query("select * from (values ('event_id', 'numeric'), ('ts', 'datetime'), ('user_id', 'numeric'), ('event_type', 'categorical'), ('value', 'numeric'), ('props', 'categorical')) as v(column_name, kind)")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cleaning import with_scalars
+from ..operators.cleaning import with_row, with_scalars
+from ..operators.quantiles import quantiles
 from ..operators.rows import predicate
 
 
@@ -49,7 +50,8 @@ def equal_width(df: DataFrame, col: str, bins: int, name: str, labels: bool = Fa
 
 def equal_frequency(df: DataFrame, col: str, bins: int, name: str) -> DataFrame:
     """Bin between quantiles from 0, closed on the right; equal edges are one."""
-    df = with_scalars(df, __e=F.array_distinct(F.percentile(col, F.lit([i / bins for i in range(bins + 1)]))))
+    edges = quantiles(df, [col], [i / bins for i in range(bins + 1)]).agg(F.array_distinct(F.first("q")).alias("__e"))
+    df = with_row(df, edges)
     inner = F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0)))
     return df.withColumn(name, F.when(F.col(col).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(col))))).drop("__e")
 

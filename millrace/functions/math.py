@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -27,18 +28,21 @@ def powers(col: str, degree: int) -> dict[str, Column]:
 
 def row_wise(cols: list[str], how: str) -> Column:
     """sum, mean, median, min, max, std (sample) or range of a row's non-null values."""
-    v = F.filter(F.array(*[F.col(c).cast("double") for c in cols]), lambda x: x.isNotNull())
-    n = F.size(v)
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    v = [F.col(c).cast("double") for c in cols]
+    plus = lambda xs: functools.reduce(lambda a, b: a + b, xs)
+    n = plus([x.isNotNull().cast("int") for x in v])
+    total = plus([F.coalesce(x, F.lit(0.0)) for x in v])
     mean = F.try_divide(total, n)
     if how in ("sum", "mean"):
         return total if how == "sum" else mean
+    if how == "std":
+        off = plus([F.coalesce((x - mean) * (x - mean), F.lit(0.0)) for x in v])
+        return F.when(n > 1, F.sqrt(off / (n - 1)))
     if how == "median":
-        s = F.array_sort(v)
+        s = F.array_sort(F.array(*v))  # nulls are last
         return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
-    if how == "std":
-        return F.when(n > 1, F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1)))
-    return {"min": F.array_min(v), "max": F.array_max(v), "range": F.array_max(v) - F.array_min(v)}[how]
+    low, high = (F.least(*v), F.greatest(*v)) if len(v) > 1 else (v[0], v[0])  # both skip nulls
+    return {"min": low, "max": high, "range": high - low}[how]
 
 
 def interactions(cols: list[str], ops: tuple[str, ...] = ("multiply",)) -> dict[str, Column]:

@@ -1,7 +1,6 @@
 """Missing values, replacement and outliers.
 
-Scalars that a treatment needs (a mean, fences) are one-row aggregates joined by broadcast, so that a treatment is one
-lazy plan; nothing is collected.
+Scalars that a treatment needs (a mean, fences) are one-row aggregates joined by broadcast; nothing is collected.
 """
 
 from __future__ import annotations
@@ -11,7 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ROW, with_row_id
+from .ordered import counted
+from .quantiles import mode, quantiles, scalars
 
 # Tokens that stand for a missing value.
 NULL_TOKENS = ["-", "NA", "N/A", "null", "NULL", ""]
@@ -22,21 +22,22 @@ def tokens_to_null(df: DataFrame, tokens: list[str] | None = None, cols: list[st
     return df.withColumns({c: F.when(~F.col(c).isin(tokens or NULL_TOKENS), F.col(c)) for c in cols})
 
 
-def _statistic(col: str, how: str) -> Column:
-    stats = {"mean": F.avg(col), "median": F.percentile(col, F.lit(0.5)), "mode": F.mode(F.col(col), True)}
-    return stats[how]
-
-
 def with_scalars(df: DataFrame, **what: Column) -> DataFrame:
     """df with aggregates of itself as columns: one row, so always broadcast."""
-    return df.join(F.broadcast(df.agg(*[c.alias(n) for n, c in what.items()])))
+    return with_row(df, df.agg(*[c.alias(n) for n, c in what.items()]))
+
+
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a table of one row."""
+    return df.join(F.broadcast(one))
 
 
 def fill_missing(df: DataFrame, col: str, how: str = "mean", value=None) -> DataFrame:
     """how: mean, median, mode (the least of the most frequent) or constant."""
     if how == "constant":
         return df.withColumn(col, F.coalesce(col, F.lit(value)))
-    return with_scalars(df, __s=_statistic(col, how)).withColumn(col, F.coalesce(col, "__s")).drop("__s")
+    one = {"mean": lambda: df.agg(F.avg(col).alias("__s")), "median": lambda: scalars(df, col, __s=0.5), "mode": lambda: mode(df, col, "__s")}[how]()
+    return with_row(df, one).withColumn(col, F.coalesce(col, "__s")).drop("__s")
 
 
 def fill_missing_by(df: DataFrame, col: str, by: str, how: str = "mean") -> DataFrame:
@@ -44,11 +45,17 @@ def fill_missing_by(df: DataFrame, col: str, by: str, how: str = "mean") -> Data
     if how == "mode":
         n = df.filter(F.col(col).isNotNull() & F.col(by).isNotNull()).groupBy(by, col).agg(F.count("*").alias("__n"))
         stat = n.groupBy(by).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(col).alias("v"))).alias("__m")).select(F.col(by).alias("__k"), F.col("__m.v").alias("__s"))
+    elif how == "median":
+        stat = _medians(df, col, by)
     else:
-        stat = df.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("__k")).agg(_statistic(col, how).alias("__s"))
+        stat = df.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("__k")).agg(F.avg(col).alias("__s"))
     return df.join(stat, F.col(by) == F.col("__k"), "left").withColumn(col, F.coalesce(col, "__s")).drop("__k", "__s")
 
 
+def _medians(df: DataFrame, col: str, by: str) -> DataFrame:
+    return quantiles(df.select(by, col), [col], [0.5], [by]).select(F.col(by).alias("__k"), F.col("q")[0].alias("__s"))
+
+
 def suggest_fill(missing_pct: float, skewness: float | None, numeric: bool) -> str:
     if missing_pct > 50:
         return "drop column"
@@ -85,10 +92,10 @@ def map_values(df: DataFrame, col: str, pairs: list[tuple[str, str]]) -> DataFra
     return df.withColumn(col, F.coalesce(table[c], c))
 
 
-def iqr_fences(col: str, k: float = 1.5) -> dict[str, Column]:
-    q = F.percentile(col, F.lit([0.25, 0.75]))
-    q1, q3 = q[0], q[1]
-    return {"__lo": q1 - k * (q3 - q1), "__hi": q3 + k * (q3 - q1)}
+def iqr_fences(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
+    """One row: __lo and __hi, k quartile ranges below the first and above the third quartile."""
+    q = scalars(df, col, q1=0.25, q3=0.75)
+    return q.select((F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("__lo"), (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("__hi"))
 
 
 def flag_outliers(df: DataFrame, col: str, method: str = "iqr", threshold: float | None = None, name: str = "is_outlier", lower=None, upper=None) -> DataFrame:
@@ -100,15 +107,15 @@ def flag_outliers(df: DataFrame, col: str, method: str = "iqr", threshold: float
         test = test | (c > upper) if upper is not None else test
         return df.withColumn(name, F.coalesce(test, F.lit(False)))
     if method == "iqr":
-        df = with_scalars(df, **iqr_fences(col, threshold or 1.5), __n=F.count(col))
+        df = with_scalars(with_row(df, iqr_fences(df, col, threshold or 1.5)), __n=F.count(col))
         test = ((c < F.col("__lo")) | (c > F.col("__hi"))) & (F.col("__n") >= 4)
     elif method in ("zscore", "zscore_pop"):
         df = with_scalars(df, __m=F.avg(col), __s=(F.stddev_samp if method == "zscore" else F.stddev_pop)(col), __n=F.count(col))
         z = F.abs(F.try_divide(c - F.col("__m"), F.col("__s")))
         test = (z > (threshold or 3.0)) & (F.col("__n") >= (1 if method == "zscore" else 3))
     else:
-        df = with_scalars(df, __m=F.percentile(col, F.lit(0.5)))
-        df = with_scalars(df, __d=F.percentile(F.abs(c - F.col("__m")), F.lit(0.5)))
+        df = with_row(df, scalars(df, col, __m=0.5))
+        df = with_row(df, scalars(df.select(F.abs(c - F.col("__m")).alias("v")), "v", __d=0.5))
         test = F.abs(0.6745 * F.try_divide(c - F.col("__m"), F.col("__d"))) > (threshold or 3.5)
     return df.withColumn(name, F.coalesce(test, F.lit(False))).drop("__lo", "__hi", "__n", "__m", "__s", "__d")
 
@@ -118,15 +125,18 @@ def drop_outliers(df: DataFrame, col: str, **kw) -> DataFrame:
 
 
 def cap_outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
-    df = with_scalars(df, **iqr_fences(col, k))
+    df = with_row(df, iqr_fences(df, col, k))
     return df.withColumn(col, F.when(F.col(col).isNotNull(), F.greatest(F.least(F.col(col), "__hi"), "__lo"))).drop("__lo", "__hi")
 
 
 def winsorize(df: DataFrame, col: str, low: float = 0.05, high: float = 0.05) -> DataFrame:
     """The int(low * n) least and int(high * n) greatest values become the nearest value that stays."""
-    values = with_row_id(df.select(F.col(col).alias("v")).filter("v is not null"), "v")
-    at = values.join(F.broadcast(values.agg(F.count("*").alias("n"))))
-    ends = at.filter((F.col(ROW) == F.floor(F.col("n") * low)) | (F.col(ROW) == F.col("n") - F.floor(F.col("n") * high) - 1)).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"))
+    values = counted(df, col)
+    at = with_row(values, values.agg(F.sum("__n").alias("n")))
+    low_at, high_at = F.floor(F.col("n") * low) + 1, F.col("n") - F.floor(F.col("n") * high)  # places from 1
+    holds = lambda place: (F.col("__upto") >= place) & (F.col("__upto") - F.col("__n") < place)
+    met = at.filter(holds(low_at) | holds(high_at))
+    ends = met.agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     return df.join(F.broadcast(ends)).withColumn(col, F.when(F.col(col).isNotNull(), F.greatest(F.least(F.col(col), "__hi"), "__lo"))).drop("__lo", "__hi")
 
 
@@ -135,8 +145,11 @@ def group_statistic(df: DataFrame, col: str, by: str, how: str, name: str | None
 
     Groups are aggregated before they shuffle and joined back, so a hot group is no window partition.
     """
-    fs = {"mean": F.avg(col), "median": F.percentile(col, F.lit(0.5)), "sum": F.coalesce(F.sum(col), F.lit(0)), "min": F.min(col), "max": F.max(col), "std": F.stddev_samp(col), "count": F.count(col)}
-    stat = df.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("__k")).agg(fs[how].alias("__s"))
+    if how == "median":
+        stat = _medians(df, col, by)
+    else:
+        fs = {"mean": F.avg(col), "sum": F.coalesce(F.sum(col), F.lit(0)), "min": F.min(col), "max": F.max(col), "std": F.stddev_samp(col), "count": F.count(col)}
+        stat = df.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("__k")).agg(fs[how].alias("__s"))
     return df.join(stat, F.col(by) == F.col("__k"), "left").withColumn(name or f"{col}_{how}_by_{by}", F.col("__s")).drop("__k", "__s")
 
 

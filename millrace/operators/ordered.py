@@ -14,12 +14,21 @@ from pyspark.sql.window import Window
 from ..session import settle
 
 ROW, BUCKET = "__row_id", 1 << 16
+#: Buckets that are scanned together.
+GROUP = 1 << 12
 
 
 def with_row_id(df: DataFrame, *order: str | Column, name: str = ROW) -> DataFrame:
-    """df with its position from 0 in the given order (nulls first; ties in any order, but fixed once)."""
+    """df with its position from 0 in the given order (nulls first; ties in any order, but fixed once).
+
+    Ties are dealt over ranges by a hash of the row, and equal rows by where they came from, so that no value is one task.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settle(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id()))
+    row = [F.col("`" + c.replace("`", "``") + "`") for c, t in df.dtypes if not t.startswith("map")]
+    # Sorted by the hash, a task that is run again numbers its rows alike.
+    tied = df.withColumn("__tie", F.xxhash64(*row)).sortWithinPartitions("__tie").withColumn("__from", F.monotonically_increasing_id())
+    keys = [*order, "__tie", "__from"]
+    ranged = settle(tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__tie", "__from").withColumn("__mid", F.monotonically_increasing_id()))
     part = F.shiftright("__mid", 33)
     counts = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row for each partition
     skip = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__skip"))
@@ -31,12 +40,30 @@ def _bucket(row: str) -> Column:
     return F.floor(F.col(row) / BUCKET).cast("long")
 
 
+def _grouped(each: DataFrame) -> DataFrame:
+    return each.withColumn("__g", F.floor(F.col("__b") / GROUP).cast("long"))
+
+
+def _summed_before(each: DataFrame, value: str, name: str) -> DataFrame:
+    """each(__b, value) with the sum of value over the buckets before: within groups of buckets, and over groups."""
+    at = _grouped(each)
+    groups = at.groupBy("__g").agg(F.sum(value).alias("__s"))
+    over = groups.select("__g", (F.sum("__s").over(Window.orderBy("__g")) - F.col("__s")).alias("__over"))
+    own = F.sum(value).over(Window.partitionBy("__g").orderBy("__b")) - F.col(value)
+    return at.withColumn(name, own).join(over, "__g").withColumn(name, F.col(name) + F.col("__over")).drop("__g", "__over")
+
+
 def _carried(df: DataFrame, what: dict[str, Column], row: str, forward: bool) -> DataFrame:
     """For each bucket the last (or first) non-null of each expression in the buckets before (or after) it."""
     pick = F.max_by if forward else F.min_by
-    each = df.groupBy(_bucket(row).alias("__b")).agg(*[pick(c, F.when(c.isNotNull(), F.col(row))).alias(n) for n, c in what.items()])
-    w = Window.orderBy("__b" if forward else F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    return each.select("__b", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in what])
+    at = _grouped(df.groupBy(_bucket(row).alias("__b")).agg(*[pick(c, F.when(c.isNotNull(), F.col(row))).alias(n) for n, c in what.items()]))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sort = (lambda c: F.col(c)) if forward else F.desc
+    inner = before(Window.partitionBy("__g").orderBy(sort("__b")))
+    groups = at.groupBy("__g").agg(*[pick(n, F.when(F.col(n).isNotNull(), F.col("__b"))).alias(n) for n in what])
+    over = groups.select("__g", *[F.last(n, ignorenulls=True).over(before(Window.orderBy(sort("__g")))).alias(f"{n}_g") for n in what])
+    own = at.select("__g", "__b", *[F.last(n, ignorenulls=True).over(inner).alias(n) for n in what])
+    return own.join(over, "__g").select("__b", *[F.coalesce(n, f"{n}_g").alias(n) for n in what])
 
 
 def _running(forward: bool, row: str, *by: str):
@@ -83,48 +110,51 @@ def rolling_mean(df: DataFrame, col: str, window: int, out: str, row: str = ROW)
     return spread.withColumn(out, mean).filter(~F.col("__at.guest")).drop("__at")
 
 
-def ecdf(df: DataFrame, col: str) -> DataFrame:
-    """value and (position from 1) / n for every non-null value, in order."""
-    values = df.select(F.col(col).alias("value")).filter("value is not null")
-    at = with_row_id(values, "value")
-    n = at.agg(F.count("*").alias("n"))
-    return at.join(F.broadcast(n)).select("value", ((F.col(ROW) + 1) / F.col("n")).alias("ecdf"))
-
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df, which has one row for each (keys, order), and the sum of value over the rows before in the same key.
 
-def _counted(df: DataFrame, col: str) -> DataFrame:
+    Rows of all keys are ordered together by ranges, so a key with most of the rows is many tasks. Sums are long.
+    """
+    at = with_row_id(df, *keys, *order, name="__r").withColumn("__b", _bucket("__r"))
+    each = _summed_before(at.groupBy("__b").agg(F.sum(value).alias("__s")), "__s", "__skip").select("__b", "__skip")
+    run = F.sum(value).over(Window.partitionBy("__b").orderBy("__r")) - F.col(value)
+    at = at.withColumn(name, run).join(each, "__b").withColumn(name, (F.col(name) + F.col("__skip")).cast("long")).drop("__b", "__r", "__skip")
+    if not keys:
+        return at
+    start = at.groupBy(*keys).agg(F.min(name).alias("__start")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__start")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return at.join(start, same).withColumn(name, F.col(name) - F.col("__start")).drop("__start", *[f"__k{i}" for i in range(len(keys))])
+
+
+def counted(df: DataFrame, col: str) -> DataFrame:
     """__v, __n, __upto: distinct non-null values, how often they are, and how many values there are up to and with them.
 
     Values are counted before they are ordered, so a frequent value is one row.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
-    at = with_row_id(counts, "__v", name="__r").withColumn("__b", _bucket("__r"))
-    upto = at.groupBy("__b").agg(F.sum("__n").alias("__s"))
-    skip = upto.select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__skip"))
-    run = F.sum("__n").over(Window.partitionBy("__b").orderBy("__r"))
-    return at.withColumn("__run", run).join(skip, "__b").select("__v", "__n", (F.col("__skip") + F.col("__run")).alias("__upto"))
+    return prefix_sums(counts, [], ["__v"], "__n", "__upto").select("__v", "__n", (F.col("__upto") + F.col("__n")).alias("__upto"))
 
 
-def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
-    """df with the average rank of col among its non-null values."""
-    ranks = _counted(df, col).select("__v", (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
-    return df.join(ranks, F.col(col) == F.col("__v"), "left").drop("__v")
+def each_place(values: DataFrame, name: str, step: int = 1 << 12) -> DataFrame:
+    """counted() values with a row for each place (from 1) that they take, dealt over many tasks."""
+    first = F.col("__upto") - F.col("__n") + 1
+    parts = values.withColumn("__from", F.explode(F.sequence(first, F.col("__upto"), F.lit(step).cast("long")))).repartition("__from")
+    return parts.withColumn(name, F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + step - 1, "__upto")))).drop("__from")
 
 
-def quantiles(df: DataFrame, col: str, ps: list[float]) -> DataFrame:
-    """One row q (array of double): exact linear quantiles of col, as percentile() gives, at any number of distinct values.
+def ecdf(df: DataFrame, col: str) -> DataFrame:
+    """value and (position from 1) / n for every non-null value."""
+    at = counted(df, col)
+    n = at.agg(F.sum("__n").alias("n"))
+    return each_place(at, "i").join(F.broadcast(n)).select(F.col("__v").alias("value"), (F.col("i") / F.col("n")).alias("ecdf"))
 
-    percentile() keeps all distinct values of a group in one task's memory; this sorts counted values by ranges instead.
-    """
-    at = _counted(df, col)
-    at = at.crossJoin(F.broadcast(at.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__all"))))
-    pick = []
-    for p in ps:
-        pos = F.lit(float(p)) * (F.col("__all") - 1)
-        first = lambda i: F.min(F.when(F.col("__upto") > i, F.col("__v").cast("double")))
-        pick += [first(F.floor(pos)), first(F.ceil(pos)), F.max(pos - F.floor(pos))]
-    one = at.agg(*[c.alias(f"c{i}") for i, c in enumerate(pick)])
-    c = F.col
-    return one.select(F.array(*[c(f"c{3 * i}") + (c(f"c{3 * i + 1}") - c(f"c{3 * i}")) * c(f"c{3 * i + 2}") for i in range(len(ps))]).alias("q"))
+
+def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
+    """df with the average rank of col among its non-null values."""
+    ranks = counted(df, col).select("__v", (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
+    return df.join(ranks, F.col(col) == F.col("__v"), "left").drop("__v")
 
 
 def rows_at(df: DataFrame, spec: str, keep: bool = True, row: str = ROW) -> DataFrame:

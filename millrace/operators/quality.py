@@ -7,10 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import columns_of
+from ..session import columns_of, settle
 from . import statistics as st
-from .cleaning import iqr_fences
-from .columns import constant_columns
+from .columns import constant_columns, per_column, varies
 
 
 @dataclass
@@ -30,40 +29,43 @@ class Facts:
         return max(self.rows * self.columns, 1)
 
 
-def numeric_health(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def numeric_health(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """column_name, n, mean, median, std, skewness, kurtosis, cv_pct, fences, outliers (IQR and |z| > 3), and risks.
 
-    Fences need quantiles of all rows, so there are two passes: the aggregates, then the counts against them.
+    stats: a profile_numeric() of df that is there already. Outliers are counted in one more pass against the profile's fences.
     """
     cols = cols or columns_of(df, "numeric")
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    stats = st.profile_numeric(d, cols)
-    fences = d.agg(*[F.struct(*[v.alias(k) for k, v in iqr_fences(c).items()], F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"f{i}") for i, c in enumerate(cols)])
-    at = d.crossJoin(F.broadcast(fences))
-    out = at.agg(*[
-        F.struct(
-            F.lit(c).alias("column_name"), F.count(F.when((F.col(c) < F.col(f"f{i}.__lo")) | (F.col(c) > F.col(f"f{i}.__hi")), 1)).alias("outliers_iqr"),
-            F.count(F.when(F.abs(F.try_divide(F.col(c) - F.col(f"f{i}.m"), F.col(f"f{i}.s"))) > 3, 1)).alias("outliers_z"), F.first(f"f{i}.__lo").alias("lower_fence"), F.first(f"f{i}.__hi").alias("upper_fence"),
-        ).alias(f"s{i}")
-        for i, c in enumerate(cols)
-    ])
+    d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    stats = settle(st.profile_numeric(d, cols) if stats is None else stats)
+    q1, q3 = F.col("q1"), F.col("q3")
+    rows = {r["column_name"]: r for r in stats.select("column_name", (q1 - 1.5 * (q3 - q1)).alias("lo"), (q3 + 1.5 * (q3 - q1)).alias("hi"), "mean", "std").collect()}  # a row a column
+
+    def counts(i: int, c: str):
+        x, r = F.col(f"`{c}`"), rows[c]
+        out = F.count(F.when((x < r["lo"]) | (x > r["hi"]), 1)) if r["lo"] is not None else F.lit(0)
+        far = F.count(F.when(F.abs(x - r["mean"]) / r["std"] > 3, 1)) if r["std"] else F.lit(0)
+        return F.struct(F.lit(c).alias("column_name"), out.cast("long").alias("outliers_iqr"), far.cast("long").alias("outliers_z"), F.lit(r["lo"]).cast("double").alias("lower_fence"), F.lit(r["hi"]).cast("double").alias("upper_fence")).alias(f"s{i}")
+
+    out = d.agg(*[counts(i, c) for i, c in enumerate(cols)])
     counted = out.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("s")).select("s.*")
-    both = stats.join(counted, "column_name").filter("n >= 4")
+    both = stats.join(F.broadcast(counted), "column_name").filter("n >= 4")
     pct = F.col("outliers_iqr") * 100.0 / F.col("n")
     risk = lambda test: F.when(test, "high").otherwise("low")
     return both.select("column_name", "n", "mean", "median", "std", "skewness", "kurtosis", F.coalesce(F.abs(F.try_divide("std", "mean")) * 100, F.lit(0.0)).alias("cv_pct"), "missing_pct", "zeros_pct", "lower_fence", "upper_fence", "outliers_iqr", pct.alias("outliers_pct"), "outliers_z", risk(F.abs("skewness") >= 2).alias("skew_risk"), risk(pct >= 5).alias("outlier_risk"))
 
 
 def facts(df: DataFrame) -> Facts:
+    """Counts of equal rows and of texts by a shuffle each; nulls, spread and moments in one pass, quartiles in one ordering, outliers in one pass."""
     dup = st.duplicate_counts(df).first()
-    missing = {r["column_name"]: r["missing"] for r in st.missing_by_column(df).collect()}  # a row a column
+    cells = per_column(df, lambda c: F.struct(F.count(c).alias("n"), varies(c).alias("varies")))
+    missing = {c: dup["n_rows"] - v["n"] for c, v in cells.items()}
     numeric = {r["column_name"]: r.asDict() for r in numeric_health(df).collect()} if columns_of(df, "numeric") else {}
     categorical = {r["column_name"]: r.asDict() for r in st.profile_categorical(df).collect()} if columns_of(df, "categorical") else {}
     for c, n in missing.items():
         for kind in (numeric, categorical):
             if c in kind:
                 kind[c] |= {"missing": n, "missing_pct": n * 100.0 / max(dup["n_rows"], 1)}
-    return Facts(dup["n_rows"], len(df.columns), sum(missing.values()), dup["n_duplicates"], constant_columns(df), numeric, categorical)
+    return Facts(dup["n_rows"], len(df.columns), sum(missing.values()), dup["n_duplicates"], [c for c, v in cells.items() if not v["varies"]], numeric, categorical)
 
 
 def cleaning_score(f: Facts) -> int:

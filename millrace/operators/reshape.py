@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.result import HardStop
+from .quantiles import quantiles
 
 MOST_CELLS = 2_000_000
 #: Headers of a pivot that are fetched, at most; beyond, it is refused.
@@ -18,7 +19,7 @@ MONTH_YEAR = r"(?i)(.*?)[_\s]*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[
 QUARTER = r"(?i)(.*?)[_\s]*(q[1-4])[_\s]*(\d{2,4})$"
 YEAR = r"(.*?)[_\s]*(\d{4})$"
 
-AGGREGATES = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5))}
+AGGREGATES = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}
 
 
 def pivot_headers(df: DataFrame, columns: list[str]) -> list[str]:
@@ -32,7 +33,7 @@ def pivot_headers(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def pivot(df: DataFrame, index: list[str], columns: list[str], values: list[str], how: str = "sum", fill=None) -> DataFrame:
-    """Long to wide, columns named value_header (header if there is one value), value first, headers sorted.
+    """Long to wide by sum, mean, median, count, min or max; columns named value_header (header if there is one value), value first, headers sorted.
 
     Values are coerced to numbers; rows with a null key go; a sum of nulls is 0; rows whose every result is null go.
     """
@@ -42,6 +43,9 @@ def pivot(df: DataFrame, index: list[str], columns: list[str], values: list[str]
         raise HardStop(f"over {MOST_CELLS} cells")
     keyed = keyed.withColumn("__h", F.concat_ws("_", *[F.col(c).cast("string") for c in columns]))
     keyed = keyed.withColumns({v: F.col(v).try_cast("double") for v in values})
+    if how == "median":  # of every cell first; then there is one row for each
+        q = quantiles(keyed, values, [0.5], [*index, "__h"]).groupBy(*index, "__h").agg(*[F.max(F.when(F.col("column_name") == v, F.col("q")[0])).alias(v) for v in values])
+        keyed, how = q, "max"
     wide = keyed.groupBy(*index).pivot("__h", headers).agg(*[AGGREGATES[how](F.col(v)).alias(v) for v in values])
     name = (lambda v, h: h) if len(values) == 1 else (lambda v, h: f"{v}_{h}")
     made = (lambda v, h: h) if len(values) == 1 else (lambda v, h: f"{h}_{v}")

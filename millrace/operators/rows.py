@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import NUMERIC
+from ..session import NUMERIC, settle
 from .ordered import ROW
+from .quantiles import scalars
 
 # What a cell of a total or summary row looks like.
 TOTAL_CELL = r"(?i)^\s*(?:grand\s+)?(?:sub\s*)?totals?\s*$|^\s*all\s+totals?\s*$|^\s*sum\s*$|^\s*overall\s*$|\btotal\b|\bsubtotal\b|\bgrand\s+total\b"
@@ -71,8 +72,7 @@ def values_then_iqr(df: DataFrame, col: str | None, values: list, num: str | Non
     if col:
         df = df.filter(F.col(col).isin(values))
     if num:
-        both = F.percentile(num, F.lit([0.25, 0.75]))
-        q = df.agg(both[0].alias("__q1"), both[1].alias("__q3"))
+        q = scalars(df, num, __q1=0.25, __q3=0.75)
         iqr = F.col("__q3") - F.col("__q1")
         df = df.join(F.broadcast(q)).filter(F.col(num).between(F.col("__q1") - k * iqr, F.col("__q3") + k * iqr)).drop("__q1", "__q3")
     return df
@@ -91,18 +91,28 @@ def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def drop_duplicates(df: DataFrame, cols: list[str] | None = None, keep: str = "first", row: str = ROW) -> DataFrame:
     """keep "first", "last" (by row) or "none" of equal keys. Without a row column any one row of each key stays."""
     keys = cols or [c for c in df.columns if c != row]
-    if keep == "none":
-        return df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).filter("__n = 1").drop("__n")
+    rest = [c for c in df.columns if c not in keys]
+    if keep == "none":  # counted before they shuffle, so a hot key is one row a task
+        one = df.groupBy(*keys).agg(F.count("*").alias("__n"), *([F.first(F.struct(*rest)).alias("__r")] if rest else [])).filter("__n = 1")
+        return one.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in df.columns])
     if row not in df.columns:
         return df.dropDuplicates(keys)
     pick = F.min_by if keep == "first" else F.max_by  # pre-aggregated: one row a key and task is shuffled
-    rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(pick(F.struct(*rest), row).alias("__r")).select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in df.columns])
 
 
 def flag_duplicates(df: DataFrame, cols: list[str], order: str, name: str = "is_duplicate") -> DataFrame:
-    """name is true for every row of a key but the first by order."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*cols).orderBy(order)) > 1)
+    """name is true for every row of a key but the first by order (null first); of rows that tie there, any one is the first.
+
+    The first row of each key is pre-aggregated and joined back, so a hot key is no window partition.
+    """
+    own = settle(df.withColumn("__at", F.monotonically_increasing_id()))
+    first = own.groupBy(*cols).agg(F.min(F.struct(F.col(order).isNotNull().alias("x"), F.col(order).alias("o"), F.col("__at"))).alias("__f"))
+    first = first.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(cols)], F.col("__f.__at").alias("__first"))
+    same = F.lit(True)
+    for i, c in enumerate(cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return own.join(first, same).withColumn(name, F.col("__at") != F.col("__first")).select(*df.columns, name)
 
 
 def sort_rows(df: DataFrame, *cols: tuple[str, bool] | str, nulls: str = "last") -> DataFrame:
@@ -121,21 +131,47 @@ def mixed(key: Column, seed: int = 42) -> Column:
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly n rows (or all), the same ones whatever the partitions."""
+    if n > LIMIT:
+        return _places(df, df.sparkSession.range(1).select(F.lit(n).cast("long").alias("__k")), [], key, seed)
     return df.orderBy(mixed(F.col(key), seed), key).limit(n)
 
 
+#: mixed() gives numbers below this. Up to LIMIT rows of a sample are brought to one task.
+MIXED, LIMIT = 2147483647, 100_000
+
+
+def _places(df: DataFrame, n: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
+    """Rows of df of the n["__k"] least places, in each group by, in the fixed order of key. n: by..., __k.
+
+    Keys are counted in 2^16 bins of that order; whole bins are taken as they are, and only rows of the one bin a group in
+    which the last place falls are ordered, so neither a sample nor a group is one task.
+    """
+    bins = 1 << 16
+    width = MIXED // bins + 1
+    at = df.withColumn("__o", mixed(F.col(key), seed)).withColumn("__bin", F.floor(F.col("__o") / width).cast("int"))
+    counts = at.groupBy(*by, "__bin").agg(F.count("*").alias("__c"))
+    upto = counts.withColumn("__before", F.sum("__c").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("__bin")) - F.col("__c"))  # bins rows a group
+    upto = (upto.join(n, by) if by else upto.join(F.broadcast(n))).filter("__before < __k")
+    met = at.join(upto.select(*by, "__bin", (F.col("__k") - F.col("__before")).alias("__left"), "__c"), [*by, "__bin"])
+    whole = met.filter("__c <= __left").select(*df.columns)
+    rank = F.row_number().over(Window.partitionBy(*by, "__bin").orderBy("__o", key))
+    cut = met.filter("__c > __left").withColumn("__rn", rank).filter("__rn <= __left").select(*df.columns)
+    return whole.unionByName(cut)
+
+
 def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 42) -> DataFrame:
     """round(fraction * rows) rows."""
-    return sample_rows(df, round(fraction * df.count()), key, seed)
+    n = df.agg(F.round(F.count("*") * F.lit(float(fraction))).cast("long").alias("__k"))
+    return _places(df, n, [], key, seed)
 
 
 def stratified_sample(df: DataFrame, by: str, n: int, key: str, seed: int = 42) -> DataFrame:
     """About n rows, round(n / rows * class) of each class; rows without a class go."""
     df = df.filter(F.col(by).isNotNull())
-    sizes = df.groupBy(by).agg(F.count("*").alias("__c"))
-    sizes = sizes.withColumn("__k", F.bround(F.col("__c") * F.lit(float(n)) / F.sum("__c").over(Window.partitionBy(F.lit(1)))))  # a row a class
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(mixed(F.col(key), seed), key))
-    return df.withColumn("__rn", rank).join(F.broadcast(sizes), by).filter("__rn <= __k").drop("__rn", "__c", "__k")
+    sizes = df.groupBy(by).agg(F.count("*").alias("__size"))
+    all_ = sizes.agg(F.sum("__size").alias("__all"))
+    take = sizes.join(F.broadcast(all_)).select(by, F.bround(F.col("__size") * F.lit(float(n)) / F.col("__all")).cast("long").alias("__k"))
+    return _places(df, take, [by], key, seed).select(*df.columns)
 
 
 def union_by_name(a: DataFrame, b: DataFrame) -> DataFrame:

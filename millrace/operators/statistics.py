@@ -1,7 +1,7 @@
 """Profiles, correlations, associations and distributions.
 
-Everything that reads rows is a grouped aggregate: a profile of many columns is one pass, ranks are taken over distinct
-values, chi-square and Kendall's tau over counted pairs, densities over bins.
+Everything that reads rows is a grouped aggregate: a profile of many columns is one pass and one ordering for all
+quantiles, ranks are taken over counted values, chi-square and Kendall's tau over counted pairs, densities over bins.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..session import columns_of
-from .ordered import ROW, average_rank, with_row_id
+from ..plans.result import HardStop
+from ..session import columns_of, settle
+from .ordered import counted, each_place, prefix_sums
+from .quantiles import mode, quantiles
+from .reshape import MOST_CELLS
 
 
 def skewness(c: Column) -> Column:
@@ -31,41 +33,40 @@ def kurtosis(c: Column) -> Column:
     return F.when((F.count(c) > 3) & (F.stddev_pop(c) > 0), (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
-def numeric_measures(c: Column, approximate: bool = False) -> dict[str, Column]:
-    """Quartiles are exact unless approximate: percentile() holds a column's distinct values, which wide ranges of huge
-    tables don't allow (ordered.quantiles is exact there, too)."""
-    three = F.lit([0.25, 0.5, 0.75])
-    q = (F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000) if approximate else F.percentile(c, three)).getItem
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def moments(c: Column) -> dict[str, Column]:
     return {
-        "n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "q1": q(0), "median": q(1), "q3": q(2), "max": F.max(c),
-        "missing_pct": F.avg(c.isNull().cast("double")) * 100, "zeros_pct": F.avg(F.coalesce((c == 0).cast("double"), F.lit(0.0))) * 100, "skewness": skewness(c), "kurtosis": kurtosis(c),
+        "n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c), "missing_pct": F.avg(c.isNull().cast("double")) * 100,
+        "zeros_pct": F.avg(F.coalesce((c == 0).cast("double"), F.lit(0.0))) * 100, "skewness": skewness(c), "kurtosis": kurtosis(c),
     }
 
 
 def _long(df: DataFrame, cols: list[str], measures) -> DataFrame:
     """A row for each column, from one aggregate over all of them."""
-    one = df.agg(*[F.struct(F.lit(c).alias("column_name"), *[v.alias(k) for k, v in measures(F.col(c)).items()]).alias(f"s{i}") for i, c in enumerate(cols)])
+    one = df.agg(*[F.struct(F.lit(c).alias("column_name"), *[v.alias(k) for k, v in measures(F.col(f"`{c}`")).items()]).alias(f"s{i}") for i, c in enumerate(cols)])
     return one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("s")).select("s.*")
 
 
-def _by_column(df: DataFrame, cols: list[str], measures) -> DataFrame:
-    """The same from columns that are unpivoted and grouped by name: heavy measures of several columns end in several tasks."""
-    long = df.select(F.lit(1).alias("__one"), *cols).unpivot("__one", cols, "column_name", "__value")
-    return long.groupBy("column_name").agg(*[v.alias(k) for k, v in measures(F.col("__value")).items()])
-
-
 def profile_numeric(df: DataFrame, cols: list[str] | None = None, approximate: bool = False) -> DataFrame:
+    """A row for each column. Quartiles are exact, and null without values; approximate ones need no ordering."""
     cols = cols or columns_of(df, "numeric")
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return _by_column(doubles, cols, lambda c: numeric_measures(c, approximate))
+    d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    if approximate:
+        q = lambda c: F.percentile_approx(c, list(QUARTILES.values()), 100_000)
+        return _long(d, cols, lambda c: moments(c) | {k: q(c)[i] for i, k in enumerate(QUARTILES)})
+    at = quantiles(d, cols, list(QUARTILES.values())).select("column_name", *[F.col("q")[i].alias(k) for i, k in enumerate(QUARTILES)])
+    return _long(d, cols, moments).join(F.broadcast(at), "column_name", "left")  # a row a column
 
 
 def numeric_card(df: DataFrame, col: str) -> DataFrame:
     """The full card of one column: also mode (least of the most frequent), variance, range, IQR and CV."""
-    c = F.col(col).cast("double")
-    m = numeric_measures(c)
-    more = {"mode": F.mode(c, True), "variance": F.var_samp(c), "value_range": m["max"] - m["min"], "iqr": m["q3"] - m["q1"], "cv_pct": F.abs(F.try_divide(m["std"], m["mean"])) * 100}
-    return df.agg(*[v.alias(k) for k, v in (m | more).items()])
+    own = df.select(F.col(col).cast("double").alias(col))
+    card = profile_numeric(own, [col]).join(F.broadcast(mode(own, col, "mode")))
+    c = F.col
+    more = {"variance": c("std") * c("std"), "value_range": c("max") - c("min"), "iqr": c("q3") - c("q1"), "cv_pct": F.abs(F.try_divide("std", "mean")) * 100}
+    return card.withColumns(more).drop("column_name")
 
 
 def profile_categorical(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -129,31 +130,83 @@ def _exploded(df: DataFrame, pairs: list[Column]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p")).select("p.*")
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Pearson's r over the rows that have both; null without spread."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """a, b, r for every two columns, over the rows that have both."""
     cols = cols or columns_of(df, "numeric")
-    return _exploded(df, _pairs(cols, lambda a, b: F.corr(F.col(a).cast("double"), F.col(b).cast("double"))))
+    return _exploded(df, _pairs(cols, lambda a, b: _correlation(F.col(a).cast("double"), F.col(b).cast("double"))))
+
+
+def _pair_counts(df: DataFrame, pairs: list[tuple[str, str]], kind: str = "double") -> DataFrame:
+    """p (number of the pair), x, y, n: counted values of every pair, of rows that have both."""
+    cell = lambda c: F.col(f"`{c}`").cast(kind)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), cell(a).alias("x"), cell(b).alias("y")) for i, (a, b) in enumerate(pairs)])).alias("e")
+    return df.select(each).select("e.*").na.drop().groupBy("p", "x", "y").agg(F.count("*").alias("n"))
+
+
+def _named(df: DataFrame, pairs: list[tuple[str, str]], value: str) -> DataFrame:
+    """a, b, value of a table with a row for each pair p; null for pairs without one."""
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "p int, a string, b string")
+    return names.join(df.select("p", value), "p", "left").select("a", "b", value)
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson of average ranks, over the rows that have both."""
-    both = df.select(a, b).na.drop()
-    ranked = average_rank(average_rank(both, a, "__ra"), b, "__rb")
-    return ranked.agg(F.corr("__ra", "__rb").alias("r")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
+def spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """a, b, r for every two columns: Pearson's r of average ranks, over the rows that have both; null without spread.
 
+    Values of all pairs are counted, and ordered once; ranks are joined to counted pairs.
+    """
+    pairs = list(combinations(cols or columns_of(df, "numeric"), 2))
+    cells = settle(_pair_counts(df, pairs))
+    sides = cells.select(F.explode(F.array(*[F.struct("p", F.lit(s).alias("side"), F.col(s).alias("v"), "n") for s in "xy"])).alias("e")).select("e.*")
+    ranks = prefix_sums(sides.groupBy("p", "side", "v").agg(F.sum("n").alias("n")), ["p", "side"], ["v"], "n", "before")
+    ranks = settle(ranks.select("p", "side", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")))
+    at = cells
+    for s in "xy":
+        at = at.join(ranks.filter(F.col("side") == s).select("p", F.col("v").alias(s), F.col("rank").alias(f"r{s}")), ["p", s])
+    middle = at.groupBy("p").agg(((F.sum("n") + 1) / 2).alias("m"))
+    at = at.join(F.broadcast(middle), "p")  # a row a pair
+    x, y, n = F.col("rx") - F.col("m"), F.col("ry") - F.col("m"), F.col("n")
+    r = F.try_divide(F.sum(n * x * y), F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y)))
+    return _named(at.groupBy("p").agg(r.alias("r")), pairs, "r")
+
+
+def kendall(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """a, b, r for every two columns: Kendall's tau-b over counted pairs of values, over the rows that have both; null without spread.
+
+    Discordant pairs are inversions of y in the order of x. Two ranks of y differ first in one binary digit; so for each
+    digit, among ranks that agree in all higher ones, the rows before with a 1 are added up for each row with a 0. These
+    sums are prefix sums of all digits and pairs at once, so the work is n log n, in ranges, and no value is one task.
+    """
+    pairs = list(combinations(cols or columns_of(df, "numeric"), 2))
+    cells = settle(_pair_counts(df, pairs))
+    ys = cells.groupBy("p", "y").agg(F.lit(1).cast("long").alias("one"))
+    rank = settle(prefix_sums(ys, ["p"], ["y"], "one", "rank").select("p", "y", "rank"))
+    digits = int(rank.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]).bit_length()
+    at = cells.join(rank, ["p", "y"])
+    c = F.col
+    if digits:
+        each = at.select("p", "x", "n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("rank", d + 1).alias("g"), F.shiftright("rank", d).bitwiseAND(F.lit(1)).alias("bit")) for d in range(digits)])).alias("e"))
+        sums = each.groupBy("p", "e.d", "e.g", "x").agg(F.sum(c("n") * c("e.bit")).alias("ones"), F.sum(c("n") * (1 - c("e.bit"))).alias("zeros"))
+        less = prefix_sums(sums, ["p", "d", "g"], ["x"], "ones", "before").groupBy("p").agg(F.sum(c("zeros").cast("double") * c("before")).alias("disc"))
+    else:
+        less = cells.select("p").distinct().withColumn("disc", F.lit(0.0))
+    half = lambda n: F.sum(n.cast("double") * (n - 1)) / 2
+    ties = lambda key: cells.groupBy("p", key).agg(F.sum("n").alias("n")).groupBy("p").agg(half(c("n")).alias(f"t{key}"))
+    one = cells.groupBy("p").agg((F.sum("n").cast("double") * (F.sum("n") - 1) / 2).alias("all"), half(c("n")).alias("txy"))
+    one = one.join(ties("x"), "p").join(ties("y"), "p").join(less, "p")
+    score = c("all") - c("tx") - c("ty") + c("txy") - 2 * c("disc")
+    tau = F.try_divide(score, F.sqrt((c("all") - c("tx")) * (c("all") - c("ty"))))
+    return _named(one.select("p", tau.alias("r")), pairs, "r")
 
-def kendall(df: DataFrame, a: str, b: str, most: int = 20_000) -> DataFrame:
-    """Kendall's tau-b over counted pairs; quadratic in distinct pairs, so more than most of them are refused."""
-    both = df.select(F.col(a).alias("x"), F.col(b).alias("y")).na.drop().groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
-    if (size := both.count()) > most:
-        raise ValueError(f"{size} distinct pairs: bin or sample the columns")
-    p, q = both.alias("p"), F.broadcast(both.alias("q"))  # most * 24 bytes at the most
-    s = F.signum(F.col("p.x") - F.col("q.x")) * F.signum(F.col("p.y") - F.col("q.y")) * F.col("p.n") * F.col("q.n")
-    score = p.crossJoin(q).agg((F.sum(s) / 2).alias("s"))
-    ties = lambda c: both.groupBy(c).agg(F.sum("n").alias("n")).agg((F.sum(F.col("n") * (F.col("n") - 1)) / 2).alias(f"t{c}"))
-    total = both.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("n0"))
-    tau = F.try_divide(F.col("s"), F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty"))))
-    return score.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(total).select(F.lit(a).alias("a"), F.lit(b).alias("b"), tau.alias("r"))
+
+def correlations(df: DataFrame, cols: list[str] | None = None, method: str = "pearson") -> DataFrame:
+    """a, b, r for every two columns by pearson, spearman or kendall."""
+    return {"pearson": pearson, "spearman": spearman, "kendall": kendall}[method](df, cols)
 
 
 def high_pairs(matrix: DataFrame, threshold: float = 0.7, strict: bool = True) -> DataFrame:
@@ -164,42 +217,54 @@ def high_pairs(matrix: DataFrame, threshold: float = 0.7, strict: bool = True) -
 
 def comissing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Correlation of being null; null for columns without nulls."""
-    return _exploded(df, _pairs(cols or df.columns, lambda a, b: F.corr(F.col(a).isNull().cast("double"), F.col(b).isNull().cast("double"))))
+    return _exploded(df, _pairs(cols or df.columns, lambda a, b: _correlation(F.col(a).isNull().cast("double"), F.col(b).isNull().cast("double"))))
 
 
 def crosstab(df: DataFrame, x: str, y: str, zeros: bool = True) -> DataFrame:
-    """x, y, n for every combination of values that occur; zeros adds those that never occur together."""
+    """x, y, n for every combination of values that occur; zeros adds those that never occur together (up to MOST_CELLS)."""
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nan"))
     n = df.groupBy(key(x).alias("x"), key(y).alias("y")).agg(F.count("*").alias("n"))
     if not zeros:
         return n
-    grid = n.select("x").distinct().crossJoin(F.broadcast(n.select("y").distinct()))
-    return grid.join(n, ["x", "y"], "left").na.fill(0, ["n"])
+    n = settle(n)
+    size = n.agg(F.count_distinct("x").alias("x"), F.count_distinct("y").alias("y")).first()
+    if size["x"] * size["y"] > MOST_CELLS:
+        raise HardStop(f"{size['x']} by {size['y']} cells; zeros=False gives those that occur")
+    empty = n.select("x").distinct().crossJoin(F.broadcast(n.select("y").distinct())).withColumn("n", F.lit(0).cast("long"))
+    return n.unionByName(empty).groupBy("x", "y").agg(F.sum("n").alias("n"))
 
 
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Bias-corrected Cramér's V from the dense table of counts, with Yates' correction for a 2 x 2 table."""
-    t = crosstab(df, x, y)
-    wx, wy = Window.partitionBy("x"), Window.partitionBy("y")
-    t = t.withColumn("rx", F.sum("n").over(wx).cast("double")).withColumn("ry", F.sum("n").over(wy).cast("double"))
-    size = t.agg(F.sum("n").cast("double").alias("all"), F.count_distinct("x").cast("double").alias("r"), F.count_distinct("y").cast("double").alias("k"))
-    t = t.crossJoin(F.broadcast(size))
-    e = F.col("rx") * F.col("ry") / F.col("all")
-    off = F.abs(F.col("n") - e)
-    yates = F.when((F.col("r") == 2) & (F.col("k") == 2), off - F.least(F.lit(0.5), off)).otherwise(off)
-    one = t.agg(F.sum(yates * yates / e).alias("chi2"), F.first("all").alias("n"), F.first("r").alias("r"), F.first("k").alias("k"))
-    n, r, k = F.col("n"), F.col("r"), F.col("k")
-    phi = F.greatest(F.lit(0.0), F.col("chi2") / n - (k - 1) * (r - 1) / (n - 1))
-    least = F.least(k - (k - 1) * (k - 1) / (n - 1) - 1, r - (r - 1) * (r - 1) / (n - 1) - 1)
-    return one.select(F.lit(x).alias("a"), F.lit(y).alias("b"), F.when(least > 0, F.sqrt(phi / least)).otherwise(0.0).alias("v"))
-
-
-def cramers_matrix(df: DataFrame, cols: list[str], most: int = 15) -> DataFrame:
-    pairs = list(combinations(cols[:most], 2))
-    out = cramers_v(df, *pairs[0])
-    for p in pairs[1:]:
-        out = out.unionByName(cramers_v(df, *p))
-    return out
+    return cramers_matrix(df, [x, y])
+
+
+def cramers_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+    """a, b, v: bias-corrected Cramér's V of every two columns, with Yates' correction for a 2 x 2 table.
+
+    Of counted cells that aren't empty and their margins, for all pairs at once: an empty cell adds what it was expected to hold.
+    """
+    pairs = list(combinations(cols, 2))
+    cell = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")).alias(f"c{i}") for i, c in enumerate(cols)]
+    at = [(f"c{i}", f"c{j}") for i, j in combinations(range(len(cols)), 2)]
+    cells = settle(_pair_counts(df.select(*cell), at, "string"))
+    c = F.col
+    one = cells.groupBy("p").agg(F.sum("n").cast("double").alias("all"))
+    t = cells
+    for s, k in (("x", "r"), ("y", "k")):
+        side = cells.groupBy("p", s).agg(F.sum("n").cast("double").alias(f"n{s}"))
+        t = t.join(side, ["p", s])
+        one = one.join(side.groupBy("p").agg(F.count("*").cast("double").alias(k), F.sum(1 / c(f"n{s}")).alias(f"inv_{s}")), "p")
+    e = c("nx") * c("ny") / c("all")
+    met = t.join(F.broadcast(one), "p").groupBy("p").agg(F.sum((c("n") - e) * (c("n") - e) / e - e).alias("s"))
+    one = one.join(met, "p").withColumn("chi2", F.greatest(F.lit(0.0), c("s") + c("all")))
+    # The four cells of a 2 x 2 table are equally far off.
+    weight = c("all") * c("inv_x") * c("inv_y")
+    off = F.sqrt(c("chi2") / weight)
+    chi2 = F.when((c("r") == 2) & (c("k") == 2), F.pow(off - F.least(F.lit(0.5), off), F.lit(2.0)) * weight).otherwise(c("chi2"))
+    n, r, k = c("all"), c("r"), c("k")
+    phi = F.greatest(F.lit(0.0), chi2 / n - F.try_divide((k - 1) * (r - 1), n - 1))
+    least = F.least(k - F.try_divide((k - 1) * (k - 1), n - 1) - 1, r - F.try_divide((r - 1) * (r - 1), n - 1) - 1)
+    return _named(one.select("p", F.when(least > 0, F.sqrt(phi / least)).otherwise(0.0).alias("v")), pairs, "v")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
@@ -267,12 +332,12 @@ def normal_quantile(p: Column) -> Column:
 
 def qq_points(df: DataFrame, col: str) -> DataFrame:
     """theoretical, sample: normal quantiles at Filliben's positions against the sorted values."""
-    v = with_row_id(df.select(F.col(col).cast("double").alias("sample")).filter("sample is not null"), "sample")
-    at = v.join(F.broadcast(v.agg(F.count("*").cast("double").alias("n"))))
-    i, n = F.col(ROW) + 1, F.col("n")
+    v = counted(df.select(F.col(col).cast("double").alias("v")), "v")
+    at = each_place(v, "i").join(F.broadcast(v.agg(F.sum("__n").cast("double").alias("n"))))
+    i, n = F.col("i"), F.col("n")
     top = F.pow(F.lit(0.5), 1 / n)
     p = F.when(i == 1, 1 - top).when(i == n, top).otherwise((i - 0.3175) / (n + 0.365))
-    return at.select(normal_quantile(p).alias("theoretical"), "sample")
+    return at.select(normal_quantile(p).alias("theoretical"), F.col("__v").alias("sample"))
 
 
 def qq_line(df: DataFrame, col: str) -> DataFrame:
@@ -280,9 +345,13 @@ def qq_line(df: DataFrame, col: str) -> DataFrame:
 
 
 def anderson_darling(df: DataFrame, col: str) -> DataFrame:
-    """statistic, critical_5pct, normal: the Anderson-Darling test against a normal law with estimated mean and deviation."""
-    v = with_row_id(df.select(F.col(col).cast("double").alias("v")).filter("v is not null"), "v")
-    par = v.agg(F.count("*").cast("double").alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    """statistic, critical_5pct, normal: the Anderson-Darling test against a normal law with estimated mean and deviation.
+
+    Each distinct value counts once, with the sum of the weights of its places.
+    """
+    own = df.select(F.col(col).cast("double").alias("v"))
+    par = own.agg(F.count("v").cast("double").alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+
     @F.pandas_udf("struct<lo: double, hi: double>")
     def logs(z: pd.Series) -> pd.DataFrame:
         erfc = np.frompyfunc(math.erfc, 1, 1)
@@ -290,9 +359,10 @@ def anderson_darling(df: DataFrame, col: str) -> DataFrame:
         log = lambda x: np.log(np.maximum(erfc(x).astype(float) / 2, 1e-300))
         return pd.DataFrame({"lo": log(-a / math.sqrt(2)), "hi": log(a / math.sqrt(2))})
 
-    at = v.join(F.broadcast(par)).withColumn("l", logs((F.col("v") - F.col("m")) / F.col("s")))
-    i, n = F.col(ROW) + 1, F.col("n")
-    one = at.agg((-F.first(n) - F.sum((2 * i - 1) * F.col("l.lo") + (2 * (n - i) + 1) * F.col("l.hi")) / F.first(n)).alias("statistic"), F.first(n).alias("n"))
+    at = counted(own, "v").join(F.broadcast(par)).withColumn("l", logs((F.col("__v") - F.col("m")) / F.col("s")))
+    n, k, last = F.col("n"), F.col("__n").cast("double"), F.col("__upto").cast("double")
+    up = k * (2 * last - k)  # of 2 i - 1 over the value's places
+    one = at.agg((-F.first(n) - F.sum(up * F.col("l.lo") + (2 * n * k - up) * F.col("l.hi")) / F.first(n)).alias("statistic"), F.first(n).alias("n"))
     critical = F.round(0.787 / (1 + 4 / F.col("n") - 25 / F.col("n") / F.col("n")), 3)
     return one.select("statistic", critical.alias("critical_5pct"), (F.col("statistic") < critical).alias("normal"))
 
@@ -333,14 +403,20 @@ def shapiro_wilk(df: DataFrame, col: str, key: str, most: int = 5000) -> tuple[f
 def summary(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     """count, mean, median, std, min, max of col, in all or by group."""
     c = F.col(col)
-    own = [F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
-    return df.filter(F.col(by).isNotNull()).groupBy(by).agg(*own) if by else df.agg(*own)
+    own = [F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+    names = ["n", "mean", "median", "std", "min", "max"]
+    if not by:
+        middle = quantiles(df, [col], [0.5]).agg(F.first("q")[0].alias("median"))
+        return df.agg(*own).join(F.broadcast(middle)).select(*names)
+    kept = df.filter(F.col(by).isNotNull())
+    middle = quantiles(kept, [col], [0.5], [by]).select(by, F.col("q")[0].alias("median"))
+    return kept.groupBy(by).agg(*own).join(middle, by, "left").select(by, *names)
 
 
 def quartiles_by(df: DataFrame, col: str, by: str) -> DataFrame:
-    three = F.percentile(col, F.lit([0.25, 0.5, 0.75]))
-    q = [three[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
-    return df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min(col).alias("min"), *q, F.max(col).alias("max"))
+    kept = df.filter(F.col(by).isNotNull())
+    q = quantiles(kept, [col], list(QUARTILES.values()), [by]).select(by, *[F.col("q")[i].alias(k) for i, k in enumerate(QUARTILES)])
+    return kept.groupBy(by).agg(F.min(col).alias("min"), F.max(col).alias("max")).join(q, by, "left").select(by, "min", *QUARTILES, "max")
 
 
 def radar(df: DataFrame, by: str, metrics: list[str], top: int = 5) -> DataFrame:

@@ -54,21 +54,33 @@ def parse_rates(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float,
     return {c: tuple(v) for c, v in df.agg(*what).first().asDict().items()} if cols else {}
 
 
-def auto_convert(df: DataFrame, sample: int = 5000, share: float = 0.8) -> DataFrame:
-    """Text columns of which more than share of a sample parse become numbers, else dates."""
-    cols = [c for c, t in df.dtypes if t == "string"]
-    rates = parse_rates(df.limit(sample), cols)
+def auto_convert(df: DataFrame, share: float = 0.8) -> DataFrame:
+    """Text columns of which more than share of all rows parse become numbers, else dates. Cells that don't parse are null;
+    conversion_losses() counts them."""
+    rates = parse_rates(df, [c for c, t in df.dtypes if t == "string"])
     return df.withColumns({c: number(F.col(c)) if n > share else parse_any(F.col(c)) for c, (n, d, _) in rates.items() if max(n, d) > share})
 
 
-def suggest_types(df: DataFrame, sample: int = 200) -> dict[str, str]:
-    """datetime64 or float64 for text columns of which over 70 % of a sample look so, category for few distinct values."""
+def conversion_losses(before: DataFrame, after: DataFrame) -> dict[str, int]:
+    """For columns that have another type after auto_convert(): how many cells didn't parse."""
+    kinds = dict(after.dtypes)
+    cols = [c for c, t in before.dtypes if t == "string" and kinds.get(c, t) != t]
+    if not cols:
+        return {}
+    had = before.agg(*[F.count(c).alias(c) for c in cols]).first()
+    has = after.agg(*[F.count(c).alias(c) for c in cols]).first()
+    return {c: had[c] - has[c] for c in cols}
+
+
+def suggest_types(df: DataFrame) -> dict[str, str]:
+    """datetime64 or float64 for text columns of which over 70 % of the values look so, category for few distinct values."""
     cols = [c for c, t in df.dtypes if t == "string"]
-    part = df.limit(sample)
+    if not cols:
+        return {}
     is_date, is_num = r"^\d{4}-\d{1,2}-\d{1,2}|^\d{1,2}/\d{1,2}/\d{2,4}", r"^\s*-?[\d,]*\.?\d+\s*$"
-    rows = part.agg(*[F.array(F.avg(F.col(c).rlike(is_date).cast("double")), F.avg(F.col(c).rlike(is_num).cast("double"))).alias(c) for c in cols]).first() if cols else {}
-    few = df.agg(*[(F.approx_count_distinct(c) / F.greatest(F.count("*"), F.lit(1))).alias(c) for c in cols]).first() if cols else {}
-    out = {c: "datetime64" if (rows[c][0] or 0) > 0.7 else "float64" if (rows[c][1] or 0) > 0.7 else "category" if few[c] < 0.05 else None for c in cols}
+    share = lambda c, p: F.avg(F.col(c).rlike(p).cast("double"))
+    seen = df.agg(*[F.array(share(c, is_date), share(c, is_num), F.approx_count_distinct(c) / F.greatest(F.count("*"), F.lit(1))).alias(c) for c in cols]).first()
+    out = {c: "datetime64" if (d or 0) > 0.7 else "float64" if (n or 0) > 0.7 else "category" if few < 0.05 else None for c in cols for d, n, few in [seen[c]]}
     return {c: t for c, t in out.items() if t}
 
 

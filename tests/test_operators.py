@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from millrace import session as se
 from millrace.functions import conditional, dates, math as mt, similarity, text
-from millrace.operators import cleaning, columns, fuzzy, ordered, quality, reshape, rows, statistics, types
+from millrace.operators import cleaning, columns, fuzzy, ordered, quality, quantiles, reshape, rows, statistics, types
 from millrace.plans import assistant, charts
 from millrace.plans.result import HARD_STOP, HardStop, StepResult
 from millrace.plans.workflow import Workflow, quarantine_rows, row_digest
@@ -53,12 +53,14 @@ def test_ordered_operators_equal_pandas(spark, monkeypatch, bucket):
     assert same(col(ordered.average_rank(e, "v", "r"), "r"), full.rank())
 
 
-def test_quantiles(spark):
+def test_quantiles(spark, monkeypatch):
     rnd = random.Random(2)
     v = [float(rnd.randrange(30)) for _ in range(101)]
     ps = [0.0, 0.13, 0.5, 0.77, 1.0]
-    assert ordered.quantiles(nums(spark, [*v, None]), "v", ps).first().q == pytest.approx(pd.Series(v).quantile(ps).tolist())
-    assert ordered.quantiles(nums(spark, []), "v", [0.5]).first().q == [None]
+    for few in (0, 1 << 18):
+        monkeypatch.setattr(quantiles, "FEW", few)
+        assert quantiles.quantiles(nums(spark, [*v, None]), ["v"], ps).first().q == pytest.approx(pd.Series(v).quantile(ps).tolist())
+        assert quantiles.scalars(nums(spark, []), "v", m=0.5).first().m is None
 
 
 def test_positions(spark):
@@ -178,6 +180,7 @@ def test_statistics_equal_pandas(spark):
     assert tiny.skewness is None and tiny.kurtosis is None
     d = spark.createDataFrame([(float(rnd.randrange(5)), float(rnd.randrange(6))) for _ in range(150)], "a double, b double")
     p = d.toPandas()
+    assert statistics.comissing(d).first().r is None
     for how in ("spearman", "kendall"):
         if how == "kendall":
             pairs = [(x, y) for x, y in zip(p.a, p.b, strict=True)]
@@ -188,7 +191,7 @@ def test_statistics_equal_pandas(spark):
             want = c / math.sqrt((n0 - t(p.a)) * (n0 - t(p.b)))
         else:
             want = p.a.rank().corr(p.b.rank())
-        assert getattr(statistics, how)(d, "a", "b").first().r == pytest.approx(want)
+        assert statistics.correlations(d, ["a", "b"], how).first().r == pytest.approx(want)
     assert statistics.cramers_v(spark.createDataFrame([("a", "x"), ("b", "y")] * 50, "p string, q string"), "p", "q").first().v == pytest.approx(0.9797, abs=0.02)
 
 
@@ -345,3 +348,135 @@ def test_classes(spark):
     d = spark.createDataFrame([(1, "a", True, float("nan"))], "n int, s string, b boolean, f double")
     assert se.column_classes(d) == {"n": "numeric", "s": "categorical", "b": "boolean", "f": "numeric"}
     assert se.nan_to_null(d).first().f is None
+
+
+def test_correlation_matrices_equal_pandas(spark):
+    """Every pair of columns over the rows that have both; constant columns have no correlation."""
+    rnd = random.Random(5)
+    cells = [[rnd.choice([None, float(rnd.randrange(6))]) if rnd.random() < 0.2 else float(rnd.randrange(40)) for _ in range(3)] + [1.0] for _ in range(150)]
+    p = pd.DataFrame(cells, columns=list("abcd")).astype(float)
+    d = spark.createDataFrame([tuple(r) for r in cells], "a double, b double, c double, d double").repartition(5)
+    for how in ("pearson", "spearman", "kendall"):
+        got = {(r.a, r.b): r.r for r in statistics.correlations(d, list("abcd"), how).collect()}
+        assert len(got) == 6
+        for (a, b), v in got.items():
+            both = p[[a, b]].dropna()
+            want = brute_tau(both) if how == "kendall" else (both.rank() if how == "spearman" else both).corr().iloc[0, 1]
+            assert v is None if "d" in (a, b) else v == pytest.approx(want), (how, a, b)
+
+
+def brute_tau(both):
+    x, y = both.iloc[:, 0].tolist(), both.iloc[:, 1].tolist()
+    sign = lambda v: (v > 0) - (v < 0)
+    s = tx = ty = n = 0
+    for i in range(len(x)):
+        for j in range(i):
+            s += sign(x[i] - x[j]) * sign(y[i] - y[j])
+            tx += x[i] == x[j]
+            ty += y[i] == y[j]
+            n += 1
+    return s / math.sqrt((n - tx) * (n - ty)) if (n - tx) * (n - ty) else None
+
+
+def test_kendall_of_many_values(spark):
+    """More distinct pairs than a quadratic way would take: y is x turned around in blocks of ten."""
+    d = spark.range(40_000).selectExpr("cast(id as double) a", "cast(id - id % 10 + 9 - id % 10 as double) b")
+    n = 40_000
+    want = 1 - 4 * (n / 10 * 45) / (n * (n - 1))
+    assert statistics.kendall(d, ["a", "b"]).first().r == pytest.approx(want)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_quantiles_of_columns_and_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    rnd = random.Random(3)
+    rows_ = [(rnd.choice(["hot", "hot", "hot", "b", None]), rnd.choice([None, float(rnd.randrange(9))]), rnd.random()) for _ in range(400)] + [("lone", None, 0.5)]
+    d, p = spark.createDataFrame(rows_, "g string, a double, b double"), pd.DataFrame(rows_, columns=["g", "a", "b"])
+    got = {(r.g, r.column_name): r.q for r in quantiles.quantiles(d, ["a", "b"], [0.1, 0.5, 0.75], ["g"]).collect()}
+    want = {(g, c): v[c].dropna().astype(float).quantile([0.1, 0.5, 0.75]).tolist() for g, v in p.groupby("g") for c in ("a", "b") if v[c].notna().any()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    whole = {r.column_name: r for r in statistics.profile_numeric(d, ["a", "b"]).collect()}
+    assert whole["a"].median == pytest.approx(p["a"].astype(float).median()) and whole["b"].q3 == pytest.approx(p["b"].quantile(0.75))
+    assert statistics.profile_numeric(d.filter("g = 'lone'"), ["a"]).first().median is None
+    assert [r.median for r in statistics.summary(d, "b", "g").orderBy("g").collect()] == pytest.approx(p.groupby("g")["b"].median().tolist())
+    filled = cleaning.fill_missing_by(d, "a", "g", "median")
+    assert filled.filter("a is null").count() == sum(r[0] is None and r[1] is None for r in rows_) + 1
+    assert reshape.pivot(d, ["g"], ["g"], ["b"], "median").count() == 3
+    assert cleaning.iqr_fences(spark.createDataFrame([], "v double"), "v").first().asDict() == {"__lo": None, "__hi": None}
+
+
+def test_ties_are_dealt_over_ranges(spark):
+    """A value that nearly all rows have is no single task, neither in a column of its own nor beside others."""
+    for d in (spark.range(40_000).selectExpr("cast(if(id % 10 = 0, id, 7) as long) v"), spark.range(40_000).selectExpr("if(id % 10 = 0, id, 7) v", "id i")):
+        at = ordered.with_row_id(d.repartition(6), "v")
+        sizes = [r[0] for r in at.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert max(sizes) < 20_000 and at.select(ordered.ROW).distinct().count() == 40_000
+        assert at.agg(F.max(ordered.ROW)).first()[0] == 39_999
+        assert [r.v for r in at.orderBy(ordered.ROW).limit(3).collect()] == [0, 7, 7]
+
+
+def test_places_of_hot_values(spark):
+    d = spark.range(30_000).selectExpr("if(id < 29000, 5.0, cast(id as double)) v")
+    e = ordered.ecdf(d, "v")
+    assert e.count() == 30_000 and e.filter("value = 5").agg(F.max("ecdf")).first()[0] == pytest.approx(29 / 30)
+    assert e.select("ecdf").distinct().count() == 30_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert max(r[0] for r in e.groupBy(F.spark_partition_id()).count().select("count").collect()) < 20_000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert cleaning.winsorize(d, "v", 0.0, 0.5).agg(F.max("v")).first()[0] == 5.0
+
+
+def test_samples_of_hot_classes(spark):
+    d = spark.range(20_000).selectExpr("id", "if(id % 10 = 0, 'b', 'hot') c")
+    want = [r.id for r in d.orderBy(rows.mixed(F.col("id")), "id").limit(2000).collect()]
+    assert sorted(r.id for r in rows.sample_fraction(d, 0.1, "id").collect()) == sorted(want)
+    assert {r.c: r["count"] for r in rows.stratified_sample(d, "c", 1000, "id").groupBy("c").count().collect()} == {"hot": 900, "b": 100}
+    assert rows.sample_fraction(d, 0.0, "id").count() == 0 and rows.sample_fraction(d, 1.0, "id").count() == 20_000
+
+
+def test_duplicates_of_hot_keys(spark):
+    d = spark.createDataFrame([("a", 3), ("a", 1), ("a", 1), (None, 2), (None, None), ("b", 9)], "k string, o int")
+    got = sorted(map(str, ((r.k, r.o, r.is_duplicate) for r in rows.flag_duplicates(d, ["k"], "o").collect())))
+    assert got == sorted(map(str, [("a", 1, False), ("a", 1, True), ("a", 3, True), (None, None, False), (None, 2, True), ("b", 9, False)]))
+    assert [tuple(r) for r in rows.drop_duplicates(d, ["k"], "none").collect()] == [("b", 9)]
+
+
+def test_cramers_of_many_columns(spark):
+    rnd = random.Random(4)
+    cells = [tuple(rnd.choice("abc") for _ in range(20)) for _ in range(60)]
+    d = spark.createDataFrame(cells, ", ".join(f"c{i} string" for i in range(20)))
+    got = statistics.cramers_matrix(d, d.columns)
+    assert got.count() == 190
+    v = {(r.a, r.b): r.v for r in got.collect()}
+    n = pd.crosstab(pd.Series([c[0] for c in cells]), pd.Series([c[19] for c in cells])).to_numpy()
+    e = n.sum(1, keepdims=True) * n.sum(0) / n.sum()
+    phi = max(0, ((n - e) ** 2 / e).sum() / 60 - 4 / 59)
+    assert v["c0", "c19"] == pytest.approx(math.sqrt(phi / (3 - 4 / 59 - 1)))
+
+
+def test_wide_crosstabs_are_refused(spark):
+    d = spark.range(3000).selectExpr("id a", "id b")
+    with pytest.raises(HardStop):
+        statistics.crosstab(d, "a", "b")
+    assert statistics.crosstab(d, "a", "b", zeros=False).count() == 3000
+
+
+def test_types_are_of_all_rows(spark):
+    """A head that parses doesn't decide, whatever the order of rows."""
+    head = [(i, str(i)) for i in range(6000)]
+    d = spark.createDataFrame(head + [(i, "word") for i in range(6000, 12000)], "i long, v string")
+    for x in (d, d.orderBy(F.desc("i"))):
+        assert dict(types.auto_convert(x).dtypes)["v"] == "string" and "v" not in types.suggest_types(x) or types.suggest_types(x)["v"] != "float64"
+    most = spark.createDataFrame(head + [(9000, "word")], "i long, v string")
+    assert types.conversion_losses(most, types.auto_convert(most)) == {"v": 1}
+
+
+def test_row_wise_deviation(spark):
+    d = spark.createDataFrame([(1.0, 2.0, 4.0), (None, 3.0, 5.0), (None, None, 1.0), (None, None, None)], "a double, b double, c double")
+    from millrace.functions.math import row_wise
+
+    got = d.select(*[row_wise(["a", "b", "c"], h).alias(h) for h in ("sum", "mean", "median", "min", "max", "std", "range")]).collect()
+    want = pd.DataFrame([[1, 2, 4], [None, 3, 5], [None, None, 1], [None] * 3], dtype=float)
+    for h in ("mean", "median", "min", "max", "std"):
+        assert [r[h] for r in got] == [None if math.isnan(v) else pytest.approx(v) for v in getattr(want, h)(axis=1)]
+    assert [r["range"] for r in got] == [3.0, 2.0, 0.0, None]
