@@ -18,16 +18,17 @@ ROW, BUCKET = "__row_id", 1 << 16
 GROUP = 1 << 12
 
 
-def with_row_id(df: DataFrame, *order: str | Column, name: str = ROW) -> DataFrame:
+def with_row_id(df: DataFrame, *order: str | Column, name: str = ROW, unique: bool = False) -> DataFrame:
     """df with its position from 0 in the given order (nulls first; ties in any order, but fixed once).
 
-    Ties are dealt over ranges by a hash of the row, and equal rows by where they came from, so that no value is one task.
+    Ties are dealt over ranges by a hash of the row, and equal rows by where they came from, so that no value is one task;
+    unique says that there are none.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = [F.col("`" + c.replace("`", "``") + "`") for c, t in df.dtypes if not t.startswith("map")]
     # Sorted by the hash, a task that is run again numbers its rows alike.
-    tied = df.withColumn("__tie", F.xxhash64(*row)).sortWithinPartitions("__tie").withColumn("__from", F.monotonically_increasing_id())
-    keys = [*order, "__tie", "__from"]
+    tied = df if unique else df.withColumn("__tie", F.xxhash64(*row)).sortWithinPartitions("__tie").withColumn("__from", F.monotonically_increasing_id())
+    keys = [*order] if unique else [*order, "__tie", "__from"]
     ranged = settle(tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__tie", "__from").withColumn("__mid", F.monotonically_increasing_id()))
     part = F.shiftright("__mid", 33)
     counts = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row for each partition
@@ -110,18 +111,20 @@ def rolling_mean(df: DataFrame, col: str, window: int, out: str, row: str = ROW)
     return spread.withColumn(out, mean).filter(~F.col("__at.guest")).drop("__at")
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """df, which has one row for each (keys, order), and the sum of value over the rows before in the same key.
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, total: str | None = None) -> DataFrame:
+    """df, which has one row for each (keys, order), and the sum of value over the rows before in the same key; total is that of all of them.
 
     Rows of all keys are ordered together by ranges, so a key with most of the rows is many tasks. Sums are long.
     """
-    at = with_row_id(df, *keys, *order, name="__r").withColumn("__b", _bucket("__r"))
+    at = with_row_id(df, *keys, *order, name="__r", unique=True).withColumn("__b", _bucket("__r"))
     each = _summed_before(at.groupBy("__b").agg(F.sum(value).alias("__s")), "__s", "__skip").select("__b", "__skip")
     run = F.sum(value).over(Window.partitionBy("__b").orderBy("__r")) - F.col(value)
     at = at.withColumn(name, run).join(each, "__b").withColumn(name, (F.col(name) + F.col("__skip")).cast("long")).drop("__b", "__r", "__skip")
     if not keys:
         return at
-    start = at.groupBy(*keys).agg(F.min(name).alias("__start")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__start")
+    at = settle(at)
+    start = at.groupBy(*keys).agg(F.min(name).alias("__start"), *([F.sum(value).alias(total)] if total else []))
+    start = start.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__start", *([total] if total else []))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))

@@ -34,8 +34,7 @@ def quantiles(df: DataFrame, cols: list[str], ps: list[float], by: list[str] | N
     if df.limit(FEW + 1).count() <= FEW:
         return long.groupBy(*keys).agg(F.percentile("__v", F.lit([float(p) for p in ps])).alias("q"))
     counts = long.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
-    at = prefix_sums(counts, keys, ["__v"], "__n", "__before")
-    all_ = at.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    at = prefix_sums(counts, keys, ["__v"], "__n", "__before", total="__all")
     places = [(float(p) * (F.col("__all") - 1)) for p in ps]
     upto = F.col("__before") + F.col("__n")
     pick = []
@@ -43,7 +42,7 @@ def quantiles(df: DataFrame, cols: list[str], ps: list[float], by: list[str] | N
         for i in (F.floor(pos), F.ceil(pos)):
             pick.append(F.min(F.when(upto > i, F.col("__v"))))
         pick.append(F.first(pos - F.floor(pos)))
-    one = at.join(all_, keys).groupBy(*keys).agg(*[c.alias(f"c{i}") for i, c in enumerate(pick)])
+    one = at.groupBy(*keys).agg(*[c.alias(f"c{i}") for i, c in enumerate(pick)])
     c = F.col
     return one.select(*keys, F.array(*[c(f"c{3 * i}") + (c(f"c{3 * i + 1}") - c(f"c{3 * i}")) * c(f"c{3 * i + 2}") for i in range(len(ps))]).alias("q"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +15,32 @@ DATETIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def session(name: str = "millrace", **conf: str) -> SparkSession:
-    """A session with adaptive execution and UTC; conf adds or overrides settings."""
-    base = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC"}
+    """A session with adaptive execution and UTC, which removes checkpoints that nothing refers to; conf adds or overrides settings."""
+    base = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     return SparkSession.builder.appName(name).config(map=base | conf).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session may have none: it gets a
+    temporary one, which is removed at its end; a cluster without one is an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            at = tempfile.mkdtemp(prefix="shared-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+        sc.setCheckpointDir(at)
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder of any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder, so that a lost executor costs no recomputation and several readers see the same rows."""
     shared_dir(df.sparkSession)

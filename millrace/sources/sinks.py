@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality as q
+from ..session import remove
 
 # SQL types of the columns of a script.
 SQL_TYPES = {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "TIMESTAMP"}
@@ -114,5 +115,4 @@ def list_projects(spark: SparkSession, root: str) -> list[str]:
 
 
 def delete_project(spark: SparkSession, root: str, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{project_name(name)}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return remove(spark, f"{root}/{project_name(name)}")

@@ -1,10 +1,13 @@
 """The driver's contract, with the subpackage llm and without it."""
 
+import os
 import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 REPO = Path(__file__).parent.parent
 
 
@@ -15,7 +18,42 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def copy_without_llm(tmp_path):
+    at = tmp_path / "repo"
+    shutil.copytree(REPO, at, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    return at, {"PATH": os.environ.get("PATH", "/usr/bin:/bin"), "PYTHONPATH": str(at), "JAVA_HOME": os.environ.get("JAVA_HOME", "")}
+
+
 def test_without_llm(tmp_path):
-    shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    """The rest imports, and its tests pass: a part of them is run here."""
+    at, env = copy_without_llm(tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'profile_numeric' in q and 'pipeline' not in q; e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "repo")})
+    subprocess.run([sys.executable, "-c", code], cwd=at, check=True, env=env)
+    some = ["tests/test_operators.py", "tests/test_catalog.py", "-q", "-x", "-k", "prj_ or flt_1 or sco_ or predicates or reshape or workflow or assistant"]
+    subprocess.run([sys.executable, "-m", "pytest", *some], cwd=at, check=True, env={k: v for k, v in env.items() if v})
+
+
+def test_a_missing_library_takes_only_llm_away():
+    code = "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'profile_numeric' in q and 'op3_simhash' not in q; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
+
+
+def test_shared_folder(spark, monkeypatch):
+    """A cluster must name it; what a local session makes for itself is no other's."""
+    from millrace import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    at = session.shared_dir(spark)
+    spark.range(3).write.parquet(f"{at}/gone")
+    assert session.remove(spark, f"{at}/gone") and not session.remove(spark, f"{at}/gone")
