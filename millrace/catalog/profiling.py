@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators import ordered as o
 from ..operators import quality as q
 from ..operators import statistics as st
-from .basic import NULLS, event_nulls
+from .basic import MIX, NULLS, event_nulls
 from .registry import query, r
 
 SKEW = "skewness({c})"
@@ -239,25 +241,56 @@ def win_9_line(t):
     return bivariate(t("events"), "line", "ts", "value")
 
 
-@query()
-def sta_1_anderson_darling(t):
-    return st.anderson_darling(t("events"), "value")
+def _quantile_sql(p: str) -> str:
+    """The inverse normal distribution function of p, by the coefficients that the operator has."""
+    horner = lambda cs, x, last=None: functools.reduce(lambda a, k: f"({a} * {x} + {k!r})", cs[1:], repr(cs[0])) + (f" * {x} + {last}" if last else "")
+    low, q = f"sqrt(-2 * ln(least({p}, 1 - {p})))", f"({p} - 0.5)"
+    tail = f"(({horner(st._C, low)}) / ({horner(st._D, low, '1.0')}))"
+    return f"(case when {p} < 0.02425 then {tail} when {p} > 1 - 0.02425 then -{tail} else ({horner(st._A, f'({q} * {q})')}) * {q} / ({horner(st._B, f'({q} * {q})', '1.0')}) end)"
+
+
+def _normal_sql(z: str) -> str:
+    """The normal distribution function: a series for erf, a continued fraction for erfc further out."""
+    x = f"(abs({z}) / sqrt(2))"
+    series = f"1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * {x} * list_reduce(list_prepend(1.0::double, generate_series(80, 1, -1)::double[]), lambda t, k: 1 + 2 * {x} * {x} / (2 * k + 1) * t)"
+    fraction = f"exp(-{x} * {x}) / sqrt(pi()) / list_reduce(list_prepend({x}::double, generate_series(120, 1, -1)::double[]), lambda t, k: {x} + k / 2 / t)"
+    tail = f"(case when {x} < 2.5 then {series} else {fraction} end / 2)"
+    return f"(case when {z} < 0 then {tail} else 1 - {tail} end)"
+
+
+_QQ = f"""(select value as sample, {_quantile_sql("p")} as theoretical from (select value, case when i = 1 then 1 - pow(0.5, 1.0 / n) when i = n then pow(0.5, 1.0 / n) else (i - 0.3175) / (n + 0.365) end as p
+    from (select value, row_number() over (order by value) as i, count(*) over () as n from events where value is not null)))"""
 
 
-@query()
+@query(f"""with x as (select value, row_number() over (order by value)::double as i, count(*) over ()::double as n, (value - avg(value) over ()) / stddev_samp(value) over () as z from events where value is not null),
+    s as (select any_value(n) as n, -any_value(n) - sum((2 * i - 1) * ln(greatest({_normal_sql("z")}, 1e-300)) + (2 * (n - i) + 1) * ln(greatest({_normal_sql("(-z)")}, 1e-300))) / any_value(n) as a from x),
+    c as (select a, round(0.787 / (1 + 4 / n - 25 / n / n), 3) as k from s) select round(a, 4) as statistic, k as critical_5pct, a < k as normal from c""")
+def sta_1_anderson_darling(t):
+    return st.anderson_darling(t("events"), "value").select(r("statistic", 4).alias("statistic"), "critical_5pct", "normal")
+
+
+@query(f"""with x as (select value, row_number() over (order by value) as i, count(*) over () as n from (select value from events where value is not null order by {MIX.format(k="event_id")}, event_id limit 5000)),
+    m as (select *, {_quantile_sql("p")} as m from (select *, (i - 0.375) / (n + 0.25) as p from x)),
+    t as (select sum(m * m) as mm, max(m) as mn, max(m) filter (i = n - 1) as m1, any_value(n)::double as n, 1 / sqrt(any_value(n)) as u from m),
+    c as (select *, mn / sqrt(mm) + 0.221157 * u - 0.147981 * pow(u, 2) - 2.071190 * pow(u, 3) + 4.434685 * pow(u, 4) - 2.706056 * pow(u, 5) as an,
+      m1 / sqrt(mm) + 0.042981 * u - 0.293762 * pow(u, 2) - 1.752461 * pow(u, 3) + 5.682633 * pow(u, 4) - 3.582633 * pow(u, 5) as a1 from t),
+    f as (select *, (mm - 2 * mn * mn - 2 * m1 * m1) / (1 - 2 * an * an - 2 * a1 * a1) as phi from c),
+    w as (select pow(sum(case when m.i = m.n then an when m.i = m.n - 1 then a1 when m.i = 1 then -an when m.i = 2 then -a1 else m.m / sqrt(phi) end * value), 2) / (var_pop(value) * count(*)) as w, ln(any_value(f.n)) as k from m, f),
+    z as (select w, (ln(1 - w) - (-1.5861 - 0.31082 * k - 0.083751 * k * k + 0.0038915 * pow(k, 3))) / exp(-0.4803 - 0.082676 * k + 0.0030302 * k * k) as z from w)
+    select round(w, 6) as w, round(1 - {_normal_sql("z")}, 6) as p from z""")
 def sta_1_shapiro_wilk(t):
     w, p = st.shapiro_wilk(t("events"), "value", "event_id")
-    return t("events").sparkSession.createDataFrame([(w, p)], "w double, p double")
+    return t("events").sparkSession.createDataFrame([(round(w, 6), round(p, 6))], "w double, p double")
 
 
-@query()
+@query(f"select round(theoretical, 6) as theoretical, sample from {_QQ}")
 def sta_2_qq_points(t):
-    return st.qq_points(t("events"), "value")
+    return st.qq_points(t("events"), "value").select(r("theoretical").alias("theoretical"), "sample")
 
 
-@query()
+@query(f"select round(regr_slope(sample, theoretical), 6) as slope, round(regr_intercept(sample, theoretical), 6) as intercept, round(corr(sample, theoretical), 6) as r from {_QQ}")
 def sta_2_qq_line(t):
-    return st.qq_line(t("events"), "value")
+    return st.qq_line(t("events"), "value").select(*[r(c).alias(c) for c in ("slope", "intercept", "r")])
 
 
 @query("""with v as (select l_quantity as v, count(*)::double as n from lineitem group by 1), p as (select min(l_quantity) as a, max(l_quantity) as b, stddev_samp(l_quantity) * pow(count(*), -0.2) as h, count(*)::double as t from lineitem)
@@ -331,12 +364,37 @@ def flg_2_summary(t):
     return _rows(t, [(x,) for x in q.summary_flags(q.facts(dirty(t)))], "flag string")
 
 
-@query()
+def recommended_sql(table: str, numeric: list[str], texts: list[str], others: list[str]) -> str:
+    """place, priority, issue, column_name, value: what should be looked into, in the order of the rules within a priority."""
+    every = [*numeric, *texts, *others]
+    part = []
+    for k, c in enumerate([*numeric, *texts]):
+        part.append(f"select 0 as rule, {k} as sub, case when m > 50 then 0 when m > 20 then 1 else 2 end as pr, 'missing values' as issue, '{c}' as col, m as v from (select 100.0 * (count(*) - count({c})) / count(*) as m from d) where m > 5")
+    part.append("select 1, 0, case when p > 10 then 1 when p > 5 then 2 else 3 end, 'duplicate rows', null, p from (select 100.0 * (sum(n) - count(*)) / sum(n) as p from (select count(*) as n from d group by all)) where p > 0".replace("count(*) as n from d group by all", f"count(*) as n from d group by {', '.join(every)}"))
+    for k, c in enumerate(numeric):
+        fence = f"(select quantile_cont({c}::double, 0.25) as a, quantile_cont({c}::double, 0.75) as b from d)"
+        part.append(f"select 2, {k}, case when o > 15 then 1 when o > 5 then 2 else 3 end, 'outliers', '{c}', o from (select 100.0 * count(*) filter ({c} < a - 1.5 * (b - a) or {c} > b + 1.5 * (b - a)) / count({c}) as o from d, {fence}) where o > 1")
+        part.append(f"select 3, {k}, 3, case when s > 2 then 'highly skewed' else 'moderately skewed' end, '{c}', s from (select abs(skewness({c})) as s from d) where s > 1")
+        part.append(f"select 6, {k}, 3, 'mostly zeros', '{c}', z from (select 100.0 * count(*) filter ({c} = 0) / count(*) as z from d) where z > 50")
+    constant = " union all ".join(f"select {k} as k, '{c}' as c from (select count(distinct {c}) as n from d) where n < 2" for k, c in enumerate(every))
+    part.append(f"select 4, 0, 2, 'constant columns', string_agg(c, ', ' order by k), count(*) from ({constant}) having count(*) > 0")
+    for k, c in enumerate(texts):
+        part.append(f"select 5, {k}, 3, 'high cardinality', '{c}', 100.0 * u / n from (select count(distinct {c}) as u, count(*) as n from d) where u > 0.9 * n")
+    return f"(with d as {table}, r as ({' union all '.join(part)}) select cast(row_number() over (order by pr, rule, sub) - 1 as integer) as place, (['critical', 'high', 'medium', 'low'])[pr + 1] as priority, issue, col as column_name, round(v, 4)::double as value from r)"
+
+
+DIRTY_RECS = recommended_sql(DIRTY, ["event_id", "value", "const_col"], ["event_type"], [])
+
+
+@query(f"select * from {DIRTY_RECS}")
 def rec_1_recommendations(t):
     return _rows(t, [(i, x["priority"], x["issue"], x["column"], float(x["value"])) for i, x in enumerate(q.recommendations(q.facts(dirty(t))))], "place int, priority string, issue string, column_name string, value double")
 
 
-@query()
+@query(f"""{FACTS} select case when 100.0 * miss / (n * cols) > 10 then printf('high share of missing values: %.1f %%', 100.0 * miss / (n * cols)) when miss > 0 then printf('missing values: %.1f %%', 100.0 * miss / (n * cols)) else 'no missing values' end as insight from f
+    union all select dup || ' duplicate rows' from f where dup > 0 union all select '1 constant columns' union all select '1 columns of high cardinality' from f where ne > 0.9 * n
+    union all select ((sv > 2)::int + (se > 2)::int) || ' highly skewed columns' from f where sv > 2 or se > 2 union all select 'bins of continuous columns'
+    union all select 'text lengths of event_type' from d having avg(length(event_type)) > 20 union all select 'products and ratios of numeric columns'""")
 def rec_2_insights(t):
     d = dirty(t)
     return _rows(t, [(x,) for x in q.insights(q.facts(d)) + q.feature_hints(d)], "insight string")

@@ -10,6 +10,7 @@ from ..plans import assistant, charts
 from ..plans import sql as sq
 from ..plans.workflow import Workflow, quarantine_rows
 from .basic import MIXED, mixed_strings, scratch
+from .profiling import recommended_sql
 from .registry import query, r
 
 
@@ -125,7 +126,7 @@ def nlq_1_workflow(t):
     return t("region").sparkSession.createDataFrame([(s["step"], s["operation"]) for s in a.steps], "step int, operation string")
 
 
-@query()
+@query(f"select place + 1 as step, issue as operation, priority from {recommended_sql('(select * from events)', ['event_id', 'user_id', 'value'], ['event_type', 'props'], ['ts'])} where place < 10")
 def nlq_2_data_aware(t):
     a = assistant.answer(t("events"), "What should I do with my data?")
     return t("region").sparkSession.createDataFrame([(s["step"], s["operation"], s["priority"]) for s in a.steps], "step int, operation string, priority string")
