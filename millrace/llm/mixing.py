@@ -7,13 +7,15 @@ with one multiplier l for each source. The multipliers solve the convex dual
     minimise  sum over documents of  G(l * size / mean)  -  l * target / mean,      G' = rate,
 
 by safeguarded Newton steps. A step needs, for every source, the dual's gradient and curvature: one aggregation over a
-histogram (source, size, documents), which is all that the dual depends on.
+histogram (source, size, documents), which is all that the dual depends on. All sources step at once.
 
 Rates are then rounded into whole copies. Each document takes floor(rate) copies and one more if its pseudo-random key
 is below its source's threshold. Thresholds are found by narrowing buckets of keys, sums of tokens each time, for large
 documents first, so that what these leave is made up for by smaller ones.
 
-Only one row for each source reaches the driver; documents stay in three narrow columns.
+Sources may be many: what is known of each (target, multiplier, bounds, thresholds) is a table in the shared folder that
+each step makes anew from the one before. Only counts, and the one level of the water-filling that sets targets, reach the
+driver; documents stay in three narrow columns.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import columns, free_name, settle
+from ..operators.ordered import with_row_id
 
 MOST = 2
 #: Newton steps at most (each is one aggregation), and the relative error of a source's tokens that ends them.
@@ -41,61 +44,64 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict, weights=(5, 2, 1), share: float = 1.5, most: float = MOST) -> dict:
-    """Target of each source: share of all sizes by weight, the weights repeating over sources by code point, null last.
+def targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = MOST) -> DataFrame:
+    """sources(source, s) with k, a number from 0 by code point (null last), and target.
 
-    No target is above most times its source's size; what is above goes to the others by weight, until none is.
+    Targets are share of all sizes by weight, the weights repeating. No target is above most times its source's size; what
+    is above goes to the others by weight, until none is: weight * unit, or the limit, for one unit that only grows.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s and s.encode("utf-32-be")))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, free, out = share * sum(sizes.values()), list(order), {}
-    while free:
-        unit = left / sum(weight[s] for s in free)
-        full = [s for s in free if weight[s] * unit > most * sizes[s]]
-        if not full:
-            return out | {s: weight[s] * unit for s in free}
-        out |= {s: float(most * sizes[s]) for s in full}
-        left = max(0.0, left - sum(out[s] for s in full))
-        free = [s for s in free if s not in out]
-    return out
+    at = with_row_id(sources.withColumn("null_last", F.col("source").isNull()), "null_last", "source", name="k", unique=True).drop("null_last")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int"))
+    at = settle(at.withColumn("weight", weight))
+    limit, unit, before = F.col("s") * F.lit(float(most)), 0.0, None
+    while before != unit:
+        before = unit
+        full = F.col("weight") * F.lit(unit) > limit
+        sums = at.agg(F.sum("s").alias("all"), F.sum(F.when(full, limit)).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("free")).first()
+        if sums["free"]:
+            unit = max(unit, (share * sums["all"] - (sums["full"] or 0.0)) / sums["free"])
+    return at.withColumn("target", F.least(F.col("weight") * F.lit(unit), limit)).drop("weight")
+
 
+def _at(df: DataFrame, state: DataFrame, few: bool) -> DataFrame:
+    """df with the columns of state, which has one row for each k."""
+    return df.join(F.broadcast(state) if few else state, "k")
 
-def _with(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """df with the columns of rows, which have one for each k."""
-    p = df.sparkSession.createDataFrame(rows, f"k int, {schema}")
-    return df.join(F.broadcast(p) if len(rows) <= SMALL else p, "k")
 
+def multipliers(hist: DataFrame, goals: DataFrame, few: bool) -> DataFrame:
+    """k, l: the dual's multiplier of each k of goals(k, target, mean), for hist(k, size, n).
 
-def multipliers(hist: DataFrame, want: dict[int, tuple[float, float]]) -> dict[int, float]:
-    """hist(k, size, n): the dual's multiplier of each k; want: target and mean size."""
-    lam = dict.fromkeys(want, 0.0)
-    low, high = dict.fromkeys(want, -math.inf), dict.fromkeys(want, math.inf)
-    active = set(want)
+    A step that leaves the interval known to hold the root is replaced by bisection.
+    """
+    c, inf = F.col, F.lit(math.inf)
+    z = c("size") / c("mean")
+    tilt = F.exp(F.least(c("l") * z, F.lit(50.0)))
+    tokens = c("n") * c("size")
+    state = settle(goals.select("k", "target", "mean", F.lit(0.0).alias("l"), (-inf).alias("low"), inf.alias("high"), F.lit(False).alias("done")))
+    done = []
     for _ in range(STEPS):
-        if not active:
+        at = _at(hist, state, few)
+        keep = [F.first(x).alias(x) for x in ("target", "mean", "l", "low", "high")]
+        sums = at.groupBy("k").agg(F.sum(tokens * F.least(tilt, F.lit(float(MOST)))).alias("got"), F.sum(F.when(tilt < MOST, tokens * z * tilt).otherwise(0.0)).alias("slope"), *keep)
+        gap = c("got") - c("target")
+        near = F.abs(gap) <= F.greatest(F.lit(ERROR) * c("target"), F.lit(1e-6))
+        new = sums.withColumn("low", F.when(gap > 0, c("low")).otherwise(c("l"))).withColumn("high", F.when(gap > 0, c("l")).otherwise(c("high")))
+        newton = c("l") - F.try_divide(gap, c("slope"))
+        bounded = (c("low") > -inf) & (c("high") < inf)
+        halved = F.when(bounded, (c("low") + c("high")) / 2).when(c("low") > -inf, c("low") + 1 + F.abs("low")).otherwise(c("high") - 1 - F.abs("high"))
+        step = F.when((c("slope") > 0) & (newton > c("low")) & (newton < c("high")), newton).otherwise(halved)
+        state = settle(new.select("k", "target", "mean", F.when(near, c("l")).otherwise(step).alias("l"), "low", "high", (near | (step == c("l"))).alias("done")))
+        done.append(state.filter("done").select("k", "l"))
+        state = state.filter("not done")
+        if not state.limit(1).count():
             break
-        z = F.col("size") / F.col("mean")
-        tilt = F.exp(F.least(F.col("l") * z, F.lit(50.0)))
-        tokens = F.col("n") * F.col("size")
-        at = _with(hist, [(k, lam[k], want[k][1]) for k in sorted(active)], "l double, mean double")
-        sums = at.groupBy("k").agg(F.sum(tokens * F.least(tilt, F.lit(float(MOST)))).alias("got"), F.sum(F.when(tilt < MOST, tokens * z * tilt).otherwise(0.0)).alias("slope"))
-        for r in sums.collect():
-            k, gap = r["k"], r["got"] - want[r["k"]][0]
-            if abs(gap) <= max(ERROR * want[k][0], 1e-6):
-                active.discard(k)
-                continue
-            if gap > 0:
-                high[k] = lam[k]
-            else:
-                low[k] = lam[k]
-            step = lam[k] - gap / r["slope"] if r["slope"] > 0 else math.nan
-            if not low[k] < step < high[k]:  # outside what is known to hold the root
-                a, b = low[k], high[k]
-                step = (a + b) / 2 if math.isfinite(a + b) else a + 1 + abs(a) if math.isfinite(a) else b - 1 - abs(b)
-            if step == lam[k]:
-                active.discard(k)
-            lam[k] = step
-    return {k: float(f"{v:.10g}") for k, v in lam.items()}  # sums in another order give the same
+    else:
+        done.append(state.select("k", "l"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    # Ten digits: sums in another order give the same.
+    return out.select("k", F.format_string("%.9e", "l").cast("double").alias("l"))
 
 
 def _key(doc_id: Column, source: Column, rate: Column) -> Column:
@@ -104,73 +110,72 @@ def _key(doc_id: Column, source: Column, rate: Column) -> Column:
     return (u - F.floor((rate - F.floor(rate)) * F.lit(float(1 << 32))) + F.lit(1 << 32)).cast("long")
 
 
-def _thresholds(tier: DataFrame, extra: dict[int, float]) -> dict[int, tuple[int, int]]:
-    """tier(k, size, key): for each k the key below which documents take one more copy, and the tokens of these.
+def _thresholds(tier: DataFrame, extra: DataFrame, few: bool) -> DataFrame:
+    """k, cut, tokens for tier(k, size, key) and extra(k, extra): the key below which documents take one more copy, and their tokens.
 
-    They are extra[k] up to half a document, or all there are.
+    These are extra up to half a document, or all there are. k without rows in tier are missing. Each narrowing works on what the one
+    before found, all in one plan.
     """
-    lo, below, out = dict.fromkeys(extra, 0), dict.fromkeys(extra, 0), {}
-    open_ = {k for k, v in extra.items() if v > 0}
-    out |= {k: (0, 0) for k in extra if k not in open_}
+    c = F.col
+    state = extra.filter("extra > 0").select("k", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("below"), "extra")
+    short = []
     for shift in range(KEY_BITS - BUCKET_BITS, -1, -BUCKET_BITS):
-        if not open_:
-            break
-        at = _with(tier, [(k, lo[k], below[k], float(extra[k])) for k in sorted(open_)], "lo long, below long, extra double")
+        at = _at(tier, state, few)
         inside = at.filter(F.shiftright("key", shift + BUCKET_BITS) == F.shiftright("lo", shift + BUCKET_BITS))
         sums = inside.groupBy("k", F.shiftright("key", shift).alias("b")).agg(F.sum("size").alias("s"), F.first("below").alias("below"), F.first("extra").alias("extra"))
         w = Window.partitionBy("k").orderBy("b")  # 2 ** BUCKET_BITS rows at most
-        run = sums.withColumn("upto", F.col("below") + F.sum("s").over(w))
-        cut = run.groupBy("k").agg(F.min(F.when(F.col("upto") >= F.col("extra"), F.struct("b", "upto", "s"))).alias("c"), F.max("upto").alias("all")).collect()
-        met = {r["k"]: r for r in cut}
-        for k in list(open_):
-            r = met.get(k)
-            if r is None or r["c"] is None:  # all of them are too few
-                out[k] = (1 << KEY_BITS, r["all"] if r else 0)
-                open_.discard(k)
-                continue
-            lo[k], below[k], upto = r["c"]["b"] << shift, r["c"]["upto"] - r["c"]["s"], r["c"]["upto"]
-            if not shift:  # the nearer side of the last document
-                out[k] = (lo[k] + 1, upto) if upto - extra[k] < extra[k] - below[k] else (lo[k], below[k])
+        run = sums.withColumn("upto", c("below") + F.sum("s").over(w))
+        cut = run.groupBy("k").agg(F.min(F.when(c("upto") >= c("extra"), F.struct("b", "upto", "s"))).alias("c"), F.max("upto").alias("every"), F.first("extra").alias("extra"))
+        state = settle(cut)
+        short.append(state.filter("c is null").select("k", F.lit(1 << KEY_BITS).cast("long").alias("cut"), c("every").alias("tokens")))  # all of them are too few
+        state = state.filter("c is not null").select("k", F.shiftleft("c.b", shift).alias("lo"), (c("c.upto") - c("c.s")).alias("below"), "extra", c("c.upto").alias("upto"))
+        if shift:
+            state = state.drop("upto")
+    more = c("upto") - c("extra") < c("extra") - c("below")  # the nearer side of the last document
+    out = state.select("k", F.when(more, c("lo") + 1).otherwise(c("lo")).alias("cut"), F.when(more, c("upto")).otherwise(c("below")).alias("tokens"))
+    for x in short:
+        out = out.unionByName(x)
     return out
 
 
-def plan(docs: DataFrame, **kw) -> tuple[DataFrame, list[tuple]]:
-    """Narrow rows (doc_id, source, size) of docs, and for each source what assign() needs."""
-    rows = settle(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
-    info = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
-    info.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    goal = targets({r["source"]: r["s"] for r in info}, **kw)
-    want = [goal[r["source"]] for r in info]
-    named = _named(rows, [(i, r["source"]) for i, r in enumerate(info)], "k int, src string")
-    rows = settle(named.select("k", *rows.columns))
-    hist = settle(rows.groupBy("k", "size").agg(F.count("*").alias("n")))
+def plan(docs: DataFrame, **kw) -> tuple[DataFrame, DataFrame, bool]:
+    """Narrow rows (doc_id, source, size) of docs, what assign() needs of each source, and whether sources are few."""
+    c = F.col
+    rows = settle(docs.select("doc_id", "source", words(c("text")).alias("size")))
+    info = settle(targets(rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("docs")), **kw))
+    few = info.limit(SMALL + 1).count() <= SMALL
+    named = _named(rows, info.select("k", c("source").alias("src")), few)
+    keyed = settle(named.select("k", *rows.columns))
+    hist = settle(keyed.groupBy("k", "size").agg(F.count("*").alias("n")))
     # At the limit of a target the multiplier is infinite: every document is taken MOST times. Without tokens any rate does.
-    inner = {i: (want[i], r["s"] / r["n"]) for i, r in enumerate(info) if 0 < want[i] < MOST * r["s"] * (1 - 1e-12)}
-    lam = multipliers(hist, inner)
-    par = [(i, r["source"], r["s"], want[i], lam.get(i), inner.get(i, (0, 1.0))[1], 1.0 if i in lam or not r["s"] else float(MOST)) for i, r in enumerate(info)]
-    at = _with(rows, [(x[0], *x[2:]) for x in par], "source_size long, target double, l double, mean double, fixed double")
-    rated = settle(_rated(at).select("k", "size", "tier", "rate", _key(F.col("doc_id"), F.col("source"), F.col("rate")).alias("key")))
-    each = rated.groupBy("k", "tier").agg(F.sum(F.col("size") * F.floor("rate")).alias("base"), F.sum(F.floor(F.col("size") * (F.col("rate") - F.floor("rate")) * 1024)).alias("more")).collect()
-    left = dict(enumerate(want))
-    more: dict[tuple[int, int], float] = {}
-    for r in each:
-        left[r["k"]] -= r["base"]
-        more[r["k"], r["tier"]] = r["more"] / 1024
-    cuts: dict[int, list[int]] = {i: [] for i in left}
-    for t in range(len(TIERS) + 1):
-        later = {k: sum(more.get((k, x), 0.0) for x in range(t + 1, len(TIERS) + 1)) for k in left}
-        got = _thresholds(rated.filter((F.col("tier") == t) & (F.col("rate") < MOST) & (F.col("size") > 0)), {k: left[k] - later[k] for k in left if (k, t) in more and k in lam})
-        for k in left:
-            cut, tokens = got.get(k, (0, 0))
-            cuts[k].append(cut)
-            left[k] -= tokens
-    return rows, [(*x, cuts[x[0]]) for x in par]
-
-
-def _named(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """df joined by its source (null-safe) with rows, which have one for each src."""
-    p = df.sparkSession.createDataFrame(rows, schema)
-    return df.join(F.broadcast(p) if len(rows) <= SMALL else p, df["source"].eqNullSafe(p["src"]))
+    inner = (c("target") > 0) & (c("target") < c("s") * (MOST * (1 - 1e-12)))
+    mean = (c("s") / c("docs")).alias("mean")
+    lam = multipliers(hist, info.filter(inner).select("k", "target", mean), few)
+    par = info.join(lam, "k", "left").select("k", c("source").alias("src"), c("s").alias("source_size"), "target", "l", F.when(c("l").isNotNull(), c("s") / c("docs")).otherwise(1.0).alias("mean"), F.when(c("l").isNotNull() | (c("s") == 0), 1.0).otherwise(float(MOST)).alias("fixed"))
+    par = settle(par)
+    at = _at(keyed, par.drop("src"), few)
+    rated = settle(_rated(at).filter("l is not null").select("k", "size", "tier", "rate", _key(c("doc_id"), c("source"), c("rate")).alias("key")))
+    fraction = F.floor(c("size") * (c("rate") - F.floor("rate")) * 1024)
+    sums = settle(rated.groupBy("k", "tier").agg(F.sum(c("size") * F.floor("rate")).alias("base"), F.sum(fraction).alias("more"), F.max((c("rate") < MOST) & (c("size") > 0)).alias("open")))
+    tiers = sorted(r["tier"] for r in sums.filter("open").select("tier").distinct().collect())  # of len(TIERS) + 1
+    left = par.filter("l is not null").select("k", "target").join(sums.groupBy("k").agg(F.sum("base").alias("base")), "k").select("k", (c("target") - c("base")).alias("left"))
+    cuts = None
+    for t in tiers:
+        later = sums.groupBy("k").agg((F.sum(F.when(c("tier") > t, c("more")).otherwise(0)) / 1024).alias("later"), F.max(c("tier") == t).alias("here"))
+        extra = left.join(later, "k").filter("here").select("k", (c("left") - c("later")).alias("extra"))
+        got = settle(_thresholds(rated.filter((c("tier") == t) & (c("rate") < MOST) & (c("size") > 0)), extra, few))
+        left = settle(left.join(got.select("k", "tokens"), "k", "left").select("k", (c("left") - F.coalesce("tokens", F.lit(0))).alias("left")))
+        one = got.select("k", F.struct(F.lit(t).alias("tier"), "cut").alias("x"))
+        cuts = one if cuts is None else cuts.unionByName(one)
+    if cuts is None:
+        return rows, par.withColumn("cuts", F.lit(None).cast("map<int, bigint>")), few
+    maps = cuts.groupBy("k").agg(F.map_from_entries(F.collect_list("x")).alias("cuts"))
+    return rows, settle(par.join(maps, "k", "left")), few
+
+
+def _named(df: DataFrame, par: DataFrame, few: bool) -> DataFrame:
+    """df joined by its source (null-safe) with par, which has one row for each src."""
+    return df.join(F.broadcast(par) if few else par, df["source"].eqNullSafe(par["src"]))
 
 
 def _rated(df: DataFrame) -> DataFrame:
@@ -182,18 +187,15 @@ def _rated(df: DataFrame) -> DataFrame:
     return df.withColumn("rate", F.when(F.col("l").isNull(), F.col("fixed")).otherwise(rate)).withColumn("tier", tier)
 
 
-PARAMETERS = "k int, src string, source_size long, target double, l double, mean double, fixed double, cuts array<long>"
-
-
 def _copies() -> Column:
-    cut = F.element_at(F.col("cuts"), F.col("tier") + 1)
+    cut = F.coalesce(F.try_element_at("cuts", F.col("tier")), F.lit(0))
     more = (F.col("rate") < MOST) & (_key(F.col("doc_id"), F.col("source"), F.col("rate")) < cut)
     return (F.floor("rate") + more.cast("int")).cast("int")
 
 
-def assign(rows: DataFrame, par: list[tuple]) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken for rows(doc_id, source, size); a map over the rows."""
-    at = _rated(_named(rows, par, PARAMETERS))
+def assign(rows: DataFrame, par: DataFrame, few: bool) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies, taken for rows(doc_id, source, size); a map over the rows where sources are few."""
+    at = _rated(_named(rows, par, few))
     copies = _copies()
     return at.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
@@ -206,14 +208,16 @@ def mixture(docs: DataFrame, **kw) -> DataFrame:
     like others, the last in order. Rows that agree in doc_id, source and size are taken equally often. A source without
     words has target 0. An empty table gives no rows.
     """
-    rows, par = plan(docs, **kw)
-    return assign(rows.drop("k"), par)
+    return assign(*plan(docs, **kw))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
-    """The mixed corpus: every row of docs as often as mixture() says, with its columns. Texts aren't shuffled."""
-    _, par = plan(docs, **kw)
+    """The mixed corpus: every row of docs as often as mixture() says, with its columns, whatever their names.
+
+    Nulls, repeated rows and empty tables are as in mixture(). Where sources are few, texts aren't shuffled.
+    """
+    _, par, few = plan(docs, **kw)
     box, = free_name(docs, "box__")
     at = docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"), F.struct(*columns(docs)).alias(box))
-    full = _rated(_named(at, par, PARAMETERS))
+    full = _rated(_named(at, par, few))
     return full.select(box, F.explode(F.array_repeat(F.lit(0), _copies()))).select(f"{box}.*")
