@@ -1,10 +1,10 @@
 """Exact deduplication with a split for heavy hitters.
 
 A frequent-items sketch (the Misra-Gries family: approx_top_k keeps a bounded number of counters and lowers them
-together) names every digest that could hold a large share of the rows. Those digests are counted exactly, with
-pre-aggregation, and their winners (one row for each, of a bounded number) are broadcast, so that rows of a hot digest
-are decided where they are read. All other digests shuffle in the ordinary way: none of them can hold more than
-3.5 / counters of the rows.
+together) names every digest that could hold a large share of the rows; all of its counters above that share are taken.
+Those digests are counted exactly, with pre-aggregation, and their winners (one row for each, at most as many as there are
+counters) are broadcast, so that rows of a hot digest are decided where they are read. All other digests shuffle in the
+ordinary way: none of them can hold more than 3.5 / COUNTERS of the rows.
 
 Everything is DataFrame functions. Only digests move; texts stay at the scan until the final join.
 """
@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from .common import ascii_lower, keep_winners, settle
 
-#: Hot digests that may be broadcast (about 100 bytes each), and counters of the sketch.
-HOT, COUNTERS = 1000, 8192
+#: Counters of the sketch, and hot digests that may be broadcast (about 100 bytes each).
+COUNTERS = 8192
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     comes after all others, and of rows that repeat a doc_id and a text one stays. An empty table gives no rows.
     """
     rows = digests(docs)
-    top = rows.agg(F.expr(f"approx_top_k(sha, {HOT}, {COUNTERS})").alias("top")).select(F.explode("top").alias("t"))
+    top = rows.agg(F.expr(f"approx_top_k(sha, {COUNTERS}, {COUNTERS})").alias("top")).select(F.explode("top").alias("t"))
     total = rows.count()
     # A digest below this share is no danger to a task; the rest of the sketch's items needn't be broadcast.
     hot = top.filter(F.col("t.count") > F.lit(max(2, total // COUNTERS))).select(F.col("t.item").alias("sha"))
@@ -49,7 +49,10 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay under decisions(), with all their columns."""
+    """The rows of docs that stay under decisions(), with all their columns, whatever their names.
+
+    Null and empty texts are equal; nulls, ties and repeated rows are as in decisions(); an empty table stays empty.
+    """
     d = decisions(docs)
     twins = d.groupBy(F.col("doc_id").alias("w_id"), F.col("text_sha256").alias("w_key")).agg(F.count("*").alias("w_same"), F.bool_or("kept").alias("won"))
     sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
