@@ -274,7 +274,7 @@ def src_2_null_tokens(t):
 
 @query("select n_nationkey, nullif(n_name, 'CHINA') as n_name from nation where n_nationkey >= 0")
 def src_2_csv_round_trip(t):
-    """Text written as CSV and read again with null tokens, a skipped line and an index column."""
+    """Text written as CSV and read again with null tokens and an index column."""
     from ..sources.readers import read
     from ..sources.sinks import write_csv
 

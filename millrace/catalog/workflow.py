@@ -9,7 +9,7 @@ from ..operators import types as ty
 from ..plans import assistant, charts
 from ..plans import sql as sq
 from ..plans.workflow import Workflow, quarantine_rows
-from .basic import MIXED, mixed_strings, scratch
+from .basic import MIX, MIXED, mixed_strings, scratch
 from .profiling import recommended_sql
 from .registry import query, r
 
@@ -132,6 +132,64 @@ def nlq_2_data_aware(t):
     return t("region").sparkSession.createDataFrame([(s["step"], s["operation"], s["priority"]) for s in a.steps], "step int, operation string, priority string")
 
 
+@query("select * from (values ('clean and visualize my sales', 1, 'missing values'), ('clean and visualize my sales', 2, 'duplicates'), ('clean and visualize my sales', 3, 'chart'), ('a time series', 1, 'convert to datetime'), ('a time series', 2, 'date parts'), ('a time series', 3, 'time series chart')) as v(goal, step, operation)")
+def nlq_3_templates(t):
+    rows = [(g, i, o) for g in ("clean and visualize my sales", "a time series", "something else") for i, o in enumerate(assistant.template(g), 1)]
+    return t("region").sparkSession.createDataFrame(rows, "goal string, step int, operation string")
+
+
+@query("select * from (values ('look for duplicates, too'), ('draw the distribution without outliers'), ('look at the profile again')) as v(suggestion)")
+def nlq_4_suggestions(t):
+    a = assistant.answer(t("events"), "fill missing values and handle outliers in value")
+    return t("region").sparkSession.createDataFrame([(x,) for x in a.suggestions], "suggestion string")
+
+
+@query("""with p as (select c_custkey as id, c_custkey as g, c_acctbal from customer union all select c_custkey + 10000000, c_custkey, c_acctbal from customer where c_custkey % 5 = 0 union all select c_custkey + 20000000, c_custkey, c_acctbal from customer where c_custkey % 7 = 0)
+    select id, case when id >= 10000000 and id < 20000000 then id else g end as record_id from p""")
+def jn_3_records(t):
+    copies = people(t).filter("c_custkey < 10000000 and c_custkey % 7 = 0").withColumn("c_custkey", F.col("c_custkey") + 20_000_000)
+    return fuzzy.records(people(t).unionByName(copies), "c_custkey", ["name", "email", "phone", "c_acctbal"])
+
+
+@query(f"""with p as (select c_custkey as id, c_custkey as g from customer union all select c_custkey + 10000000, c_custkey from customer where c_custkey % 5 = 0), s as (select * from p order by {MIX.format(k="id")}, id limit 1000)
+    select id, min(id) over (partition by g) as group_id from s qualify count(*) over (partition by g) > 1""")
+def smp_5_fuzzy_sample(t):
+    return fuzzy.groups(people(t), "name", "c_custkey", 0.85, sample=1000)
+
+
+@query("""with m as (select min(l_quantity) as x0, max(l_quantity) as x1, min(l_extendedprice) as y0, max(l_extendedprice) as y1 from lineitem)
+    select cast(least(floor((l_quantity - x0) * 20 / (x1 - x0)), 19) as bigint) as x_bin, cast(least(floor((l_extendedprice - y0) * 20 / (y1 - y0)), 19) as bigint) as y_bin, count(*) as n from lineitem, m group by all""")
+def cht_hexbin(t):
+    return charts.bivariate(t("lineitem"), "hexbin", "l_quantity", "l_extendedprice")
+
+
+@query("select event_id, user_id, value from (select * from events order by event_id limit 50000)")
+def cht_scatter(t):
+    return charts.bivariate(t("events"), "scatter", "user_id", "value", key="event_id")
+
+
+@query(f"select p_size, p_retailprice, p_type, p_partkey from part order by {MIX.format(k='p_partkey')}, p_partkey limit 50000")
+def cht_matrix(t):
+    return charts.multivariate(t("part"), "matrix", ["p_size", "p_retailprice"], by="p_type", key="p_partkey")
+
+
+@query("select c_mktsegment as x, cast(c_nationkey as varchar) as y, count(*) as n from customer group by all")
+def cht_sunburst(t):
+    return charts.bivariate(t("customer"), "sunburst", "c_mktsegment", "c_nationkey").filter("n > 0")
+
+
+@query("""with v as (select p_size as v, count(*)::double as n from part group by 1), p as (select min(p_size) as a, max(p_size) as b, stddev_samp(p_size) * pow(count(*), -0.2) as h, count(*)::double as t from part)
+    select round(a + (b - a) * i / 199, 6) as x, round(sum(n * exp(-pow((a + (b - a) * i / 199 - v) / h, 2) / 2)) / any_value(h) / any_value(t) / sqrt(2 * pi()), 8) as density from v, p, range(200) as g(i) group by a, b, i""")
+def cht_density(t):
+    return charts.univariate(t("part"), "density", "p_size").select(r("x").alias("x"), r("density", 8).alias("density"))
+
+
+@query("select p_type, round(avg(p_size), 6) as p_size, round(avg(p_retailprice), 6) as p_retailprice, count(*) as n from part group by 1 order by n desc, 1 limit 5")
+def cht_radar(t):
+    d = charts.multivariate(t("part"), "radar", ["p_size", "p_retailprice"], by="p_type")
+    return d.select("p_type", r("p_size").alias("p_size"), r("p_retailprice").alias("p_retailprice"), "n")
+
+
 @query("select time_bucket(interval 6 hours, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stm_windowed_stream(t):
     """The events as a stream of files, counted by window; what the watermark has closed and what is still open."""
@@ -224,3 +282,58 @@ def snk_3_json_orientations(t):
     d = t("nation")
     one = lambda o: json_lines(d, o, row="n_nationkey").agg(F.count("*").alias("n")).select(F.lit(o).alias("orient"), "n")
     return one("records").unionByName(one("values")).unionByName(one("index")).unionByName(one("columns"))
+
+
+@query("""select 0 as ord, '{' as value union all select row_number() over (order by n_nationkey), case when n_nationkey > 0 then ',' else '' end || '"' || n_nationkey || '":{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' from nation
+    union all select count(*) + 1, '}' from nation""")
+def snk_3_json_index(t):
+    from ..sources.sinks import json_document
+
+    return json_document(t("nation"), "index", row="n_nationkey")
+
+
+@query("""with n as (select n_nationkey as k, row_number() over (order by n_nationkey) as i, count(*) over () + 1 as s, n_name, n_regionkey from nation)
+    select 0 as ord, '{"n_name":{' as value union all select any_value(s), '},"n_regionkey":{' from n union all select 2 * any_value(s), '}}' from n
+    union all select i, case when i > 1 then ',' else '' end || '"' || k || '":"' || n_name || '"' from n union all select s + i, case when i > 1 then ',' else '' end || '"' || k || '":' || n_regionkey from n""")
+def snk_3_json_columns(t):
+    from ..sources.sinks import json_document
+
+    return json_document(t("nation"), "columns", row="n_nationkey")
+
+
+@query("select p_partkey, p_name, p_retailprice, p_size from part")
+def src_3_excel_round_trip(t):
+    """A workbook written and read again: text, numbers, a sheet by name."""
+    from ..sources.excel import write_excel
+    from ..sources.readers import read
+
+    spark = t("part").sparkSession
+    path = scratch(spark, "book") + ".xlsx"
+    write_excel(t("part").select("p_partkey", "p_name", "p_retailprice", "p_size"), path, "Parts")
+    d = read(spark, path, sheet="Parts")
+    return d.withColumn("p_size", F.col("p_size").cast("int"))
+
+
+@query("select cast(n_nationkey as varchar) as key, case n_name when 'CHINA' then null else n_name end as name from nation")
+def src_2_skipped_lines(t):
+    """Lines before the header, another separator, nulls by token, and an index column."""
+    from ..sources.readers import read
+
+    spark = t("nation").sparkSession
+    path = scratch(spark, "skip")
+    rows = t("nation").select(F.concat_ws(";", F.when(F.col("n_name") == "CHINA", "N/A").otherwise(F.col("n_name")), "n_nationkey").alias("value"), F.col("n_nationkey").alias("i"))
+    top = spark.createDataFrame([("a report", -3), ("made; today", -2), ("name;key", -1)], "value string, i int")
+    top.unionByName(rows).coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+    return read(spark, path, "csv", skip_rows=2, sep=";", index="key")
+
+
+@query("select n_nationkey, n_name from nation")
+def snk_1_csv_options(t):
+    """Another separator and encoding, without a header."""
+    from ..sources.readers import read
+    from ..sources.sinks import write_csv
+
+    spark = t("nation").sparkSession
+    path = scratch(spark, "latin")
+    write_csv(t("nation").select("n_nationkey", "n_name"), path, sep="|", encoding="iso-8859-1", header=False)
+    return read(spark, path, "csv", header=False, sep="|", encoding="iso-8859-1").select(F.col("_c0").cast("int").alias("n_nationkey"), F.col("_c1").alias("n_name"))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions.similarity import kind_of, similarity
 from ..session import settle
 from .components import connected_components
+from .rows import sample_rows
 
 # Cells that say nothing.
 SKIPPED = ["unknown", "n/a", "na", "null", "none", "test", "", "nan"]
@@ -86,8 +87,12 @@ def similar_values(df: DataFrame, field: str, key: str, threshold: float = 0.85)
     return met.repartition("a").withColumn("score", similarity(F.col("a"), F.col("b"), numbers=False)).filter(F.col("score") >= threshold)
 
 
-def groups(df: DataFrame, field: str, key: str, threshold: float = 0.85) -> DataFrame:
-    """id, group_id for rows that are in a group of two or more; group_id is the least id of the group."""
+def groups(df: DataFrame, field: str, key: str, threshold: float = 0.85, sample: int | None = None) -> DataFrame:
+    """id, group_id for rows that are in a group of two or more; group_id is the least id of the group.
+
+    sample: look at so many rows only, fixed by key.
+    """
+    df = df if sample is None else sample_rows(df, sample, key)
     rows = settle(_values(df, field, key))
     values = rows.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     nodes = connected_components(similar_values(df, field, key, threshold), "a", "b")
@@ -96,13 +101,23 @@ def groups(df: DataFrame, field: str, key: str, threshold: float = 0.85) -> Data
     return rows.join(at.join(several, "root").select("v", "group_id"), "v").select("id", "group_id")
 
 
+def records(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """id, record_id for every row: the least id of the rows that agree in all fields (as text; null is a value)."""
+    cell = [F.col(f"`{c}`").cast("string") for c in fields]
+    rows = df.select(F.col(key).alias("id"), F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cell)])), 256).alias("__same"))
+    return rows.join(rows.groupBy("__same").agg(F.min("id").alias("record_id")), "__same").select("id", "record_id")
+
+
 def score_pairs(df: DataFrame, key: str, primary: str, supporting: list[str], fuzzy: float = 0.85, confidence: float = 0.7) -> DataFrame:
-    """id_1, id_2, confidence for rows whose primary values are equal or similar.
+    """id_1, id_2, confidence for records whose primary values are equal or similar.
 
-    The primary field weighs 0.3, the others share 0.7; a field that is null in both doesn't count, one that is null in
-    one scores 0 at half its weight.
+    A record stands for all rows that agree in the primary and supporting fields, by their least id; records() has which
+    rows these are, so copies, however many, are no pairs. The primary field weighs 0.3, the others share 0.7; a field
+    that is null in both doesn't count, one that is null in one scores 0 at half its weight.
     """
-    rows = df.select(F.col(key).alias("id"), *[F.col(c).cast("string").alias(c) for c in dict.fromkeys([primary, *supporting])]).withColumn("v", F.lower(F.trim(primary)))
+    fields = list(dict.fromkeys([primary, *supporting]))
+    rows = df.select(F.col(key).alias("id"), *[F.col(c).cast("string").alias(c) for c in fields]).groupBy(*fields).agg(F.min("id").alias("id"))
+    rows = rows.withColumn("v", F.lower(F.trim(primary)))
     rows = settle(rows.filter((F.length("v") > 2) & ~F.col("v").isin(SKIPPED)))
     near = similar_values(df, primary, key, fuzzy).select("a", "b")
     same = rows.select(F.col("v").alias("a"), F.col("v").alias("b")).distinct()

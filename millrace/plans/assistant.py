@@ -52,6 +52,18 @@ TEMPLATES = {
     "time_series_analysis": ["convert to datetime", "date parts", "time series chart"],
     "feature_creation": ["mathematical features", "group features", "review features"],
 }
+# Words of a goal that stand for a sequence, the first that all occur; one of several after |.
+GOALS = (("clean visualize", "clean_and_visualize"), ("prepare|analysis", "prepare_for_analysis"), ("time series|date", "time_series_analysis"), ("feature|engineer", "feature_creation"))
+#: What to know about a step.
+GUIDANCE = {
+    "remove_nulls": "treat each column by its type and by how much of it is missing", "remove_outliers": "quartile fences suit most columns", "create_column": "an expression over columns",
+    "datetime_features": "year, month, day, day of week and weekend are usual", "aggregation": "group by text columns, aggregate numeric ones", "transformation": "a log suits columns with a long right tail",
+    "chart": "the kind of chart follows from the types of the columns", "pivot": "wide tables suit reports", "melt": "long tables suit charts", "analyze_data": "start with the profile", "clean_data": "missing values and duplicates come first",
+}
+#: (an intent that is there, one that isn't, what else to think of)
+NEXT = (("remove_nulls", "remove_duplicates", "look for duplicates, too"), ("create_column", "chart", "draw the new column"), ("datetime_features", "chart", "draw a time series"), ("remove_outliers", "chart", "draw the distribution without outliers"))
+VERIFY = {"remove_nulls", "remove_outliers", "transformation"}
+# Words before or after the name of a column, and such that are no names.
 _NOT_COLUMNS = {"the", "and", "or", "from", "to", "in", "by", "with", "column", "columns"}
 _NAMED = (r"column\s+(\w+)", r"from\s+(\w+)", r"(\w+)\s+column", r"in\s+(\w+)", r"by\s+(\w+)")
 #: What a step needs of its columns.
@@ -85,10 +97,25 @@ def find_column(df: DataFrame, name: str) -> tuple[str | None, str | None]:
     return None, next((c for c in df.columns if name.lower() in c.lower()), None)
 
 
+def template(goal: str) -> list[str]:
+    """The usual sequence of work for a goal; none if it names nothing known."""
+    low = goal.lower()
+    for words, name in GOALS:
+        if any(w in low for w in words.split("|")) if "|" in words else all(w in low for w in words.split()):
+            return TEMPLATES[name]
+    return []
+
+
+def follow_ups(intents: list[str]) -> list[str]:
+    out = [text for there, missing, text in NEXT if there in intents and missing not in intents]
+    return out + ["look at the profile again"] * bool(VERIFY & set(intents))
+
+
 @dataclass
 class Answer:
     steps: list[dict] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    suggestions: list[str] = field(default_factory=list)
     summary: dict = field(default_factory=dict)
 
 
@@ -100,6 +127,8 @@ def answer(df: DataFrame, text: str) -> Answer:
         score, grade = q.assistant_score(recs)
         out.steps = [{"step": i, "operation": r["issue"], "columns": [r["column"]] if r["column"] else [], "priority": r["priority"]} for i, r in enumerate(recs[:10], 1)]
         out.summary = {"score": score, "grade": grade, "issues": len(recs)}
+        n = {p: sum(r["priority"] == p for r in recs) for p in q.PRIORITIES}
+        out.suggestions = [t for t, on in (("start with critical and high priorities", score < 70), ("critical issues come before any analysis", n["critical"] > 0), ("low priorities are optional", n["low"] > 5)) if on]
         return out
     if not asked.intents:
         out.warnings.append("nothing in the request is understood")
@@ -112,5 +141,6 @@ def answer(df: DataFrame, text: str) -> Answer:
             out.warnings.append(f"no column {name}" + (f"; is it {about}?" if about else ""))
     for i, intent in enumerate(sorted(asked.intents, key=lambda x: ORDER.get(x, 999)), 1):
         need = _KINDS.get(intent)
-        out.steps.append({"step": i, "operation": intent, "columns": [c for c, k in known.items() if need in (None, k)]})
+        out.steps.append({"step": i, "operation": intent, "columns": [c for c, k in known.items() if need in (None, k)], "guidance": GUIDANCE.get(intent)})
+    out.suggestions = follow_ups(asked.intents)
     return out

@@ -8,46 +8,65 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.cleaning import NULL_TOKENS, tokens_to_null
 from ..operators.columns import clean_names, drop_empty
 from ..operators.types import auto_convert
+from ..plans.result import HardStop
 from ..session import nan_to_null
+from .excel import read_excel
 
 BLOCK_BYTES, WARN_BYTES = 1024 << 20, 500 << 20
 ENCODINGS = ("utf-8", "iso-8859-1", "windows-1252")
 
 
-def read(spark: SparkSession, path: str, fmt: str, *, header: bool = True, skip_rows: int = 0, nulls: list[str] | None = None, index: str | None = None, n: int | None = None, sep: str = ",", encoding: str = "utf-8", schema=None) -> DataFrame:
-    """csv, json or parquet. skip_rows, header, nulls and index are of csv only; without a schema its columns are text."""
-    if fmt in ("xlsx", "xls"):
-        raise NotImplementedError("spreadsheets need a reader that isn't part of Spark; convert them to csv or parquet")
-    if fmt == "csv":
-        df = _csv(spark, path, header, skip_rows, sep, encoding, schema)
+def format_of(path: str) -> str:
+    """The format that a file's ending names."""
+    end = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if end not in ("csv", "json", "parquet", "xlsx"):
+        raise HardStop(f"unsupported format: {end}")
+    return end
+
+
+def read(spark: SparkSession, path: str, fmt: str | None = None, *, header: bool = True, skip_rows: int = 0, nulls: list[str] | None = None, index: str | None = None, n: int | None = None, sep: str = ",", encoding: str = "utf-8", schema=None, sheet: str | None = None) -> DataFrame:
+    """csv, json, parquet or xlsx, by the path's ending if fmt is None.
+
+    skip_rows, header, nulls and index are of csv and xlsx only, sheet of xlsx; without a schema csv columns are text.
+    """
+    fmt = fmt or format_of(path)
+    if fmt in ("csv", "xlsx"):
+        df = _csv(spark, path, header, skip_rows, sep, encoding, schema) if fmt == "csv" else read_excel(spark, path, sheet, header, skip_rows)
         df = tokens_to_null(df, NULL_TOKENS if nulls is None else nulls)
         df = df.select(index, *[c for c in df.columns if c != index]) if index else df
     elif fmt == "json":
         first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
         whole = bool(first) and not first[0][0].strip().endswith("}")  # an array, or an object over several lines
         df = (spark.read.schema(schema) if schema else spark.read).json(path, multiLine=whole)
-    else:
+    elif fmt == "parquet":
         df = spark.read.parquet(path)
+    else:
+        raise HardStop(f"unsupported format: {fmt}")
     df = nan_to_null(df)
     return df.limit(n) if n is not None else df
 
 
 def _csv(spark, path, header, skip_rows, sep, encoding, schema) -> DataFrame:
-    reader = spark.read.option("sep", sep).option("encoding", encoding)
-    reader = reader.schema(schema) if schema else reader
     if not skip_rows:
-        return reader.option("header", header).csv(path)
-    text = spark.read.option("encoding", encoding).text(path)
-    first = [r[0] for r in text.limit(skip_rows + 1).collect()]  # the head of the file
-    lines = text.rdd.zipWithIndex().filter(lambda x: x[1] >= skip_rows + bool(header)).map(lambda x: x[0][0])
-    df = reader.csv(lines)
-    if header and not schema and len(first) > skip_rows:
-        df = df.toDF(*next(csv.reader([first[-1]], delimiter=sep)))
-    return df
+        reader = spark.read.option("sep", sep).option("encoding", encoding)
+        return (reader.schema(schema) if schema else reader).option("header", header).csv(path)
+    # The lines to skip are the first ones of the block at a file's start; of lines in a task, numbers grow in their order.
+    text = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = text.filter("start = 0").groupBy("file").agg(F.min("at").alias("first"))  # a row a file
+    lines = text.join(F.broadcast(first), "file").withColumn("place", F.when(F.col("start") == 0, F.col("at") - F.col("first")))
+    head = lines.filter(F.col("place") == skip_rows).orderBy("file").limit(1).collect()
+    if not head:
+        return spark.createDataFrame([], schema or "Column_0 string")
+    cells = next(csv.reader([head[0]["value"]], delimiter=sep))
+    names = cells if header else [f"_c{i}" for i in range(len(cells))]
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema) if schema else T.StructType([T.StructField(c, T.StringType()) for c in names])
+    kept = lines.filter(F.col("place").isNull() | (F.col("place") >= skip_rows + bool(header))).filter("trim(value) <> ''")
+    return kept.select(F.from_csv("value", kind.toDDL(), {"sep": sep}).alias("r")).select("r.*")
 
 
 def probe_encoding(spark: SparkSession, path: str, rows: int = 1000) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality as q
+from ..operators.ordered import ROW, with_row_id
 from ..session import remove
 
 # SQL types of the columns of a script.
@@ -43,8 +44,41 @@ def json_lines(df: DataFrame, orient: str = "records", dates: str = "iso", row:
     return df.select(F.explode(F.array(*[F.to_json(F.struct(F.lit(c).alias("column"), F.col(row).alias("row"), F.col(c).cast("string").alias("cell"))) for c in cols])).alias("value"))
 
 
-def write_json(df: DataFrame, path: str, orient: str = "records", mode: str = "errorifexists", **kw) -> None:
-    json_lines(df, orient, **kw).write.mode(mode).text(path)
+def json_document(df: DataFrame, orient: str = "columns", row: str = "row", dates: str = "iso", indent: bool = False) -> DataFrame:
+    """ord, value: the lines, in order, of one JSON document: an object by row or by column, or an array of records or values.
+
+    index is {row: {column: cell}}, columns {column: {row: cell}}; row names the column that identifies rows. Nulls are
+    written. Lines are made where the rows are; nothing is collected.
+    """
+    stamps = [c for c, t in df.dtypes if t in ("timestamp", "timestamp_ntz", "date")]
+    df = df.withColumns({c: F.unix_millis(F.col(c).cast("timestamp")) if dates == "epoch" else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS") for c in stamps})
+    cols = [c for c in df.columns if c != row]
+    at = with_row_id(df, row, unique=True)
+    space, gap = ("  ", " ") if indent else ("", "")
+    plain = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)
+    name = lambda c: F.to_json(F.struct(c.cast("string").alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.cast("string").alias("v")))) - 6)
+    comma = lambda pos: F.when(pos == 0, "").otherwise(",")
+    if orient in ("records", "index", "values"):
+        whole = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}) if orient != "values" else F.concat(F.lit("["), F.concat_ws(",", *[plain(c) for c in cols]), F.lit("]"))
+        key = F.concat(name(F.col(row)), F.lit(f":{gap}")) if orient == "index" else F.lit("")
+        body = at.select((F.col(ROW) + 1).alias("ord"), F.concat(F.lit(space), comma(F.col(ROW)), key, whole).alias("value"))
+        ends = ("{", "}") if orient == "index" else ("[", "]")
+        last = at.agg((F.count("*") + 1).alias("ord")).select("ord", F.lit(ends[1]).alias("value"))
+        return df.sparkSession.createDataFrame([(0, ends[0])], "ord long, value string").unionByName(body).unionByName(last)
+    n = at.count()
+    step = n + 1
+    head = [(i * step, ("{" if i == 0 else "},") + json.dumps(c) + f":{gap}{{") for i, c in enumerate(cols)] + [(len(cols) * step, "}}" if cols else "{}")]
+    body = at.select(F.col(ROW), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), plain(c).alias("v")) for i, c in enumerate(cols)])).alias("x"), name(F.col(row)).alias("k"))
+    body = body.select((F.col("x.i") * step + F.col(ROW) + 1).alias("ord"), F.concat(F.lit(space), comma(F.col(ROW)), "k", F.lit(f":{gap}"), "x.v").alias("value"))
+    return df.sparkSession.createDataFrame(head, "ord long, value string").unionByName(body)
+
+
+def write_json(df: DataFrame, path: str, orient: str = "records", mode: str = "errorifexists", document: bool = False, **kw) -> None:
+    """A line for each row (or cell); with document one JSON document, which the part files are one after the other."""
+    if document:
+        json_document(df, orient, **kw).repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.mode(mode).text(path)
+    else:
+        json_lines(df, orient, **kw).write.mode(mode).text(path)
 
 
 def insert_statements(df: DataFrame, table: str) -> DataFrame:
