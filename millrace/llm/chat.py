@@ -5,9 +5,10 @@ and text, and the exclusive-or of a conversation's first k of them is the rollin
 bits). A conversation whose whole hash is the hash of a proper prefix of another one is dropped by an anti-join; equal
 ones are one; what stays is rendered.
 
-Rolling hashes are prefix scans over blocks of turns: counts and hashes of whole blocks are scanned first, then turns
-within their block, so no task needs all turns of a conversation. Only hashes move before the anti-join; texts move once,
-of conversations that stay. Very long conversations are rendered in segments, a row each.
+Turns of all conversations are ordered together by ranges, which gives each its position; rolling hashes are prefix scans
+over blocks of positions: hashes of whole blocks are scanned first, then turns within their block. So no task needs all
+turns of a conversation, nor all that have one turn number or none. Only hashes move before the anti-join; texts move
+once, of conversations that stay. Very long conversations are rendered in segments, a row each.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import settle
+from ..operators.ordered import with_row_id
 
-#: Turn numbers of a block, and turns of a rendered segment.
+#: Turns of a block, and of a rendered segment.
 BLOCK, SEGMENT = 256, 1024
 TEMPLATE = ("<|im_start|>", "\n", "<|im_end|>\n")
 
@@ -30,14 +32,11 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 def prefixes(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, a, b, pos, x, y: each turn's position from 1, and the rolling hash up to and with it."""
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).cast("long")
-    t = settle(_turns(conversations).select("conv_id", "turn", "a", "b").distinct().withColumn("block", block))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "a", "b")
-    counts = t.groupBy("conv_id", "block").agg(F.count("*").alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    at = t.withColumn("rn", F.row_number().over(inside)).join(counts.select("conv_id", "block", "skip"), ["conv_id", "block"])
-    at = at.withColumn("pos", F.col("rn") + F.col("skip"))
+    t = with_row_id(_turns(conversations).select("conv_id", "turn", "a", "b").distinct(), "conv_id", "turn", "a", "b", name="row", unique=True)
+    at = t.join(t.groupBy("conv_id").agg(F.min("row").alias("start")), "conv_id").withColumn("pos", F.col("row") - F.col("start") + 1)
+    at = at.select("conv_id", "turn", "a", "b", "pos", F.floor((F.col("pos") - 1) / BLOCK).alias("block"))
     hashed = settle(at.select("*", F.xxhash64(F.lit(0), "pos", "a", "b").alias("h"), F.xxhash64(F.lit(1), "pos", "a", "b").alias("g")))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     carried = hashed.groupBy("conv_id", "block").agg(F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
     carried = carried.select("conv_id", "block", F.coalesce(F.bit_xor("h").over(before), F.lit(0)).alias("ch"), F.coalesce(F.bit_xor("g").over(before), F.lit(0)).alias("cg"))

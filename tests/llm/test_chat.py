@@ -47,3 +47,17 @@ def test_long_and_hot(spark, monkeypatch):
 
 def test_empty(spark):
     assert x.collapse_and_render(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_turns_without_a_number_and_long_texts(spark, monkeypatch):
+    """Turns that tie, or have no number, are dealt over blocks like others; a very long text is one turn."""
+    monkeypatch.setattr(x, "BLOCK", 16)
+    rows = [(1, None, "user", f"n{i}") for i in range(400)] + [(2, 7, "user", f"t{i}") for i in range(300)] + [(3, 1, "user", "w " * 300_000), (4, 1, "user", "w " * 300_000), (4, 2, "assistant", "ok")]
+    d = spark.createDataFrame(rows + rows, SCHEMA).repartition(5)
+    place = x.prefixes(d)
+    assert {r.conv_id: (r.n, r.d) for r in place.groupBy("conv_id").agg(F.max("pos").alias("n"), F.count_distinct("pos").alias("d")).collect()} == {1: (400, 400), 2: (300, 300), 3: (1, 1), 4: (2, 2)}
+    out = {r.conv_id: (r.n_turns, r.copies, r.rendered) for r in x.collapse_and_render(d).collect()}
+    assert {c: v[:2] for c, v in out.items()} == {1: (400, 1), 2: (300, 1), 4: (2, 1)}  # 3 is a prefix of 4
+    assert sorted(out[1][2].replace("<|im_start|>user\n", "").split("<|im_end|>\n")[:-1]) == sorted(f"n{i}" for i in range(400))
+    again = {r.conv_id: r.rendered for r in x.collapse_and_render(d.repartition(3)).collect()}
+    assert again == {c: v[2] for c, v in out.items()}
