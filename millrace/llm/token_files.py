@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str, eod: int, dtype:
     """Write the tokens of docs(doc_id, text), each text's followed by eod, to one flat file for each task.
 
     Returns doc_id, file and ord (from 0 in the file), one row for each row of docs; files are there when these rows are.
-    A null text has no tokens. A task writes to a name of its own attempt and moves the whole file at its end, so
+    A null text has no tokens; an id that dtype can't hold is an error; an empty table writes no file. A task writes to a name of its own attempt and moves the whole file at its end, so
     repeated and speculative attempts do no harm.
     """
 

@@ -61,13 +61,25 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), named).otherwise(url)
 
 
+def _without_dots(url: Column) -> Column:
+    """url with the segments . and .. of its path resolved; .. of the root is the root."""
+    origin, path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0), path_of(url)
+    segments = F.split(path, "/")
+    step = lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    whole = F.concat(origin, F.array_join(end, "/"), F.substr(url, F.length(origin) + F.length(path) + 1))
+    return F.when(path.contains("/."), whole).otherwise(url)
+
+
 def _resolve(target: Column, url: Column) -> Column:
-    """target as an absolute URL; // and / are resolved against url, other relative ones against its folder."""
+    """target as an absolute URL; // and / are resolved against url, other relative ones against its folder, . and .. as folders."""
     t = F.trim(F.replace(target, F.lit("&amp;"), F.lit("&")))
     scheme, origin = F.regexp_extract(url, r"(?s)^(.*?):", 1), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
     folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    return F.when(t == "", F.lit(None)).when(t.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.when(t.contains("://"), t)).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(origin, t)).when(t.startswith("#") | t.startswith("?"), F.lit(None)).otherwise(F.concat(origin, folder, t))
+    whole = F.when(t == "", F.lit(None)).when(t.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.when(t.contains("://"), t)).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(origin, t)).when(t.startswith("#") | t.startswith("?"), F.lit(None)).otherwise(F.concat(origin, folder, t))
+    return _without_dots(whole)
 
 
 def link_targets(html: Column) -> Column:
@@ -85,7 +97,9 @@ def verdicts(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES)
     """page_id, host, path, rule, verdict for every row of pages(page_id, url, html).
 
     redirects(src, dst) are further edges between URLs. A null url has empty host and path, no rule and no aliases, so
-    it is allowed; null html has no links. Repeated rows each get the verdict. An empty table gives no rows.
+    it is allowed; null html has no links. Of rules of one length that fit, one that allows decides, then the last by
+    host and path. URLs and pages may be of any length. Repeated rows each get the verdict; other columns play no part. An
+    empty table gives no rows.
     """
     c = F.col
     at = pages.select("page_id", "url", host_of(c("url")).alias("host"), path_of(c("url")).alias("path"))

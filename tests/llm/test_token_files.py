@@ -49,3 +49,8 @@ def test_documents(spark):
     got = x.token_counts(d, RANKS, EOD).collect()
     assert sorted(((r.doc_id, r.n_tokens) for r in got), key=repr) == want
     assert x.token_counts(spark.createDataFrame([], SCHEMA), RANKS, EOD).count() == 0
+
+
+def test_ids_that_the_type_cannot_hold_are_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)out of bounds"):
+        x.write_token_files(docs(spark, [(1, "some text of words")]), str(tmp_path / "t"), RANKS, EOD, "uint8")

@@ -71,3 +71,21 @@ def test_hub_and_edges(spark):
     out = x.verdicts(d)
     assert out.count() == 302 and {r.verdict for r in out.collect()} == {"block"}
     assert x.verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_dot_segments(spark):
+    from urllib.parse import urljoin
+
+    base = "http://h.net/a/b/c/page.html?x=/../"
+    targets = ["../up", "../../up2/./x", "./same", "../../../../../over", "/r/../s/./t/..", "d/..", "q?y=../z", "plain", "http://o.net/p/../q", "//n.net/./m"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(targets)), "i int, t string").orderBy("i").select(x._resolve(F.col("t"), F.lit(base))).collect()]
+    assert got == [urljoin(base, t) if "://" not in t and not t.startswith("//") else {"http://o.net/p/../q": "http://o.net/q", "//n.net/./m": "http://n.net/m"}[t] for t in targets]
+
+
+def test_long_pages_and_equal_rules(spark):
+    long = "http://x.com/" + "a/" * 100_000
+    rows = [(1, long, link("http://x.com/de/bad") + "<p>" * 300_000), (2, "http://y.net/" + "b" * 200_000, link("http://x.com/de/bad"))]
+    assert {i: v[3] for i, v in got(x.verdicts(spark.createDataFrame(rows, SCHEMA))).items()} == {1: "block", 2: "block"}
+    rules = (("block", "t.org", "/abc"), ("allow", "t.org", "/abc"), ("block", "t.org", "/xy"))
+    d = spark.createDataFrame([(1, "http://t.org/abcd", None), (2, "http://t.org/xyz", None)], SCHEMA)
+    assert {i: v[2:] for i, v in got(x.verdicts(d, rules=rules)).items()} == {1: ("t.org/abc", "allow"), 2: ("t.org/xy", "block")}
