@@ -74,12 +74,22 @@ def _running(forward: bool, row: str, *by: str):
 
 def fill(df: DataFrame, col: str, direction: str = "forward", row: str = ROW, by: list[str] | None = None) -> DataFrame:
     """Each null of col takes the last value before it (or the first after it) by row; leading (trailing) ones stay."""
-    forward = direction == "forward"
-    if by:
-        return df.withColumn(col, F.last(col, ignorenulls=True).over(_running(forward, row, *by)))
-    carry = _carried(df, {"__c": F.col(col)}, row, forward)
-    out = df.withColumn("__b", _bucket(row)).join(carry, "__b")
-    return out.withColumn(col, F.coalesce(F.last(col, ignorenulls=True).over(_running(forward, row, "__b")), "__c")).drop("__b", "__c")
+    forward, by = direction == "forward", by or []
+    pick, sort = (F.max_by, F.col) if forward else (F.min_by, F.desc)
+    if not by:
+        carry = _carried(df, {"__c": F.col(col)}, row, forward)
+        out = df.withColumn("__b", _bucket(row)).join(carry, "__b")
+        return out.withColumn(col, F.coalesce(F.last(col, ignorenulls=True).over(_running(forward, row, "__b")), "__c")).drop("__b", "__c")
+    # A group is cut into buckets of rows like the table; a bucket gets the last value of the group's buckets before it.
+    each = df.groupBy(*by, _bucket(row).alias("__b")).agg(pick(col, F.when(F.col(col).isNotNull(), F.col(row))).alias("__c"))
+    before = Window.partitionBy(*by).orderBy(sort("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = each.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], F.col("__b").alias("__at"), F.last("__c", ignorenulls=True).over(before).alias("__c"))
+    out = df.withColumn("__b", _bucket(row))
+    same = F.col("__b") == F.col("__at")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    out = out.join(carry, same).withColumn(col, F.coalesce(F.last(col, ignorenulls=True).over(_running(forward, row, *by, "__b")), "__c"))
+    return out.select(*df.columns)
 
 
 def interpolate(df: DataFrame, col: str, row: str = ROW) -> DataFrame:

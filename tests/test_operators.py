@@ -556,3 +556,15 @@ def test_assistant_plans():
     assert assistant.template("please clean and visualize") == assistant.TEMPLATES["clean_and_visualize"]
     assert assistant.template("clean") == [] and assistant.template("date parts") == assistant.TEMPLATES["time_series_analysis"]
     assert assistant.follow_ups(["remove_nulls", "remove_duplicates"]) == ["look at the profile again"] and assistant.follow_ups(["sort_data"]) == []
+
+
+@pytest.mark.parametrize("bucket", [4, 1 << 16])
+def test_fill_within_groups(spark, monkeypatch, bucket):
+    monkeypatch.setattr(ordered, "BUCKET", bucket)
+    rnd = random.Random(6)
+    rows_ = [(i, rnd.choice(["hot", "hot", "b", None]), None if rnd.random() < 0.5 else float(i)) for i in range(60)]
+    d = ordered.with_row_id(spark.createDataFrame(rows_, "i long, g string, v double").repartition(4), "i")
+    p = pd.DataFrame(rows_, columns=["i", "g", "v"])
+    for how, want in (("forward", p.groupby("g", dropna=False)["v"].ffill()), ("backward", p.groupby("g", dropna=False)["v"].bfill())):
+        got = ordered.fill(d, "v", how, by=["g"])
+        assert got.columns == d.columns and col(got) == [None if math.isnan(v) else v for v in want]
