@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from ..operators import ordered as o
 from ..operators import rows as rw
 from ..operators.cleaning import tokens_to_null
 from ..plans.sql import query as sql_query
-from ..session import shared_dir
+from ..session import remove, shared_dir
 from .registry import query, r
 
 MIXED = "case when event_id % 5 = 0 then 'N/A' when event_id % 5 = 1 then '-' else cast(cast(floor(value) as int) as varchar(20)) end"
@@ -331,5 +333,12 @@ def src_6_robust_load(t):
 
 
 def scratch(spark, kind: str) -> str:
-    """A new folder where driver and executors meet."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A new folder where driver and executors meet, which is removed when the program ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(_tidy, spark, path)
+    return path
+
+
+def _tidy(spark, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        remove(spark, path)
