@@ -5,7 +5,8 @@ length. Each view has a logistic model. In each round both views rank all unlabe
 scores, and each gives its most confident good and bad ones, a growing share, to the other one to learn from, with the
 weight that its ranking has earned on labelled documents that neither has learnt from. Then both are calibrated on further
 labelled documents, a logistic combination of the calibrated views scores every document, and documents under a cut,
-which is chosen on labelled documents of its own, are rejected.
+which is chosen on labelled documents of its own, are rejected. With calibration and cut as found, the models that score
+have learnt from all labelled documents of the sample.
 
 The first models are fitted on the driver, on a bounded sample of labelled documents (LABELLED below: of each class the
 documents whose hashed ids are the smallest). Pseudo-labels come from all unlabelled documents: their features are
@@ -298,7 +299,7 @@ def cotrain(views: tuple[View, View], y: np.ndarray, fold: np.ndarray, weight: t
     sizes = (1 << WORD_BITS, 1 << META_BITS)
     own = [v.take(learn) for v in views]
     models = [Model.fit(v, y[learn].astype(float), k) for v, k in zip(own, sizes, strict=True)]
-    exchanged = (0, 0)
+    exchanged, teachers = (0, 0), []
     for share in SHARES if pool is not None else ():
         teachers = _teachers(models, [v.take(judge) for v in views], y[judge], stands[judge], np.bincount(y[learn], minlength=2), share, pool)
         exchanged = tuple(t.given for t in teachers)
@@ -313,6 +314,9 @@ def cotrain(views: tuple[View, View], y: np.ndarray, fold: np.ndarray, weight: t
     base = np.log((even * y[last]).sum() / (even * (1 - y[last])).sum())
     out = Classifier(models[0], models[1], platt, _platt(logits, y[last], even, (1, 1, -base), 1.0), CUT, exchanged)
     out.cut = _cut(out.score(*(v.take(cut) for v in views))[2], y[cut])
+    # What was held out has judged, calibrated and set the cut; now the models learn from it, too, beside the last round's pseudo-labels.
+    models = [Model.fit(v, y.astype(float), k) for v, k in zip(views, sizes, strict=True)]
+    out.text, out.meta = _taught(models, teachers, list(views), y, pool) if any(exchanged) else models
     return out
 
 
