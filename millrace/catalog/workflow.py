@@ -10,7 +10,7 @@ from ..plans import assistant, charts
 from ..plans import sql as sq
 from ..plans.workflow import Workflow, quarantine_rows
 from .basic import MIX, MIXED, mixed_strings, scratch
-from .profiling import recommended_sql
+from .profiling import FACTS, dirty, recommended_sql
 from .registry import query, r
 
 
@@ -337,3 +337,56 @@ def snk_1_csv_options(t):
     path = scratch(spark, "latin")
     write_csv(t("nation").select("n_nationkey", "n_name"), path, sep="|", encoding="iso-8859-1", header=False)
     return read(spark, path, "csv", header=False, sep="|", encoding="iso-8859-1").select(F.col("_c0").cast("int").alias("n_nationkey"), F.col("_c1").alias("n_name"))
+
+
+@query("select * from (values ('csv', 25, 3), ('json', 25, 3), ('parquet', 25, 3), ('xlsx', 25, 3)) as v(format, n, n_columns)")
+def src_1_by_ending(t):
+    """The format follows from the ending of the path."""
+    from ..sources import excel, sinks
+    from ..sources.readers import read
+
+    spark, n = t("nation").sparkSession, t("nation")
+    out = []
+    for fmt, write in {"csv": sinks.write_csv, "json": sinks.write_json, "parquet": sinks.write_parquet, "xlsx": excel.write_excel}.items():
+        path = f"{scratch(spark, 'ending')}.{fmt}"
+        write(n, path)
+        d = read(spark, path)
+        out.append((fmt, d.count(), len(d.columns)))
+    return spark.createDataFrame(out, "format string, n long, n_columns int")
+
+
+@query("select * from (values ('utf-8', 'utf-8'), ('iso-8859-1', 'iso-8859-1')) as v(written, found)")
+def src_5_encodings(t):
+    from ..sources.readers import probe_encoding
+    from ..sources.sinks import write_csv
+
+    spark, out = t("nation").sparkSession, []
+    for e in ("utf-8", "iso-8859-1"):
+        path = scratch(spark, "encoded")
+        write_csv(t("nation").select("n_nationkey", F.concat(F.lit("Köln "), "n_name").alias("name")), path, encoding=e)
+        out.append((e, probe_encoding(spark, path)))
+    return spark.createDataFrame(out, "written string, found string")
+
+
+@query("select * from (values ('csv', 0.8::double), ('json', 1.2), ('parquet', 0.3), ('sql', 1.0), ('xlsx', 0.9)) as v(format, share)")
+def snk_6_size_estimates(t):
+    """What files are likely to take, by format, against the size in memory."""
+    from ..sources.sinks import size_estimate
+
+    d = t("nation")
+    whole = size_estimate(d, "sql")
+    return d.sparkSession.createDataFrame([(f, round(size_estimate(d, f) / whole, 6)) for f in ("csv", "json", "parquet", "sql", "xlsx")], "format string, share double")
+
+
+@query(f"{FACTS} select cast(n as bigint) as n_rows, cast(4 as bigint) as n_columns, cast(dup as bigint) as duplicates, round(0.2 * (100 - 100.0 * miss / (n * cols)) + 0.2 * 100 + 0.25 * 85 + 0.15 * 90 + 0.1 * 95 + 0.1 * (100 - 100.0 * dup / n), 2)::double as score, cast(miss as bigint) as missing_values from f")
+def snk_7_html_report(t):
+    """The figures of the report, read from its text."""
+    import re
+
+    from ..sources.sinks import html_report
+
+    text = html_report(dirty(t), "Events & more")
+    found = re.search(r"<p>(\d+) rows, (\d+) columns, (\d+) duplicates. Score ([\d.]+)\.</p>", text)
+    missing = re.search(r"<td>value</td><td>(\d+)</td>", text)
+    row = (*(int(x) for x in found.groups()[:3]), float(found.group(4)), int(missing.group(1)))
+    return t("region").sparkSession.createDataFrame([row], "n_rows long, n_columns long, duplicates long, score double, missing_values long")

@@ -24,7 +24,7 @@ ENCODINGS = ("utf-8", "iso-8859-1", "windows-1252")
 def format_of(path: str) -> str:
     """The format that a file's ending names."""
     end = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if end not in ("csv", "json", "parquet", "xlsx"):
+    if end not in ("csv", "json", "parquet", "xlsx", "xls"):
         raise HardStop(f"unsupported format: {end}")
     return end
 
@@ -35,6 +35,8 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, *, header: bool
     skip_rows, header, nulls and index are of csv and xlsx only, sheet of xlsx; without a schema csv columns are text.
     """
     fmt = fmt or format_of(path)
+    if fmt == "xls":
+        raise NotImplementedError("the old workbook format isn't read; save it as xlsx or csv")
     if fmt in ("csv", "xlsx"):
         df = _csv(spark, path, header, skip_rows, sep, encoding, schema) if fmt == "csv" else read_excel(spark, path, sheet, header, skip_rows)
         df = tokens_to_null(df, NULL_TOKENS if nulls is None else nulls)

@@ -341,7 +341,7 @@ def test_files(spark, tmp_path):
         assert sinks.json_lines(t, orient, row="a").count() > 0
     assert sinks.size_estimate(t, "json") > sinks.size_estimate(t, "parquet") > 0
     with pytest.raises(NotImplementedError):
-        readers.read(spark, "x.xlsx", "xlsx")
+        readers.read(spark, "x.xls")
 
 
 def test_classes(spark):
