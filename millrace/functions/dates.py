@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Formats in the order they are tried, day first and month first.
 DETECTED = ["%Y-%m-%d", "%Y/%m/%d", "%d-%m-%Y", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%y", "%m/%d/%y", "%d/%m/%y", "%m-%d-%Y", "%Y.%m.%d", "%d.%m.%Y", "%b %d %Y", "%d %b %Y", "%B %d %Y"]
+# The parts that both orders of smart parsing are made of.
 _ISO = ["%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d"]
 _DAY = ["%d-%m-%Y", "%d/%m/%Y", "%d/%m/%y", "%d-%m-%y"]
 _MONTH = ["%m/%d/%Y", "%m/%d/%y", "%m-%d-%Y"]
