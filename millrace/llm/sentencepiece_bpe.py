@@ -4,7 +4,8 @@ A token sequence is the BPE encoding of its text exactly if every two adjacent t
 out as those two tokens. So the encoder walks the text from the left with the longest vocabulary match at each position
 (Aho-Corasick), accepts a token if it is compatible with the one before, falls back to the next shorter match if it
 isn't, and steps back when none is left; a bitfield of failed positions keeps it from trying a position twice. Whether
-two tokens are compatible is found by re-merging them and is remembered.
+two tokens are compatible is found by re-merging them; which of the matches in a place fits the token before is
+remembered.
 
 No merge crosses a place whose two characters stand side by side in no piece. Where the vocabulary has no piece with
 the space mark after another character (and none with Latin letters next to ASCII signs), which is checked when it is
@@ -88,37 +89,58 @@ class Codec:
         self.words = re.compile(next(w for w, across in SPLITS if not any(re.search(across, p) for p in self.id))).findall
         self.decimal = [b"%d" % i for i in range(len(v.pieces))]
         self.plain = [p.replace(SPACE, " ") if k == 1 else None for p, k in zip(v.pieces, v.kinds, strict=True)]
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, str]] = {}  # by the token before
+        self.pairs = 0  # in fits
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best pair first, the leftmost of equal ones."""
-        s, score = list(text), self.score.get
-        while len(s) > 1:
-            best, at = max((score(a + b, float("-inf")), -i) for i, (a, b) in enumerate(zip(s, s[1:])))
-            if best == float("-inf"):
-                break
-            s[-at : 2 - at] = [s[-at] + s[1 - at]]
+        s, none = list(text), float("-inf")
+        of = lambda i: self.score.get(s[i] + s[i + 1], none)
+        scores = [of(i) for i in range(len(s) - 1)]  # of each token with the next one
+        while scores and (best := max(scores)) > none:
+            i = scores.index(best)
+            s[i : i + 2] = [s[i] + s[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = of(i - 1)
+            if i < len(scores):
+                scores[i] = of(i)
         return s
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Do tokens a, b stay as they are when their text is merged anew? An empty a asks for b alone."""
-        if (ok := self.fits.get((a, b))) is None:
-            if len(self.fits) >= PAIRS:
+    def fitting(self, last: str, token: str) -> str:
+        """The longest of a token and the shorter matches in its place that is compatible with the token before; "" if none is.
+
+        Two tokens are compatible if they stay as they are when their text is merged anew; an empty one before asks for
+        the token alone.
+        """
+        found = self.fits.get(last, {}).get(token)
+        if found is None:
+            if self.merge(last + token) == ([last, token] if last else [token]):
+                found = token
+            else:
+                found = self.fitting(last, self.shorter[token]) if len(token) > 1 else ""
+            if self.pairs >= PAIRS:
                 self.fits.clear()
-            ok = self.fits[a, b] = self.merge(a + b) == ([a, b] if a else [b])
-        return ok
+                self.pairs = 0
+            self.fits.setdefault(last, {})[token] = found
+            self.pairs += 1
+        return found
 
     def tokens(self, word: str) -> list[str]:
         n, longest = len(word), list(word)
         for end, (back, p) in self.matches.iter(word):  # ends ascend, so the longest match comes last
             longest[end - back] = p
         out: list[str] = []
-        fits, failed, pos, last, token = self.fits, bytearray(n // 8 + 1), 0, "", longest[0]  # a bit for each position
+        fits, failed, pos, last, token = self.fits, None, 0, "", longest[0]
         while True:
+            try:
+                token = fits[last][token]
+            except KeyError:
+                token = self.fitting(last, token)
             end = pos + len(token)
-            if not failed[end >> 3] >> (end & 7) & 1 and (fits[last, token] if (last, token) in fits else self.compatible(last, token)):
+            if token and (failed is None or not failed[end >> 3] >> (end & 7) & 1):
                 out.append(token)
                 if end == n:
                     return out
@@ -126,6 +148,8 @@ class Codec:
             elif len(token) > 1:
                 token = self.shorter[token]
             else:  # no token fits here: step back, and never come here again
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)  # a bit for each position
                 failed[pos >> 3] |= 1 << (pos & 7)
                 token = out.pop()
                 pos -= len(token)
