@@ -44,6 +44,30 @@ def test_long_words(own, library):
         assert own.encode(t) == library.encode(t)
 
 
+def plain_bpe(text, score):
+    """Best pair of all first, the leftmost of equal ones, all pairs scored anew each time."""
+    s = list(text)
+    while len(s) > 1:
+        best, at = max((score.get(a + b, float("-inf")), -i) for i, (a, b) in enumerate(zip(s, s[1:])))
+        if best == float("-inf"):
+            break
+        s[-at : 2 - at] = [s[-at] + s[1 - at]]
+    return s
+
+
+def test_merge_and_few_remembered_pairs(own, library, monkeypatch):
+    monkeypatch.setattr(x, "PAIRS", 40)
+    few = x.Codec(own.v)
+    rnd = random.Random(11)
+    alphabet = list("aeinorstl▁") + ["th", "ing", "qu", "é", "世"]
+    for _ in range(1500):
+        w = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 14)))
+        assert few.merge(w) == plain_bpe(w, few.score), w
+        assert few.tokens(w) == plain_bpe(w, few.score), w
+        assert few.encode(w) == library.encode(w), w
+        assert few.pairs == sum(map(len, few.fits.values())) <= 40
+
+
 def test_documents(own, library):
     for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
         ids = library.encode(t)
