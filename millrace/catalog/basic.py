@@ -288,6 +288,63 @@ def src_2_csv_round_trip(t):
     return d.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
 
 
+QUOTED = """'He said: "' || coalesce(text, '') || '",' || chr(10) || '"' || chr(13) || chr(10) || ' end'"""
+
+
+@query(f"select doc_id, cast(length({QUOTED}) as integer) as n_chars, sha256({QUOTED}) as digest, source from documents")
+def src_2_quoted(t):
+    """A CSV file made by hand: whole texts with line breaks, separators and quotes, in quotes."""
+    from ..sources.readers import read
+
+    spark = t("documents").sparkSession
+    path = scratch(spark, "quoted")
+    cell = F.concat(F.lit('"'), F.replace(F.expr(QUOTED), F.lit('"'), F.lit('""')), F.lit('"'))
+    t("documents").select(F.concat_ws(",", cell, "doc_id", "source").alias("value")).write.text(path)
+    d = read(spark, path, "csv", header=False, nulls=["no such token"])
+    return d.select(F.col("_c1").cast("long").alias("doc_id"), F.length("_c0").alias("n_chars"), F.sha2("_c0", 256).alias("digest"), F.col("_c2").alias("source"))
+
+
+@query(f"select doc_id, cast(length({QUOTED}) as integer) as n_chars, sha256({QUOTED}) as digest, source from documents")
+def snk_1_quoted(t):
+    """Whole texts with line breaks, separators and quotes, written as CSV and read again."""
+    from ..sources.readers import read
+    from ..sources.sinks import write_csv
+
+    spark = t("documents").sparkSession
+    path = scratch(spark, "quoted")
+    write_csv(t("documents").select("doc_id", F.expr(QUOTED).alias("text"), "source"), path)
+    d = read(spark, path, "csv", nulls=["no such token"])
+    return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"), "source")
+
+
+@query("select c_custkey, c_name || case when c_custkey = (select max(c_custkey) from customer) then ' é' else '' end as c_name, 'iso-8859-1' as encoding from customer")
+def src_5_late_byte(t):
+    """The only byte that is no UTF-8 is in the last of many lines."""
+    from ..sources.readers import probe_encoding, read
+    from ..sources.sinks import write_csv
+
+    c = t("customer")
+    path = scratch(c.sparkSession, "late")
+    last = F.broadcast(c.agg(F.max("c_custkey").alias("last")))
+    named = c.join(last).select("c_custkey", F.concat("c_name", F.when(F.col("c_custkey") == F.col("last"), " é").otherwise("")).alias("c_name"))
+    write_csv(named.repartitionByRange(1, "c_custkey").sortWithinPartitions("c_custkey"), path, encoding="iso-8859-1")
+    found = probe_encoding(c.sparkSession, path)
+    return read(c.sparkSession, path, "csv", encoding=found).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.lit(found).alias("encoding"))
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def src_4_nested_document(t):
+    """One JSON document over several lines, the first of which looks whole."""
+    from ..sources.readers import read
+
+    n = t("nation")
+    path = scratch(n.sparkSession, "nested")
+    body = F.concat(F.lit('{"at": {"key": '), "n_nationkey", F.lit("}\n, "), F.expr("""'"name": ' || to_json(array(n_name))"""), F.lit(',\n"region": {"key": '), "n_regionkey", F.lit("} }"))
+    n.repartition(5, "n_nationkey").groupBy(F.spark_partition_id()).agg(F.array_join(F.collect_list(body), "\n, ").alias("b")).select(F.concat(F.lit("["), "b", F.lit("]")).alias("value")).repartition(5).write.text(path)
+    d = read(n.sparkSession, path, "json")
+    return d.select(F.col("at.key").cast("int").alias("n_nationkey"), F.col("name")[0].alias("n_name"), F.col("region.key").cast("int").alias("n_regionkey"))
+
+
 @query("select n_nationkey, n_name, n_regionkey from nation")
 def src_4_json_round_trip(t):
     from ..sources.readers import read

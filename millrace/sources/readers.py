@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import csv
 import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.cleaning import NULL_TOKENS, tokens_to_null
 from ..operators.columns import clean_names, drop_empty
 from ..operators.types import auto_convert
 from ..plans.result import HardStop
 from ..session import nan_to_null
+from .delimited import read_csv
 from .excel import read_excel
 
 BLOCK_BYTES, WARN_BYTES = 1024 << 20, 500 << 20
@@ -38,12 +37,12 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, *, header: bool
     if fmt == "xls":
         raise NotImplementedError("the old workbook format isn't read; save it as xlsx or csv")
     if fmt in ("csv", "xlsx"):
-        df = _csv(spark, path, header, skip_rows, sep, encoding, schema) if fmt == "csv" else read_excel(spark, path, sheet, header, skip_rows)
+        df = read_csv(spark, path, header, skip_rows, sep, encoding, schema) if fmt == "csv" else read_excel(spark, path, sheet, header, skip_rows)
         df = tokens_to_null(df, NULL_TOKENS if nulls is None else nulls)
         df = df.select(index, *[c for c in df.columns if c != index]) if index else df
     elif fmt == "json":
-        first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-        whole = bool(first) and not first[0][0].strip().endswith("}")  # an array, or an object over several lines
+        first = spark.read.text(path).filter(F.trim("value") != "").limit(1).select(F.get_json_object("value", "$").isNull().alias("part")).collect()
+        whole = bool(first) and first[0]["part"]  # a value that goes on in the next line
         df = (spark.read.schema(schema) if schema else spark.read).json(path, multiLine=whole)
     elif fmt == "parquet":
         df = spark.read.parquet(path)
@@ -53,32 +52,10 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, *, header: bool
     return df.limit(n) if n is not None else df
 
 
-def _csv(spark, path, header, skip_rows, sep, encoding, schema) -> DataFrame:
-    if not skip_rows:
-        reader = spark.read.option("sep", sep).option("encoding", encoding)
-        return (reader.schema(schema) if schema else reader).option("header", header).csv(path)
-    # The lines to skip are the first ones of the block at a file's start; of lines in a task, numbers grow in their order.
-    text = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    first = text.filter("start = 0").groupBy("file").agg(F.min("at").alias("first"))  # a row a file
-    lines = text.join(F.broadcast(first), "file").withColumn("place", F.when(F.col("start") == 0, F.col("at") - F.col("first")))
-    head = lines.filter(F.col("place") == skip_rows).orderBy("file").limit(1).collect()
-    if not head:
-        return spark.createDataFrame([], schema or "Column_0 string")
-    cells = next(csv.reader([head[0]["value"]], delimiter=sep))
-    names = cells if header else [f"_c{i}" for i in range(len(cells))]
-    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema) if schema else T.StructType([T.StructField(c, T.StringType()) for c in names])
-    kept = lines.filter(F.col("place").isNull() | (F.col("place") >= skip_rows + bool(header))).filter("trim(value) <> ''")
-    return kept.select(F.from_csv("value", kind.toDDL(), {"sep": sep}).alias("r")).select("r.*")
-
-
-def probe_encoding(spark: SparkSession, path: str, rows: int = 1000) -> str:
-    """The first of the usual encodings under which the head of the file has no replacement characters."""
-    for e in ENCODINGS:
-        head = spark.read.option("encoding", e).option("header", "false").csv(path).limit(rows)
-        bad = head.select(F.max(F.concat_ws("", *head.columns).contains("�")).alias("b")).first()["b"]
-        if not bad:
-            return e
-    return ENCODINGS[1]
+def probe_encoding(spark: SparkSession, path: str) -> str:
+    """The first of the usual encodings in which every line of the file is valid, by all its bytes: every byte is a letter in the second."""
+    fine = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("fine")).first()["fine"]
+    return ENCODINGS[1] if fine is False else ENCODINGS[0]
 
 
 def robust_load(df: DataFrame) -> DataFrame:

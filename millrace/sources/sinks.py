@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as q
 from ..operators.ordered import ROW, with_row_id
 from ..session import remove
+from .delimited import QUOTING
 
 # SQL types of the columns of a script.
 SQL_TYPES = {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "TIMESTAMP"}
@@ -21,7 +22,8 @@ SIZE_FACTORS = {"csv": 0.8, "xlsx": 0.9, "json": 1.2, "parquet": 0.3, "sql": 1.0
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "utf-8", header: bool = True, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).csv(path, sep=sep, encoding=encoding, header=header)
+    """Cells with separators, quotes or line breaks are in quotes, and quotes in them doubled; blanks at their ends stay."""
+    df.write.mode(mode).options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", **QUOTING).csv(path, sep=sep, encoding=encoding, header=header)
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: str = "errorifexists") -> None:

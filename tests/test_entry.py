@@ -21,16 +21,15 @@ def test_entry(spark):
 def copy_without_llm(tmp_path):
     at = tmp_path / "repo"
     shutil.copytree(REPO, at, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
-    return at, {"PATH": os.environ.get("PATH", "/usr/bin:/bin"), "PYTHONPATH": str(at), "JAVA_HOME": os.environ.get("JAVA_HOME", "")}
+    return at, os.environ | {"PYTHONPATH": os.pathsep.join([str(at), *filter(None, [os.environ.get("PYTHONPATH")])])}
 
 
 def test_without_llm(tmp_path):
-    """The rest imports, and its tests pass: a part of them is run here."""
+    """The rest imports, and its tests of queries pass."""
     at, env = copy_without_llm(tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'profile_numeric' in q and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=at, check=True, env=env)
-    some = ["tests/test_operators.py", "tests/test_catalog.py", "-q", "-x", "-k", "prj_ or flt_1 or sco_ or predicates or reshape or workflow or assistant"]
-    subprocess.run([sys.executable, "-m", "pytest", *some], cwd=at, check=True, env={k: v for k, v in env.items() if v})
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_catalog.py", "-q", "-x"], cwd=at, check=True, env=env)
 
 
 def test_a_missing_library_takes_only_llm_away():
