@@ -44,9 +44,11 @@ def moments(c: Column) -> dict[str, Column]:
 
 
 def _long(df: DataFrame, cols: list[str], measures) -> DataFrame:
-    """A row for each column, from one aggregate over all of them."""
-    one = df.agg(*[F.struct(F.lit(c).alias("column_name"), *[v.alias(k) for k, v in measures(F.col(f"`{c}`")).items()]).alias(f"s{i}") for i, c in enumerate(cols)])
-    return one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("s")).select("s.*")
+    """A row for each column, from one aggregate over all cells: one column's measures, so that they stay one compiled step."""
+    cells = df.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("__c", "__v"))
+    found = cells.groupBy("__c").agg(*[v.alias(k) for k, v in measures(F.col("__v")).items()])
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "__c int, column_name string")
+    return names.join(found, "__c", "left").drop("__c")
 
 
 def profile_numeric(df: DataFrame, cols: list[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -109,7 +111,8 @@ def duplicate_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     """column_name, missing, missing_pct, present and risk (critical from 20 %, medium from 5 %)."""
-    out = _long(df, df.columns, lambda c: {"missing": F.count(F.when(c.isNull(), 1)), "present": F.count(c)})
+    one = df.agg(F.count("*").alias("n"), F.array(*[F.count(F.col(f"`{c}`")) for c in df.columns]).alias("p"))
+    out = one.select("n", F.posexplode("p").alias("i", "present"), F.array(*map(F.lit, df.columns)).alias("c")).select(F.col("c")[F.col("i")].alias("column_name"), (F.col("n") - F.col("present")).alias("missing"), "present")
     share = F.col("missing") / F.greatest(F.col("missing") + F.col("present"), F.lit(1))
     return out.select("column_name", "missing", "present", (share * 100).alias("missing_pct"), F.when(share >= 0.20, "critical").when(share >= 0.05, "medium").otherwise("none").alias("risk"))
 

@@ -4,6 +4,7 @@ import math
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pytest
 from millrace import session as se
@@ -58,7 +59,7 @@ def test_quantiles(spark, monkeypatch):
     v = [float(rnd.randrange(30)) for _ in range(101)]
     ps = [0.0, 0.13, 0.5, 0.77, 1.0]
     for few in (0, 1 << 18):
-        monkeypatch.setattr(quantiles, "FEW", few)
+        monkeypatch.setattr(quantiles, "BOUND", few)
         assert quantiles.quantiles(nums(spark, [*v, None]), ["v"], ps).first().q == pytest.approx(pd.Series(v).quantile(ps).tolist())
         assert quantiles.scalars(nums(spark, []), "v", m=0.5).first().m is None
 
@@ -388,7 +389,7 @@ def test_kendall_of_many_values(spark):
 
 @pytest.mark.parametrize("few", [0, 1 << 18])
 def test_quantiles_of_columns_and_groups(spark, monkeypatch, few):
-    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "BOUND", few)
     rnd = random.Random(3)
     rows_ = [(rnd.choice(["hot", "hot", "hot", "b", None]), rnd.choice([None, float(rnd.randrange(9))]), rnd.random()) for _ in range(400)] + [("lone", None, 0.5)]
     d, p = spark.createDataFrame(rows_, "g string, a double, b double"), pd.DataFrame(rows_, columns=["g", "a", "b"])
@@ -628,3 +629,30 @@ def test_encodings_and_json_layouts_by_the_whole(spark, tmp_path):
         (tmp_path / f"{i}.json").write_text(text)
         d = readers.read(spark, str(tmp_path / f"{i}.json"))
         assert d.select("a.b", "c").count() == n and "_corrupt_record" not in d.columns
+
+
+@pytest.mark.parametrize(("bound", "sketch", "grid", "slack"), [(1 << 18, 4096, 1024, 3), (40, 16, 20, 1), (1, 8, 4, 0)])
+def test_quantiles_equal_numpy_to_the_bit(spark, monkeypatch, bound, sketch, grid, slack):
+    """By ordering all values, by brackets in turns, and by brackets that are often wrong: hot values, few values, infinities."""
+    for k, v in {"BOUND": bound, "SKETCH": sketch, "GRID": grid, "SLACK": slack}.items():
+        monkeypatch.setattr(quantiles, k, v)
+    rng = np.random.default_rng(3)
+    n, ps = 3001, [i / 19 for i in range(20)] + [0.001, 0.5]
+    p = pd.DataFrame({"x": rng.normal(size=n), "hot": np.where(rng.random(n) < 0.6, 7.0, np.round(rng.normal(size=n), 1)), "few": rng.integers(0, 3, n).astype(float), "wide": np.exp(rng.normal(size=n) * 50), "g": rng.integers(0, 2, n)})
+    p.loc[5, "wide"] = np.inf
+    cols = ["x", "hot", "few", "wide"]
+    d = spark.createDataFrame(p)
+    got = {r.column_name: r.q for r in quantiles.quantiles(d, cols, ps).collect()}
+    with np.errstate(invalid="ignore"):
+        assert all(got[c][:-3] + got[c][-2:] == (w := np.quantile(p[c].to_numpy(), ps).tolist())[:-3] + w[-2:] for c in cols)
+        if bound > 1 or sketch > 8:
+            by = {(r.g, r.column_name): r.q for r in quantiles.quantiles(d, cols[:2], ps, ["g"]).collect()}
+            assert all(by[g, c] == np.quantile(v[c].to_numpy(), ps).tolist() for g, v in p.groupby("g") for c in cols[:2])
+
+
+def test_quantiles_at_the_bound(spark, monkeypatch):
+    """One more value than are ordered in a task changes nothing."""
+    n = quantiles.BOUND
+    for k in (n, n + 1):
+        d = spark.range(k).select((F.xxhash64("id") % 1_000_003 / 7).alias("v"))
+        assert quantiles.quantiles(d, ["v"], [0.1, 0.5, 0.77]).first().q == np.quantile(d.toPandas().v.to_numpy(), [0.1, 0.5, 0.77]).tolist()
