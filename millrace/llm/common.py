@@ -10,7 +10,6 @@ import gc
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import settle, shared_dir  # noqa: F401
 
@@ -66,16 +65,16 @@ def free_name(df: DataFrame, *stems: str) -> list[str]:
 def keep_winners(docs: DataFrame, key: Column, winners: DataFrame) -> DataFrame:
     """Rows of docs whose (doc_id, key) is in winners(w_id, w_key, w_same); one row of those that agree in both.
 
-    w_same is the number of rows of docs with that (doc_id, key): only where it is over 1 are rows numbered, and in the
-    usual case that there are none, the texts go through one join. Null doc_ids match null-safely.
+    w_same is the number of rows of docs with that (doc_id, key): only where it is over 1 are rows compared, each task's
+    among themselves first, and in the usual case that there are none, the texts go through one join. Null doc_ids match
+    null-safely.
     """
-    k, same, rn, wi = free_name(docs, "k__", "same__", "rn__", "wi__")
+    k, same, wi, row = free_name(docs, "k__", "same__", "wi__", "row__")
     w = settle(winners.select(F.col("w_id").alias(wi), F.col("w_key").alias(k), F.col("w_same").alias(same)))
-    left = docs.withColumn(k, key).alias("l")
+    left = docs.select(F.struct(*columns(docs)).alias(row), F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias(k)).alias("l")
     met = left.join(w.alias("r"), F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) & F.col("l.doc_id").eqNullSafe(F.col(f"r.{wi}")))
-    met = met.select("l.*", f"r.{same}")
+    met = met.select(f"l.{row}", "l.doc_id", "l.text", f"l.{k}", f"r.{same}")
     if not w.filter(F.col(same) > 1).limit(1).count():
-        return met.select(*columns(docs))
-    again = met.filter(F.col(same) > 1)
-    one = again.withColumn(rn, F.row_number().over(Window.partitionBy("doc_id", k).orderBy("text"))).filter(F.col(rn) == 1)
-    return met.filter(F.col(same) == 1).select(*columns(docs)).unionByName(one.select(*columns(docs)))
+        return met.select(f"{row}.*")
+    one = met.filter(F.col(same) > 1).groupBy("doc_id", k).agg(F.min_by(row, "text").alias(row))
+    return met.filter(F.col(same) == 1).select(f"{row}.*").unionByName(one.select(f"{row}.*"))

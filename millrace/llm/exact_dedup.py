@@ -4,7 +4,7 @@ A frequent-items sketch (the Misra-Gries family: approx_top_k keeps a bounded nu
 together) names every digest that could hold a large share of the rows; all of its counters above that share are taken.
 Those digests are counted exactly, with pre-aggregation, and their winners (one row for each, at most as many as there are
 counters) are broadcast, so that rows of a hot digest are decided where they are read. All other digests shuffle in the
-ordinary way: none of them can hold more than 3.5 / COUNTERS of the rows.
+ordinary way: none of them can hold more than 3.5 / COUNTERS of the rows, and their winners are aggregates, joined back.
 
 Everything is DataFrame functions. Only digests move; texts stay at the scan until the final join.
 """
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import ascii_lower, keep_winners, settle
 
@@ -40,12 +39,10 @@ def decisions(docs: DataFrame) -> DataFrame:
     hot = top.filter(F.col("t.count") > F.lit(max(2, total // COUNTERS))).select(F.col("t.item").alias("sha"))
     order = F.struct(F.col("doc_id"), (-F.col("mark")).alias("mark"))
     win = settle(rows.join(F.broadcast(hot), "sha").groupBy("sha").agg(F.max(order).alias("w"), F.count("*").alias("group_size")))
-    met = rows.join(F.broadcast(win), "sha", "left")
-    by_hot = met.filter(F.col("w").isNotNull()).select("doc_id", F.col("w.doc_id").alias("keep_id"), "group_size", (-F.col("w.mark") == F.col("mark")).alias("kept"), F.col("sha").alias("text_sha256"))
-    w = Window.partitionBy("sha")
-    rest = rows.join(F.broadcast(win.select("sha")), "sha", "left_anti").select("doc_id", "sha", "mark", F.max(order).over(w).alias("w"), F.count("*").over(w).alias("group_size"))
-    by_shuffle = rest.select("doc_id", F.col("w.doc_id").alias("keep_id"), "group_size", (-F.col("w.mark") == F.col("mark")).alias("kept"), F.col("sha").alias("text_sha256"))
-    return by_hot.unionByName(by_shuffle)
+    told = lambda met: met.select("doc_id", F.col("w.doc_id").alias("keep_id"), "group_size", (-F.col("w.mark") == F.col("mark")).alias("kept"), F.col("sha").alias("text_sha256"))
+    rest = rows.join(F.broadcast(win.select("sha")), "sha", "left_anti")
+    each = rest.groupBy("sha").agg(F.max(order).alias("w"), F.count("*").alias("group_size"))
+    return told(rows.join(F.broadcast(win), "sha")).unionByName(told(rest.join(each, "sha")))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ from ..operators.ordered import with_row_id
 MOST = 2
 #: Newton steps at most (each is one aggregation), and the relative error of a source's tokens that ends them.
 STEPS, ERROR = 60, 1e-7
+#: Newton steps that are taken in one job.
+CHAIN = 5
 #: Documents of more than these shares of their target are rounded first.
 TIERS = (1 / 4, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 256)
 #: Keys have 33 bits, narrowed 11 at a time.
@@ -77,28 +79,33 @@ def multipliers(hist: DataFrame, goals: DataFrame, few: bool) -> DataFrame:
     z = c("size") / c("mean")
     tilt = F.exp(F.least(c("l") * z, F.lit(50.0)))
     tokens = c("n") * c("size")
-    state = settle(goals.select("k", "target", "mean", F.lit(0.0).alias("l"), (-inf).alias("low"), inf.alias("high"), F.lit(False).alias("done")))
-    done = []
-    for _ in range(STEPS):
-        at = _at(hist, state, few)
-        keep = [F.first(x).alias(x) for x in ("target", "mean", "l", "low", "high")]
-        sums = at.groupBy("k").agg(F.sum(tokens * F.least(tilt, F.lit(float(MOST)))).alias("got"), F.sum(F.when(tilt < MOST, tokens * z * tilt).otherwise(0.0)).alias("slope"), *keep)
+    names = ("target", "mean", "l", "low", "high", "done")
+    state = goals.select("k", "target", "mean", F.lit(0.0).alias("l"), (-inf).alias("low"), inf.alias("high"), F.lit(False).alias("done"))
+
+    def stepped(state: DataFrame) -> DataFrame:
+        sums = _at(hist, state, few).groupBy("k").agg(F.sum(tokens * F.least(tilt, F.lit(float(MOST)))).alias("got"), F.sum(F.when(tilt < MOST, tokens * z * tilt).otherwise(0.0)).alias("slope"), *[F.first(x).alias(x) for x in names])
         gap = c("got") - c("target")
-        near = F.abs(gap) <= F.greatest(F.lit(ERROR) * c("target"), F.lit(1e-6))
+        near = c("done") | (F.abs(gap) <= F.greatest(F.lit(ERROR) * c("target"), F.lit(1e-6)))
         new = sums.withColumn("low", F.when(gap > 0, c("low")).otherwise(c("l"))).withColumn("high", F.when(gap > 0, c("l")).otherwise(c("high")))
         newton = c("l") - F.try_divide(gap, c("slope"))
         bounded = (c("low") > -inf) & (c("high") < inf)
         halved = F.when(bounded, (c("low") + c("high")) / 2).when(c("low") > -inf, c("low") + 1 + F.abs("low")).otherwise(c("high") - 1 - F.abs("high"))
         step = F.when((c("slope") > 0) & (newton > c("low")) & (newton < c("high")), newton).otherwise(halved)
-        state = settle(new.select("k", "target", "mean", F.when(near, c("l")).otherwise(step).alias("l"), "low", "high", (near | (step == c("l"))).alias("done")))
-        done.append(state.filter("done").select("k", "l"))
+        return new.select("k", "target", "mean", F.when(near, c("l")).otherwise(step).alias("l"), "low", "high", (near | (step == c("l"))).alias("done"))
+
+    found = []
+    for _ in range(0, STEPS, CHAIN):
+        for _ in range(CHAIN):  # a source that is done stays as it is
+            state = stepped(state)
+        state = settle(state)
+        found.append(state.filter("done").select("k", "l"))
         state = state.filter("not done")
-        if not state.limit(1).count():
+        if state.isEmpty():
             break
     else:
-        done.append(state.select("k", "l"))
-    out = done[0]
-    for d in done[1:]:
+        found.append(state.select("k", "l"))
+    out = found[0]
+    for d in found[1:]:
         out = out.unionByName(d)
     # Ten digits: sums in another order give the same.
     return out.select("k", F.format_string("%.9e", "l").cast("double").alias("l"))
@@ -117,25 +124,20 @@ def _thresholds(tier: DataFrame, extra: DataFrame, few: bool) -> DataFrame:
     before found, all in one plan.
     """
     c = F.col
-    state = extra.filter("extra > 0").select("k", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("below"), "extra")
-    short = []
+    state = extra.filter("extra > 0").select("k", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("below"), "extra", F.lit(None).cast("long").alias("upto"), F.lit(False).alias("all"))
     for shift in range(KEY_BITS - BUCKET_BITS, -1, -BUCKET_BITS):
-        at = _at(tier, state, few)
-        inside = at.filter(F.shiftright("key", shift + BUCKET_BITS) == F.shiftright("lo", shift + BUCKET_BITS))
-        sums = inside.groupBy("k", F.shiftright("key", shift).alias("b")).agg(F.sum("size").alias("s"), F.first("below").alias("below"), F.first("extra").alias("extra"))
+        # all: every document is too few; nothing is left to narrow.
+        inside = _at(tier, state, few).filter(c("all") | (F.shiftright("key", shift + BUCKET_BITS) == F.shiftright("lo", shift + BUCKET_BITS)))
+        kept = [F.first(x).alias(x) for x in ("below", "extra", "upto", "all")]
+        sums = inside.groupBy("k", F.when(c("all"), 0).otherwise(F.shiftright("key", shift)).alias("b")).agg(F.sum("size").alias("s"), *kept)
         w = Window.partitionBy("k").orderBy("b")  # 2 ** BUCKET_BITS rows at most
-        run = sums.withColumn("upto", c("below") + F.sum("s").over(w))
-        cut = run.groupBy("k").agg(F.min(F.when(c("upto") >= c("extra"), F.struct("b", "upto", "s"))).alias("c"), F.max("upto").alias("every"), F.first("extra").alias("extra"))
-        state = settle(cut)
-        short.append(state.filter("c is null").select("k", F.lit(1 << KEY_BITS).cast("long").alias("cut"), c("every").alias("tokens")))  # all of them are too few
-        state = state.filter("c is not null").select("k", F.shiftleft("c.b", shift).alias("lo"), (c("c.upto") - c("c.s")).alias("below"), "extra", c("c.upto").alias("upto"))
-        if shift:
-            state = state.drop("upto")
+        run = sums.withColumn("run", c("below") + F.sum("s").over(w))
+        cut = run.groupBy("k").agg(F.min(F.when(c("run") >= c("extra"), F.struct("b", "run", "s"))).alias("c"), F.max("run").alias("every"), F.first("extra").alias("extra"), F.first("upto").alias("upto"), F.first("all").alias("was"))
+        short = c("was") | c("c").isNull()
+        state = cut.select("k", F.when(short, 0).otherwise(F.shiftleft("c.b", shift)).alias("lo"), F.when(short, 0).otherwise(c("c.run") - c("c.s")).alias("below"), "extra", F.when(c("was"), c("upto")).when(c("c").isNull(), c("every")).otherwise(c("c.run")).alias("upto"), short.alias("all"))
     more = c("upto") - c("extra") < c("extra") - c("below")  # the nearer side of the last document
-    out = state.select("k", F.when(more, c("lo") + 1).otherwise(c("lo")).alias("cut"), F.when(more, c("upto")).otherwise(c("below")).alias("tokens"))
-    for x in short:
-        out = out.unionByName(x)
-    return out
+    cut, tokens = F.when(more, c("lo") + 1).otherwise(c("lo")), F.when(more, c("upto")).otherwise(c("below"))
+    return state.select("k", F.when(c("all"), F.lit(1 << KEY_BITS)).otherwise(cut).alias("cut"), F.when(c("all"), c("upto")).otherwise(tokens).alias("tokens"))
 
 
 def plan(docs: DataFrame, **kw) -> tuple[DataFrame, DataFrame, bool]:
@@ -164,7 +166,7 @@ def plan(docs: DataFrame, **kw) -> tuple[DataFrame, DataFrame, bool]:
         later = sums.groupBy("k").agg((F.sum(F.when(c("tier") > t, c("more")).otherwise(0)) / 1024).alias("later"), F.max(c("tier") == t).alias("here"))
         extra = left.join(later, "k").filter("here").select("k", (c("left") - c("later")).alias("extra"))
         got = settle(_thresholds(rated.filter((c("tier") == t) & (c("rate") < MOST) & (c("size") > 0)), extra, few))
-        left = settle(left.join(got.select("k", "tokens"), "k", "left").select("k", (c("left") - F.coalesce("tokens", F.lit(0))).alias("left")))
+        left = left.join(got.select("k", "tokens"), "k", "left").select("k", (c("left") - F.coalesce("tokens", F.lit(0))).alias("left"))
         one = got.select("k", F.struct(F.lit(t).alias("tier"), "cut").alias("x"))
         cuts = one if cuts is None else cuts.unionByName(one)
     if cuts is None:

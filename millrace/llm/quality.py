@@ -38,8 +38,9 @@ LEAST = 2
 SHARES = (0.3, 0.5, 0.7)
 #: The least weight of a view's pseudo-labels against given labels.
 TRUST = 0.02
-#: Steps over the unlabelled documents in each round, and parts that sums are brought to, at least, before the driver adds them.
-STEPS, PARTS = 8, 8
+#: Steps over the unlabelled documents in each round and their size, and parts that sums are brought to before the driver adds them,
+#: where there are more tasks than that.
+STEPS, RATE, PARTS = 3, 0.12, 64
 #: Documents of a packed row of features.
 CHUNK = 128
 #: Calibrated logits are ranked in bins of 1 / BINS up to EDGE on either side.
@@ -272,7 +273,7 @@ def _taught(models: list[Model], teachers: list[Teacher], views: list[View], y:
             g = (models[i].gradient(views[i], y) + grads[i]) / total[i]
             g[:-1] += l2 * w[i][:-1] / 10
             m1[i], m2[i] = 0.9 * m1[i] + 0.1 * g, 0.99 * m2[i] + 0.01 * g**2
-            w[i] = w[i] - 0.05 * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.99**step)) + 1e-6)
+            w[i] = w[i] - RATE * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.99**step)) + 1e-6)
             models[i] = models[i].moved(w[i])
     return models
 
@@ -342,10 +343,10 @@ class Pool:
         rows = docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(features, "doc_id long, dense binary, words binary, meta binary")
         rows = rows.join(known.select("doc_id").hint("merge"), "doc_id", "left_anti").select("dense", "words", "meta")
         self.rows = settle(rows.mapInArrow(pack, ", ".join(f"{c} binary" for c in PACKED)))
-        self.parts = max(PARTS, math.isqrt(self.rows.rdd.getNumPartitions()))
+        self.tasks = self.rows.rdd.getNumPartitions()
 
     def _sum(self, of, size: int) -> np.ndarray:
-        """The sum of of(views), an array of size, over all packed rows: in each task, then in some parts, then here."""
+        """The sum of of(views), an array of size, over all packed rows: in each task, of many tasks in PARTS or more, then here."""
 
         @tidy
         def each(batches):
@@ -366,7 +367,10 @@ class Pool:
                     total += np.frombuffer(v)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-        got = self.rows.mapInArrow(each, "s binary").repartition(self.parts).mapInArrow(add, "s binary").collect()
+        sums = self.rows.mapInArrow(each, "s binary")
+        if self.tasks > PARTS:
+            sums = sums.repartition(max(PARTS, math.isqrt(self.tasks))).mapInArrow(add, "s binary")
+        got = sums.collect()
         return sum((np.frombuffer(r["s"]) for r in got), np.zeros(size))
 
     def histograms(self, teachers: list[Teacher]) -> np.ndarray:
@@ -432,21 +436,22 @@ def scores(docs: DataFrame, model: Classifier | None, keep: list[str] | None = N
     keep = [c for c in (keep or ["doc_id"]) if c.lower() not in names]
     if model is None:
         return docs.select(*columns(docs, keep), *[F.lit(None).cast("double").alias(c) for c in names[:3]], F.lit(True).alias("kept"))
-    own = free_name(docs, "f_text", "f_lang", "f_source", "f_chars")
-    given = docs.select(*columns(docs, keep), *[F.col(c).alias(a) for c, a in zip(("text", "lang", "source", "n_chars"), own, strict=True)])
+    box, *own = free_name(docs, "box__", "f_text", "f_lang", "f_source", "f_chars")
+    # Columns to keep travel in one struct, so that their names may be any.
+    given = docs.select(F.struct(*columns(docs, keep)).alias(box), *[F.col(c).alias(a) for c, a in zip(("text", "lang", "source", "n_chars"), own, strict=True)])
 
     @tidy
     def run(batches):
         for b in small(batches):
-            at = b.num_columns - 4
-            seen = pa.RecordBatch.from_arrays(b.columns[at:], names=["text", "lang", "source", "n_chars"])
+            seen = pa.RecordBatch.from_arrays(b.columns[1:], names=["text", "lang", "source", "n_chars"])
             dense, words, meta = _rows(seen)
             t, m, s = model.score(View.of(np.asarray(dense, float).reshape(-1, DENSE), words), View.of(np.zeros((len(meta), 0)), meta))
-            out = [*b.columns[:at], *(pa.array(a) for a in (t, m, s)), pa.array(s >= model.cut)]
-            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:at], *names])
+            # Six digits, so that sums in another order decide alike.
+            out = [b.column(0), *(pa.array(a) for a in (t, m, s)), pa.array(np.round(s, 6) >= round(model.cut, 6))]
+            yield pa.RecordBatch.from_arrays(out, names=[box, *names])
 
-    schema = T.StructType([*given.schema.fields[:-4], *(T.StructField(c, T.DoubleType()) for c in names[:3]), T.StructField("kept", T.BooleanType())])
-    return given.mapInArrow(run, schema)
+    schema = T.StructType([given.schema.fields[0], *(T.StructField(c, T.DoubleType()) for c in names[:3]), T.StructField("kept", T.BooleanType())])
+    return given.mapInArrow(run, schema).select(f"{box}.*", *names)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -454,6 +459,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Every repeated row stays or goes with the others. With too few labels (see train) every row stays, and an empty table stays empty.
     """
-    box, = free_name(docs, "box__")
+    box, = free_name(docs, "all__")
     boxed = docs.select("*", F.struct(*columns(docs)).alias(box))
     return scores(boxed, train(docs, labels), [box]).filter("kept").select(f"{box}.*")

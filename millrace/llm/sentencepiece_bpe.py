@@ -25,9 +25,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, small, tidy
+from .common import columns, free_name, small, tidy
 
 SPACE, REPLACEMENT = "▁", "�"
 #: Words remembered by a worker in one generation, and token pairs.
@@ -260,19 +261,20 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
     """
     v = Vocabulary.load(model)
     keep = [c for c in docs.columns if c.lower() != ids.lower()]
-    given = docs.select(*columns(docs, keep))
-    schema = T.StructType([*given.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    box, t = free_name(docs, "box__", "t__")
+    given = docs.select(F.struct(*columns(docs, keep)).alias(box), columns(docs, [text])[0].alias(t))
+    schema = T.StructType([given.schema.fields[0], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     @tidy
     def run(batches):
         c = codec(v, "packed")
         for b in small(batches):
-            told = [b"".join(c.records(t)) for t in _texts(b.column(text))]
+            told = [b"".join(c.records(t)) for t in _texts(b.column(1))]
             ends = np.cumsum([0, *map(len, told)], dtype=np.int64) // 4
             own = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(told), np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, own], names=[*b.schema.names, ids])
+            yield pa.RecordBatch.from_arrays([b.column(0), own], names=[box, ids])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).select(f"{box}.*", F.col("`" + ids.replace("`", "``") + "`"))
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:

@@ -66,3 +66,25 @@ def test_stages_on_odd_rows(spark):
             assert len(kept) == sum(kept.values()) and (1, None) in kept and (2, "") not in kept
         if name == "sentencepiece":
             assert kept == Counter(i for i, _ in ODD)
+
+
+def test_columns_of_any_name(spark):
+    """Dots and backticks in names; the encoder and the scores keep all of a table's columns, too."""
+    d = docs(spark, ODD).select("*", F.lit(1).alias("meta.url"), F.col("doc_id").alias("a`b"))
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, d, SF)
+        assert out.columns == d.columns and {r["meta.url"] for r in out.collect()} == {1}, name
+    coded = p.sentencepiece_bpe.encode(d, p.piece_model())
+    assert coded.columns == [*d.columns, "ids"] and all(r["a`b"] == r.doc_id for r in coded.collect())
+    for model in (None, p.quality.train(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))):
+        scored = p.quality.scores(d, model, ["meta.url", "a`b", "doc_id"])
+        assert scored.columns[:3] == ["meta.url", "a`b", "doc_id"] and all(r["a`b"] == r.doc_id for r in scored.collect())
+
+
+def test_many_rows_that_repeat_an_id_and_a_text(spark):
+    """One of them stays, and no window holds them."""
+    rows = [(None, "boilerplate " * 40)] * 3000 + [(None, "other")] * 2 + [(1, "Other")]
+    for stage in (p.exact_stage, p.near_stage):
+        out = stage(spark, docs(spark, rows), SF)
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(((r.doc_id, r.text[:5]) for r in out.collect()), key=repr) in ([(None, "boile"), (None, "other")], [(1, "Other"), (None, "boile")])
