@@ -121,24 +121,31 @@ def rolling_mean(df: DataFrame, col: str, window: int, out: str, row: str = ROW)
     return spread.withColumn(out, mean).filter(~F.col("__at.guest")).drop("__at")
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, total: str | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str | list[str], name: str | list[str], total: str | None = None) -> DataFrame:
     """df, which has one row for each (keys, order), and the sum of value over the rows before in the same key; total is that of all of them.
 
-    Rows of all keys are ordered together by ranges, so a key with most of the rows is many tasks. Sums are long.
+    value and name may be lists, of several sums at once; total is of the first. Rows of all keys are ordered together by
+    ranges, so a key with most of the rows is many tasks. Sums are long.
     """
+    values, names = ([x] if isinstance(x, str) else list(x) for x in (value, name))
+    both = list(zip(values, names, strict=True))
     at = with_row_id(df, *keys, *order, name="__r", unique=True).withColumn("__b", _bucket("__r"))
-    each = _summed_before(at.groupBy("__b").agg(F.sum(value).alias("__s")), "__s", "__skip").select("__b", "__skip")
-    run = F.sum(value).over(Window.partitionBy("__b").orderBy("__r")) - F.col(value)
-    at = at.withColumn(name, run).join(each, "__b").withColumn(name, (F.col(name) + F.col("__skip")).cast("long")).drop("__b", "__r", "__skip")
+    sums = settle(at.groupBy("__b").agg(*[F.sum(v).alias(f"__s{i}") for i, v in enumerate(values)]))
+    run = lambda v: F.sum(v).over(Window.partitionBy("__b").orderBy("__r")) - F.col(v)
+    out = at.withColumns({n: run(v) for v, n in both})
+    for i in range(len(both)):
+        out = out.join(_summed_before(sums.select("__b", f"__s{i}"), f"__s{i}", f"__skip{i}").select("__b", f"__skip{i}"), "__b")
+    out = out.withColumns({n: (F.col(n) + F.col(f"__skip{i}")).cast("long") for i, n in enumerate(names)}).drop("__b", "__r", *[f"__skip{i}" for i in range(len(both))])
     if not keys:
-        return at
-    at = settle(at)
-    start = at.groupBy(*keys).agg(F.min(name).alias("__start"), *([F.sum(value).alias(total)] if total else []))
-    start = start.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__start", *([total] if total else []))
+        return out
+    out = settle(out)
+    start = out.groupBy(*keys).agg(*[F.min(n).alias(f"__start{i}") for i, n in enumerate(names)], *([F.sum(values[0]).alias(total)] if total else []))
+    start = start.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[f"__start{i}" for i in range(len(both))], *([total] if total else []))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return at.join(start, same).withColumn(name, F.col(name) - F.col("__start")).drop("__start", *[f"__k{i}" for i in range(len(keys))])
+    out = out.join(start, same).withColumns({n: F.col(n) - F.col(f"__start{i}") for i, n in enumerate(names)})
+    return out.drop(*[f"__start{i}" for i in range(len(both))], *[f"__k{i}" for i in range(len(keys))])
 
 
 def counted(df: DataFrame, col: str) -> DataFrame:

@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,47 +162,114 @@ def _named(df: DataFrame, pairs: list[tuple[str, str]], value: str) -> DataFrame
 def spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """a, b, r for every two columns: Pearson's r of average ranks, over the rows that have both; null without spread.
 
-    Values of all pairs are counted, and ordered once; ranks are joined to counted pairs.
+    Each column is counted and ordered once, all of them together. A value's rank among the rows that also have another
+    column is its rank in the column less those of the rows before, and half of its own, that lack the other one: these
+    are counted and added up beside. Ranks are joined to the rows, a column at a time.
     """
-    pairs = list(combinations(cols or columns_of(df, "numeric"), 2))
-    cells = settle(_pair_counts(df, pairs))
-    sides = cells.select(F.explode(F.array(*[F.struct("p", F.lit(s).alias("side"), F.col(s).alias("v"), "n") for s in "xy"])).alias("e")).select("e.*")
-    ranks = prefix_sums(sides.groupBy("p", "side", "v").agg(F.sum("n").alias("n")), ["p", "side"], ["v"], "n", "before")
-    ranks = settle(ranks.select("p", "side", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")))
-    at = cells
-    for s in "xy":
-        at = at.join(ranks.filter(F.col("side") == s).select("p", F.col("v").alias(s), F.col("rank").alias(f"r{s}")), ["p", s])
-    middle = at.groupBy("p").agg(((F.sum("n") + 1) / 2).alias("m"))
-    at = at.join(F.broadcast(middle), "p")  # a row a pair
-    x, y, n = F.col("rx") - F.col("m"), F.col("ry") - F.col("m"), F.col("n")
-    r = F.try_divide(F.sum(n * x * y), F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y)))
-    return _named(at.groupBy("p").agg(r.alias("r")), pairs, "r")
+    cols = cols or columns_of(df, "numeric")
+    pairs = list(combinations(cols, 2))
+    if not pairs:
+        return _named(df.sparkSession.createDataFrame([], "p int, r double"), pairs, "r")
+    rows = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(cols)])
+    has = rows.agg(*[F.bool_or(F.col(f"v{i}").isNull()).alias(f"v{i}") for i in range(len(cols))]).first()
+    gaps = [i for i in range(len(cols)) if has[f"v{i}"]]
+    lacks = [F.col(f"v{i}").isNull().cast("long").alias(f"n{i}") for i in gaps]
+    each = rows.select(*lacks, F.posexplode(F.array(*[f"v{i}" for i in range(len(cols))])).alias("c", "v")).filter("v is not null")
+    sums = [f"n{i}" for i in gaps]
+    counts = each.groupBy("c", "v").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in sums])
+    at = prefix_sums(counts, ["c"], ["v"], ["n", *sums], ["b", *[f"b{i}" for i in gaps]])
+    middle = lambda b, n, last: F.col(b) + (F.col(n) + last) / 2
+    ranks = settle(at.select("c", "v", middle("b", "n", 1).alias("r"), *[middle(f"b{i}", f"n{i}", 0).alias(f"less{i}") for i in gaps]))
+    for i in range(len(cols)):
+        own = ranks.filter(F.col("c") == i).select(F.col("v").alias(f"v{i}"), F.col("r").alias(f"r{i}"), *[F.col(f"less{j}").alias(f"r{i}_{j}") for j in gaps if j != i])
+        rows = rows.join(own, f"v{i}", "left")
+    rank = lambda i, other: F.col(f"r{i}") - F.col(f"r{i}_{other}") if other in gaps else F.col(f"r{i}")
+    r = [_correlation(rank(i, j), rank(j, i)).alias(f"p{k}") for k, (i, j) in enumerate(combinations(range(len(cols)), 2))]
+    one = rows.agg(*r)
+    return _named(one.select(F.posexplode(F.array(*[f"p{k}" for k in range(len(pairs))])).alias("p", "r")), pairs, "r")
+
+
+#: Counted pairs of values among which one task counts inversions; more are cut by quantiles, so few that a table of ranges is no more.
+INVERSIONS = 1 << 19
+
+
+def inversions(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """The sum of n * n over pairs with a smaller x and a larger y. By binary digits of y's rank: two ranks differ first in one."""
+    order = np.lexsort((y, x))
+    rank = np.unique(y, return_inverse=True)[1][order]
+    w, total = n[order].astype(float), 0.0
+    for d in reversed(range(int(rank.max(initial=0)).bit_length())):
+        one = (rank >> d) & 1
+        group = rank >> (d + 1)  # ranks that agree in higher digits stand together, in the order of x
+        ones = np.cumsum(w * one)
+        begins = np.flatnonzero(np.diff(group, prepend=-1))
+        before = (ones - w * one)[begins]
+        total += float(((ones - np.repeat(before, np.diff(begins, append=len(w)))) * w)[one == 0].sum())
+        order = np.argsort(rank >> d, kind="stable")
+        rank, w = rank[order], w[order]
+    return total
+
+
+def _discordant(cells: DataFrame) -> DataFrame:
+    """p, disc: discordant pairs of cells(p, x, y, n).
+
+    A table of more than INVERSIONS cells is cut by x and by y into ranges, each value that begins a range being one of its
+    own. Pairs of cells in different ranges of both are told by the table of ranges, which is another table of cells; the
+    others are in one range of x, or of y, or of both, where they would be counted twice. So a large table gives smaller
+    ones, some of which count negatively, until each is counted in a task. A range of one value has no inversions.
+    """
+    cuts = max(2, math.isqrt(INVERSIONS) // 2)  # with the values that begin them at most twice as many
+    rows, found = cells.select("p", F.lit("").alias("k"), F.lit(1).alias("s"), "x", "y", F.col("n").cast("long").alias("n")), None
+    sizes = rows.groupBy("p", "k").agg(F.count("*").alias("size"))
+    while (large := settle(sizes.filter(F.col("size") > INVERSIONS))) and not large.isEmpty():
+        met = rows.join(large, ["p", "k"])
+        grid = lambda v: F.expr(f"kll_sketch_get_quantile_double(kll_sketch_agg_double({v}, 4096), array({', '.join(f'{i / cuts!r}D' for i in range(1, cuts))}))")
+        # Every m-th of the sketch's quantiles, so that a range has half as many cells as a task counts, where they suffice.
+        every = F.greatest(F.lit(1), F.floor(F.lit(cuts * INVERSIONS / 2) / F.first("size"))).cast("int")
+        ends = met.groupBy("p", "k").agg(grid("x").alias("ex"), grid("y").alias("ey"), every.alias("m"))
+        thin = lambda e: F.array_sort(F.array_distinct(F.filter(e, lambda v, i: (i + 1) % F.col("m") == 0)))
+        ends = settle(ends.select("p", "k", thin("ex").alias("ex"), thin("ey").alias("ey")))
+        known = {(r["p"], r["k"]): (np.array(r["ex"]), np.array(r["ey"])) for r in ends.collect()}  # a few numbers for each large table
+
+        def ranges(batches, known=known):
+            for b in batches:
+                t = b.to_pandas()
+                for (p, k), own in t.groupby(["p", "k"], sort=False):
+                    code = [np.searchsorted(e, v, "left") + np.searchsorted(e, v, "right") for e, v in zip(known[p, k], (own["x"], own["y"]), strict=True)]
+                    yield pa.RecordBatch.from_pandas(own.assign(i=code[0], j=code[1]), preserve_index=False)
+
+        told = met.select("p", "k", "s", "x", "y", "n").mapInArrow(ranges, "p int, k string, s int, x double, y double, n long, i long, j long")
+        c = F.col
+        part = lambda kind, sign, *at: F.struct(F.concat("k", F.lit(f"/{kind}"), *[F.concat(F.lit("."), c(a)) for a in at]).alias("k"), (c("s") * sign).alias("s"))
+        x_in, y_in = c("i") % 2 == 0, c("j") % 2 == 0
+        parts = F.filter(F.array(F.when(x_in, part("x", 1, "i")), F.when(y_in, part("y", 1, "j")), F.when(x_in & y_in, part("b", -1, "i", "j"))), lambda e: e.isNotNull())
+        split = told.select("p", F.explode(parts).alias("e"), "x", "y", "n").select("p", "e.k", "e.s", "x", "y", "n")
+        coarse = told.groupBy("p", "k", "s", "i", "j").agg(F.sum("n").alias("n")).select("p", F.concat("k", F.lit("/t")).alias("k"), "s", c("i").cast("double").alias("x"), c("j").cast("double").alias("y"), "n")
+        few = rows.join(large.select("p", "k"), ["p", "k"], "left_anti")
+        found = few if found is None else found.unionByName(few)
+        rows = settle(split.unionByName(coarse))
+        sizes = rows.groupBy("p", "k").agg(F.count("*").alias("size"))
+    rows = rows if found is None else found.unionByName(rows)
+
+    def count(t: pa.Table) -> pa.Table:
+        x, y, n = (t.column(c).to_numpy() for c in "xyn")
+        return pa.table({"p": t.column("p")[:1], "d": [t.column("s")[0].as_py() * inversions(x, y, n)]})
+
+    return rows.groupBy("p", "k").applyInArrow(count, "p int, d double").groupBy("p").agg(F.sum("d").alias("disc"))
 
 
 def kendall(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """a, b, r for every two columns: Kendall's tau-b over counted pairs of values, over the rows that have both; null without spread.
 
-    Discordant pairs are inversions of y in the order of x. Two ranks of y differ first in one binary digit; so for each
-    digit, among ranks that agree in all higher ones, the rows before with a 1 are added up for each row with a 0. These
-    sums are prefix sums of all digits and pairs at once, so the work is n log n, in ranges, and no value is one task.
+    Discordant pairs are inversions of y in the order of x, counted by ranges.
     """
     pairs = list(combinations(cols or columns_of(df, "numeric"), 2))
     cells = settle(_pair_counts(df, pairs))
-    ys = cells.groupBy("p", "y").agg(F.lit(1).cast("long").alias("one"))
-    rank = settle(prefix_sums(ys, ["p"], ["y"], "one", "rank").select("p", "y", "rank"))
-    digits = int(rank.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]).bit_length()
-    at = cells.join(rank, ["p", "y"])
     c = F.col
-    if digits:
-        each = at.select("p", "x", "n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("rank", d + 1).alias("g"), F.shiftright("rank", d).bitwiseAND(F.lit(1)).alias("bit")) for d in range(digits)])).alias("e"))
-        sums = each.groupBy("p", "e.d", "e.g", "x").agg(F.sum(c("n") * c("e.bit")).alias("ones"), F.sum(c("n") * (1 - c("e.bit"))).alias("zeros"))
-        less = prefix_sums(sums, ["p", "d", "g"], ["x"], "ones", "before").groupBy("p").agg(F.sum(c("zeros").cast("double") * c("before")).alias("disc"))
-    else:
-        less = cells.select("p").distinct().withColumn("disc", F.lit(0.0))
     half = lambda n: F.sum(n.cast("double") * (n - 1)) / 2
     ties = lambda key: cells.groupBy("p", key).agg(F.sum("n").alias("n")).groupBy("p").agg(half(c("n")).alias(f"t{key}"))
     one = cells.groupBy("p").agg((F.sum("n").cast("double") * (F.sum("n") - 1) / 2).alias("all"), half(c("n")).alias("txy"))
-    one = one.join(ties("x"), "p").join(ties("y"), "p").join(less, "p")
+    one = one.join(ties("x"), "p").join(ties("y"), "p").join(_discordant(cells), "p")
     score = c("all") - c("tx") - c("ty") + c("txy") - 2 * c("disc")
     tau = F.try_divide(score, F.sqrt((c("all") - c("tx")) * (c("all") - c("ty"))))
     return _named(one.select("p", tau.alias("r")), pairs, "r")

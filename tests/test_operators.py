@@ -656,3 +656,37 @@ def test_quantiles_at_the_bound(spark, monkeypatch):
     for k in (n, n + 1):
         d = spark.range(k).select((F.xxhash64("id") % 1_000_003 / 7).alias("v"))
         assert quantiles.quantiles(d, ["v"], [0.1, 0.5, 0.77]).first().q == np.quantile(d.toPandas().v.to_numpy(), [0.1, 0.5, 0.77]).tolist()
+
+
+def _tau(x, y):
+    """Tau-b by all pairs."""
+    a, b = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(y, y))
+    return (a * b).sum() / np.sqrt(np.abs(a).sum() * np.abs(b).sum())
+
+
+@pytest.mark.parametrize("bound", [1 << 19, 64])
+def test_rank_correlations_by_ranges(spark, monkeypatch, bound):
+    """In one task, and cut into ranges again and again; hot values, nulls, ties, columns that don't vary."""
+    monkeypatch.setattr(statistics, "INVERSIONS", bound)
+    rng = np.random.default_rng(6)
+    n = 700
+    p = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 40, n).astype(float), "c": np.where(rng.random(n) < 0.5, 3.0, rng.normal(size=n)), "d": np.ones(n)})
+    p["a"] += p["b"] / 30
+    p.loc[rng.random(n) < 0.2, "b"] = np.nan
+    p.loc[rng.random(n) < 0.1, "c"] = np.nan
+    d = spark.createDataFrame(p.astype(object).where(p.notna(), None), "a double, b double, c double, d double")
+    for method in ("kendall", "spearman"):
+        got = {(r.a, r.b): r.r for r in statistics.correlations(d, list("abcd"), method).collect()}
+        assert len(got) == 6 and all(got[k] is None for k in got if "d" in k)
+        for k in (("a", "b"), ("a", "c"), ("b", "c")):
+            both = p[list(k)].dropna()
+            want = _tau(*both.to_numpy().T) if method == "kendall" else both.rank().corr().iloc[0, 1]
+            assert got[k] == pytest.approx(want, abs=1e-9), (method, k)
+
+
+def test_inversions():
+    rng = np.random.default_rng(8)
+    for m in (1, 2, 7, 200):
+        x, y, n = rng.integers(0, 12, m), rng.integers(-5, 12, m) / 2, rng.integers(1, 9, m)
+        want = sum(int(n[i]) * int(n[j]) for i in range(m) for j in range(m) if x[i] < x[j] and y[i] > y[j])
+        assert statistics.inversions(x, y, n) == want
