@@ -204,8 +204,14 @@ def column_metadata(df: DataFrame) -> DataFrame:
     """
     num = set(columns_of(df, "numeric"))
     targets = ["target", "label", "class", "status", "outcome", "result", "y"]
-    one = df.agg(*[F.struct(F.lit(c).alias("column_name"), F.lit(c in num).alias("num"), F.avg(F.col(c).isNull().cast("double")).alias("m"), F.count_distinct(c).alias("n_unique"), F.coalesce(F.min(F.col(c).cast("string").isin("0", "1", "0.0", "1.0")), F.lit(False)).alias("bits")).alias(f"s{i}") for i, c in enumerate(df.columns)])
-    rows = one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(df.columns))])).alias("s")).select("s.*")
+    # Values are counted first, by column: a hot value is a row a task, and no row is expanded. -0.0 is 0.0.
+    cell = lambda c, t: (F.col(f"`{c}`") + F.lit(0.0).cast(t) if t in ("double", "float") else F.col(f"`{c}`")).cast("string")
+    long = df.select(F.posexplode(F.array(*[cell(c, t) for c, t in df.dtypes])).alias("i", "v"))
+    found = long.groupBy("i", "v").agg(F.count("*").alias("n")).groupBy("i").agg(
+        F.count("v").alias("n_unique"), (F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("m"),
+        F.coalesce(F.min(F.col("v").isin("0", "1", "0.0", "1.0")), F.lit(False)).alias("bits"))
+    names = df.sparkSession.createDataFrame([(i, c, c in num) for i, c in enumerate(df.columns)], "i int, column_name string, num boolean")
+    rows = names.join(found, "i", "left").fillna({"n_unique": 0, "bits": False}).drop("i")
     kind = F.when(F.col("num"), F.when((F.col("n_unique") == 2) & F.col("bits"), "binary").otherwise("numeric")).when(F.col("n_unique") == 2, "binary").otherwise("categorical")
     rows = rows.withColumn("kind", kind).withColumn("missing_pct", F.col("m") * 100)
     target = F.arrays_overlap(F.split(F.lower("column_name"), "[^a-z0-9]+"), F.array(*[F.lit(t) for t in targets]))

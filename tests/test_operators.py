@@ -690,3 +690,25 @@ def test_inversions():
         x, y, n = rng.integers(0, 12, m), rng.integers(-5, 12, m) / 2, rng.integers(1, 9, m)
         want = sum(int(n[i]) * int(n[j]) for i in range(m) for j in range(m) if x[i] < x[j] and y[i] > y[j])
         assert statistics.inversions(x, y, n) == want
+
+
+def test_erfc_and_cut_kernels(spark):
+    d = spark.createDataFrame([(float(x),) for x in np.concatenate([np.linspace(-6, 26, 3001), [0.46875, 4.0, 0.0]])], "x double")
+    got = d.select("x", statistics.erfc(F.col("x")).alias("e")).toPandas()
+    want = np.array([math.erfc(x) for x in got.x])
+    assert np.allclose(got.e, want, rtol=1e-12, atol=0)
+    v = np.concatenate([np.random.default_rng(1).normal(size=300), [40.0, 41.0]])
+    d = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    k = statistics.kde(d, "v", 50).orderBy("x").toPandas()
+    h = v.std(ddof=1) * len(v) ** -0.2
+    dense = np.exp(-(((k.x.to_numpy()[:, None] - v) / h) ** 2) / 2).sum(axis=1) / h / len(v) / math.sqrt(2 * math.pi)
+    assert len(k) == 50 and np.allclose(k.density, dense, rtol=0, atol=math.exp(-32)) and (k.density == 0).any()
+    assert statistics.kde(d.filter("v is null"), "v").count() == 0
+
+
+def test_column_metadata_counts_values(spark):
+    d = spark.createDataFrame([(1, 0.0, "a", None), (2, -0.0, "b", None), (2, 1.0, None, None)], "n int, x double, t string, status string")
+    out = quality.column_metadata(d)
+    got = {r.column_name: (r.kind, round(r.missing_pct, 1), r.n_unique, r.relevance) for r in out.collect()}
+    assert got == {"n": ("numeric", 0.0, 2, "High"), "x": ("binary", 0.0, 2, "High"), "t": ("binary", 33.3, 2, "Medium"), "status": ("categorical", 100.0, 0, "Target")}
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
