@@ -1,8 +1,10 @@
 """Fuzzy duplicates of records: blocking, pair scores, groups.
 
 Equal values are compared once. Two texts can only reach the threshold if their lengths are within a factor, and then
-pieces of the longer one are in the shorter one, near the same place (pigeonhole): a value is compared with those that
-have as many of its pieces as the threshold asks for, so that no similar pair is missed. Pairs are scored in Arrow batches.
+pieces of the longer one are in the shorter one, near the same place (pigeonhole), and their counts of characters agree
+far enough: a value is compared with those that have as many of its pieces as the threshold asks for, so that no similar
+pair is missed. Pieces that many values have, and names that many records have, are cut into tiles that are dealt over
+tasks. Pairs are scored in Arrow batches.
 A group is what similar pairs connect, named by its least row; where similarity isn't transitive this differs from
 taking records one after the other.
 """
@@ -22,6 +24,12 @@ from .rows import sample_rows
 SKIPPED = ["unknown", "n/a", "na", "null", "none", "test", "", "nan"]
 #: Characters of a piece at most.
 LONGEST = 8
+#: Values that share a piece (or a length), and records that share a name, on either side of a tile.
+TILE, RECORDS = 2048, 256
+#: Tables of so many rows are broadcast.
+FEW = 100_000
+#: Classes of characters whose counts bound what two texts have in common; counts up to 255.
+CLASSES = 16
 # What str.strip takes away.
 BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
@@ -36,27 +44,53 @@ def _longest_run(n: Column, threshold: float) -> Column:
     return F.least(F.floor(n / (F.floor(2 * (1 - threshold) * n + 1e-9) + 1)), F.lit(LONGEST)).cast("int")
 
 
+def _signature(m: Column) -> list[Column]:
+    """Counts of the characters of each class, eight bits each."""
+    classes = F.transform(F.split(m, ""), lambda c: F.ascii(c) % CLASSES)
+    lane = lambda k: F.shiftleft(F.least(F.size(F.filter(classes, lambda x: x == k)), F.lit(255)).cast("long"), 8 * (k % 8))
+    return [sum((lane(k) for k in range(8 * h + 1, 8 * h + 8)), lane(8 * h)).alias(f"s{h}") for h in range(CLASSES // 8)]
+
+
+def _may_share(common: Column) -> Column:
+    """Whether texts with the signatures s0, s1 and z0, z1 can have so many characters in common; longer ones may."""
+    lane = lambda s, k: f"(shiftrightunsigned({s}{k // 8}, {8 * (k % 8)}) & 255)"
+    return (F.col("l") > 255) | (F.expr(" + ".join(f"least({lane('s', k)}, {lane('z', k)})" for k in range(CLASSES))) >= common)
+
+
+def _tiled(left: DataFrame, right: DataFrame, on: str, to: str, near: Column, who: str, whom: str) -> DataFrame:
+    """left joined to right where on = to and near: rows of a key that many of right have meet in tiles."""
+    many = settle(right.groupBy(F.col(to).alias("__key")).agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("__tiles")).filter("__tiles > 1"))
+    few = many.limit(FEW + 1).count() <= FEW
+    dealt = lambda d, key, id_: d.join(F.broadcast(many) if few else many, F.col(key) == F.col("__key"), "left").withColumn("__tiles", F.coalesce("__tiles", F.lit(1))).withColumn("__own", F.pmod(F.xxhash64(id_), "__tiles").cast("int")).withColumn("__all", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1))).drop("__key", "__tiles")
+    a = dealt(left, on, who).withColumnsRenamed({"__own": "__a", "__all": "__b"})
+    b = dealt(right, to, whom).withColumnsRenamed({"__own": "__d", "__all": "__c"})
+    return a.join(b, (F.col(on) == F.col(to)) & (F.col("__a") == F.col("__c")) & (F.col("__b") == F.col("__d")) & near).drop("__a", "__b", "__c", "__d")
+
+
 def _all_met(values: DataFrame, threshold: float) -> DataFrame:
     """i, j: ids of all pairs of values(id, m) that can reach the threshold, and of others; the longer text first.
 
     Texts of l and k characters (k <= l) and ratio t have at least M = t (l + k) / 2 characters in common, in the same
     order. Of pieces of the longer one, each of its l - M other characters breaks one at most, and so does each of the
     k - M of the shorter one. The pieces that are left are in the shorter one, moved by k - M to the right or l - M to
-    the left at most. So of any p pieces, a pair must meet in p - (l - M) - (k - M); the rarest are taken.
+    the left at most. So of any p pieces, a pair must meet in p - (l - M) - (k - M); the rarest are taken. Texts that
+    thresholds up to 0.5 leave no piece of meet all of the lengths that they may meet. Either way their counts of
+    characters must have M in common.
     """
     t, n = threshold, F.length("m")
-    whole = values.select("id", "m", n.alias("n"), _longest_run(n, t).alias("q"))
+    whole = settle(values.select("id", "m", n.alias("n"), _longest_run(n, t).alias("q"), *_signature(F.col("m"))))
     i, q = F.col("i"), F.col("q")
     piece = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / q).cast("int") - 1), lambda i: F.struct(i.alias("at"), F.col("m").substr(i * q + 1, q).alias("g")))
-    cut = whole.filter("q > 0").select("id", "n", "q", F.explode(piece).alias("x")).select(F.col("id").alias("i"), F.col("n").alias("l"), "q", "x.at", "x.g")
+    cut = whole.filter("q > 0").select("id", "n", "q", "s0", "s1", F.explode(piece).alias("x")).select(F.col("id").alias("i"), F.col("n").alias("l"), "q", "s0", "s1", "x.at", "x.g")
     longer = F.sequence(F.col("n"), F.ceil(F.col("n") * ((2 - t) / t)).cast("int"))
     sizes = F.array_distinct(F.transform(longer, lambda x: _longest_run(x, t)))
-    grams = whole.select("id", "n", "m", F.explode(sizes).alias("q")).filter("q between 1 and n")
-    grams = grams.select("id", "n", "m", "q", F.explode(F.sequence(F.lit(1), F.col("n") - q + 1)).alias("p"))
-    grams = grams.select(F.col("id").alias("j"), F.col("n").alias("k"), "p", F.col("m").substr(F.col("p"), q).alias("h"))
+    other = [F.col("id").alias("j"), F.col("n").alias("k"), F.col("s0").alias("z0"), F.col("s1").alias("z1")]
+    grams = whole.select("*", F.explode(sizes).alias("size")).filter("size between 1 and n")
+    grams = grams.select("*", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("p"))
+    grams = grams.select(*other, "p", F.col("m").substr(F.col("p"), F.col("size")).alias("h"))
     often = grams.groupBy("h").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("i").orderBy("often", "at")) - 1
-    rare = cut.join(often, F.col("g") == F.col("h")).select("i", "l", "q", "at", "g", "often", rank.alias("r"))
+    rare = cut.join(often, F.col("g") == F.col("h")).select("i", "l", "s0", "s1", "q", "at", "g", "often", rank.alias("r"))
     # Pieces beyond the most that can break, the most frequent ones, needn't be looked at; nor those of one text only.
     most = F.floor(2 * (1 - t) * F.col("l") + 1e-9)
     rare = rare.filter((F.col("r") <= most) & (F.col("often") > 1))
@@ -64,15 +98,17 @@ def _all_met(values: DataFrame, threshold: float) -> DataFrame:
     common = F.ceil(t * (l + k) / 2 - 1e-9)
     near = (common <= k) & (k * 2 >= l) & ((l > k) | ((l == k) & (i < F.col("j"))))
     moved = F.col("p") - 1 - F.col("at") * q
-    met = rare.join(grams, (F.col("g") == F.col("h")) & near & (moved <= k - common) & (moved >= common - l))
+    met = _tiled(rare, grams, "g", "h", near & (moved <= k - common) & (moved >= common - l) & _may_share(common), "i", "j")
     # Pieces are marked in 64 bits; where there are more, several share a bit.
     bit = F.expr("shiftleft(1L, cast(r % 64 as int))")
     seen = met.groupBy("i", "j", "l", "k").agg(F.bit_or(bit).alias("bits"))
     out = seen.filter(F.bit_count("bits") >= (most + 1 - (l + k - 2 * common)) / F.ceil((most + 1) / 64)).select("i", "j")
     if t > 0.5:  # then every text has a piece that is left
         return out
-    rest = whole.filter("q = 0").select(F.col("id").alias("i"), F.col("n").alias("l"))
-    return out.unionByName(rest.join(whole.select(F.col("id").alias("j"), F.col("n").alias("k")), near).select("i", "j"))
+    rest = whole.filter("q = 0").select(F.col("id").alias("i"), F.col("n").alias("l"), "s0", "s1")
+    shorter = F.sequence(F.greatest(F.lit(1), F.ceil(l / F.lit(2)), F.ceil(l * (t / (2 - t)) - F.lit(1e-9))).cast("int"), l)
+    rest = rest.withColumn("len", F.explode(shorter))
+    return out.unionByName(_tiled(rest, whole.select(*other), "len", "k", near & _may_share(common), "i", "j").select("i", "j"))
 
 
 def similar_values(df: DataFrame, field: str, key: str, threshold: float = 0.85) -> DataFrame:
@@ -120,14 +156,23 @@ def score_pairs(df: DataFrame, key: str, primary: str, supporting: list[str], fu
     rows = rows.withColumn("v", F.lower(F.trim(primary)))
     rows = settle(rows.filter((F.length("v") > 2) & ~F.col("v").isin(SKIPPED)))
     near = similar_values(df, primary, key, fuzzy).select("a", "b")
-    same = rows.select(F.col("v").alias("a"), F.col("v").alias("b")).distinct()
-    links = near.unionByName(same)
-    p, q = rows.alias("p"), rows.alias("q")
-    met = links.join(p, F.col("a") == F.col("p.v")).join(q, (F.col("b") == F.col("q.v")) & ((F.col("a") != F.col("b")) | (F.col("p.id") < F.col("q.id"))))
-    score, weight = 0.3 * similarity(F.col(f"p.{primary}"), F.col(f"q.{primary}"), numbers=False), F.lit(0.3)
+    sizes = settle(rows.groupBy("v").agg(F.ceil(F.count("*") / F.lit(RECORDS)).cast("int").alias("tiles")))
+    links = near.unionByName(sizes.select(F.col("v").alias("a"), F.col("v").alias("b")))
+    # The records of two names, or the upper triangle of those of one, in tiles.
+    for x in "ab":
+        links = links.join(sizes.select(F.col("v").alias(x), F.col("tiles").alias(f"n{x}")), x)
+    at = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tiles = links.withColumn("ta", F.explode(at("na"))).withColumn("tb", F.explode(at("nb"))).filter("a <> b or ta <= tb").select("a", "b", "ta", "tb")
+    own = rows.join(sizes, "v").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")).select("v", "tile", "id", F.struct("id", *fields).alias("r"))
+    p = tiles.join(own, (F.col("a") == F.col("v")) & (F.col("ta") == F.col("tile"))).select("a", "b", "ta", "tb", F.col("r").alias("p"))
+    q = tiles.join(own, (F.col("b") == F.col("v")) & (F.col("tb") == F.col("tile"))).select("a", "b", "ta", "tb", F.col("r").alias("q"))
+    met = p.join(q, ["a", "b", "ta", "tb"]).filter("a <> b or ta <> tb or p.id < q.id")
+    turn = (F.col("a") == F.col("b")) & (F.col("p.id") > F.col("q.id"))  # of one name the least id is the first
+    met = met.select(F.when(turn, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(turn, F.col("p")).otherwise(F.col("q")).alias("q"))
+    score, weight = 0.3 * similarity(F.col("p")[primary], F.col("q")[primary], numbers=False), F.lit(0.3)
     each = 0.7 / len(supporting) if supporting else 0.0
     for c in supporting:
-        a, b = F.col(f"p.{c}"), F.col(f"q.{c}")
+        a, b = F.col("p")[c], F.col("q")[c]
         s = similarity(a, b, kind_of(c))
         weight = weight + F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull() | b.isNull(), each / 2).otherwise(each)
         score = score + F.when(a.isNull() | b.isNull(), 0.0).otherwise(s * each)

@@ -712,3 +712,35 @@ def test_column_metadata_counts_values(spark):
     got = {r.column_name: (r.kind, round(r.missing_pct, 1), r.n_unique, r.relevance) for r in out.collect()}
     assert got == {"n": ("numeric", 0.0, 2, "High"), "x": ("binary", 0.0, 2, "High"), "t": ("binary", 33.3, 2, "Medium"), "status": ("categorical", 100.0, 0, "Target")}
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _ratio(a, b):
+    return SequenceMatcher(None, a, b).ratio()
+
+
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_similar_values_at_every_threshold(spark, monkeypatch, tile):
+    """Against all pairs of which none is twice as long as the other, down to 0.3: shared pieces, texts too short to have any, texts of one length, in one tile and in many."""
+    monkeypatch.setattr(fuzzy, "TILE", tile)
+    rnd = random.Random(9)
+    words = sorted({"".join(rnd.choices("abcé ", k=rnd.randrange(3, 16))).strip() for _ in range(60)} | {"common start " + "".join(rnd.choices("xyz", k=4)) for _ in range(25)} | {"q" * 300, "q" * 290 + "r" * 9})
+    words = [w for w in words if len(w) > 2]
+    d = spark.createDataFrame(list(enumerate(words)), "id int, name string")
+    for t in (0.3, 0.5, 0.6, 0.85):
+        out = fuzzy.similar_values(d, "name", "id", t)
+        got = {(r.a, r.b) for r in out.collect()}
+        want = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if _ratio(a, b) >= t and 2 * min(len(a), len(b)) >= max(len(a), len(b))}
+        assert got == want, t
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_pairs_of_a_hot_name_in_tiles(spark, monkeypatch):
+    """Tiles give the pairs that the whole gives, each once, whichever record comes first."""
+    rnd = random.Random(4)
+    rows_ = [(i, "one hot name" if i % 3 else rnd.choice(["one hot nome", "another name"]), f"mail{rnd.randrange(6)}@x.org", rnd.choice([None, "555 1234"])) for i in range(90)]
+    d = spark.createDataFrame(rows_, "id int, name string, email string, phone string")
+    whole = [tuple(r) for r in fuzzy.score_pairs(d, "id", "name", ["email", "phone"], 0.85, 0.3).collect()]
+    monkeypatch.setattr(fuzzy, "RECORDS", 2)
+    tiled = [tuple(r) for r in fuzzy.score_pairs(d, "id", "name", ["email", "phone"], 0.85, 0.3).collect()]
+    assert sorted(tiled) == sorted(whole) and len({t[:2] for t in tiled}) == len(tiled) > 50
