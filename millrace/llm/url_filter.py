@@ -6,8 +6,9 @@ redirects (meta refresh, and a table of HTTP redirects if there is one) and cano
 found over these edges, and a component's verdict is to allow if any rule allows one of its URLs, else to block if any
 blocks one, else to allow.
 
-Everything is DataFrame functions. Rules are compiled into one expression; only pages with links, and their targets,
-take part in the components.
+Everything is DataFrame functions. Few rules are compiled into one expression. More are a table, to which the suffixes of
+a host, as many as it has labels, and of the path the beginnings that are as long as a rule's path for that host, are
+joined; both give the same. Only pages with links, and their targets, take part in the components.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Rules that may be compiled into one expression.
+#: Rules that are compiled into one expression; more are joined.
 MOST_RULES = 500
+#: Hosts with rules, of a bounded length, that are broadcast.
+MOST_HOSTS, HOST_BYTES = 50_000, 256
 
 _LINK = r"(?is)<link\b[^>]*>"
 _META = r"(?is)<meta\b[^>]*>"
@@ -45,8 +48,6 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """(action, rule) of the longest rule that fits, null if none does; of equally long ones, one that allows."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules are compiled")
     out = F.lit(None).cast("struct<action: string, rule: string>")
     for action, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow", r[1] + r[2])):  # the last one that fits wins
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
@@ -54,6 +55,32 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def with_rule(df: DataFrame, rules) -> DataFrame:
+    """df(host, path, ...) with r, the (action, rule) of the longest rule that fits; rules are tuples, or a table(action, host, path)."""
+    c = F.col
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MOST_RULES:
+            return df.withColumn("r", rule_of(c("host"), c("path"), rules))
+        rules = df.sparkSession.createDataFrame(list(rules), "action string, host string, path string")
+    one = rules.groupBy(c("host").alias("rh"), c("path").alias("rp")).agg(F.max(c("action") == "allow").alias("allow"))
+    one = settle(one.filter("rh is not null and rp is not null"))
+    hosts = settle(one.groupBy("rh").agg(F.collect_set(F.length("rp")).alias("lengths")))
+    size = hosts.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("rh")), F.lit(0)).alias("chars")).first()
+    few = size["n"] <= MOST_HOSTS and size["chars"] <= HOST_BYTES
+    # What a rule's host can be lies in the last characters, after the first dot of these where there are more.
+    own, tail = c("host"), F.right("host", F.lit(size["chars"] + 1))
+    labels = F.split(tail, r"\.", -1)
+    labels = F.when(F.length(own) > size["chars"] + 1, F.slice(labels, F.lit(2), F.size(labels))).otherwise(labels)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = df.select("host", "path").distinct()
+    met = asked.select("host", "path", F.explode(F.when(F.size(labels) > 0, suffixes)).alias("rh"))
+    met = met.join(F.broadcast(hosts) if few else hosts, "rh").select("host", "path", "rh", F.explode("lengths").alias("n")).filter(c("n") <= F.length("path"))
+    met = met.withColumn("rp", F.left("path", c("n"))).join(one, ["rh", "rp"])
+    rule = F.struct(F.when(c("allow"), "allow").otherwise("block").alias("action"), F.concat("rh", "rp").alias("rule"))
+    best = met.groupBy("host", "path").agg(F.max_by(rule, F.struct(F.length(F.concat("rh", "rp")), c("allow"), F.concat("rh", "rp"))).alias("r"))
+    return df.join(best, ["host", "path"], "left")
+
+
 def node_of(url: Column) -> Column:
     """What names a resource: host and the rest up to #, without the scheme. A URL without :// names itself."""
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
@@ -96,14 +123,15 @@ def link_targets(html: Column) -> Column:
 def verdicts(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages(page_id, url, html).
 
-    redirects(src, dst) are further edges between URLs. A null url has empty host and path, no rule and no aliases, so
+    redirects(src, dst) are further edges between URLs. rules are tuples, or a table(action, host, path), in which nulls are
+    no rules and a host and path that are both allowed and blocked are allowed. A null url has empty host and path, no rule and no aliases, so
     it is allowed; null html has no links. Of rules of one length that fit, one that allows decides, then the last by
     host and path. URLs and pages may be of any length. Repeated rows each get the verdict; other columns play no part. An
     empty table gives no rows.
     """
     c = F.col
     at = pages.select("page_id", "url", host_of(c("url")).alias("host"), path_of(c("url")).alias("path"))
-    ruled = at.withColumn("r", rule_of(c("host"), c("path"), rules))
+    ruled = with_rule(at, rules)
     targets = pages.filter(c("url").contains("://")).select("url", F.explode(link_targets(c("html"))).alias("to"))
     edges = targets.select(c("url").alias("a"), _resolve(c("to"), c("url")).alias("b"))
     if redirects is not None:
@@ -115,7 +143,8 @@ def verdicts(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES)
     roots = settle(connected_components(edges.select(node_of(c("a")).alias("a"), node_of(c("b")).alias("b")), "a", "b"))
     member = roots.select("node", "root").unionByName(roots.select(c("root").alias("node"), "root").distinct())
     # Rules hold for the URLs of both ends of each edge, whether or not there is a page; a page's own URL is one of them.
-    known = urls.distinct().select(node_of(c("url")).alias("node"), rule_of(host_of(c("url")), path_of(c("url")), rules).alias("r")).filter("r is not null")
+    ends = urls.distinct().select(node_of(c("url")).alias("node"), host_of(c("url")).alias("host"), path_of(c("url")).alias("path"))
+    known = with_rule(ends, rules).select("node", "r").filter("r is not null")
     decided = known.join(member, "node").groupBy("root").agg(F.max(c("r.action") == "allow").alias("allow"))
     said = settle(member.join(decided, "root").select("node", F.when(c("allow"), "allow").otherwise("block").alias("said")))
     out = ruled.withColumn("node", node_of(c("url"))).join(said, "node", "left")

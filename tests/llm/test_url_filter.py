@@ -89,3 +89,31 @@ def test_long_pages_and_equal_rules(spark):
     rules = (("block", "t.org", "/abc"), ("allow", "t.org", "/abc"), ("block", "t.org", "/xy"))
     d = spark.createDataFrame([(1, "http://t.org/abcd", None), (2, "http://t.org/xyz", None)], SCHEMA)
     assert {i: v[2:] for i, v in got(x.verdicts(d, rules=rules)).items()} == {1: ("t.org/abc", "allow"), 2: ("t.org/xy", "block")}
+
+
+def test_ten_thousand_rules(spark):
+    """Joined rules against each rule tried on each page, and against compiled ones; long and odd hosts, rules of equal length."""
+    import random
+
+    rng = random.Random(5)
+    names = ["a", "b", "cc", "example", "news", "x1", ""]
+    host = lambda: ".".join(rng.choices(names, k=rng.randrange(1, 5)))
+    path = lambda: "/" + "".join(rng.choices("ab/é", k=rng.randrange(0, 6)))
+    rules = sorted({(rng.choice(["allow", "block"]), host(), path()) for _ in range(10_000)} | {("block", "net", "")})
+    urls = [f"http://{host()}{path()}{rng.choice(['', '?q=1', '#x'])}" for _ in range(300)] + [None, "no scheme", "http://", "http://" + "a." * 5000 + "cc/ab", "http://news.example/" + "ab" * 5000]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in x.verdicts(pages, rules=rules).collect()}
+    table = {r.page_id: r for r in x.verdicts(pages, rules=spark.createDataFrame([*rules, (None, None, "/"), ("allow", "q", None)], "action string, host string, path string")).collect()}
+    assert len(got) == len(urls) and got == table
+    for r in got.values():
+        fits = [(len(h + p), a == "allow", h + p) for a, h, p in rules if (r.host == h or r.host.endswith(f".{h}")) and r.path.startswith(p)]
+        best = max(fits, default=None)
+        assert (r.rule, r.verdict) == ((best[2], "allow" if best[1] else "block") if best else (None, "allow")), r
+    some = rules[::25]
+    assert len(some) <= x.MOST_RULES
+    compiled, was = x.verdicts(pages, rules=some).collect(), x.MOST_RULES
+    try:
+        x.MOST_RULES = 0
+        assert sorted(map(tuple, x.verdicts(pages, rules=some).collect())) == sorted(map(tuple, compiled))
+    finally:
+        x.MOST_RULES = was
