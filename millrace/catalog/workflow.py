@@ -390,3 +390,94 @@ def snk_7_html_report(t):
     missing = re.search(r"<td>value</td><td>(\d+)</td>", text)
     row = (*(int(x) for x in found.groups()[:3]), float(found.group(4)), int(missing.group(1)))
     return t("region").sparkSession.createDataFrame([row], "n_rows long, n_columns long, duplicates long, score double, missing_values long")
+
+
+_HOLES = "select l_extendedprice as price, case when l_linenumber = 1 then l_tax end as rare, case when l_orderkey % 4 > 0 then l_discount end as quarter, case when l_orderkey % 12 > 0 then l_quantity end as a_few, case when l_orderkey % 40 > 0 then exp(l_quantity / 5) end as tailed, case when l_orderkey % 9 > 0 then l_returnflag end as flag from lineitem"
+
+
+@query(f"""with d as ({_HOLES}), s as (select count(*)::double as n, skewness(price) as s1, skewness(tailed) as s5, count(price) as c1, count(rare) as c2, count(quarter) as c3, count(a_few) as c4, count(tailed) as c5, count(flag) as c6 from d),
+    p as (select unnest([struct_pack(c := 'price', m := 100 * (1 - c1 / n), k := s1, num := true), struct_pack(c := 'rare', m := 100 * (1 - c2 / n), k := 0.0, num := true), struct_pack(c := 'quarter', m := 100 * (1 - c3 / n), k := 0.0, num := true), struct_pack(c := 'a_few', m := 100 * (1 - c4 / n), k := 0.0, num := true), struct_pack(c := 'tailed', m := 100 * (1 - c5 / n), k := s5, num := true), struct_pack(c := 'flag', m := 100 * (1 - c6 / n), k := 0.0, num := false)]) as x from s)
+    select x.c as column_name, round(x.m, 4) as missing_pct, case when x.m > 50 then 'drop column' when x.m > 20 then 'grouped fill or drop rows' when not x.num then 'mode' when x.m > 5 or abs(x.k) > 1 then 'median' else 'mean' end as how from p""")
+def mis_4_suggest_by_column(t):
+    """Every column of a table with holes: by how much is missing, and how skewed it is."""
+    from ..operators.cleaning import suggest_fills
+
+    hole = lambda test, c: F.when(F.expr(test), F.expr(c))
+    d = t("lineitem").select(F.col("l_extendedprice").alias("price"), hole("l_linenumber = 1", "l_tax").alias("rare"), hole("l_orderkey % 4 > 0", "l_discount").alias("quarter"), hole("l_orderkey % 12 > 0", "l_quantity").alias("a_few"), hole("l_orderkey % 40 > 0", "exp(l_quantity / 5)").alias("tailed"), hole("l_orderkey % 9 > 0", "l_returnflag").alias("flag"))
+    return suggest_fills(d).select("column_name", r("missing_pct", 4).alias("missing_pct"), "how")
+
+
+@query("select event_id, round(2 * ln(1 + case when m <= 0 then value - m + 1 else value end), 6) as value from events, (select min(value) as m from events)")
+def grd_1_guarded_steps(t):
+    """A second log of a column is held back, whatever it is called; another family of steps goes on."""
+    from ..functions.math import scaled
+    from ..plans.workflow import TransformRegistry
+
+    g, d = TransformRegistry(), t("events").select("event_id", "value")
+    log = lambda x: scaled(x, "value", "log", "value")
+    for name, step in (("Log (shifted)", log), ("log", log), ("double", lambda x: x.withColumn("value", F.col("value") * 2)), ("Log transform", log)):
+        d = g.apply(d, "value", name, step)
+    return d.select("event_id", r("value").alias("value"))
+
+
+@query("select 'orders' as file, 'PASS' as status, count(*) as n from orders union all select 'documents', 'WARN', count(*) from documents union all select 'none', 'BLOCK', 0")
+def src_7_validated_tables(t):
+    """Whole tables as files: even lines, texts with any number of commas, and no row at all."""
+    from ..sources.readers import read, validate
+    from ..sources.sinks import write_csv
+
+    spark, out = t("orders").sparkSession, []
+    documents = t("documents").select(F.concat(F.lit("one, two, three, four: "), F.coalesce("text", F.lit(""))).alias("text"), "doc_id")
+    for name, d in {"orders": t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "documents": documents}.items():
+        path = scratch(spark, name)
+        write_csv(d, path)
+        out.append((name, validate(spark, path, "csv").status, read(spark, path, "csv").count()))
+    path = scratch(spark, "none")
+    spark.createDataFrame([], "value string").coalesce(1).write.text(path)
+    return spark.createDataFrame([*out, ("none", validate(spark, path, "csv").status, 0)], "file string, status string, n long")
+
+
+@query("select 'added' as change, 'cheap' as column_name, count(case when l_extendedprice < 20000 then 1 end) as n from lineitem union all select 'removed', 'l_tax', count(l_tax) from lineitem union all select 'removed', 'l_returnflag', count(l_returnflag) from lineitem")
+def set_3_schema_values(t):
+    """What a change of columns brought and cost in values."""
+    from ..operators.rows import schema_values
+
+    d = t("lineitem")
+    return schema_values(d, d.drop("l_tax", "l_returnflag").withColumn("cheap", F.when(F.col("l_extendedprice") < 20000, 1)))
+
+
+@query("select 'event_id' as column_name, 'numeric' as kind, count(event_id) as present from events union all select 'ts', 'datetime', count(ts) from events union all select 'user_id', 'numeric', count(user_id) from events union all select 'event_type', 'categorical', count(event_type) from events union all select 'value', 'numeric', count(value) from events union all select 'props', 'categorical', count(props) from events union all select 'late', 'boolean', count(*) from events")
+def typ_6_class_counts(t):
+    """Classes of the columns of a table, with how many values each has."""
+    from ..operators.statistics import missing_by_column
+    from ..session import column_classes
+
+    d = t("events").withColumn("late", F.hour("ts") >= 18)
+    kinds = d.sparkSession.createDataFrame(list(column_classes(d).items()), "column_name string, kind string")
+    return kinds.join(missing_by_column(d), "column_name").select("column_name", "kind", "present")
+
+
+@query("select c_custkey as variable, c_name as value, x as variable_var, cast(v as double) as value_val from (select c_custkey, c_name, unnest(['c_nationkey', 'c_acctbal']) as x, unnest([c_nationkey::double, c_acctbal]) as v from customer)")
+def rsh_3_melt_of_taken_names(t):
+    """Long form of a table that has columns named like the new ones."""
+    from ..operators.columns import free_names
+    from ..operators.reshape import melt
+
+    d = t("customer").select(F.col("c_custkey").alias("variable"), F.col("c_name").alias("value"), F.col("c_nationkey").cast("double").alias("c_nationkey"), "c_acctbal")
+    return melt(d, ["variable", "value"], ["c_nationkey", "c_acctbal"], *free_names(d))
+
+
+@query("""select event_id, case event_id % 4 when 0 then 'remove_nulls, chart' when 1 then 'remove_duplicates' when 2 then 'remove_outliers' else '' end as intents from events""")
+def nlq_1_requests(t):
+    """A request a row: each event's, in words of its own."""
+    said = F.element_at(F.array(F.lit("plot "), F.lit("list the unique rows of "), F.lit("handle OUTLIERS in "), F.lit("hello, ")), (F.col("event_id") % 4 + 1).cast("int"))
+    text = F.concat(said, F.col("event_type"), F.when(F.col("event_id") % 4 == 0, " and fill missing values").otherwise(""))
+    return assistant.intents_of(t("events").select("event_id", text.alias("request")), "request").select("event_id", F.array_join("intents", ", ").alias("intents"))
+
+
+@query("with b as (select sum(8 + 8 + coalesce(octet_length(encode(text)), 0) + coalesce(octet_length(encode(lang)), 0) + coalesce(octet_length(encode(source)), 0)) as b from documents) select f.format, round(b * f.x, 2) as bytes from b, (values ('csv', 0.8::double), ('xlsx', 0.9), ('json', 1.2), ('parquet', 0.3), ('sql', 1.0)) as f(format, x)")
+def snk_6_measured_sizes(t):
+    """What files of a table are likely to take, by all its cells."""
+    from ..sources.sinks import measured_sizes
+
+    return measured_sizes(t("documents")).select("format", r("bytes", 2).alias("bytes"))

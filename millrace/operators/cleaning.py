@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import columns_of
 from .ordered import counted
 from .quantiles import mode, quantiles, scalars
 
@@ -56,6 +57,17 @@ def _medians(df: DataFrame, col: str, by: str) -> DataFrame:
     return quantiles(df.select(by, col), [col], [0.5], [by]).select(F.col(by).alias("__k"), F.col("q")[0].alias("__s"))
 
 
+def suggest_fills(df: DataFrame) -> DataFrame:
+    """column_name, missing_pct, how for every column: what suggest_fill() says of its missing cells and its skewness."""
+    from .statistics import missing_by_column, skewness
+
+    num = columns_of(df, "numeric")
+    skewed = df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in num])).alias("i", "v")).groupBy("i").agg(skewness(F.col("v")).alias("s")).collect() if num else []  # a row a column
+    skew = {num[r["i"]]: r["s"] for r in skewed}
+    rows = [(r["column_name"], r["missing_pct"], suggest_fill(r["missing_pct"], skew.get(r["column_name"]), r["column_name"] in num)) for r in missing_by_column(df).collect()]
+    return df.sparkSession.createDataFrame(rows, "column_name string, missing_pct double, how string")
+
+
 def suggest_fill(missing_pct: float, skewness: float | None, numeric: bool) -> str:
     if missing_pct > 50:
         return "drop column"

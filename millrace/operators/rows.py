@@ -180,3 +180,15 @@ def union_by_name(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def schema_changes(before: DataFrame, after: DataFrame) -> dict[str, list[str]]:
     return {"added": [c for c in after.columns if c not in before.columns], "removed": [c for c in before.columns if c not in after.columns]}
+
+
+def schema_values(before: DataFrame, after: DataFrame) -> DataFrame:
+    """change (added, removed), column_name and n: how many values a column that came, or went, has."""
+    parts = [("added", after), ("removed", before)]
+    out = None
+    for change, df in parts:
+        cols = schema_changes(before, after)[change]
+        one = df.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(F.col(f"`{c}`")).alias("n")) for c in cols]).alias("x")) if cols else None
+        rows = one.select(F.lit(change).alias("change"), F.explode("x").alias("x")).select("change", "x.*") if cols else df.sparkSession.createDataFrame([], "change string, column_name string, n long")
+        out = rows if out is None else out.unionByName(rows)
+    return out

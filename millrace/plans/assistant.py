@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import quality as q
 from ..session import column_classes
@@ -63,9 +65,6 @@ GUIDANCE = {
 #: (an intent that is there, one that isn't, what else to think of)
 NEXT = (("remove_nulls", "remove_duplicates", "look for duplicates, too"), ("create_column", "chart", "draw the new column"), ("datetime_features", "chart", "draw a time series"), ("remove_outliers", "chart", "draw the distribution without outliers"))
 VERIFY = {"remove_nulls", "remove_outliers", "transformation"}
-# Words before or after the name of a column, and such that are no names.
-_NOT_COLUMNS = {"the", "and", "or", "from", "to", "in", "by", "with", "column", "columns"}
-_NAMED = (r"column\s+(\w+)", r"from\s+(\w+)", r"(\w+)\s+column", r"in\s+(\w+)", r"by\s+(\w+)")
 #: What a step needs of its columns.
 _KINDS = {"remove_outliers": "numeric", "transformation": "numeric", "math_features": "numeric", "datetime_features": "datetime", "bar_chart": "categorical", "aggregation": "categorical"}
 
@@ -78,13 +77,15 @@ class Request:
     data_aware: bool
 
 
-def parse(text: str) -> Request:
+def parse(text: str, names: list[str] | tuple[str, ...] = ()) -> Request:
+    """What a request asks for; columns are those of names that it has as words, and whatever it quotes."""
     low = (text or "").lower().strip()
     if not low:
         return Request([], [], 0.0, False)
     intents = [i for i, words in INTENTS.items() if any(w in low for w in words)]
-    named = re.findall(r"[\"']([^\"']+)[\"']", text) + re.findall(r"`([^`]+)`", text) + [m for p in _NAMED for m in re.findall(p, low)]
-    columns = list(dict.fromkeys(c for c in named if c.lower() not in _NOT_COLUMNS))
+    quoted = [x for pair in re.findall(r"'([^']+)'|\"([^\"]+)\"|`([^`]+)`", text) for x in pair if x]
+    own = [c for c in names if re.search(rf"(?<!\w){re.escape(c.lower())}(?!\w)", low)]
+    columns = list({c.lower(): c for c in [*own, *quoted]}.values())
     return Request(intents, columns, min(1.0, 0.3 * len(intents) + 0.2 * bool(columns)), any(w in low for w in DATA_AWARE))
 
 
@@ -121,7 +122,7 @@ class Answer:
 
 def answer(df: DataFrame, text: str) -> Answer:
     """Ordered steps for a request; for one that asks what to do, the ten most pressing recommendations."""
-    asked, out = parse(text), Answer()
+    asked, out = parse(text, df.columns), Answer()
     if asked.data_aware:
         recs = q.recommendations(q.facts(df))
         score, grade = q.assistant_score(recs)
@@ -144,3 +145,16 @@ def answer(df: DataFrame, text: str) -> Answer:
         out.steps.append({"step": i, "operation": intent, "columns": [c for c, k in known.items() if need in (None, k)], "guidance": GUIDANCE.get(intent)})
     out.suggestions = follow_ups(asked.intents)
     return out
+
+
+def intents_of(df: DataFrame, col: str, out: str = "intents") -> DataFrame:
+    """df with the intents of the request in col, in the order in which steps are taken; none for a null or empty one.
+
+    Equal requests are parsed once in a task.
+    """
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        known = {t: sorted(parse(t).intents, key=lambda x: ORDER.get(x, 999)) for t in texts.dropna().unique()}
+        return texts.map(lambda t: known.get(t, []))
+
+    return df.withColumn(out, run(F.col(col)))

@@ -43,6 +43,13 @@ class TransformRegistry:
         self.done.setdefault(col, []).append(name)
         return before
 
+    def apply(self, df: DataFrame, col: str, name: str, step, force: bool = False) -> DataFrame:
+        """step(df), unless col has had a transformation of the same family: then df as it is, and nothing is noted."""
+        if not force and TransformRegistry({col: self.done.get(col, [])[:]}).register(col, name):
+            return df
+        self.register(col, name)
+        return step(df)
+
 
 @dataclass
 class Snapshot:

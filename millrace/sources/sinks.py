@@ -112,6 +112,14 @@ def size_estimate(df: DataFrame, fmt: str) -> float:
     return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * SIZE_FACTORS[fmt]
 
 
+def measured_sizes(df: DataFrame) -> DataFrame:
+    """format, bytes: what files are likely to take, by the cells: texts as long as they are, other cells 8 bytes, booleans 1."""
+    cell = lambda c, t: F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) if t not in SQL_TYPES else F.lit(1 if t == "boolean" else 8)
+    whole = df.agg(F.coalesce(F.sum(sum((cell(c, t).cast("long") for c, t in df.dtypes), F.lit(0).cast("long"))), F.lit(0)).alias("b"))
+    formats = F.array(*[F.struct(F.lit(f).alias("format"), F.lit(x).alias("x")) for f, x in SIZE_FACTORS.items()])
+    return whole.select("b", F.inline(formats)).select("format", (F.col("b") * F.col("x")).alias("bytes"))
+
+
 def html_report(df: DataFrame, title: str = "Report") -> str:
     f = q.facts(df)
     score, dims = q.dimension_score(f)

@@ -307,8 +307,8 @@ def test_scores_and_assistant(spark):
     recs = quality.recommendations(f)
     assert [r["priority"] for r in recs][0] == "high" and {"duplicate rows", "constant columns", "missing values"} <= {r["issue"] for r in recs}
     assert quality.grade(85) == "A" and quality.grade(39.9) == "F" and quality.assistant_score([]) == (100, "A")
-    r = assistant.parse("group by region and plot 'Total Sales'")
-    assert r.intents == ["aggregation", "chart"] and r.columns == ["Total Sales", "region"] and r.confidence == pytest.approx(0.8)
+    r = assistant.parse("group by region and plot 'Total Sales'", ["Region", "plo", "total"])
+    assert r.intents == ["aggregation", "chart"] and r.columns == ["Region", "total", "Total Sales"] and r.confidence == pytest.approx(0.8)
     assert assistant.parse("  ").confidence == 0 and assistant.find_column(d, "K") == ("k", "categorical") and assistant.find_column(d, "zz") == (None, None)
     assert charts.downsample(d, "i", above=50, to=20).count() == 20 and charts.downsample(d, "i", above=500).count() == 100
 
@@ -744,3 +744,19 @@ def test_pairs_of_a_hot_name_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "RECORDS", 2)
     tiled = [tuple(r) for r in fuzzy.score_pairs(d, "id", "name", ["email", "phone"], 0.85, 0.3).collect()]
     assert sorted(tiled) == sorted(whole) and len({t[:2] for t in tiled}) == len(tiled) > 50
+
+
+def test_guard_suggestions_and_sizes(spark):
+    from millrace.plans.workflow import TransformRegistry
+    from millrace.sources import sinks
+
+    g, d = TransformRegistry(), nums(spark, [1.0, 2.0])
+    twice = lambda x: x.withColumn("v", F.col("v") * 2)
+    for name, force in (("sqrt", False), ("Square root", False), ("log", False), ("sqrt", True)):
+        d = g.apply(d, "v", name, twice, force)
+    assert [r.v for r in d.select("v").collect()] == [8.0, 16.0] and g.done == {"v": ["sqrt", "log", "sqrt"]}
+    e = spark.createDataFrame([(1.0, None, "a"), (2.0, None, None), (100.0, 3.0, "b")], "x double, y double, t string")
+    assert {r.column_name: r.how for r in cleaning.suggest_fills(e).collect()} == {"x": "median", "y": "drop column", "t": "grouped fill or drop rows"}
+    assert {r.format: r.bytes for r in sinks.measured_sizes(e).collect()}["sql"] == 3 * 16 + 2
+    assert rows.schema_values(e, e).count() == 0
+    assert [r.intents for r in assistant.intents_of(spark.createDataFrame([(None,), ("plot it",)], "q string"), "q").collect()] == [[], ["chart"]]
