@@ -314,6 +314,18 @@ def src_3_excel_round_trip(t):
     return d.withColumn("p_size", F.col("p_size").cast("int"))
 
 
+@query("select o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_totalprice > 100000 as large from orders")
+def src_3_folder_of_workbooks(t):
+    """A whole table as workbooks, which tasks write and read side by side: numbers, text, dates, truth."""
+    from ..sources.excel import read_excel, write_excel
+
+    d = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", (F.col("o_totalprice") > 100000).alias("large"))
+    path = scratch(d.sparkSession, "books")
+    write_excel(d.repartition(4, "o_orderkey"), path, rows=5000)
+    out = read_excel(d.sparkSession, path)
+    return out.select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.col("o_orderdate").cast(dict(d.dtypes)["o_orderdate"]).alias("o_orderdate"), "large")
+
+
 @query("select cast(n_nationkey as varchar) as key, case n_name when 'CHINA' then null else n_name end as name from nation")
 def src_2_skipped_lines(t):
     """Lines before the header, another separator, nulls by token, and an index column."""

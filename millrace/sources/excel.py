@@ -1,7 +1,8 @@
 """Workbooks (xlsx), read and written with the standard library.
 
-A workbook is a zip of XML and holds 1 048 576 rows of 16 384 columns a sheet at most, so it is read and written by the
-driver; files over READ_BYTES and larger tables are refused.
+A workbook is a zip of XML and holds 1 048 576 rows of 16 384 columns a sheet at most. A folder of workbooks is a table of
+any size: each task writes its own ones, and reads some of them; a path that ends in .xlsx is one workbook, and so one
+task's. Only names and types of columns reach the driver. Files over READ_BYTES are refused.
 """
 
 from __future__ import annotations
@@ -9,10 +10,14 @@ from __future__ import annotations
 import datetime as dt
 import io
 import re
+import uuid
 import zipfile
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +36,6 @@ DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 
-def _bytes(spark: SparkSession, path: str) -> bytes:
-    found = spark.read.format("binaryFile").load(path)
-    size = found.agg(F.sum("length")).first()[0]
-    if not size or size > READ_BYTES:
-        raise HardStop("no workbook" if not size else f"over {READ_BYTES >> 20} MB")
-    return bytes(found.select("content").first()[0])
-
-
 class Workbook:
     def __init__(self, raw: bytes):
         try:
@@ -108,33 +105,105 @@ def _name(i: int) -> str:
     return out
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of the workbooks there."""
+    if not _exists(spark, path):
+        raise HardStop("no workbook")
+    found = spark.read.format("binaryFile").load(path).filter(F.lower("path").endswith(".xlsx") | F.lit(path.lower().endswith(".xlsx")))
+    size = found.agg(F.max("length").alias("most"), F.count("*").alias("n")).first()
+    if not size["n"] or size["most"] > READ_BYTES:
+        raise HardStop("no workbook" if not size["n"] else f"over {READ_BYTES >> 20} MB")
+    return found.select("path", "content")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _each(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.column(0)[i].as_py(), b.column(1)[i].as_buffer().to_pybytes()
+
+
 def sheet_names(spark: SparkSession, path: str) -> list[str]:
-    return list(Workbook(_bytes(spark, path)).sheets)
+    """Of the first workbook, in their order."""
+    def run(batches):
+        for at, raw in _each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([list(Workbook(raw).sheets)], pa.list_(pa.string()))], names=["path", "sheets"])
+
+    return list(_files(spark, path).mapInArrow(run, "path string, sheets array<string>").orderBy("path").first()["sheets"])
+
+
+#: What the cells of a column are, from bool to text; numbers of both kinds are doubles, other mixtures text.
+KINDS = {"boolean": (bool, pa.bool_()), "bigint": (int, pa.int64()), "double": (float, pa.float64()), "timestamp_ntz": (dt.datetime, pa.timestamp("us")), "string": (str, pa.string())}
+
+
+def _kind(kinds: set[str]) -> str:
+    return next(iter(kinds)) if len(kinds) == 1 else "double" if kinds == {"bigint", "double"} else "string"
+
+
+class _Sheet:
+    """The cells of a workbook's sheet below its header."""
 
+    def __init__(self, raw: bytes, sheet: str | None, header: bool, skip_rows: int):
+        self.book = Workbook(raw)
+        if sheet is not None and sheet not in self.book.sheets:
+            raise HardStop(f"no sheet {sheet!r}; there are {list(self.book.sheets)}")
+        self.name, self.header, self.skip = sheet or next(iter(self.book.sheets)), header, skip_rows
+        self.names = next(self._all(), []) if header else []
 
-def _kind(values) -> T.DataType:
-    kinds = {type(v) for v in values if v is not None}
-    if kinds <= {int} and kinds:
-        return T.LongType()
-    if kinds <= {int, float} and kinds:
-        return T.DoubleType()
-    return T.BooleanType() if kinds == {bool} else T.TimestampNTZType() if kinds == {dt.datetime} else T.StringType()
+    def _all(self):
+        return (r for i, r in enumerate(self.book.rows(self.name)) if i >= self.skip)
+
+    def rows(self):
+        out = self._all()
+        if self.header:
+            next(out, None)
+        return out
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None, header: bool = True, skip_rows: int = 0, n: int | None = None) -> DataFrame:
-    """The named sheet, or the first one. Columns whose cells are all numbers, booleans or dates have that type, others are text; blank cells are null."""
-    book = Workbook(_bytes(spark, path))
-    if sheet is not None and sheet not in book.sheets:
-        raise HardStop(f"no sheet {sheet!r}; there are {list(book.sheets)}")
-    rows = [r for i, r in enumerate(book.rows(sheet or next(iter(book.sheets)))) if i >= skip_rows]
-    names = [str(v) if v not in (None, "") else f"Unnamed: {i}" for i, v in enumerate(rows.pop(0))] if header and rows else []
-    wide = max([len(names), *map(len, rows)], default=0)
+    """The named sheet, or the first one, of a workbook, or of all those of a folder, which must have the same header.
+
+    Columns whose cells are all numbers, booleans or dates have that type, others are text; blank cells are null.
+    """
+    files = _files(spark, path)
+
+    def look(batches):
+        for at, raw in _each(batches):
+            try:
+                own, kinds = _Sheet(raw, sheet, header, skip_rows), []
+                for r in own.rows():
+                    kinds += [set() for _ in range(len(r) - len(kinds))]
+                    for k, v in zip(kinds, r, strict=False):
+                        if v is not None:
+                            k.add(next(name for name, (t, _) in KINDS.items() if type(v) is t))
+                told = [[None if v in (None, "") else str(v) for v in own.names], [sorted(k) for k in kinds], None]
+            except HardStop as e:
+                told = [[], [], str(e)]
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([told[0]], pa.list_(pa.string())), pa.array([told[1]], pa.list_(pa.list_(pa.string()))), pa.array([told[2]], pa.string())], names=["path", "names", "kinds", "error"])
+
+    seen = files.mapInArrow(look, "path string, names array<string>, kinds array<array<string>>, error string").orderBy("path").collect()  # a row a workbook
+    if bad := [r["error"] for r in seen if r["error"]]:
+        raise HardStop(bad[0])
+    if len({tuple(r["names"]) for r in seen}) > 1:
+        raise HardStop("workbooks have different headers")
+    names = [v if v is not None else f"Unnamed: {i}" for i, v in enumerate(seen[0]["names"])]
+    wide = max([len(names), *(len(r["kinds"]) for r in seen)], default=0)
     names += [f"Column_{i}" if not header else f"Unnamed: {i}" for i in range(len(names), wide)]
-    rows = [r + [None] * (wide - len(r)) for r in (rows if n is None else rows[:n])]
-    kinds = [_kind(r[i] for r in rows) for i in range(wide)]
-    put = {T.StringType: str, T.DoubleType: float}
-    made = [tuple(None if v is None else put.get(type(k), lambda x: x)(v) for v, k in zip(r, kinds, strict=True)) for r in rows]
-    return spark.createDataFrame(made, T.StructType([T.StructField(c, k) for c, k in zip(names, kinds, strict=True)]))
+    kinds = [_kind({k for r in seen for k in (r["kinds"][i] if i < len(r["kinds"]) else ())}) for i in range(wide)]
+
+    def cells(batches):
+        for _, raw in _each(batches):
+            rows = _Sheet(raw, sheet, header, skip_rows).rows()
+            while part := [r for r, _ in zip(rows, range(4096), strict=False)]:
+                cols = [[None if i >= len(r) or r[i] is None else KINDS[k][0](r[i]) if k in ("string", "double") else r[i] for r in part] for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, KINDS[k][1]) for c, k in zip(cols, kinds, strict=True)], names=[f"c{i}" for i in range(wide)])
+
+    out = files.mapInArrow(cells, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*names) if wide else spark.createDataFrame([], T.StructType())
+    return out if n is None else out.limit(n)
 
 
 def _cell(at: str, v) -> str:
@@ -149,12 +218,8 @@ def _cell(at: str, v) -> str:
     return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(_BAD.sub("", str(v)))}</t></is></c>'
 
 
-def write_excel(df: DataFrame, path: str, sheet: str = "Data", freeze: bool = True) -> None:
-    """One sheet with a header row, which stays in view (freeze). Tables that a sheet can't hold are refused."""
-    if len(df.columns) > COLUMNS or df.limit(ROWS).count() >= ROWS:
-        raise HardStop(f"a sheet holds {ROWS - 1} rows and {COLUMNS} columns; write csv or parquet")
-    keep = (*NUMERIC, T.BooleanType, T.TimestampType, T.TimestampNTZType)
-    own = [F.col(f"`{f.name}`") if isinstance(f.dataType, keep) and not isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`").cast("timestamp_ntz" if isinstance(f.dataType, T.DateType) else "string").alias(f.name) for f in df.schema]
+def workbook(names: list[str], rows, sheet: str, freeze: bool) -> bytes:
+    """One sheet with a header."""
     out = io.BytesIO()
     xml = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
     pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>' if freeze else ""
@@ -167,17 +232,56 @@ def write_excel(df: DataFrame, path: str, sheet: str = "Data", freeze: bool = Tr
         z.writestr("xl/styles.xml", f'{xml}<styleSheet xmlns="{MAIN}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>')
         with z.open("xl/worksheets/sheet1.xml", "w") as f:
             f.write(f'{xml}<worksheet xmlns="{MAIN}">{pane}<sheetData>'.encode())
-            rows = df.select(*own).toLocalIterator()  # a partition at a time
-            for i, row in enumerate(_with_header(df.columns, rows), 1):
+            for i, row in enumerate(_with_header(names, rows), 1):
                 f.write(f'<row r="{i}">{"".join(_cell(f"{_name(j)}{i}", v) for j, v in enumerate(row))}</row>'.encode())
             f.write(b"</sheetData></worksheet>")
-    spark = df.sparkSession
+    return out.getvalue()
+
+
+def write_excel(df: DataFrame, path: str, sheet: str = "Data", freeze: bool = True, rows: int = ROWS - 1) -> None:
+    """Workbooks of one sheet with a header row, which stays in view (freeze).
+
+    A path that ends in .xlsx is one workbook, which one task writes; a table that its sheet can't hold is refused. Any
+    other path is a folder, where each task writes a workbook, or another one after so many rows; what was there goes. A
+    workbook gets its name when it is whole, by its place in the table, so attempts that are repeated do no harm.
+    """
+    single = path.lower().endswith(".xlsx")
+    if len(df.columns) > COLUMNS or (single and df.limit(ROWS).count() >= ROWS):
+        raise HardStop(f"a sheet holds {ROWS - 1} rows and {COLUMNS} columns; write a folder of workbooks, csv or parquet")
+    keep = (*NUMERIC, T.BooleanType, T.TimestampType, T.TimestampNTZType)
+    own = [F.col(f"`{f.name}`") if isinstance(f.dataType, keep) and not isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`").cast("timestamp_ntz" if isinstance(f.dataType, T.DateType) else "string") for f in df.schema]
+    names, spark = df.columns, df.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    to = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-    try:
-        to.write(out.getvalue())
-    finally:
-        to.close()
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(at, True)
+    uri = re.sub("^file:/+", "file:///", store.makeQualified(at).toString())
+    most = min(rows, ROWS - 1)
+
+    def run(batches):
+        task, done, cells = TaskContext.get(), [], []
+        fs, to = FileSystem.from_uri(uri)
+
+        def put():
+            name = to if single else f"{to}/part-{task.partitionId():05d}-{len(done):03d}.xlsx"
+            tried = f"{name}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(tried) as f:
+                f.write(workbook(names, cells, sheet, freeze))
+            fs.move(tried, name)
+            done.append(name)
+            cells.clear()
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                cells.append(row)
+                if len(cells) == most and not single:
+                    put()
+        if cells or (not done and task.partitionId() == 0):  # an empty table has a header
+            put()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["file"])
+
+    FileSystem.from_uri(uri)[0].create_dir(FileSystem.from_uri(uri)[1] if not single else FileSystem.from_uri(uri)[1].rsplit("/", 1)[0], recursive=True)
+    given = df.select(*own).toDF(*[f"c{i}" for i in range(len(names))])
+    (given.coalesce(1) if single else given).mapInArrow(run, "file string").count()
 
 
 def _with_header(names: list[str], rows):

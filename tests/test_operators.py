@@ -760,3 +760,25 @@ def test_guard_suggestions_and_sizes(spark):
     assert {r.format: r.bytes for r in sinks.measured_sizes(e).collect()}["sql"] == 3 * 16 + 2
     assert rows.schema_values(e, e).count() == 0
     assert [r.intents for r in assistant.intents_of(spark.createDataFrame([(None,), ("plot it",)], "q string"), "q").collect()] == [[], ["chart"]]
+
+
+def test_folders_of_workbooks(spark, tmp_path):
+    """Each task's rows in workbooks of its own; types by all of them; an empty table; headers that differ."""
+    import datetime as dt
+
+    from millrace.sources import excel
+
+    rows_ = [(i, i / 4 if i % 2 else float(i), None if i % 5 == 0 else f"t<{i}>&", dt.datetime(2024, 1, 1 + i % 28, 12), i % 2 == 0) for i in range(50)]
+    d = spark.createDataFrame(rows_, "i int, x double, t string, `at.time` timestamp_ntz, b boolean")
+    path = str(tmp_path / "books")
+    excel.write_excel(d.repartition(3), path, rows=7)
+    assert len(list((tmp_path / "books").glob("*.xlsx"))) >= 8 and not [f for f in (tmp_path / "books").iterdir() if f.suffix not in (".xlsx", ".crc")]
+    back = excel.read_excel(spark, path)
+    assert back.dtypes == [("i", "bigint"), ("x", "double"), ("t", "string"), ("at.time", "timestamp_ntz"), ("b", "boolean")]
+    assert sorted(map(tuple, back.collect())) == rows_
+    assert excel.read_excel(spark, path, n=3).count() == 3 and excel.sheet_names(spark, path) == ["Data"]
+    excel.write_excel(d.filter("i < 0"), path)
+    assert excel.read_excel(spark, path).columns == d.columns and excel.read_excel(spark, path).count() == 0
+    excel.write_excel(d.select("x"), path + "/more.xlsx")
+    with pytest.raises(HardStop, match="headers"):
+        excel.read_excel(spark, path)
