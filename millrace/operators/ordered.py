@@ -130,7 +130,8 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str | l
     values, names = ([x] if isinstance(x, str) else list(x) for x in (value, name))
     both = list(zip(values, names, strict=True))
     at = with_row_id(df, *keys, *order, name="__r", unique=True).withColumn("__b", _bucket("__r"))
-    sums = settle(at.groupBy("__b").agg(*[F.sum(v).alias(f"__s{i}") for i, v in enumerate(values)]))
+    sums = at.groupBy("__b").agg(*[F.sum(v).alias(f"__s{i}") for i, v in enumerate(values)])
+    sums = settle(sums) if len(values) > 1 else sums
     run = lambda v: F.sum(v).over(Window.partitionBy("__b").orderBy("__r")) - F.col(v)
     out = at.withColumns({n: run(v) for v, n in both})
     for i in range(len(both)):

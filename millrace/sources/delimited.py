@@ -176,7 +176,8 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, skip_rows: int
     wide = encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32"))
     if wide or not (skip_rows or may_break(spark, path, sep)):
         reader = spark.read.options(sep=sep, encoding=encoding, **READING)
-        return (reader.schema(schema) if schema else reader).csv(path, header=header, multiLine=wide)
+        out = (reader.schema(schema) if schema else reader).csv(path, header=header, multiLine=wide)
+        return out.toDF(*_unmarked(out.columns)) if header and not schema else out
     at = F.col("_metadata")
     lines = spark.read.option("lineSep", "\n").text(path).select(at["file_path"].alias("file"), at["file_block_start"].alias("start"), F.col("value").cast("binary").alias("value"))
     functions = settle(_functions(lines, sep, skip_rows))
@@ -186,7 +187,7 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, skip_rows: int
             return spark.createDataFrame([], schema or "Column_0 string")
         raise ValueError("no file's first record ends in its first block")
     cells = next(csv.reader([found[0]["header"].decode(encoding, "replace").removesuffix("\r")], delimiter=sep))
-    names = cells if header else [f"_c{i}" for i in range(len(cells))]
+    names = _unmarked(cells) if header else [f"_c{i}" for i in range(len(cells))]
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema) if schema else T.StructType([T.StructField(c, T.StringType()) for c in names])
     entries = settle(_entries(functions))
     raw = _records(lines, entries, sep, skip_rows, header, not entries.filter("left").isEmpty())
@@ -195,6 +196,11 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, skip_rows: int
     return text.select(F.from_csv(own, kind.toDDL(), {"sep": sep, "multiLine": "true", **READING}).alias("r")).select("r.*")
 
 
+def _unmarked(names: list[str]) -> list[str]:
+    """Without the mark that some programs put before a file's first character."""
+    return [n.removeprefix("\ufeff") if i == 0 else n for i, n in enumerate(names)]
+
+
 def _decoded(raw, encoding: str):
     if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
         return raw.cast("string")

@@ -582,6 +582,9 @@ def test_csv_records_in_blocks(spark, tmp_path):
     rng = random.Random(4)
     cells = ["plain", "", "with, comma", "line\nbreak", "crlf\r\nin", 'say "hi"', '"', '""', " lead", "trail ", "é漢", "x" * 90, "a\n\n\nb", '"\n"', "#hash", "\t"]
     texts = ['a,b\n1,"x\ny"\n2,"say ""hi"", ok"\n3,plain\n', 'a,b\n5" disk,x\n6" tape,"y\nz"\n', 'a,b\n1,"un\nclosed', "a,b\n", '\n\na,b\n\n1,"2\n\n"\n \n3,4', "a,b\n1\n1,2,3\n"]
+    for i, text in enumerate(("\ufeffa,b\n1,2\n", '\ufeffa,b\n1,"2\n"\n')):
+        (tmp_path / f"mark{i}.csv").write_bytes(text.encode())
+        assert read_csv(spark, str(tmp_path / f"mark{i}.csv")).columns == ["a", "b"]
     for end in ("\n", "\r\n"):
         out = io.StringIO(newline="")
         csv.writer(out, lineterminator=end).writerows([["c1", "c2", "c3"], *([rng.choice(cells) for _ in range(3)] for _ in range(40))])
