@@ -179,7 +179,7 @@ def spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     counts = each.groupBy("c", "v").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in sums])
     at = prefix_sums(counts, ["c"], ["v"], ["n", *sums], ["b", *[f"b{i}" for i in gaps]])
     middle = lambda b, n, last: F.col(b) + (F.col(n) + last) / 2
-    ranks = settle(at.select("c", "v", middle("b", "n", 1).alias("r"), *[middle(f"b{i}", f"n{i}", 0).alias(f"less{i}") for i in gaps]))
+    ranks = at.select("c", "v", middle("b", "n", 1).alias("r"), *[middle(f"b{i}", f"n{i}", 0).alias(f"less{i}") for i in gaps])
     for i in range(len(cols)):
         own = ranks.filter(F.col("c") == i).select(F.col("v").alias(f"v{i}"), F.col("r").alias(f"r{i}"), *[F.col(f"less{j}").alias(f"r{i}_{j}") for j in gaps if j != i])
         rows = rows.join(own, f"v{i}", "left")
@@ -258,13 +258,27 @@ def _discordant(cells: DataFrame) -> DataFrame:
     return rows.groupBy("p", "k").applyInArrow(count, "p int, d double").groupBy("p").agg(F.sum("d").alias("disc"))
 
 
+def _tau_of(t: pa.Table) -> pa.Table:
+    """p, r of a pair whose cells one task counts."""
+    x, y, n = (t.column(c).to_numpy() for c in "xyn")
+    half = lambda m: float((m.astype(float) * (m - 1)).sum()) / 2
+    every = half(np.array([n.sum()]))
+    tx, ty = (half(np.bincount(np.unique(v, return_inverse=True)[1], n)) for v in (x, y))
+    square = (every - tx) * (every - ty)
+    tau = (every - tx - ty + half(n) - 2 * inversions(x, y, n)) / math.sqrt(square) if square > 0 else None
+    return pa.table({"p": t.column("p")[:1], "r": pa.array([tau], pa.float64())})
+
+
 def kendall(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """a, b, r for every two columns: Kendall's tau-b over counted pairs of values, over the rows that have both; null without spread.
 
-    Discordant pairs are inversions of y in the order of x, counted by ranges.
+    Discordant pairs are inversions of y in the order of x: a pair's cells are counted in one task, or by ranges where they
+    are more than INVERSIONS.
     """
     pairs = list(combinations(cols or columns_of(df, "numeric"), 2))
     cells = settle(_pair_counts(df, pairs))
+    if all(r["n"] <= INVERSIONS for r in cells.groupBy("p").agg(F.count("*").alias("n")).collect()):  # a row a pair
+        return _named(cells.groupBy("p").applyInArrow(_tau_of, "p int, r double"), pairs, "r")
     c = F.col
     half = lambda n: F.sum(n.cast("double") * (n - 1)) / 2
     ties = lambda key: cells.groupBy("p", key).agg(F.sum("n").alias("n")).groupBy("p").agg(half(c("n")).alias(f"t{key}"))
