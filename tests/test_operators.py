@@ -785,3 +785,13 @@ def test_folders_of_workbooks(spark, tmp_path):
     excel.write_excel(d.select("x"), path + "/more.xlsx")
     with pytest.raises(HardStop, match="headers"):
         excel.read_excel(spark, path)
+
+
+def test_workbooks_longer_than_a_batch(spark, tmp_path):
+    """A sheet of more rows than a batch keeps the rows between batches; one of whole batches ends with its last one."""
+    from millrace.sources import excel
+
+    for n in (8192, 10_000):
+        path = str(tmp_path / f"long{n}.xlsx")
+        excel.write_excel(spark.range(n).select("id", F.concat(F.lit("t"), "id").alias("t")), path)
+        assert sorted(map(tuple, excel.read_excel(spark, path).collect())) == [(i, f"t{i}") for i in range(n)]
