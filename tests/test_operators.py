@@ -795,3 +795,21 @@ def test_workbooks_longer_than_a_batch(spark, tmp_path):
         path = str(tmp_path / f"long{n}.xlsx")
         excel.write_excel(spark.range(n).select("id", F.concat(F.lit("t"), "id").alias("t")), path)
         assert sorted(map(tuple, excel.read_excel(spark, path).collect())) == [(i, f"t{i}") for i in range(n)]
+
+
+def test_chart_points_beyond_the_bound(spark):
+    """A matrix has as many fixed rows of a large table as it is asked for."""
+    d = spark.range(50_400).select("id", (F.col("id") % 7).alias("x"))
+    got = [r.id for r in charts.multivariate(d, "matrix", ["x"], key="id", to=50_000).collect()]
+    assert sorted(got) == sorted(r.id for r in rows.sample_rows(d, 50_000, "id").collect()) and len(set(got)) == 50_000
+    assert charts.multivariate(d, "matrix", ["x"], key="id").count() == charts.TO
+
+
+def test_first_points_of_charts(spark):
+    """By key, and of a line by x and key, whatever the partitions; without a number a line has all points."""
+    d = spark.range(900).select(F.col("id").alias("k"), (F.col("id") * 37 % 90).alias("x"), (F.col("id") / 2).alias("y"))
+    all_ = sorted((r.x, r.k, r.y) for r in d.collect())
+    got = [(r.x, r.k, r.y) for r in charts.bivariate(d.repartition(5), "line", "x", "y", key="k", first=333).collect()]
+    assert got == all_[:333]
+    assert sorted(r.k for r in charts.bivariate(d.repartition(5), "scatter", "x", "y", key="k", first=77).collect()) == list(range(77))
+    assert charts.bivariate(d, "line", "x", "y").count() == 900
