@@ -1,35 +1,35 @@
 """Fuzzy duplicates of records: blocking, pair scores, groups.
 
 Equal values are compared once. Two texts can only reach the threshold if their lengths are within a factor, and then
-pieces of the longer one are in the shorter one, near the same place (pigeonhole), and their counts of characters agree
-far enough: a value is compared with those that have as many of its pieces as the threshold asks for, so that no similar
-pair is missed. Pieces that many values have, and names that many records have, are cut into tiles that are dealt over
-tasks. Pairs are scored in Arrow batches.
+a piece of the longer one is in the shorter one, near the same place, but for one character (pigeonhole), and their counts
+of characters agree far enough. Values are cut into tiles in order of length; a task has a pair of tiles and looks for such
+pieces there, so that no similar pair is missed and no candidates are shuffled. Names that many records have are cut into
+tiles, too. Pairs are scored in Arrow batches.
 A group is what similar pairs connect, named by its least row; where similarity isn't transitive this differs from
 taking records one after the other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.similarity import kind_of, similarity
 from ..session import settle
 from .components import connected_components
+from .near_texts import near_pairs
+from .ordered import prefix_sums
 from .rows import sample_rows
 
 # Cells that say nothing.
 SKIPPED = ["unknown", "n/a", "na", "null", "none", "test", "", "nan"]
-#: Characters of a piece at most.
-LONGEST = 8
-#: Values that share a piece (or a length), and records that share a name, on either side of a tile.
-TILE, RECORDS = 2048, 256
+#: Values on a side of a tile, at so many characters each; tiles that smaller tables are cut into, about.
+TILE, CHARACTERS, TASKS = 1 << 15, 64, 6
+#: Records that share a name, on either side of a tile.
+RECORDS = 256
 #: Tables of so many rows are broadcast.
 FEW = 100_000
-#: Classes of characters whose counts bound what two texts have in common; counts up to 255.
-CLASSES = 16
 # What str.strip takes away.
 BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
@@ -39,84 +39,45 @@ def _values(df: DataFrame, field: str, key: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), v.alias("v")).filter((F.length("v") > 2) & ~F.col("v").isin(SKIPPED))
 
 
-def _longest_run(n: Column, threshold: float) -> Column:
-    """Length of the pieces that a text of n characters is cut into; 0 if the threshold leaves no piece whole."""
-    return F.least(F.floor(n / (F.floor(2 * (1 - threshold) * n + 1e-9) + 1)), F.lit(LONGEST)).cast("int")
+def _tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
+    """hi, lo: tiles of which texts can meet, by their lengths. Tiles are numbered in order of length."""
+    size = settle(tiles.groupBy("tile").agg(F.min("n").alias("least"), F.max("n").alias("most")))  # a row a tile
+    pairs = size.select(F.col("tile").alias("hi"), "least", F.explode(F.sequence(F.lit(0).cast("long"), "tile")).alias("lo"))
+    pairs = pairs.join(size.select(F.col("tile").alias("lo"), "most"), "lo")
+    reach = F.greatest(F.col("least") / 2, F.col("least") * (threshold / (2 - threshold)) - 1e-9)
+    return settle(pairs.filter(F.col("most") >= reach).select("hi", "lo"))
 
 
-def _signature(m: Column) -> list[Column]:
-    """Counts of the characters of each class, eight bits each."""
-    classes = F.transform(F.split(m, ""), lambda c: F.ascii(c) % CLASSES)
-    lane = lambda k: F.shiftleft(F.least(F.size(F.filter(classes, lambda x: x == k)), F.lit(255)).cast("long"), 8 * (k % 8))
-    return [sum((lane(k) for k in range(8 * h + 1, 8 * h + 8)), lane(8 * h)).alias(f"s{h}") for h in range(CLASSES // 8)]
-
-
-def _may_share(common: Column) -> Column:
-    """Whether texts with the signatures s0, s1 and z0, z1 can have so many characters in common; longer ones may."""
-    lane = lambda s, k: f"(shiftrightunsigned({s}{k // 8}, {8 * (k % 8)}) & 255)"
-    return (F.col("l") > 255) | (F.expr(" + ".join(f"least({lane('s', k)}, {lane('z', k)})" for k in range(CLASSES))) >= common)
-
+def _all_met(values: DataFrame, threshold: float) -> DataFrame:
+    """v_i, m_i, v_j, m_j of all pairs of values(id, v, m) that can reach the threshold, and of others.
 
-def _tiled(left: DataFrame, right: DataFrame, on: str, to: str, near: Column, who: str, whom: str) -> DataFrame:
-    """left joined to right where on = to and near: rows of a key that many of right have meet in tiles."""
-    many = settle(right.groupBy(F.col(to).alias("__key")).agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("__tiles")).filter("__tiles > 1"))
-    few = many.limit(FEW + 1).count() <= FEW
-    dealt = lambda d, key, id_: d.join(F.broadcast(many) if few else many, F.col(key) == F.col("__key"), "left").withColumn("__tiles", F.coalesce("__tiles", F.lit(1))).withColumn("__own", F.pmod(F.xxhash64(id_), "__tiles").cast("int")).withColumn("__all", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1))).drop("__key", "__tiles")
-    a = dealt(left, on, who).withColumnsRenamed({"__own": "__a", "__all": "__b"})
-    b = dealt(right, to, whom).withColumnsRenamed({"__own": "__d", "__all": "__c"})
-    return a.join(b, (F.col(on) == F.col(to)) & (F.col("__a") == F.col("__c")) & (F.col("__b") == F.col("__d")) & near).drop("__a", "__b", "__c", "__d")
+    Values in order of length are cut into tiles of so many characters, and pairs of tiles are dealt over tasks: what is
+    shuffled are the values, once for each tile that theirs meets, and no candidates.
+    """
+    texts = values.withColumn("n", F.length("m"))
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = min(TILE * CHARACTERS, max(total // TASKS, TASKS * 1024))
+    tiles = prefix_sums(texts, [], ["n", "id"], "n", "__before").withColumn("tile", F.floor(F.col("__before") / most)).drop("__before")
+    tiles = settle(tiles.select("tile", "n", "id", "v", "m"))
+    pairs = _tile_pairs(tiles, threshold)
+    few = pairs.limit(FEW + 1).count() <= FEW
+    dealt = lambda side: tiles.withColumnRenamed("tile", side).join(F.broadcast(pairs) if few else pairs, side).select(*[F.col(c).alias(c) for c in ("hi", "lo", "n", "id", "v", "m")])
 
+    def meet(key, one: pa.Table, other: pa.Table) -> pa.Table:
+        same = key[0].as_py() == key[1].as_py()
+        one, other = (x.sort_by([("n", "ascending"), ("id", "ascending")]) for x in (one, other))
+        i, j = near_pairs(one.column("m").to_pylist(), other.column("m").to_pylist(), threshold, same)
+        at, to = one.take(pa.array(i)), other.take(pa.array(j))
+        return pa.table({"v_i": at.column("v"), "m_i": at.column("m"), "v_j": to.column("v"), "m_j": to.column("m")})
 
-def _all_met(values: DataFrame, threshold: float) -> DataFrame:
-    """i, j: ids of all pairs of values(id, m) that can reach the threshold, and of others; the longer text first.
-
-    Texts of l and k characters (k <= l) and ratio t have at least M = t (l + k) / 2 characters in common, in the same
-    order. Of pieces of the longer one, each of its l - M other characters breaks one at most, and so does each of the
-    k - M of the shorter one. The pieces that are left are in the shorter one, moved by k - M to the right or l - M to
-    the left at most. So of any p pieces, a pair must meet in p - (l - M) - (k - M); the rarest are taken. Texts that
-    thresholds up to 0.5 leave no piece of meet all of the lengths that they may meet. Either way their counts of
-    characters must have M in common.
-    """
-    t, n = threshold, F.length("m")
-    whole = settle(values.select("id", "m", n.alias("n"), _longest_run(n, t).alias("q"), *_signature(F.col("m"))))
-    i, q = F.col("i"), F.col("q")
-    piece = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / q).cast("int") - 1), lambda i: F.struct(i.alias("at"), F.col("m").substr(i * q + 1, q).alias("g")))
-    cut = whole.filter("q > 0").select("id", "n", "q", "s0", "s1", F.explode(piece).alias("x")).select(F.col("id").alias("i"), F.col("n").alias("l"), "q", "s0", "s1", "x.at", "x.g")
-    longer = F.sequence(F.col("n"), F.ceil(F.col("n") * ((2 - t) / t)).cast("int"))
-    sizes = F.array_distinct(F.transform(longer, lambda x: _longest_run(x, t)))
-    other = [F.col("id").alias("j"), F.col("n").alias("k"), F.col("s0").alias("z0"), F.col("s1").alias("z1")]
-    grams = whole.select("*", F.explode(sizes).alias("size")).filter("size between 1 and n")
-    grams = grams.select("*", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("p"))
-    grams = grams.select(*other, "p", F.col("m").substr(F.col("p"), F.col("size")).alias("h"))
-    often = grams.groupBy("h").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("often", "at")) - 1
-    rare = cut.join(often, F.col("g") == F.col("h")).select("i", "l", "s0", "s1", "q", "at", "g", "often", rank.alias("r"))
-    # Pieces beyond the most that can break, the most frequent ones, needn't be looked at; nor those of one text only.
-    most = F.floor(2 * (1 - t) * F.col("l") + 1e-9)
-    rare = rare.filter((F.col("r") <= most) & (F.col("often") > 1))
-    l, k = F.col("l"), F.col("k")
-    common = F.ceil(t * (l + k) / 2 - 1e-9)
-    near = (common <= k) & (k * 2 >= l) & ((l > k) | ((l == k) & (i < F.col("j"))))
-    moved = F.col("p") - 1 - F.col("at") * q
-    met = _tiled(rare, grams, "g", "h", near & (moved <= k - common) & (moved >= common - l) & _may_share(common), "i", "j")
-    # Pieces are marked in 64 bits; where there are more, several share a bit.
-    bit = F.expr("shiftleft(1L, cast(r % 64 as int))")
-    seen = met.groupBy("i", "j", "l", "k").agg(F.bit_or(bit).alias("bits"))
-    out = seen.filter(F.bit_count("bits") >= (most + 1 - (l + k - 2 * common)) / F.ceil((most + 1) / 64)).select("i", "j")
-    if t > 0.5:  # then every text has a piece that is left
-        return out
-    rest = whole.filter("q = 0").select(F.col("id").alias("i"), F.col("n").alias("l"), "s0", "s1")
-    shorter = F.sequence(F.greatest(F.lit(1), F.ceil(l / F.lit(2)), F.ceil(l * (t / (2 - t)) - F.lit(1e-9))).cast("int"), l)
-    rest = rest.withColumn("len", F.explode(shorter))
-    return out.unionByName(_tiled(rest, whole.select(*other), "len", "k", near & _may_share(common), "i", "j").select("i", "j"))
+    return dealt("hi").groupBy("hi", "lo").cogroup(dealt("lo").groupBy("hi", "lo")).applyInArrow(meet, "v_i string, m_i string, v_j string, m_j string")
 
 
 def similar_values(df: DataFrame, field: str, key: str, threshold: float = 0.85) -> DataFrame:
     """a, b, score: distinct values of field with a ratio from the threshold on (a < b). No such pair is left out."""
     values = _values(df, field, key).select("v").distinct().withColumn("m", F.btrim("v", F.lit(BLANKS)))
     values = settle(values.filter("m <> ''").withColumn("id", F.monotonically_increasing_id()))
-    p, q = (values.select(F.col("id").alias(x), F.col("v").alias(f"v_{x}"), F.col("m").alias(f"m_{x}")) for x in "ij")
-    met = _all_met(values, threshold).join(p, "i").join(q, "j")
+    met = _all_met(values, threshold)
     # What the ratio leaves out is at least the edit distance; that is told without leaving the JVM.
     far = F.expr(f"levenshtein(m_i, m_j, cast(ceil({1 - threshold!r} * (length(m_i) + length(m_j))) as int))") >= 0
     met = met.filter(far).select(F.least("v_i", "v_j").alias("a"), F.greatest("v_i", "v_j").alias("b"))

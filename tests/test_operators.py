@@ -813,3 +813,34 @@ def test_first_points_of_charts(spark):
     assert got == all_[:333]
     assert sorted(r.k for r in charts.bivariate(d.repartition(5), "scatter", "x", "y", key="k", first=77).collect()) == list(range(77))
     assert charts.bivariate(d, "line", "x", "y").count() == 900
+
+
+def _slips(rnd, text, letters):
+    for _ in range(rnd.randrange(5)):
+        p = rnd.randrange(len(text))
+        text = text[:p] + rnd.choice(["", rnd.choice(letters), rnd.choice(letters) + text[p]]) + text[p + 1 :]
+    return text or "x"
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefé", "abcdefghijklmnop"])
+def test_near_texts_lose_no_pair(letters):
+    """Texts with slips, common beginnings and repeats, within a tile and between two, against all pairs."""
+    from millrace.operators.near_texts import near_pairs
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices(letters, k=rnd.randrange(3, 45))) for _ in range(22)]
+    words = sorted({x for w in words for x in (w, _slips(rnd, w, letters), "name " + w, w + w[:20])}, key=lambda x: (len(x), x))
+    half = len(words) // 2
+    for t in (0.3, 0.75, 0.85, 0.9, 1.0):
+        for longer, shorter, same in ((words, words, True), (words[half:], words[:half], False)):
+            got = set(zip(*(x.tolist() for x in near_pairs(longer, shorter, t, same)), strict=True))
+            want = {(a, b) for a, v in enumerate(longer) for b, w in enumerate(shorter[:a] if same else shorter) if 2 * len(w) >= len(v) and _ratio(v, w) >= t}
+            assert want <= got, (t, same)
+            assert not same or all(a > b for a, b in got)
+
+
+def test_similar_values_shuffle_no_candidates(spark):
+    """Texts of few letters, of which all share short pieces: few pairs leave the tasks that compare them."""
+    name = F.concat(F.lit("name "), F.translate(F.sha1(F.col("id").cast("string")), "0123456789", "ghijklmnop"))
+    values = spark.range(4000).select("id", name.alias("v"), name.alias("m"))
+    assert fuzzy._all_met(values, 0.85).count() < 400
