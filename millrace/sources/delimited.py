@@ -1,7 +1,7 @@
 """CSV whose cells may hold line breaks and quotes, read in blocks.
 
 Files are split into blocks of lines, and a line break inside quotes ends no record. Whether a block begins inside a cell
-follows from all blocks before it: each block says, for either case, in which one it ends and whether a record begins in
+follows from all blocks before it (tasks read lines as they come and keep none): each block says, for either case, in which one it ends and whether a record begins in
 it, and these functions, one row a block, are composed along each file. Then every block is cut into records where it is,
 and the parts of a record that crosses borders, two a block at most, are joined. Records are parsed by from_csv.
 
@@ -12,6 +12,7 @@ same parser, does all of it.
 from __future__ import annotations
 
 import csv
+import itertools
 import re
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ from ..session import settle
 QUOTING = {"quote": '"', "escape": '"'}
 #: Reading, an empty cell without quotes is null; what stands for it inside the parser is no text of a file.
 READING = QUOTING | {"nullValue": "\ue000null\ue000"}
+#: Bytes and rows of a batch that a task gives.
+OUT_BYTES, OUT_ROWS = 4 << 20, 10_000
 
 
 def may_break(spark: SparkSession, path: str, sep: str = ",") -> bool:
@@ -54,39 +57,44 @@ class Lines:
 
 
 def _blocks(batches, skip: int):
-    """(file, start, lines of the block); the first lines of a file are left out."""
-    own, lines, left = None, [], 0
-    for b in batches:
-        for file, start, value in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            if (file, start) != own:
-                if own is not None:
-                    yield (*own, lines)
-                own, lines, left = (file, start), [], 0 if start else skip
-            if left:
-                left -= 1
-            else:
-                lines.append(value)
-    if own is not None:
-        yield (*own, lines)
-
-
-def _cut(lines: list[bytes], inside: bool, of: Lines) -> tuple[list[bytes], list[bytes], list[bytes]]:
-    """Lines that end a record of blocks before, records, and lines of a record that goes on in the next block. Blank lines are no records."""
-    head, records, part, before = [], [], [], inside
+    """(what all lines of a block have: file, start and so on; its lines, one by one); the first lines of a file are left out."""
+    flat = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for own, rows in itertools.groupby(flat, lambda row: row[:-1]):
+        yield own, itertools.islice((row[-1] for row in rows), 0 if own[1] else skip, None)
+
+
+#: What a piece of a block is: the end of a record of blocks before, a record, the beginning of one that goes on.
+HEAD, RECORD, TAIL = range(3)
+
+
+def _cut(lines, inside: bool, of: Lines):
+    """(HEAD, RECORD or TAIL, bytes) of a block, as its lines come. Blank lines are no records."""
+    part, before = [], inside
     for line in lines:
         now = of.inside(line, inside)
         if inside or now:
             part.append(line)
             if not now:
-                if before:
-                    head = part
-                else:
-                    records.append(b"\n".join(part))
+                yield (HEAD if before else RECORD), b"\n".join(part)
                 part, before = [], False
         elif line.strip():
-            records.append(line)
+            yield RECORD, line
         inside = now
-    return (part, records, []) if before else (head, records, part)
+    if part:
+        yield (HEAD if before else TAIL), b"\n".join(part)
+
+
+def _batches(rows, schema: pa.Schema):
+    """Rows whose last cell is bytes, in batches of about so many of them."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[-1])
+        if size >= OUT_BYTES or len(some) >= OUT_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+            some, size = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
 
 def _functions(lines: DataFrame, sep: str, skip: int) -> DataFrame:
@@ -95,16 +103,20 @@ def _functions(lines: DataFrame, sep: str, skip: int) -> DataFrame:
 
     def run(batches):
         of = Lines(sep)
-        for file, start, own in _blocks(batches, skip):
-            ends, begins = [], []
-            for inside in (False, True):
-                begun = False
-                for line in own:
-                    now = of.inside(line, inside)
-                    begun, inside = (begun or not inside) and now, now
-                ends.append(inside)
-                begins.append(begun)
-            first = next(iter(_cut(own, False, of)[1]), None) if not start else None
+        for (file, start), own in _blocks(batches, skip):
+            states, begun, part, first = [False, True], [False, False], [], None
+            for line in own:
+                now = [of.inside(line, inside) for inside in states] if b'"' in line else states
+                if first is None and not start:  # the first record, as between records at the beginning
+                    if now[0] or states[0]:
+                        part.append(line)
+                    if states[0] and not now[0]:
+                        first = b"\n".join(part)
+                    elif not states[0] and not now[0] and line.strip():
+                        first = line
+                begun = [(begun[k] or not states[k]) and now[k] for k in (0, 1)]
+                states = now
+            ends, begins = states, begun
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((file, pa.string()), (start, pa.int64()), (ends, pa.list_(pa.bool_())), (begins, pa.list_(pa.bool_())), (first, pa.binary()))], names=["file", "start", "ends", "begins", "header"])
 
     return lines.mapInArrow(run, "file string, start long, ends array<boolean>, begins array<boolean>, header binary")
@@ -131,33 +143,25 @@ def _records(lines: DataFrame, entries: DataFrame, sep: str, skip: int, header:
     """(raw): the records of all blocks, without headers and blank lines. Only where one isn't over at a block's end (across) are parts joined."""
 
     def cut(parts: bool):
-        def run(batches):
+        def rows(batches):
             of = Lines(sep)
-            for batch in _with_state(batches):
-                for file, start, inside, owner, own in batch:
-                    head, records, tail = _cut(own, inside, of)
-                    if not parts:
-                        yield pa.RecordBatch.from_arrays([pa.array(records[1 if header and not start else 0 :], pa.binary())], names=["raw"])
-                    else:
-                        rows = [(file, k, start, b"\n".join(x)) for k, x in ((owner, head), (start, tail)) if x]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)] if rows else [pa.array([], k) for k in (pa.string(), pa.int64(), pa.int64(), pa.binary())], names=["file", "owner", "start", "part"])
-
-        def _with_state(batches):
-            """Lines carry their block's state: read once for each block."""
-            known = {}
-
-            def plain():
-                for b in batches:
-                    for f, s, i, o in {*zip(*(b.column(c).to_pylist() for c in ("file", "start", "inside", "owner")), strict=True)}:
-                        known[f, s] = (i, o)
-                    yield b.select(["file", "start", "value"])
-
-            for file, start, own in _blocks(plain(), skip):
-                yield [(file, start, *known.pop((file, start)), own)]
+            for (file, start, inside, owner), own in _blocks(batches, skip):
+                left_out = int(header and not start)
+                for kind, value in _cut(own, inside, of):
+                    if kind == RECORD and not parts:
+                        if not left_out:
+                            yield (value,)
+                        left_out = 0
+                    elif kind != RECORD and parts:
+                        yield file, owner if kind == HEAD else start, start, value
+
+        def run(batches):
+            kinds = [("file", pa.string()), ("owner", pa.int64()), ("start", pa.int64()), ("part", pa.binary())] if parts else [("raw", pa.binary())]
+            yield from _batches(rows(batches), pa.schema(kinds))
 
         return run
 
-    told = lines.join(F.broadcast(entries), ["file", "start"]).select("file", "start", "value", "inside", "owner")  # a row a block of the files
+    told = lines.join(F.broadcast(entries), ["file", "start"]).select("file", "start", "inside", "owner", "value")  # a row a block of the files
     whole = told.mapInArrow(cut(False), "raw binary")
     if not across:
         return whole

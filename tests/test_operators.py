@@ -844,3 +844,35 @@ def test_similar_values_shuffle_no_candidates(spark):
     name = F.concat(F.lit("name "), F.translate(F.sha1(F.col("id").cast("string")), "0123456789", "ghijklmnop"))
     values = spark.range(4000).select("id", name.alias("v"), name.alias("m"))
     assert fuzzy._all_met(values, 0.85).count() < 400
+
+
+def test_a_folder_is_as_large_as_its_largest_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(readers, "WARN_BYTES", 500)
+    many = tmp_path / "many"
+    many.mkdir()
+    for i in range(5):
+        (many / f"{i}.csv").write_text("a,b\n" + "1,2\n" * 100)
+    assert readers.validate(spark, str(many), "csv").status == "PASS"
+    (many / "5.csv").write_text("a,b\n" + "1,2\n" * 150)
+    assert readers.validate(spark, str(many), "csv").status == "WARN"
+    (many / "6.csv").write_text("a,b\n" + "1,2\n" * 300)
+    assert readers.validate(spark, str(many), "csv").status == "BLOCK"
+
+
+def test_csv_blocks_are_cut_as_lines_come():
+    """A task that cuts a block holds the record it is at, and no block."""
+    import pyarrow as pa
+    from millrace.sources import delimited
+
+    read = []
+
+    def batches():
+        for i in range(50):
+            read.append(i)
+            yield pa.RecordBatch.from_pydict({"file": ["f"] * 3, "start": [0] * 3, "value": [b'"a', b'b",1', b"c,2"]})
+
+    (own, lines) = next(blocks := delimited._blocks(batches(), 0))
+    out = delimited._cut(lines, False, delimited.Lines(","))
+    assert own == ("f", 0) and next(out)[1] == b'"a\nb",1' and next(out)[1] == b"c,2" and read == [0]
+    assert len(list(out)) == 98 and next(blocks, None) is None
