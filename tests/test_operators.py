@@ -846,6 +846,46 @@ def test_similar_values_shuffle_no_candidates(spark):
     assert fuzzy._all_met(values, 0.85).count() < 400
 
 
+def _shuffled(spark, run):
+    """Rows that the stages of run() write to shuffles."""
+    sc = spark.sparkContext
+    stages = lambda: (lambda x: [x.apply(i) for i in range(x.size())])(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()))
+    last = max([x.stageId() for x in stages()], default=-1)
+    out = run()
+    return out, sum(x.shuffleWriteRecords() for x in stages() if x.stageId() > last)
+
+
+def test_tiles_are_written_once(spark, monkeypatch):
+    """What similar values and pairs of records shuffle doesn't grow with the number of tiles that a tile meets."""
+    monkeypatch.setattr(fuzzy, "TILE", 64)
+    sha = F.translate(F.sha1(F.col("id").cast("string")), "0123456789", "ghijklmnop")
+    d = spark.range(1000).select("id", F.concat(F.lit("name "), sha).alias("name"), F.lit("x@y.org").alias("email"))
+    slips = d.filter("id < 20").select(F.col("id") + 5000, F.concat(F.substring("name", 1, 20), F.lit("xx"), F.substring("name", 23, 100)), "email")
+    d = d.unionByName(slips.toDF("id", "name", "email"))
+    got, shuffled = _shuffled(spark, lambda: fuzzy.similar_values(d, "name", "id", 0.85).collect())
+    assert len(got) == 20 and shuffled < 4 * 1020  # 12 tiles, of which each meets all
+    got, shuffled = _shuffled(spark, lambda: fuzzy.score_pairs(d, "id", "name", ["email"]).collect())
+    assert sorted((r.id_1, r.id_2) for r in got) == [(i, i + 5000) for i in range(20)] and shuffled < 6 * 1020
+    none = d.filter("id < 0")
+    assert fuzzy.similar_values(none, "name", "id").count() == fuzzy.score_pairs(none, "id", "name", ["email"]).count() == fuzzy.groups(none, "name", "id").count() == 0
+
+
+def test_pairs_by_a_column_of_any_name(spark):
+    """Records that differ in the case of their name are two, also where the column is named as one of the operator's."""
+    d = spark.createDataFrame([(1, "Anna Smith", "x"), (2, "anna smith", "x"), (3, "Berta", "y"), (4, "Berta", "y")], "id int, v string, n string")
+    assert [(r.id_1, r.id_2) for r in fuzzy.score_pairs(d, "id", "v", ["n"]).collect()] == [(1, 2)]
+
+
+def test_a_tile_that_came_out_larger_is_read_in_parts(spark, tmp_path):
+    """In order of length, none lost, blanks at the ends of values kept; no part has much more characters than a tile."""
+    words = sorted({"x" * (1 + i % 9) + str(i) for i in range(300)} | {"\xa0blank\t"})
+    tiles, _ = fuzzy._write_tiles(spark.createDataFrame([(w,) for w in words], "v string"), str(tmp_path / "t"))
+    read = [p for (t,) in sorted(tiles.select("tile").distinct().collect()) for p in fuzzy._read_tile(str(tmp_path / "t"), t, 200)]
+    assert sorted(w for v, _ in read for w in v) == words and all([w.strip() for w in v] == m for v, m in read)
+    sizes = [len(x) for _, m in read for x in m]
+    assert sizes == sorted(sizes) and len(read) > 5 and all(sum(map(len, m)) < 320 for _, m in read)
+
+
 def test_a_folder_is_as_large_as_its_largest_file(spark, tmp_path, monkeypatch):
     from millrace.sources import readers
 
