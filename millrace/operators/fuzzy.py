@@ -23,18 +23,18 @@ from pyspark.sql import functions as F
 from ..functions.similarity import kind_of, similarity
 from ..session import remove, settle, shared_dir, store
 from .components import connected_components
-from .near_texts import near_pairs
+from .near_texts import Tile, near_pairs
 from .ordered import prefix_sums
 from .rows import sample_rows
 
 # Cells that say nothing.
 SKIPPED = ["unknown", "n/a", "na", "null", "none", "test", "", "nan"]
 #: Values on a side of a tile, at so many characters each; tiles that smaller tables are cut into, about.
-TILE, CHARACTERS, TASKS = 1 << 15, 64, 6
+TILE, CHARACTERS, TASKS = 1 << 17, 64, 8
 #: Records that share a name, on either side of a tile.
 RECORDS = 256
-#: Tables of so many rows are broadcast; pairs of tiles are dealt over so many tasks at most.
-FEW, MOST_TASKS = 100_000, 1 << 12
+#: Tables of so many rows are broadcast; pairs of tiles are dealt over so many tasks at most, about so many to each where there are more than tasks at once.
+FEW, MOST_TASKS, PAIRS = 100_000, 1 << 12, 16
 # What str.strip takes away.
 BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
@@ -74,9 +74,10 @@ def _read_tile(folder: str, tile: int, most: int) -> list[tuple[list[str], list[
     """Values of a tile, and these without blanks at their ends, in order of length; a tile that came out larger in parts."""
     fs, at = store(f"{folder}/tile={tile}")
     v = pq.read_table(at, columns=["v"], filesystem=fs, partitioning=None).column("v").to_pylist()
-    v = [x for _, _, x in sorted((len(m), m, x) for m, x in ((x.strip(), x) for x in v))]
+    n = np.fromiter((len(x.strip()) for x in v), np.int64, len(v))
+    order = np.argsort(n, kind="stable")
+    v, upto = [v[x] for x in order.tolist()], np.cumsum(n[order])
     m = [x.strip() for x in v]
-    upto = np.cumsum([len(x) for x in m])
     parts = max(1, round(int(upto[-1]) / most))
     cut = [0, *np.searchsorted(upto, [upto[-1] * k // parts for k in range(1, parts)], "right").tolist(), len(v)]
     return [(v[x:y], m[x:y]) for x, y in zip(cut, cut[1:], strict=False) if x < y]
@@ -95,14 +96,17 @@ def _all_met(values: DataFrame, threshold: float, folder: str | None = None) ->
     def meet(batches):
         last = one = None
         for hi, lo in (p for b in batches for p in zip(*(c.to_pylist() for c in b.columns), strict=True)):
-            one = one if hi == last else _read_tile(folder, hi, most)
+            one = one if hi == last else [(v, Tile(m)) for v, m in _read_tile(folder, hi, most)]
             last, other = hi, one if hi == lo else _read_tile(folder, lo, most)
             for x, (v, m) in enumerate(one):
                 for y, (w, k) in enumerate(other[: x + 1] if hi == lo else other):
                     i, j = near_pairs(m, k, threshold, hi == lo and x == y)
                     yield pa.RecordBatch.from_arrays([pa.array([u[z] for z in at.tolist()], pa.string()) for u, at in ((v, i), (w, j))], names=["v_i", "v_j"])
 
-    return pairs.repartitionByRange(max(1, min(pairs.count(), MOST_TASKS)), "hi", "lo").mapInArrow(meet, "v_i string, v_j string")
+    # A task with several pairs of a tile reads it once.
+    n = pairs.count()
+    tasks = min(n, MOST_TASKS, max(n // PAIRS, 8 * values.sparkSession.sparkContext.defaultParallelism))
+    return pairs.repartitionByRange(max(1, tasks), "hi", "lo").mapInArrow(meet, "v_i string, v_j string")
 
 
 def _similar(values: DataFrame, threshold: float) -> DataFrame:

@@ -918,3 +918,38 @@ def test_csv_blocks_are_cut_as_lines_come():
     out = delimited._cut(lines, False, delimited.Lines(","))
     assert own == ("f", 0) and next(out)[1] == b'"a\nb",1' and next(out)[1] == b"c,2" and read == [0]
     assert len(list(out)) == 98 and next(blocks, None) is None
+
+
+def test_near_texts_compare_few_pairs(monkeypatch):
+    """Of names of a constant beginning and random letters few pairs are compared beyond their keys and counts, and all similar ones are found."""
+    from hashlib import sha1
+
+    from millrace.operators import near_texts
+
+    name = lambda i: "name " + sha1(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
+    n, compared, fit = 6000, [], near_texts._fit
+    monkeypatch.setattr(near_texts, "_fit", lambda left, right, i, j, *more: (compared.append(len(i)), fit(left, right, i, j, *more))[1])
+    longer, shorter = [name(i) for i in range(n)], [name(i) for i in range(n, 2 * n)]
+    for i in range(0, n, 100):
+        shorter[i] = longer[i][:20] + "xx" + longer[i][22:]
+    i, j = near_texts.near_pairs(longer, shorter, 0.85, False)
+    assert {(x, x) for x in range(0, n, 100)} <= set(zip(i.tolist(), j.tolist(), strict=True))
+    assert len(i) < 100 and sum(compared) < n
+
+
+def test_a_tile_that_meets_several_keeps_its_pieces():
+    """Pieces laid for the first tile that it meets find all pairs with others, of other lengths too."""
+    from millrace.operators.near_texts import Tile, near_pairs
+
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randrange(18, 60))) for _ in range(60)]
+    words = sorted({x for w in words for x in (w, _slips(rnd, w, "abcdefgh"), w[: len(w) * 4 // 5])}, key=len)
+    third = len(words) // 3
+    lists = [words[:third], words[third : 2 * third], words[2 * third :]]
+    tile = Tile(lists[2])
+    for other in (lists[0], lists[1], tile):
+        same = other is tile
+        shorter = lists[2] if same else other
+        got = set(zip(*(x.tolist() for x in near_pairs(tile, other, 0.8, same)), strict=True))
+        want = {(a, b) for a, v in enumerate(lists[2]) for b, w in enumerate(shorter[:a] if same else shorter) if 2 * len(w) >= len(v) and _ratio(v, w) >= 0.8}
+        assert want <= got and (want or shorter is lists[0])
