@@ -160,12 +160,15 @@ class _Index:
         self.parts = [self._part(keys[x : x + (1 << ROW)], places[x : x + (1 << ROW)]) for x in range(0, len(places), 1 << ROW)]
 
     def _part(self, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        b = keys.astype(np.uint64) << np.uint64(PLACE)
-        b |= (self.tile.place[places] >> self.shift).astype(np.uint64)
+        b = keys.astype(np.uint64)
+        b <<= np.uint64(PLACE)
+        b |= (self.tile.place[places] >> self.shift).view(np.uint32)
         b <<= np.uint64(ROW)
-        b |= np.arange(len(b), dtype=np.uint64)
+        b |= np.arange(len(b), dtype=np.uint32)
         b.sort()
-        text = self.tile.text[places[(b & np.uint64((1 << ROW) - 1)).astype(np.int32)]]
+        text = b.astype(np.uint32)  # the row's bits are all in there
+        text &= np.uint32((1 << ROW) - 1)
+        text = self.tile.text[places[text]]
         b >>= np.uint64(ROW)
         return b, text
 
@@ -222,19 +225,19 @@ def _by_pieces(left: Tile, right: Tile, pieces: list, bounds: dict, t: float, sa
             yield i[ok], j[ok]
 
     for z, parts in whole.items():
-        keys, texts, places = [], [], []
-        for own, at, size in parts:
+        p = right.places(z)
+        near = (right.place[p] >= min(at.min() for _, at, _ in parts) - far.max()) & (right.place[p] <= max(at.max() for _, at, _ in parts) + 1 + on.max())
+        p = p[near]
+        index = _Index(right, right.hash(z, p), p)
+        for own, at, size in parts if len(p) else []:
             start = left.first[own] + at
+            if size == z:
+                yield from look(index, left.hash(z, start), own, at)
+                continue
             # Without its first character a piece begins one further along.
-            for gone in range(size) if size > z else [z]:
-                keys.append(left.hash(gone, start) * _power(z - gone) + left.hash(z - gone, start + gone + 1) if 0 < gone < z else left.hash(z, start + (gone == 0 and size > z)))
-                texts.append(own)
-                places.append(at + np.int32(gone == 0 and size > z))
-        keys, texts, places = (np.concatenate(x) for x in (keys, texts, places))
-        p = right.places(z)
-        p = p[(right.place[p] >= places.min() - far.max()) & (right.place[p] <= places.max() + on.max())]
-        if len(p):
-            yield from look(_Index(right, right.hash(z, p), p), keys, texts, places)
+            keys = [left.hash(gone, start) * _power(z - gone) + left.hash(z - gone, start + gone + 1) if 0 < gone < z else left.hash(z, start + (gone == 0)) for gone in range(size)]
+            yield from look(index, np.concatenate(keys), np.tile(own, size), np.concatenate([at + np.int32(1), *[at] * z]))
+        del index
     for size, parts in wider.items():
         own, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         keys = left.hash(size, left.first[own] + at)
